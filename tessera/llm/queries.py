@@ -34,6 +34,114 @@ FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = w.doc_id GROUP BY w.do
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import report
+
+    return report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hit_spans", "longest_match")
+
+
+_OP4_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '{_OP4_WORDS}') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '{_OP4_WORDS}') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(ws), 10) AS n, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 10 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i:i + 9], ' ')) END) AS g FROM b),
+sizes AS (SELECT DISTINCT n FROM win),
+spots AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS p, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g
+  FROM d, sizes WHERE len(ws) >= n),
+occ AS (SELECT doc_id, p, win.n, item FROM spots JOIN win ON spots.n = win.n AND spots.g = win.g),
+hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS w FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import predictions
+
+    return predictions(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import predictions
+
+    return predictions(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import report
+
+    return report(_documents(spark, sf_dir))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import format_conversations, read_back
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text")
+    )
+    return read_back(format_conversations(rows.unionByName(hard)))
+
+
+OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+l AS (SELECT *, CASE WHEN NOT contains(text, '</turn>') AND NOT contains(text, '### ') THEN text
+    WHEN NOT contains(text, '\e') AND NOT contains(text, '\h') THEN replace(replace(text, '</turn>', '\e'), '### ', '\h')
+    ELSE replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '### ', '\h') END AS body,
+  replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '### ', '\h'), chr(10), '\n') AS name FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(name) + length(body) + 15)::BIGINT AS formatted_chars, true AS round_trip
+FROM l GROUP BY conv_id
+"""
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.linededup import report
+
+    return report(_documents(spark, sf_dir))
+
+
+OP5_SQL = r"""
+WITH ls AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+hs AS (SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 10))::BIGINT) AS h FROM ls),
+es AS (SELECT *, list_distinct(list_append(list_filter(range(1, len(h) + 1), lambda i: (h[i] + 31 * CASE WHEN i = 1 THEN 0 ELSE h[i - 1] END) % 4 = 0), len(h))) AS es0 FROM hs),
+cs AS (SELECT doc_id, list_sort(es0) AS es, ls FROM es),
+ch AS (SELECT doc_id, unnest(range(0, len(es))) AS place, unnest(list_transform(range(1, len(es) + 1), lambda k: es[k] - CASE WHEN k = 1 THEN 0 ELSE es[k - 1] END)) AS n,
+  unnest(list_transform(range(1, len(es) + 1), lambda k: array_to_string(ls[CASE WHEN k = 1 THEN 1 ELSE es[k - 1] + 1 END:es[k]], chr(10)))) AS t FROM cs),
+mk AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY t, n >= 2 ORDER BY doc_id, place) > 1 AS gone FROM ch)
+SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(length(string_agg(t, chr(10) ORDER BY place) FILTER (NOT gone)), 0)::BIGINT AS n_chars,
+  sha256(coalesce(string_agg(t, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS text_sha256
+FROM mk GROUP BY doc_id
+"""
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import predictions
+
+    return predictions(_documents(spark, sf_dir))
+
+
+def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.media import report
+
+    return report(_documents(spark, sf_dir))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import report
+
+    return report(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
