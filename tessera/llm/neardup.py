@@ -9,11 +9,14 @@ Scale. Texts with equal sets collapse to one class first. A bucket links its
 members to its least class only (a star), so a group of n near copies costs n
 rows and not n * n. Where the links confirmed so far leave a bucket with more
 than one component, members of different components are compared by their
-packed bits within the join. No link between different components is thus left
-out, and links within one component cannot change it.
+packed bits within the join: by set size, by the coarse signature, and by a fine
+one of 2048 minima that only the documents of such buckets get. No link between
+different components is thus left out, and links within one component cannot
+change it.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**5)**51,
-1e-6, and falls below ESTIMATE, six standard deviations off, with 1e-9.
+1e-6. Estimates are compared with a bound SIGMAS standard deviations below the
+similarity asked for, which a true link misses with probability 3e-7.
 """
 
 from __future__ import annotations
@@ -28,10 +31,9 @@ from tessera.llm.components import components
 from tessera.llm.words import SPACED, blocks, column, grams, list_column, mix, words
 from tessera.scratch import materialize, release
 
-WORDS, PERMS, ROWS, BITS = 5, 256, 5, 2
+WORDS, PERMS, FINE, ROWS, BITS = 5, 256, 2048, 5, 2
 BANDS = PERMS // ROWS
-#: Below this corrected estimate a candidate is not confirmed any further.
-ESTIMATE = 0.55
+SIGMAS = 5
 #: Bits of the filter over the ids whose texts are needed: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -47,21 +49,30 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray):
 
 def minima(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(len(mul), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 512):
-        t = x[i : i + 512, None] * mul
+    step = max(1, (1 << 17) // len(mul))
+    for i in range(0, len(x), step):
+        t = x[i : i + step, None] * mul
         t += add
         np.minimum(out, t.min(axis=0), out=out)
     return out
 
 
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229 + n)
+    return rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
+
+
+def pack(m: np.ndarray) -> np.ndarray:
+    """The low BITS bits of each row's minima, in longs."""
+    per_long = 64 // BITS
+    shift = (BITS * np.arange(per_long)).astype(np.uint64)
+    return ((m & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(m), -1, per_long) << shift).sum(axis=2, dtype=np.uint64)
+
+
 def _sign(batches):
-    rng = np.random.default_rng(20240229)
-    mul = rng.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
-    add = rng.integers(0, 1 << 32, PERMS, dtype=np.uint32)
+    mul, add = permutations(PERMS)
     spread = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     salt = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
-    per_long = 64 // BITS
-    shift = (BITS * np.arange(per_long)).astype(np.uint64)
     for batch in batches:
         data, offs = column(batch, "text")
         for a, b in blocks(offs):
@@ -74,10 +85,10 @@ def _sign(batches):
                     m[i] = minima(s, mul, add)
             full = n > 0
             keys = mix((m[full, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64) * spread).sum(axis=2, dtype=np.uint64) ^ salt)
-            packed = ((m[full] & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, PERMS // per_long, per_long) << shift).sum(axis=2, dtype=np.uint64)
+            packed = pack(m[full])
             ends = np.cumsum(full)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), list_column(keys.ravel().view(np.int64), ends * BANDS), list_column(packed.ravel().view(np.int64), ends * (PERMS // per_long))],
+                [batch.column(0).slice(a, b - a), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), list_column(keys.ravel().view(np.int64), ends * BANDS), list_column(packed.ravel().view(np.int64), ends * packed.shape[1])],
                 names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
             )
 
@@ -87,20 +98,38 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
 
 
-def estimate(x: str, y: str):
-    """Corrected similarity of two packed signatures: E = C + (1 - C) R with C = 2**-BITS."""
+def _refine(batches):
+    mul, add = permutations(FINE)
+    for batch in batches:
+        data, offs = column(batch, "text")
+        for a, b in blocks(offs):
+            packed = pack(np.stack([minima(s, mul, add) for s in shingle_sets(data, offs[a : b + 1])]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_column(packed.ravel().view(np.int64), np.arange(1, b - a + 1) * packed.shape[1])], names=["node", "fine"])
+
+
+def likely_at(x: str, y: str, perms: int, percent: int):
+    """Whether two packed signatures may belong to a pair at ``percent``.
+
+    The estimate R corrects for chance collisions: E = C + (1 - C) R, C = 2**-BITS,
+    where E is the share of equal minima by their low bits.
+    """
     low = sum(1 << i for i in range(0, 64, BITS))
     low -= (low >> 63) << 64
-    differ = []
-    for i in range(PERMS * BITS // 64):
-        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        any_bit = d
+    c = 2.0**-BITS
+    e = c + (1 - c) * percent / 100
+    least = e - SIGMAS * (e * (1 - e) / perms) ** 0.5  # as E; the corrected estimate is (E - C) / (1 - C)
+    most = F.lit(int((1 - least) * perms))
+
+    def unequal(p, q):
+        d = any_bit = p.bitwiseXOR(q)
         for k in range(1, BITS):
             any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(d, k))
-        differ.append(F.bit_count(any_bit.bitwiseAND(F.lit(low))))
-    same = F.lit(1.0) - sum(differ[1:], differ[0]) / F.lit(float(PERMS))
-    c = 2.0**-BITS
-    return (same - F.lit(c)) / F.lit(1 - c)
+        return F.bit_count(any_bit.bitwiseAND(F.lit(low)))
+
+    if perms > PERMS:  # too many longs for one compiled method
+        return F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda a, b: a + b) <= most
+    parts = [unequal(F.get(F.col(x), F.lit(i)), F.get(F.col(y), F.lit(i))) for i in range(perms * BITS // 64)]
+    return sum(parts[1:], parts[0]) <= most
 
 
 def _overlap(batches):
@@ -120,7 +149,7 @@ def _among(ids: DataFrame, bits: int = FILTER_BITS):
     at = F.pmod(F.xxhash64("id"), F.lit(bits))
     rows = ids.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
     field = np.zeros(bits // 8, np.uint8)
-    for r in rows.toLocalIterator():  # bits / 32768 rows of 4 kB at most
+    for r in rows.collect():  # bits / 32768 rows of 4 kB at most
         field[(r["bucket"] - 1) * span // 8 : r["bucket"] * span // 8] = np.frombuffer(r["map"], np.uint8)
     shared = spark.sparkContext.broadcast(field)
 
@@ -151,32 +180,45 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     signed = materialize(signatures(docs), "signed")
     held = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(held.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    sigs = classes.select("node", "sig")
+    classes = materialize(held.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    sigs = classes.select("node", "n", "sig", "bands")
 
     keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("key", "rep")
     buckets = materialize(keys.join(shared, "key").select("key", "rep", "node"), "buckets")
 
     star = buckets.filter("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b")
-    likely = materialize(star.filter(estimate("x", "y") >= ESTIMATE).select("a", "b").distinct(), "likely")
+    star = star.join(sigs.drop("bands").toDF("a", "n_p", "sig_p"), "a").join(sigs.drop("bands").toDF("b", "n_q", "sig_q"), "b")
+    sizes = F.least("n_p", "n_q") * 100 >= F.greatest("n_p", "n_q") * percent
+    likely = materialize(star.filter(sizes & likely_at("sig_p", "sig_q", PERMS, percent)).select("a", "b").distinct(), "likely")
     links = materialize(confirm(likely, docs, percent), "links")
     found = components(links)
 
     # What is left: buckets that still hold more than one component.
     named = buckets.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = materialize(named.join(split, "key").join(sigs, "node"), "rest")
-    p, q = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "sig"))) for side in ("p", "q"))
-    more = p.join(q, "key").filter((F.col("node_p") < F.col("node_q")) & (F.col("component_p") != F.col("component_q")) & (estimate("sig_p", "sig_q") >= ESTIMATE))
+    rest = materialize(named.join(split, "key"), "rest")
+    need = _among(rest.select(F.col("node").alias("id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(need(F.col("doc_id")))
+    fine = texts.mapInArrow(_refine, "node long, fine array<long>")
+    rest = rest.join(sigs, "node").join(fine, "node")
+    p, q = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "sig", "fine", "bands"))) for side in ("p", "q"))
+    apart = (F.col("node_p") < F.col("node_q")) & (F.col("component_p") != F.col("component_q"))
+    common = F.filter(F.zip_with("bands_p", "bands_q", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    once = F.get(common, F.lit(0)) == F.col("key")  # in their first common bucket
+    more = p.join(q, "key").filter(apart & sizes & likely_at("sig_p", "sig_q", PERMS, percent) & likely_at("fine_p", "fine_q", FINE, percent) & once)
     more = materialize(more.select(F.col("node_p").alias("a"), F.col("node_q").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "more")
     later = materialize(confirm(more, docs, percent), "links")
     if later.isEmpty():
         final = found
     else:
-        final = components(links.unionByName(later))
-    for done in (buckets, likely, rest, more):
+        # Only components meet anew.
+        to = lambda side: F.coalesce(f"component_{side}", side)
+        named = later.join(found.toDF("a", "component_a"), "a", "left").join(found.toDF("b", "component_b"), "b", "left")
+        joined = components(named.select(to("a").alias("a"), to("b").alias("b"))).toDF("component", "top")
+        nodes = found.unionByName(later.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+        final = materialize(nodes.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "final")
+    for done in (buckets, likely, more):
         release(done)
 
     # A class's documents share its node; its node's component is theirs.

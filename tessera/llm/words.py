@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _POWERS: dict[str, np.ndarray] = {}
 
