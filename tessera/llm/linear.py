@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import hash_spans, mix
+from tessera.llm.words import column, hash_spans, mix
 
 #: Kinds of bytes: 0 ends a token; letters, digits and what is beyond ASCII form words; each other byte value forms runs of its own.
 _KIND = np.zeros(256, np.uint16)
@@ -29,22 +30,6 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(_FOLD[raw], s, e), np.searchsorted(s, rel)
 
 
-def features(data: np.ndarray, offs: np.ndarray, bits: int, orders: tuple[int, ...] = (1, 2)) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all n-grams below 2**bits, and the row of each."""
-    t, first = tokens(data, offs)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    found, rows = [], []
-    for n in orders:
-        m = max(0, len(t) - n + 1)
-        h = np.full(m, np.uint64(n))
-        for k in range(n):
-            h = mix(h ^ t[k : k + m])
-        inside = row[:m] == row[n - 1 :][:m]
-        found.append((h[inside] >> np.uint64(64 - bits)).astype(np.int64))
-        rows.append(row[:m][inside])
-    return np.concatenate(found), np.concatenate(rows)
-
-
 def row_vectors(feature: np.ndarray, row: np.ndarray, n_rows: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct (row, feature) with counts: rows, features, counts."""
     pair, count = np.unique((row.astype(np.int64) << bits) | feature, return_counts=True)
@@ -60,7 +45,29 @@ def bounded_sample(rows: DataFrame, limit: int, *key: str) -> DataFrame:
     total = rows.count()
     if total <= limit:
         return rows
-    return rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < int(limit / total * (1 << 20)))
+    return rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int(limit / total * (1 << 40)))
+
+
+def fit_in_task(examples: DataFrame, fit, schema: str):
+    """The rows (pandas) that ``fit`` makes of a bounded sample (doc_id, y, text), in one task.
+
+    fit(data, offs, y) gets the texts in the order of doc_id, whatever the
+    partitions were, and returns arrays by column name. The task's memory follows
+    from the sample's bound; if its executor is lost, it runs again elsewhere.
+    """
+
+    def work(batches):
+        held = list(batches)
+        plain = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("text", pa.string())])
+        whole = pa.Table.from_batches(held).cast(plain) if held else plain.empty_table()
+        whole = whole.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        batch = whole.to_batches()[0] if whole.num_rows else pa.RecordBatch.from_pylist([], schema=whole.schema)
+        data, offs = column(batch, "text")
+        found = fit(data, offs, batch.column(1).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], names=list(found))
+
+    rows = examples.filter(F.col("y").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.repartition(1).mapInArrow(work, schema).toPandas()
 
 
 class Leader:

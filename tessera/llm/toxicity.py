@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.linear import row_vectors
-from tessera.llm.quality import SAMPLE, fold, labelled
+from tessera.llm.linear import fit_in_task, row_vectors
+from tessera.llm.quality import fold, labelled
 from tessera.llm.words import ALNUM, blocks, column, hash_spans, mix, word_spans
 
 BITS = 20
+#: Labelled rows that training takes at most.
+SAMPLE = 6000
 GRADES = 3
 STEMS = (4, 5, 6, 7, 8)
 STEPS, STEP, L2 = 600, 0.3, 1e-4
@@ -57,18 +59,6 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row_vectors(f, np.concatenate(rows), len(offs) - 1, BITS)
 
 
-def _sparse(batches):
-    for batch in batches:
-        data, offs = column(batch, "text")
-        for a, b in blocks(offs):
-            row, feature, count = features(data, offs[a : b + 1])
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)))],
-                names=["doc_id", "y", "at", "n"],
-            )
-
-
 class Ordinal:
     """Shared weights and ordered thresholds; a document counts as toxic from P(grade > 0) = cut on."""
 
@@ -92,14 +82,14 @@ def screen(row: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (n > 0) & (bound > LEAST_SHARE)
 
 
-def train(examples: DataFrame) -> Ordinal:
-    """The model from a bounded number of rows (doc_id, text, y in 0 and 1); without rows it predicts grade 0."""
-    rows = examples.filter(F.col("y").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
-    seen = rows.mapInArrow(_sparse, "doc_id long, y int, at array<int>, n array<int>").toPandas().sort_values("doc_id", kind="stable")
-    if not len(seen):
-        return Ordinal(np.zeros(1 << BITS), np.array([10.0, 11.0, 12.0]))
-    y, size = seen["y"].to_numpy(), seen["at"].map(len).to_numpy()
-    row, at, n = np.repeat(np.arange(len(y)), size), np.concatenate(seen["at"].to_numpy()), np.concatenate(seen["n"].to_numpy())
+def _fit(data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    if not len(y):
+        return {"kind": np.zeros(GRADES, np.int64), "at": np.arange(GRADES), "value": 10.0 + np.arange(GRADES)}
+    parts = []
+    for a, b in blocks(offs):
+        r, f, c = features(data, offs[a : b + 1])
+        parts.append(((r + a).astype(np.int32), f.astype(np.int32), c.astype(np.int32)))
+    row, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     used = screen(row, at, y)[at]
     names, column_ = np.unique(at[used], return_inverse=True)
     row, x = row[used], np.log1p(n[used])
@@ -131,9 +121,18 @@ def train(examples: DataFrame) -> Ordinal:
         more = (1 / (1 + np.exp(-np.clip(dot[:, None] - theta, -40, 40)))).mean(axis=0) > above.mean(axis=0)
         low, high = np.where(more, theta, low), np.where(more, high, theta)
     theta = np.maximum.accumulate(theta)
-    full = np.zeros(1 << BITS)
-    full[names] = w
-    return Ordinal(full, theta, best_cut(1 / (1 + np.exp(-np.clip(dot - theta[0], -30, 30))), grade > 0))
+    cut = best_cut(1 / (1 + np.exp(-np.clip(dot - theta[0], -30, 30))), grade > 0)
+    kind = np.repeat([0, 1, 2], [GRADES, 1, len(names)])
+    return {"kind": kind, "at": np.concatenate([np.arange(GRADES), [0], names]), "value": np.concatenate([theta, [cut], w])}
+
+
+def train(examples: DataFrame) -> Ordinal:
+    """The model from a bounded number of rows (doc_id, text, y in 0 and 1); without rows it predicts grade 0."""
+    found = fit_in_task(examples, _fit, "kind long, at long, value double")
+    part = lambda k: found[found["kind"] == k]
+    w = np.zeros(1 << BITS)
+    w[part(2)["at"].to_numpy()] = part(2)["value"].to_numpy()
+    return Ordinal(w, part(0).sort_values("at")["value"].to_numpy(), float(part(1)["value"].max()) if len(part(1)) else 0.5)
 
 
 def best_cut(p: np.ndarray, true: np.ndarray) -> float:
