@@ -119,18 +119,18 @@ def mpc_remove(spark, sf_dir):
 
 
 _CURVE = """
-t AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS x0, avg(p_retailprice) AS y0 FROM part WHERE p_size % 4 = 1 GROUP BY ALL),
+t AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS x0, max(p_retailprice) AS y0 FROM part WHERE p_size % 4 = 1 GROUP BY ALL),
 i AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1, row_number() OVER w = 1 AS one FROM t WINDOW w AS (PARTITION BY p_brand ORDER BY x0)),
 q AS (SELECT p_brand, l_quantity + 0.5 AS x, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
 j AS (SELECT q.p_brand, q.x, n, CASE WHEN x1 IS NULL OR q.x <= x0 THEN y0 ELSE y0 + (y1 - y0) * (q.x - x0) / (x1 - x0) END AS y,
   CASE WHEN x1 IS NULL OR q.x < x0 THEN 0.0 ELSE (y1 - y0) / (x1 - x0) END AS d
-  FROM q JOIN i ON i.p_brand = q.p_brand AND ((one AND q.x < x0) OR q.x >= x0) AND (x1 IS NULL OR q.x < x1))
+  FROM q LEFT JOIN i ON i.p_brand = q.p_brand AND ((one AND q.x < x0) OR q.x >= x0) AND (x1 IS NULL OR q.x < x1))
 """
 
 
 def _curve(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    curve = part.filter("p_size % 4 = 1").groupBy("p_brand", F.col("p_size").cast("double").alias("x")).agg(F.avg("p_retailprice").alias("y"))
+    curve = part.filter("p_size % 4 = 1").groupBy("p_brand", F.col("p_size").cast("double").alias("x")).agg(F.max("p_retailprice").alias("y"))
     points = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).groupBy("p_brand", (F.col("l_quantity") + 0.5).alias("x")).agg(F.count("*").alias("n"))
     return lookup.interpolate(points, curve, ["p_brand"], "x", ["y"], slope=True)
 
