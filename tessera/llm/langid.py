@@ -167,7 +167,7 @@ def _label(shared):
                     share = np.where(total > 0, weight[np.arange(rows), best] / np.maximum(1, total), 0.0)
                     lang = [model.names[k] if t > 0 else "und" for k, t in zip(best, total, strict=True)]
                     cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (label[1:] != label[:-1])]) if len(row) else np.zeros(0, np.int64)
-                    last = np.r_[cut[1:], len(row)]
+                    last = np.r_[cut[1:], len(row)][: len(cut)]
                     for c, d in zip(cut.tolist(), last.tolist(), strict=True):
                         r = int(row[c])
                         spans[r].append({"start": c - int(first[r]), "end": d - int(first[r]), "lang": model.names[label[c]]})

@@ -83,8 +83,6 @@ def screen(row: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _fit(data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    if not len(y):
-        return {"kind": np.zeros(GRADES, np.int64), "at": np.arange(GRADES), "value": 10.0 + np.arange(GRADES)}
     parts = []
     for a, b in blocks(offs):
         r, f, c = features(data, offs[a : b + 1])
@@ -129,10 +127,12 @@ def _fit(data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> dict[str, np.ndar
 def train(examples: DataFrame) -> Ordinal:
     """The model from a bounded number of rows (doc_id, text, y in 0 and 1); without rows it predicts grade 0."""
     found = fit_in_task(examples, _fit, "kind long, at long, value double")
+    if not len(found):
+        return Ordinal(np.zeros(1 << BITS), 10.0 + np.arange(GRADES))
     part = lambda k: found[found["kind"] == k]
     w = np.zeros(1 << BITS)
     w[part(2)["at"].to_numpy()] = part(2)["value"].to_numpy()
-    return Ordinal(w, part(0).sort_values("at")["value"].to_numpy(), float(part(1)["value"].max()) if len(part(1)) else 0.5)
+    return Ordinal(w, part(0).sort_values("at")["value"].to_numpy(), float(part(1)["value"].max()))
 
 
 def best_cut(p: np.ndarray, true: np.ndarray) -> float:
