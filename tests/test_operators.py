@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hooks
 from tessera.functions.spectrum import real_spectrum
-from tessera.operators import constraints, lookup, results, sets, sparse, spatial, topology, upsert
+from tessera.operators import constraints, locate, lookup, results, sets, sparse, spatial, topology, upsert
 from tessera.plans import statics
 from tessera.sources import deck, files
 
@@ -165,3 +165,24 @@ def test_ks_is_near_the_maximum_and_guards_its_exponent(spark):
     assert results.ks_aggregate(df, ["g"], "v", 10.0, 50.0).first()["ks"] == pytest.approx(0.9, abs=1e-3)
     with pytest.raises(Exception, match="above 600"):
         results.ks_aggregate(df, ["g"], "v", 1.0, 100.0).collect()
+
+
+def test_clipping_of_triangles_and_recovery_of_a_plane(spark):
+    tri = [[0.0, 0.0], [2.0, 0.0], [0.0, 2.0]]
+    square = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]
+    df = spark.createDataFrame([(tri, square), (square, [[5.0, 5.0], [6.0, 5.0], [6.0, 6.0]])], "s array<array<double>>, c array<array<double>>")
+    got = [r[0] for r in df.select(locate.polygon_area(locate.clip_polygon("s", "c"))).collect()]
+    assert got == [pytest.approx(1.0), 0.0]
+    rng = np.random.default_rng(1)
+    rows = [(n, float(x), float(y), 2.0 + n + 3 * float(x) - float(y)) for n in (1, 2) for x, y in rng.random((9, 2))] + [(3, 0.0, 0.0, 5.0)]
+    fit = {r["node"]: r["value"] for r in locate.patch_recovery(spark.createDataFrame(rows, "node int, x double, y double, value double")).collect()}
+    assert fit == {1: pytest.approx(3.0), 2: pytest.approx(4.0), 3: pytest.approx(5.0)}
+
+
+def test_points_on_a_common_face_take_the_least_element(spark):
+    corners = lambda s: [(0.0, 0.0, 0.0, 0.0), (s, 0.0, 0.0, s), (0.0, 1.0, 0.0, 2.0), (0.0, 0.0, 1.0, 3.0)]
+    kind = "elem int, corners array<struct<x: double, y: double, z: double, value: double>>"
+    tets = spark.createDataFrame([(2, corners(1.0)), (1, corners(-1.0))], kind)
+    points = spark.createDataFrame([(1, 0.0, 0.25, 0.25), (2, 0.25, 0.25, 0.25), (3, 3.0, 3.0, 3.0)], "id int, x double, y double, z double")
+    got = {r["id"]: (r["elem"], r["value"]) for r in locate.locate(points, tets, 1.0).collect()}
+    assert got == {1: (1, 1.25), 2: (2, 1.5)}
