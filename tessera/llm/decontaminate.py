@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import ALNUM, blocks, column, words
+from tessera.llm.words import ALNUM, blocks, column, plain, words
 
 WINDOW = 10
 #: Bytes of benchmark text that one part holds; a single longer item is a part of its own.
@@ -177,6 +177,7 @@ def _parts(benchmark: DataFrame, part_bytes: int):
 
 def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs``, all its columns, plus __words (count), __starts and __ends (disjoint hit word ranges), __items (sorted ids) and __longest."""
+    docs = plain(docs)
     spark = docs.sparkSession
     kept = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __words bigint, __starts array<bigint>, __ends array<bigint>, __items array<string>, __longest bigint"
@@ -211,5 +212,5 @@ def report(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES)
 
 def clean(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, all columns."""
-    return hits(docs, benchmark, part_bytes).filter(F.size("__starts") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return hits(docs, benchmark, part_bytes).filter(F.size("__starts") == 0).select(*[F.col(f"`{c}`") for c in plain(docs).columns])
 

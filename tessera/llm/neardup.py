@@ -22,6 +22,7 @@ similarity asked for, which a true link misses with probability 3e-7.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,7 +157,7 @@ def _among(ids: DataFrame, bits: int = FILTER_BITS):
     @F.pandas_udf(T.BooleanType())
     def within(at):
         at = at.to_numpy(dtype=np.int64)
-        return __import__("pandas").Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
     return lambda doc_id: within(F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(bits)))
 

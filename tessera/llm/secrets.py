@@ -33,7 +33,7 @@ LEAST_VALUE, LEAST_ACCESS = 8, 16
 _KEYWORDS = ("passw", "secret", "token", "api")
 
 #: Layers have at most this size each, so that compressed data can't unfold without end; larger ones are not opened.
-LAYER_CHARS = 4 << 20
+LAYER_CHARS = 32 << 20
 
 URL_RUN = re.compile(r"(?:[A-Za-z0-9_.~+/=:&?-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9_.~+/=:&?-]*")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.linear import fit_in_task, row_vectors
 from tessera.llm.quality import fold, labelled
-from tessera.llm.words import ALNUM, blocks, column, hash_spans, mix, word_spans
+from tessera.llm.words import ALNUM, blocks, column, hash_spans, mix, plain, word_spans
 
 BITS = 20
 #: Labelled rows that training takes at most.
@@ -160,6 +160,7 @@ def _severity(shared):
 
 def severities(docs: DataFrame, model: Ordinal) -> DataFrame:
     """``docs``, all columns, plus __p (probability of any toxicity), __severity (expected, 0 to 3), __grade (0 below the cut, else 1 and 1 for each higher threshold that is more likely passed than not)."""
+    docs = plain(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __p double, __severity double, __grade int"
     return docs.mapInArrow(_severity(shared), schema)

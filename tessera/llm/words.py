@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK = 1 << 19
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -111,5 +113,10 @@ def grams(w: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` without columns whose names begin with two underscores: the operators' own are called so."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")])
+
+
 def list_column(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
