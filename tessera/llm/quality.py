@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.linear import Leader, bounded_sample, row_vectors, tokens
-from tessera.llm.words import blocks, column, mix
+from tessera.llm.linear import Leader, bounded_sample, fit_in_task, row_vectors, tokens
+from tessera.llm.words import blocks, column, mix, plain
 
 BITS = 18
 #: Labelled rows that training takes at most.
-SAMPLE = 8000
+SAMPLE = 6000
 #: Passes over the sample: PASSES, or as many as give UPDATES steps where the sample is small.
 PASSES, UPDATES = 3, 24_000
 _REPEAT = np.uint64(0x7265706561746564)
@@ -47,16 +47,23 @@ def vectors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, feature, value / norm[row]
 
 
-def _sparse(batches):
-    for batch in batches:
-        data, offs = column(batch, "text")
-        for a, b in blocks(offs):
-            row, feature, value = vectors(data, offs[a : b + 1])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.astype(np.float32)))],
-                names=["doc_id", "y", "at", "x"],
-            )
+def _fit(data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    examples = []
+    for a, b in blocks(offs):
+        row, feature, value = vectors(data, offs[a : b + 1])
+        ends = np.searchsorted(row, np.arange(b - a + 1))
+        feature, value = feature.astype(np.int32), value.astype(np.float32)
+        examples += [(np.append(feature[i:j], np.int32(1 << BITS)), np.append(value[i:j], np.float32(1))) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    model, order = Leader((1 << BITS) + 1, alpha=4.0, l1=0.01, l2=0.02), np.random.default_rng(6)
+    for _ in range(max(PASSES, -(-UPDATES // max(1, len(examples))))):
+        for i in order.permutation(len(examples)):
+            at, x = examples[i]
+            w = model.weights(at)
+            p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+            model.update(at, w, (p - y[i]) * x)
+    w = model.weights(slice(None))
+    at = np.flatnonzero(w)
+    return {"at": at, "w": w[at]}
 
 
 def train(examples: DataFrame) -> np.ndarray:
@@ -64,19 +71,10 @@ def train(examples: DataFrame) -> np.ndarray:
 
     Rows with a null label are left out. Without any row all weights are 0.
     """
-    rows = examples.filter(F.col("y").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
-    seen = rows.select("doc_id", "y", "text").mapInArrow(_sparse, "doc_id long, y int, at array<int>, x array<float>").toPandas()
-    seen = seen.sort_values("doc_id", kind="stable")  # one order, whatever the partitions
-    model = Leader((1 << BITS) + 1, alpha=4.0, l1=0.01, l2=0.02)
-    order = np.random.default_rng(6)
-    examples = [(np.append(a, 1 << BITS), np.append(x, 1.0), y) for a, x, y in zip(seen["at"], seen["x"], seen["y"], strict=True)]
-    for _ in range(max(PASSES, -(-UPDATES // max(1, len(examples))))):
-        for i in order.permutation(len(examples)):
-            at, x, y = examples[i]
-            w = model.weights(at)
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-            model.update(at, w, (p - y) * x)
-    return model.weights(slice(None))
+    found = fit_in_task(examples, _fit, "at long, w double")
+    w = np.zeros((1 << BITS) + 1)
+    w[found["at"].to_numpy()] = found["w"].to_numpy()
+    return w
 
 
 def _score(shared):
@@ -94,6 +92,7 @@ def _score(shared):
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs``, all columns, plus __score in 0 to 1; a null or empty text scores the bias alone."""
+    docs = plain(docs)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
     return docs.mapInArrow(_score(shared), schema)
