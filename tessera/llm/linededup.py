@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import plain
 from tessera.scratch import materialize
 
 WINDOW, DIVISOR, LEAST_LINES = 2, 4, 2
@@ -57,7 +58,8 @@ def _marked(rows: DataFrame, h: Column, bitmap: DataFrame) -> DataFrame:
 
 def _places(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, place, h and others of every chunk of LEAST_LINES lines or more."""
-    out = with_chunks(docs.select("doc_id", "text")).select("doc_id", F.posexplode("__chunks").alias("place", "c"))
+    # The outer form: a plain one adds a filter on the array's size, which would build the array again for it.
+    out = with_chunks(docs.select("doc_id", "text")).select("doc_id", F.posexplode_outer("__chunks").alias("place", "c"))
     return out.filter(F.col("c.n") >= LEAST_LINES).select("doc_id", "place", F.xxhash64("c.text").alias("h"), *more)
 
 
@@ -77,8 +79,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     A null text stays null, an empty one empty; a text of which nothing is left
     becomes empty, its row stays. Rows that repeat a doc_id and a text are one
     place and are treated alike. A null doc_id comes first. n_chars, where it is
-    there, is not touched.
+    there, is not touched. Columns that begin with two underscores are left out.
     """
+    docs = plain(docs)
     gone = materialize(repeats(docs), "repeats")
     by_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", "h")).alias("__gone")).withColumnRenamed("doc_id", "__id")
     bitmap = materialize(_bitmap(gone.select(F.xxhash64("doc_id").alias("h"))), "bitmap")
