@@ -1,11 +1 @@
-"""Operators of a training-data pipeline over text tables.
-
-Python workers get this package's functions by value, so a cluster needs no
-installed copy.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators of a training-data pipeline over text tables."""

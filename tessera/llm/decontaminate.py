@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import ALNUM, blocks, column, plain, words
+from tessera.llm.words import ALNUM, blocks, column, plain, share, shared, words
 
 WINDOW = 10
 #: Bytes of benchmark text that one part holds; a single longer item is a part of its own.
@@ -103,7 +103,7 @@ def _hits(part, n_columns: int):
     """Adds one part's findings to (starts, ends, items, longest)."""
 
     def work(batches):
-        windows: Windows = part.value
+        windows = shared(part)
         size = windows.padded.shape[1]
         for batch in batches:
             data, offs = column(batch, "text")
@@ -184,7 +184,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) ->
     empty = F.array().cast("array<bigint>")
     out = docs.select("*", F.lit(0).cast("long").alias("__words"), empty.alias("__starts"), empty.alias("__ends"), F.array().cast("array<string>").alias("__items"), F.lit(0).cast("long").alias("__longest"))
     for windows in _parts(benchmark, part_bytes):
-        out = out.mapInArrow(_hits(spark.sparkContext.broadcast(windows), len(kept)), schema)
+        out = out.mapInArrow(_hits(share(spark, windows), len(kept)), schema)
     return out
 
 

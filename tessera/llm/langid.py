@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.linear import bounded_sample
 from tessera.llm.quality import fold
-from tessera.llm.words import ALNUM, blocks, column, word_spans
+from tessera.llm.words import ALNUM, blocks, column, share, shared, word_spans
 
 SAMPLE, BITS, SWITCH = 6000, 16, 12.0
 #: Scripts by first byte of a UTF-8 sequence: 0 none (digits), 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew and Arabic, 5 Indic and South-East Asian, 6 Chinese, Japanese, Korean, 7 other.
@@ -148,9 +148,9 @@ def label_words(model: Languages, data: np.ndarray, offs: np.ndarray):
     return s, e, first, viterbi(score, first, SWITCH), lettered
 
 
-def _label(shared):
+def _label(held):
     def work(batches):
-        model: Languages = shared.value
+        model = shared(held)
         n = len(model.names)
         for batch in batches:
             data, offs = column(batch, "text")
@@ -193,9 +193,9 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
     und, with score 0, where text is null or has no letter. Without training rows
     every text is und.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = share(docs.sparkSession, model)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_label(shared), f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>")
+    return docs.select("doc_id", "text").mapInArrow(_label(held), f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>")
 
 
 def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.linear import fit_in_task, row_vectors
 from tessera.llm.quality import fold, labelled
-from tessera.llm.words import ALNUM, blocks, column, hash_spans, mix, plain, word_spans
+from tessera.llm.words import ALNUM, blocks, column, hash_spans, mix, plain, share, shared, word_spans
 
 BITS = 20
 #: Labelled rows that training takes at most.
@@ -65,9 +65,10 @@ class Ordinal:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray, cut: float = 0.5):
         self.weights, self.thresholds, self.cut = weights.astype(np.float32), thresholds, cut
 
-    def above(self, dot: np.ndarray) -> np.ndarray:
-        """P(grade > k) for each row and threshold."""
-        return 1 / (1 + np.exp(-np.clip(dot[:, None] - self.thresholds, -30, 30)))
+
+def above(thresholds: np.ndarray, dot: np.ndarray) -> np.ndarray:
+    """P(grade > k) for each row and threshold."""
+    return 1 / (1 + np.exp(-np.clip(dot[:, None] - thresholds, -30, 30)))
 
 
 def screen(row: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -144,15 +145,15 @@ def best_cut(p: np.ndarray, true: np.ndarray) -> float:
     return float((q[k] + q[k + 1]) / 2) if true.any() and k + 1 < len(q) else 0.5
 
 
-def _severity(shared):
+def _severity(held):
     def work(batches):
-        model: Ordinal = shared.value
+        model = shared(held)
         for batch in batches:
             data, offs = column(batch, "text")
             for a, b in blocks(offs):
                 row, feature, count = features(data, offs[a : b + 1])
                 dot = np.bincount(row, weights=model.weights[feature] * np.log1p(count), minlength=b - a)
-                p = model.above(dot)
+                p = above(model.thresholds, dot)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(batch.num_columns)), pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(np.where(p[:, 0] >= model.cut, 1 + (p[:, 1:] >= 0.5).sum(axis=1), 0).astype(np.int32))], names=[*batch.schema.names, "__p", "__severity", "__grade"])
 
     return work
@@ -161,9 +162,9 @@ def _severity(shared):
 def severities(docs: DataFrame, model: Ordinal) -> DataFrame:
     """``docs``, all columns, plus __p (probability of any toxicity), __severity (expected, 0 to 3), __grade (0 below the cut, else 1 and 1 for each higher threshold that is more likely passed than not)."""
     docs = plain(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = share(docs.sparkSession, model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __p double, __severity double, __grade int"
-    return docs.mapInArrow(_severity(shared), schema)
+    return docs.mapInArrow(_severity(held), schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

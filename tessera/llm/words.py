@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 19
@@ -118,5 +120,14 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")])
 
 
+def share(spark: SparkSession, held):
+    """A broadcast of an object's attributes: plain values, which workers read without this package. See ``shared``."""
+    return spark.sparkContext.broadcast(vars(held))
+
+
+def shared(broadcast) -> SimpleNamespace:
+    return SimpleNamespace(**broadcast.value)
+
+
 def list_column(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
