@@ -18,12 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bitmap import among, bitmap, marked
 from tessera.llm.words import plain
 from tessera.scratch import materialize
 
 WINDOW, DIVISOR, LEAST_LINES = 2, 4, 2
-#: Bits of a bitmap: 8 MB when full.
-BITMAP_BITS = 1 << 26
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
@@ -41,21 +40,6 @@ def with_chunks(docs: DataFrame) -> DataFrame:
     return spanned.withColumn("__chunks", F.when(F.size("__lines") > 0, texts)).drop("__lines", "__h", "__ends", "__spans")
 
 
-def _bitmap(hashes: DataFrame) -> DataFrame:
-    """bucket, map: one bit per value of ``h`` modulo BITMAP_BITS; at most BITMAP_BITS / 32768 rows of 4 kB."""
-    at = F.pmod(F.col("h"), F.lit(BITMAP_BITS)) + 1
-    return hashes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
-
-
-def _marked(rows: DataFrame, h: Column, bitmap: DataFrame) -> DataFrame:
-    """``rows`` plus __set: whether the bit of ``h`` is set."""
-    place = F.pmod(h, F.lit(BITMAP_BITS))
-    joined = rows.withColumn("__at", place).withColumn("__bucket", F.bitmap_bucket_number(F.col("__at") + 1)).join(F.broadcast(bitmap.toDF("__bucket", "__map")), "__bucket", "left")
-    byte = F.expr("cast(conv(hex(substring(__map, cast((__at % 32768) div 8 as int) + 1, 1)), 16, 10) as int)")
-    bit = F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0
-    return joined.withColumn("__set", F.coalesce(bit, F.lit(False))).drop("__at", "__bucket", "__map")
-
-
 def _places(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, place, h and others of every chunk of LEAST_LINES lines or more."""
     # The outer form: a plain one adds a filter on the array's size, which would build the array again for it.
@@ -67,9 +51,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, place, h of every chunk that stands, byte for byte, at an earlier place too."""
     spot = F.struct("doc_id", "place")
     again = _places(docs).groupBy("h").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi")))
-    bitmap = materialize(_bitmap(again.select("h")), "bitmap")
-    maybe = _marked(_places(docs, F.col("c.text").alias("chunk")), F.col("h"), bitmap).filter("__set").drop("__set")
+    maybe = among(_places(docs, F.col("c.text").alias("chunk")), F.col("h"), bitmap(again.select("h")))
     first = maybe.groupBy("h", "chunk").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    first = materialize(first, "first")  # so that the join below has a plain shuffle on both sides, which Spark splits where one chunk is hot
     return maybe.join(first, ["h", "chunk"]).filter(~F.col("first").eqNullSafe(spot)).select("doc_id", "place", "h").distinct()
 
 
@@ -84,10 +68,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     docs = plain(docs)
     gone = materialize(repeats(docs), "repeats")
     by_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", "h")).alias("__gone")).withColumnRenamed("doc_id", "__id")
-    bitmap = materialize(_bitmap(gone.select(F.xxhash64("doc_id").alias("h"))), "bitmap")
-    marked = _marked(docs, F.xxhash64("doc_id"), bitmap)
-    same = marked.filter(~F.col("__set")).drop("__set").withColumn("__removed", F.lit(0))
-    hit = marked.filter("__set").drop("__set").join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    split = marked(docs, F.xxhash64("doc_id"), bitmap(gone.select(F.xxhash64("doc_id").alias("h"))))
+    same = split.filter(~F.col("__set")).drop("__set").withColumn("__removed", F.lit(0))
+    hit = split.filter("__set").drop("__set").join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     chunks = with_chunks(hit)
     keep = F.filter("__chunks", lambda c, i: (c["n"] < LEAST_LINES) | ~F.coalesce(F.array_contains(F.col("__gone"), F.struct(i.alias("place"), F.xxhash64(c["text"]).alias("h"))), F.lit(False)))
     kept = chunks.withColumn("__kept", keep)

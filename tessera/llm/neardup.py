@@ -22,12 +22,11 @@ similarity asked for, which a true link misses with probability 3e-7.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tessera.llm.bitmap import among, bitmap
 from tessera.llm.components import components
 from tessera.llm.words import SPACED, blocks, column, grams, list_column, mix, words
 from tessera.scratch import materialize, release
@@ -35,8 +34,6 @@ from tessera.scratch import materialize, release
 WORDS, PERMS, FINE, ROWS, BITS = 5, 256, 2048, 5, 2
 BANDS = PERMS // ROWS
 SIGMAS = 5
-#: Bits of the filter over the ids whose texts are needed: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray):
@@ -144,28 +141,15 @@ def _overlap(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter), pa.array(union)], names=["a", "b", "inter", "union"])
 
 
-def _among(ids: DataFrame, bits: int = FILTER_BITS):
-    """A filter over doc_id that passes all of ``ids`` and few others, in ``bits`` bits."""
-    spark, span = ids.sparkSession, 32768
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
-    rows = ids.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
-    field = np.zeros(bits // 8, np.uint8)
-    for r in rows.collect():  # bits / 32768 rows of 4 kB at most
-        field[(r["bucket"] - 1) * span // 8 : r["bucket"] * span // 8] = np.frombuffer(r["map"], np.uint8)
-    shared = spark.sparkContext.broadcast(field)
-
-    @F.pandas_udf(T.BooleanType())
-    def within(at):
-        at = at.to_numpy(dtype=np.int64)
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    return lambda doc_id: within(F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(bits)))
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of about the documents that ``ids`` (id) names; the rest is not shuffled."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return among(plain, F.xxhash64("doc_id"), bitmap(ids.select(F.xxhash64("id").alias("h"))))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    keep = _among(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(keep(F.col("doc_id")))
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_overlap, "a long, b long, inter long, union long").filter(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b").distinct()
@@ -199,8 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = buckets.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     rest = materialize(named.join(split, "key"), "rest")
-    need = _among(rest.select(F.col("node").alias("id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(need(F.col("doc_id")))
+    texts = _texts(docs, rest.select(F.col("node").alias("id")))
     fine = texts.mapInArrow(_refine, "node long, fine array<long>")
     rest = rest.join(sigs, "node").join(fine, "node")
     p, q = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "sig", "fine", "bands"))) for side in ("p", "q"))
