@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.scratch import materialize
 
-#: Tables of up to this many rows are joined by range; longer ones by a sort of points and entries together.
+#: Tables of up to this many rows are broadcast; for longer ones points and entries are sorted together.
 SMALL_TABLE = 10_000
+#: A table is joined by range only if no group has more entries than this, since each point meets all of its group's.
+FEW = 64
 
 
 def intervals(table: DataFrame, by: list[str], x: str, ys: list[str]) -> DataFrame:
@@ -20,23 +24,27 @@ def intervals(table: DataFrame, by: list[str], x: str, ys: list[str]) -> DataFra
 
 
 def floor_position(points: DataFrame, x: str, table: DataFrame, key: str) -> DataFrame:
-    """``points`` plus position: how many table keys are not beyond x (0: none), keys taken in order.
+    """``points`` plus position: how many table keys are not beyond x (0: none or no x), keys taken in order.
 
-    One sort of both together; the window's carry is per range of x, so that no task
-    sees more than its share.
+    A small table's sorted keys go to the tasks for a binary search. Else one sort of
+    both together; the window's carry is per range of x, so that no task sees more
+    than its share.
     """
-    keys = table.select(F.col(key).alias("__k")).groupBy("__k").count()
-    bounds = keys.count()
-    if bounds <= SMALL_TABLE:
-        ranked = keys.select("__k", F.sum("count").over(W.orderBy("__k")).alias("__upto"), F.lead("__k").over(W.orderBy("__k")).alias("__next"))
-        hit = (F.col(x) >= F.col("__k")) & (F.col("__next").isNull() | (F.col(x) < F.col("__next")))
-        return points.join(F.broadcast(ranked), hit, "left").withColumn("position", F.coalesce("__upto", F.lit(0))).drop("__k", "__upto", "__next")
+    keys = table.select(F.col(key).alias("__k")).filter(F.col("__k").isNotNull()).groupBy("__k").count()
+    if table.count() <= SMALL_TABLE:
+        held = np.sort(np.repeat(*(np.array(c) for c in zip(*keys.collect(), strict=True)))) if not keys.isEmpty() else np.zeros(0)
+
+        @F.pandas_udf("long")
+        def position(v: pd.Series) -> pd.Series:
+            return pd.Series(np.where(v.isna(), 0, np.searchsorted(held, v.to_numpy(), "right")))
+
+        return points.withColumn("position", position(x))
     both = points.select(F.col(x).alias("__k")).distinct().withColumn("count", F.lit(0).cast("long")).unionByName(keys)
     merged = materialize(both.groupBy("__k").agg(F.sum("count").alias("count")).repartitionByRange("__k").withColumn("__p", F.spark_partition_id()), "ranges")
     before = merged.groupBy("__p").agg(F.sum("count").alias("n")).select("__p", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     within = merged.withColumn("__run", F.sum("count").over(W.partitionBy("__p").orderBy("__k")))
     upto = within.join(F.broadcast(before), "__p").select(F.col("__k").alias(x), (F.col("__run") + F.col("__base")).alias("position"))
-    return points.join(upto, x)
+    return points.join(upto, x, "left").withColumn("position", F.coalesce("position", F.lit(0)))
 
 
 def _lerp(x: Column, y: str) -> Column:
@@ -48,12 +56,23 @@ def interpolate(points: DataFrame, table: DataFrame, by: list[str], x: str, ys:
     """``points`` (by, x, ...) plus each y, linear between entries of ``table`` (by, x, ys) and constant beyond them.
 
     With ``slope`` also d_<y>, 0 beyond the ends. A table of one entry is constant.
-    The table is broadcast up to SMALL_TABLE entries.
+    A table of up to SMALL_TABLE entries, FEW of them in a group, is broadcast; for
+    any other, points and entries are sorted together per group.
     """
     t = intervals(table, by, x, ys)
-    t = F.broadcast(t) if t.count() <= SMALL_TABLE else t
-    t = t.withColumnsRenamed({b: f"__by_{b}" for b in by})
     at = F.col(x)
+    rows, most = t.groupBy(*by).count().agg(F.sum("count"), F.max("count")).first()
+    if (rows or 0) > SMALL_TABLE or (most or 0) > FEW:
+        fields = ["__x0", "__x1", *[f"__{y}{i}" for y in ys for i in (0, 1)]]
+        entries = t.withColumn(x, F.col("__x0")).withColumn("__e", F.struct(*fields))
+        first = t.filter("__first").select(*by, F.struct(*fields).alias("__begin"))
+        near = as_of(points, entries.select(*by, x, "__e"), by, x, ["__e"])
+        near = near.join(first, by, "left") if by else near.crossJoin(F.broadcast(first))
+        t = near.withColumn("__r", F.coalesce("__e_at", "__begin")).select(*points.columns, "__r.*")
+        beyond = F.col("__x1").isNull() | (at < F.col("__x0"))
+        slopes = [F.when(beyond, 0.0).otherwise((F.col(f"__{y}1") - F.col(f"__{y}0")) / (F.col("__x1") - F.col("__x0"))).alias(f"d_{y}") for y in ys if slope]
+        return t.select(*points.columns, *[_lerp(at, y).alias(y) for y in ys], *slopes)
+    t = F.broadcast(t.withColumnsRenamed({b: f"__by_{b}" for b in by}))
     hit = ((F.col("__first") & (at < F.col("__x0"))) | (at >= F.col("__x0"))) & (F.col("__x1").isNull() | (at < F.col("__x1")))
     for b in by:
         hit = (F.col(b) == F.col(f"__by_{b}")) & hit

@@ -36,7 +36,9 @@ def test_loads_accumulate_within_and_replace_across_steps(spark):
     assert {r["node"]: r["v"] for r in upsert.replace_then_accumulate(df, "step", ["node"], "v").collect()} == {7: 11.0, 8: 9.0}
 
 
-def test_interpolation_is_constant_beyond_the_ends(spark):
+@pytest.mark.parametrize("few", [64, 0])
+def test_interpolation_is_constant_beyond_the_ends(spark, few, monkeypatch):
+    monkeypatch.setattr(lookup, "FEW", few)
     t = spark.createDataFrame([("m", 1.0, 10.0), ("m", 3.0, 20.0), ("one", 5.0, 7.0)], "mat string, x double, y double")
     p = spark.createDataFrame([("m", 0.0), ("m", 1.0), ("m", 2.0), ("m", 3.0), ("m", 9.0), ("one", 1.0)], "mat string, x double")
     got = [(r["mat"], r["x"], r["y"], r["d_y"]) for r in lookup.interpolate(p, t, ["mat"], "x", ["y"], slope=True).orderBy("mat", "x").collect()]
@@ -46,10 +48,10 @@ def test_interpolation_is_constant_beyond_the_ends(spark):
 @pytest.mark.parametrize("small", [10_000, 0])
 def test_floor_position_equals_searchsorted(spark, small, monkeypatch):
     monkeypatch.setattr(lookup, "SMALL_TABLE", small)
-    keys, xs = [5, 1, 3, 3, 9], [0, 1, 2, 3, 4, 9, 10]
+    keys, xs = [5, 1, 3, 3, 9], [0, 1, 2, 3, 4, 9, 10, None]
     t, p = spark.createDataFrame([(k,) for k in keys], "k int"), spark.createDataFrame([(x,) for x in xs], "x int")
     got = {r["x"]: r["position"] for r in lookup.floor_position(p, "x", t, "k").collect()}
-    assert got == {x: int(np.searchsorted(sorted(keys), x, "right")) for x in xs}
+    assert got == {x: int(np.searchsorted(sorted(keys), x, "right")) if x is not None else 0 for x in xs}
 
 
 def test_two_bricks_have_ten_external_faces(spark):
