@@ -52,3 +52,17 @@ def elastic(pdf: pd.DataFrame) -> pd.DataFrame:
 
 register("elastic", elastic)
 register("ramp", lambda t, end: np.clip(t / np.where(end == 0, 1, end), 0, 1))
+
+
+def elements(name: str, rows: DataFrame) -> DataFrame:
+    """A user element: from batches of elements to rows (i, j, v) of the matrix, which ``sparse.assemble`` sums."""
+    return material(name, rows, "i long, j long, v double")
+
+
+def spring(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Two dofs (a, b) and a stiffness k."""
+    a, b, k = pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["k"].to_numpy()
+    return pd.DataFrame({"i": np.concatenate([a, a, b, b]), "j": np.concatenate([a, b, a, b]), "v": np.concatenate([k, -k, -k, k])})
+
+
+register("spring", spring)

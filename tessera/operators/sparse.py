@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.scratch import materialize, release
@@ -60,31 +61,35 @@ def lump(a: DataFrame) -> DataFrame:
 def conjugate_gradient(a: DataFrame, b: DataFrame, rounds: int = 200, tolerance: float = 1e-10) -> tuple[DataFrame, int, float]:
     """x of A x = b for a full symmetric positive matrix (i, j, v) and (i, b), scaled by its diagonal.
 
-    The vectors stay distributed; a round is one join with the matrix and two sums.
-    Only scalars come to the driver. Gives (i, x), the rounds and the residual's size
-    against b's.
+    The matrix is written once; the vectors stay distributed. A round is one join with
+    the matrix, written, and one aggregation: the new residual's size follows from the
+    old one's sums. Only scalars come to the driver. Gives (i, x), the rounds and the
+    residual's size against b's.
     """
-    diagonal = a.filter("i = j").groupBy("i").agg(F.sum("v").alias("d"))
-    state = materialize(
-        b.join(diagonal, "i", "left").select("i", F.lit(0.0).alias("x"), F.col("b").cast("double").alias("r"), F.coalesce("d", F.lit(1.0)).alias("d")).withColumn("p", F.col("r") / F.col("d")), "cg"
-    )
-    rz, size = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
-    now, n = size or 0.0, 0
-    while n < rounds and now > tolerance**2 * (size or 1.0):
+    a = materialize(assemble(a, symmetric=False), "matrix")
+    r, y, d = F.col("r"), F.col("y"), F.col("d")
+    diagonal = a.filter("i = j").select("i", F.col("v").alias("d"))
+    state = b.join(diagonal, "i", "left").select("i", F.lit(0.0).alias("x"), F.col("b").cast("double").alias("r"), F.coalesce("d", F.lit(1.0)).alias("d")).withColumn("p", r / d)
+    held, size, now, n = None, None, 0.0, 0
+    while True:
         ap = spmv(a, state.select(F.col("i").alias("j"), F.col("p").alias("x")))
-        with_ap = materialize(state.join(ap, "i", "left").withColumn("y", F.coalesce("y", F.lit(0.0))), "cg")
-        alpha = rz / with_ap.agg(F.sum(F.col("p") * F.col("y"))).first()[0]
-        moved = with_ap.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("y")).alias("r"), "d", "p")
-        rz_new, now = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
-        new = materialize(moved.withColumn("p", F.col("r") / F.col("d") + (rz_new / rz) * F.col("p")), "cg")
-        release(state)
-        release(with_ap)
-        state, rz, n = new, rz_new, n + 1
-    return state.select("i", "x"), n, (now / size) ** 0.5 if size else 0.0
+        full_ = materialize(state.join(ap, "i", "left").withColumn("y", F.coalesce("y", F.lit(0.0))), "cg")
+        release(held)
+        held = full_
+        sums = held.agg(*[F.coalesce(F.sum(e), F.lit(0.0)) for e in (F.col("p") * y, r * r / d, r * y / d, y * y / d, r * r)]).first()
+        py, rr, ry, yy, now = sums
+        size = now if size is None else size
+        if n >= rounds or not size or now <= tolerance**2 * size or not py:
+            return held.select("i", "x"), n, (now / size) ** 0.5 if size else 0.0
+        alpha = rr / py
+        beta = max(0.0, rr - 2 * alpha * ry + alpha * alpha * yy) / rr
+        moved = held.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (r - alpha * y).alias("r"), "d", "p")
+        state, n = moved.withColumn("p", r / d + beta * F.col("p")), n + 1
 
 
 def dominant_eigenpair(a: DataFrame, rounds: int = 60, tolerance: float = 1e-9) -> tuple[DataFrame, float]:
     """Largest eigenvalue in size, and its vector (i, x), by power iteration over a full matrix."""
+    a = materialize(a, "matrix")
     x = materialize(a.select("i").distinct().withColumn("x", F.lit(1.0)), "power")
     value = 0.0
     for _ in range(rounds):
@@ -97,3 +102,19 @@ def dominant_eigenpair(a: DataFrame, rounds: int = 60, tolerance: float = 1e-9)
         if abs(value - was) <= tolerance * abs(value):
             break
     return x, value
+
+
+def by_column(a: DataFrame) -> DataFrame:
+    """(j, pos, i, v): entries of each column in the order of their rows, pos from 1 on; partitions hold whole ranges of columns, sorted."""
+    order = W.partitionBy("j").orderBy("i")
+    return a.withColumn("pos", F.row_number().over(order).cast("long")).select("j", "pos", "i", "v")
+
+
+def smooth(values: DataFrame, lower: DataFrame, weight: float, tolerance: float = 1e-8) -> DataFrame:
+    """Implicit filter: (I + weight L) x = values (i, b) for a graph given by edges (i, j); conjugate gradients."""
+    both = lower.select("i", "j").unionByName(lower.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    degree = both.groupBy("i").agg(F.count("*").alias("n"))
+    off = both.select("i", "j", F.lit(-float(weight)).alias("v"))
+    on = values.select("i").join(degree, "i", "left").select("i", F.col("i").alias("j"), (1.0 + weight * F.coalesce("n", F.lit(0))).alias("v"))
+    x, _, _ = conjugate_gradient(off.unionByName(on), values, tolerance=tolerance)
+    return x

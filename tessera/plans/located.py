@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import locate
+from tessera.functions import hooks
+from tessera.operators import locate, sparse
 from tessera.plans.catalog import query
 from tessera.plans.relational import table
 
@@ -81,3 +82,31 @@ def energy_balance(spark, sf_dir):
     """Kinetic and internal energy by part of the model, and over all."""
     kinetic, internal = F.sum(F.col("l_quantity") * F.col("l_discount") * F.col("l_discount") * 0.5), F.sum(F.col("l_quantity") * F.col("l_tax"))
     return table(spark, sf_dir, "lineitem").rollup("l_linestatus").agg(F.round(kinetic, 5).alias("kinetic"), F.round(internal, 4).alias("internal"), F.round(kinetic + internal, 5).alias("total"))
+
+
+@query("""
+WITH e AS (SELECT l_suppkey AS a, l_suppkey + l_linenumber AS b, l_quantity AS k FROM lineitem),
+m AS (SELECT a AS i, a AS j, k AS v FROM e UNION ALL SELECT b, b, k FROM e UNION ALL SELECT b, a, -k FROM e UNION ALL SELECT b, a, -k FROM e)
+SELECT i, j, round(sum(v), 2) AS v FROM m GROUP BY ALL
+""")
+def user_elements(spark, sf_dir):
+    """Springs as user elements; as in a lower triangle, both off-diagonal contributions count."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("b"), F.col("l_quantity").alias("k"))
+    return sparse.assemble(hooks.elements("spring", e)).withColumn("v", F.round("v", 2))
+
+
+@query("""
+SELECT j, row_number() OVER (PARTITION BY j ORDER BY i) AS pos, i, v FROM (SELECT l_linenumber::BIGINT AS j, l_suppkey AS i, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY ALL)
+""")
+def column_sort(spark, sf_dir):
+    """Entries column by column."""
+    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("i"), F.col("l_linenumber").cast("long").alias("j")).agg(F.round(F.sum("l_quantity"), 2).alias("v"))
+    return sparse.by_column(a)
+
+
+@query()
+def implicit_filter(spark, sf_dir):
+    """Balances smoothed over the graph of suppliers with neighbouring keys."""
+    s = table(spark, sf_dir, "supplier")
+    edges = s.select((F.col("s_suppkey") + 1).alias("i"), F.col("s_suppkey").alias("j")).join(s.select(F.col("s_suppkey").alias("i")), "i", "left_semi")
+    return sparse.smooth(s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("b")), edges, 0.5, 1e-6).select("i", F.round("x", 3).alias("x"))

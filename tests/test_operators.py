@@ -11,6 +11,7 @@ from tessera.functions.spectrum import real_spectrum
 from tessera.operators import constraints, locate, lookup, results, sets, sparse, spatial, topology, upsert
 from tessera.plans import statics
 from tessera.sources import deck, files
+from tessera.streaming import replay
 
 
 def test_ranges_leave_out_an_off_stride_last_and_clip(spark):
@@ -188,3 +189,20 @@ def test_points_on_a_common_face_take_the_least_element(spark):
     points = spark.createDataFrame([(1, 0.0, 0.25, 0.25), (2, 0.25, 0.25, 0.25), (3, 3.0, 3.0, 3.0)], "id int, x double, y double, z double")
     got = {r["id"]: (r["elem"], r["value"]) for r in locate.locate(points, tets, 1.0).collect()}
     assert got == {1: (1, 1.25), 2: (2, 1.5)}
+
+
+def test_implicit_filter_against_dense(spark):
+    b = [1.0, -2.0, 5.0, 0.0]
+    lap = np.array([[1, -1, 0, 0], [-1, 2, -1, 0], [0, -1, 1, 0], [0, 0, 0, 0]], float)
+    edges = spark.createDataFrame([(1, 0), (2, 1)], "i long, j long")
+    x = sparse.smooth(spark.createDataFrame(list(enumerate(b)), "i long, b double"), edges, 3.0)
+    assert np.allclose([r["x"] for r in x.orderBy("i").collect()], np.linalg.solve(np.eye(4) + 3 * lap, b))
+
+
+def test_stream_windows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10.0, "a"), (5, 1.0, "a"), (62, 2.0, "b")], "s int, v double, k string").select(F.timestamp_seconds("s").alias("ts"), "v", "k")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    out = replay.windowed(stream, "ts", "1 minute", "10 minutes", ["k"], "v")
+    out.writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert {(r["k"], r["total"], r["n"]) for r in spark.table("windows").collect()} == {("a", 11.0, 2), ("b", 2.0, 1)}
