@@ -172,7 +172,7 @@ def _parts(benchmark: DataFrame, part_bytes: int):
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     for k in range(n):
         mine = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Windows([(r["item_id"], r["text"]) for r in mine.toLocalIterator()])
+        yield Windows([(r["item_id"], r["text"]) for r in mine.collect()])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
