@@ -1,0 +1,89 @@
+"""Repeated passages of whole lines (operator 5, beside the content-defined chunks), in DataFrame functions only.
+
+A chunk of ``linededup`` goes only where both its boundaries fall inside the
+repeated passage, so that short passages stay. Here every run of whole lines with
+more than WORDS words that stands at an earlier place too is taken out, whatever
+lies around it. It is enough to compare the shortest windows: from each line
+forward, and from each line back, as many lines as give more than WORDS words. A
+run of more than WORDS words is the union of such windows within it, and each of
+them repeats where the run does. Whether a window is a shortest one follows from
+its own lines, so equal texts are windows at all their places.
+
+Lines without a word are not compared, so that a window has WORDS + 1 lines at
+most; those between two lines of a window go with it. A line that goes stands at
+an earlier place that stays (the least doc_id, then text's hash, then line).
+
+Scale. As in ``linededup``: hashes are shuffled first, then the texts of windows
+whose hash repeats, for the comparison of their bytes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.bitmap import among, bitmap, marked
+from tessera.llm.words import plain
+from tessera.scratch import materialize
+
+WORDS = 50
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _windows(docs: DataFrame, texts: bool) -> DataFrame:
+    """doc_id, v (hash of the text), s, e (first and last line, from 0), h and, if asked for, chunk of every shortest window."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("v"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("l"))
+    worded = lines.withColumn("w", F.filter(F.transform("l", lambda x, i: F.struct(i.alias("at"), F.regexp_count(x, F.lit(WORD)).alias("n"), x.alias("t"))), lambda x: x["n"] > 0))
+    parts = worded.select("doc_id", "v", F.col("w.at").alias("at"), F.col("w.n").alias("n"), F.col("w.t").alias("t"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
+    # How many numbers of the array give more than WORDS; 0 where all of them don't.
+    taken = lambda some: F.aggregate(some, start, lambda a, n: F.when(a["n"] > WORDS, a).otherwise(F.struct((a["n"] + n).alias("n"), (a["k"] + 1).alias("k"))), lambda a: F.when(a["n"] > WORDS, a["k"]).otherwise(0))
+    # A window as one number, first * 64 + size, with 0 for none.
+    ahead = F.transform("n", lambda n, i: (lambda k: F.when(k > 0, i.cast("long") * 64 + k).otherwise(F.lit(0).cast("long")))(taken(F.slice("n", i + 1, WORDS + 1))))
+    back = F.transform("n", lambda n, i: (lambda k: F.when(k > 0, (i - k + 1).cast("long") * 64 + k).otherwise(F.lit(0).cast("long")))(taken(F.reverse(F.slice("n", F.greatest(i + 1 - WORDS, F.lit(1)), F.least(i + 1, F.lit(WORDS + 1)))))))
+    cut = parts.withColumn("c", F.filter(F.array_distinct(F.concat(ahead, back)), lambda c: c > 0))
+
+    def window(c):
+        first, size = F.shiftright(c, 6).cast("int"), c.bitwiseAND(63).cast("int")
+        text = F.array_join(F.slice("t", first + 1, size), "\n")
+        return F.struct(F.element_at("at", first + 1).alias("s"), F.element_at("at", first + size).alias("e"), F.xxhash64(text).alias("h"), *([text.alias("chunk")] if texts else []))
+
+    # The outer form: a plain one adds a filter on the array's size, which would build the array again for it.
+    out = cut.select("doc_id", "v", F.explode_outer(F.transform("c", window)).alias("x")).filter("x is not null")
+    return out.select("doc_id", "v", "x.*")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, v, s, e of every shortest window that stands, byte for byte, at an earlier place too."""
+    spot = F.struct("doc_id", "v", "s")
+    again = _windows(docs, False).groupBy("h").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi")))
+    maybe = among(_windows(docs, True), F.col("h"), bitmap(again.select("h")))
+    first = maybe.groupBy("h", "chunk").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    first = materialize(first, "first")  # so that the join below has a plain shuffle on both sides, which Spark splits where one text is hot
+    return maybe.join(first, ["h", "chunk"]).filter(~F.col("first").eqNullSafe(spot)).select("doc_id", "v", "s", "e").distinct()
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """``docs``, all its columns, without the lines of repeated passages in text, plus __removed: the number of lines taken out.
+
+    Nulls, repeated rows, n_chars and names with two underscores are treated as in
+    ``linededup.line_dedup``.
+    """
+    docs = plain(docs)
+    gone = materialize(repeats(docs), "repeats")
+    at = F.flatten(F.collect_set(F.sequence("s", "e")))
+    by_doc = gone.groupBy(F.col("doc_id").alias("__id"), F.col("v").alias("__v")).agg(at.alias("__gone"))
+    split = marked(docs, F.xxhash64("doc_id", F.xxhash64("text")), bitmap(gone.select(F.xxhash64("doc_id", "v").alias("h"))))
+    same = split.filter(~F.col("__set")).drop("__set").withColumn("__removed", F.lit(0))
+    hit = split.filter("__set").drop("__set").join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__v")), "left").drop("__id", "__v")
+    lines = hit.withColumn("__lines", F.split("text", "\n", -1))
+    kept = lines.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__gone", F.array().cast("array<int>"))))
+    text = F.array_join(F.transform("__kept", lambda i: F.element_at("__lines", i + 1)), "\n")
+    rebuilt = kept.withColumn("__removed", F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept"))).withColumn("text", F.when(F.col("text").isNotNull(), text))
+    return same.unionByName(rebuilt.select(*[F.col(f"`{c}`") for c in same.columns]))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_removed (lines), n_chars, text_sha256 after the removal, for every row of ``docs``."""
+    out = passage_dedup(docs.select("doc_id", "text"))
+    return out.select("doc_id", F.col("__removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -124,6 +124,12 @@ FROM mk GROUP BY doc_id
 """
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.passages import report
+
+    return report(_documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.langid import predictions
 
@@ -147,4 +153,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: globals()[f"{name.split('_')[0].upper()}_SQL"] for name in queries() if f"{name.split('_')[0].upper()}_SQL" in globals()}
+    return {name: globals()[f"{name.split('_')[0].upper()}_SQL"] for name in queries() if f"{name.split('_')[0].upper()}_SQL" in globals() and name != "op5_passage_dedup"}
