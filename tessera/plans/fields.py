@@ -327,7 +327,7 @@ def cg_solve(spark, sf_dir):
 @query()
 def power_iteration(spark, sf_dir):
     """The largest eigenvalue's vector of the same matrix."""
-    x, value = sparse.dominant_eigenpair(_laplacian(spark, sf_dir), rounds=12, tolerance=1e-6)
+    x, value = sparse.dominant_eigenpair(_laplacian(spark, sf_dir))
     return x.select("i", F.round(F.abs("x"), 4).alias("x"), F.lit(round(value, 3)).alias("value"))
 
 

@@ -206,3 +206,36 @@ def test_stream_windows(spark, tmp_path):
     out = replay.windowed(stream, "ts", "1 minute", "10 minutes", ["k"], "v")
     out.writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert {(r["k"], r["total"], r["n"]) for r in spark.table("windows").collect()} == {("a", 11.0, 2), ("b", 2.0, 1)}
+
+
+def test_dominant_eigenpair_of_a_graph_is_not_the_smallest_one(spark):
+    """Rows of L + I sum to 1, so that the vector of ones belongs to its smallest eigenvalue."""
+    rng = np.random.default_rng(8)
+    near = np.triu(rng.random((60, 60)) < 0.3, 1)
+    near = near | near.T
+    a = np.diag(near.sum(1) + 1.0) - near
+    rows = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "i long, j long, v double")
+    x, value = sparse.dominant_eigenpair(rows)
+    v = np.array([r["x"] for r in x.orderBy("i").collect()])
+    assert value == pytest.approx(np.linalg.eigvalsh(a)[-1], rel=1e-9) and np.linalg.norm(a @ v - value * v) <= 2e-9 * value
+    with pytest.raises(ValueError, match="after 2 rounds"):
+        sparse.dominant_eigenpair(rows, rounds=2)
+
+
+def test_conjugate_gradient_that_has_not_converged_is_an_error(spark):
+    a = spark.createDataFrame([(i, i, 2.0) for i in range(30)] + [(i, i + d, -1.0) for i in range(30) for d in (-1, 1) if 0 <= i + d < 30], "i long, j long, v double")
+    b = spark.createDataFrame([(i, float(i == 0)) for i in range(30)], "i long, b double")
+    with pytest.raises(ValueError, match="after 3 rounds"):
+        sparse.conjugate_gradient(a, b, rounds=3)
+
+
+def test_registered_power_iteration_finds_the_largest_eigenvalue(spark):
+    from tessera.plans import catalog, fields
+
+    sf = "/root/testdata/sf0.001"
+    entries = fields._laplacian(spark, sf).collect()
+    keys = sorted({r["i"] for r in entries})
+    a = np.zeros((len(keys), len(keys)))
+    for r in entries:
+        a[keys.index(r["i"]), keys.index(r["j"])] += r["v"]
+    assert catalog.queries()["power_iteration"](spark, sf).first()["value"] == pytest.approx(np.linalg.eigvalsh(a)[-1], abs=1e-3)
