@@ -106,21 +106,22 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     start, size = first[:-1][order], length[order]
     longest = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(longest), "left")  # texts longer than t
-    came = np.zeros(score.shape, np.int8)
-    label = np.zeros(len(score), np.int8)
+    kind = np.int8 if score.shape[1] < 128 else np.int32
+    came = np.zeros(score.shape, kind)
+    label = np.zeros(len(score), kind)
     state = np.zeros((len(size), score.shape[1]), np.float32)
-    stay = np.arange(score.shape[1], dtype=np.int8)
+    stay = np.arange(score.shape[1], dtype=kind)
     for t in range(longest):
         at = start[: live[t]] + t
         if t:
             v = state[: live[t]]
-            best = v.argmax(axis=1).astype(np.int8)
+            best = v.argmax(axis=1).astype(kind)
             top = v[np.arange(len(v)), best] - penalty
             jump = top[:, None] > v
             came[at] = np.where(jump, best[:, None], stay)
             np.maximum(v, top[:, None], out=v)
         state[: live[t]] += score[at]
-    now = state.argmax(axis=1).astype(np.int8)
+    now = state.argmax(axis=1).astype(kind)
     for t in range(longest - 1, -1, -1):
         at = start[: live[t]] + t
         mine = now[: live[t]]
@@ -161,7 +162,7 @@ def _label(held):
                     s, e, first, label, lettered = label_words(model, data, offs[a : b + 1])
                     row = np.repeat(np.arange(rows), np.diff(first))
                     size = np.where(lettered, e - s, 0)
-                    weight = np.bincount(row * n + label, weights=size, minlength=rows * n).reshape(rows, n)
+                    weight = np.bincount(row * n + label.astype(np.int64), weights=size, minlength=rows * n).reshape(rows, n)
                     best = weight.argmax(axis=1)
                     total = weight.sum(axis=1)
                     share = np.where(total > 0, weight[np.arange(rows), best] / np.maximum(1, total), 0.0)

@@ -233,6 +233,22 @@ def test_viterbi_against_a_loop():
             assert value(got[a:b].tolist()) == pytest.approx(max(s for s, _ in best.values()), abs=1e-4)
 
 
+def test_viterbi_with_many_labels():
+    import numpy as np
+
+    score = np.zeros((20, 200), np.float32)
+    score[:10, 199] = score[10:, 150] = 9
+    assert langid.viterbi(score, np.array([0, 20]), 3.0).tolist() == [199] * 10 + [150] * 10
+
+
+def test_two_hundred_languages(spark):
+    name = lambda k: f"l{k:03d}"
+    rows = [(k, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{c}{chr(97 + k % 26)}" for c in "abcdefgh"), name(k)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], [x["lang"] for x in r["spans"]]) for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert got == {k: (name(k), [name(k)]) for k in range(200)}
+
+
 def test_language_held_out_and_odd_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = langid.predictions(docs).join(docs.select("doc_id", "lang"), "doc_id")
