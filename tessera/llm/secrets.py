@@ -1,10 +1,13 @@
 r"""Secret scans with a recursive decoding worklist (operator 9).
 
-A text is the first layer. Each layer is scanned for secrets; then every run in it
-that decodes (URL escapes, Unicode escapes, base64, and gzip or zlib data within
-base64 or hex) becomes a new layer, until no layer is new: layers are known by
-their digest, so that cycles end. A layer keeps, for each of its characters, the
-range of the original text it came from, so that what is found in it maps back.
+A text is the first layer. Each layer is scanned for secrets; then what decodes in
+it becomes a new layer, until no layer is new: the layer with its URL or Unicode
+escapes decoded and all else kept; runs of base64 (from each of four places, as a
+run may be glued to other characters; wrapped lines joined) and of hex; and gzip or
+zlib data that begins anywhere in what these decode to. Layers are known by their
+digest, so that cycles end. A layer keeps, for each of its characters, the range of
+the original text it came from, so that what is found in it maps back. Bytes that
+are not UTF-8 are taken one by one, so that they hide nothing beside them.
 
 Regular expressions run only over texts that hold a keyword, a marker or a long
 enough run, which plain byte searches tell; no pattern loses a match by that.
@@ -13,7 +16,6 @@ enough run, which plain byte searches tell; no pattern loses a match by that.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -32,13 +34,20 @@ KINDS = ("assign", "access", "hex")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 _KEYWORDS = ("passw", "secret", "token", "api")
 
-#: Layers have at most this size each, so that compressed data can't unfold without end; larger ones are not opened.
-LAYER_CHARS = 32 << 20
+#: Unpacked data is scanned in pieces of this size, which overlap.
+LAYER_CHARS, OVERLAP = 32 << 20, 1 << 20
 
-URL_RUN = re.compile(r"(?:[A-Za-z0-9_.~+/=:&?-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9_.~+/=:&?-]*")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-HEX_RUN = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
+URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+UNICODE_ESCAPE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+# A secret has 14 characters at least (token= and 8 more), which are 19 of base64.
+LEAST_SECRET = 14
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{4,}+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]++={0,2}")
+BLANK = re.compile(r"[ \t\r\n]+")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{28,}")
+#: Anything that can be found or opened in bytes has so many plain characters in a row.
+PLAIN = re.compile(rb"[\t\n\r -~]{%d}" % LEAST_SECRET)
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -53,94 +62,137 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _text(data: bytes) -> str | None:
-    """Decoded bytes, where they are text: UTF-8 and without control characters."""
+def _text(data: bytes) -> str:
+    """UTF-8, or a character for each byte where it is not."""
     try:
-        out = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return out if out and all(c >= " " or c in "\t\n\r" for c in out) else None
+        return data.decode("latin-1")
 
 
-def _unpacked(data: bytes) -> str | None:
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
+def _unpacked(data: bytes, seen: set[bytes]):
+    """What gzip or zlib data that begins anywhere in ``data`` unfolds to, in overlapping pieces: all members, of broken data what comes before the fault."""
+    at = 0
+    while (m := PACKED.search(data, at)) is not None:
+        at = now = m.start()
+        mark = hashlib.blake2b(memoryview(data)[at:], digest_size=16).digest()
+        at += 1
+        if mark in seen:
+            continue
+        seen.add(mark)
+        opener, tail, piece = zlib.decompressobj(47), b"", bytearray()
         try:
-            opener = zlib.decompressobj(47)
-            out = opener.decompress(data, LAYER_CHARS)
-            return _text(out) if not opener.unconsumed_tail else None
+            while now < len(data) and not opener.eof:
+                # In small steps, so that a fault loses little of what came before it.
+                some = data[now : now + (1 << 10)]
+                piece += opener.decompress(some, LAYER_CHARS - OVERLAP)
+                now += len(some) - len(opener.unconsumed_tail) - len(opener.unused_data)
+                if len(piece) >= LAYER_CHARS - OVERLAP:
+                    yield tail + piece
+                    tail, piece = bytes(piece[-OVERLAP:]), bytearray()
         except zlib.error:
-            return None
-    return None
+            pass
+        if opener.eof:
+            at = now  # what follows is searched for the next member
+        if piece:
+            yield tail + piece
+
+
+def _opened(data: bytes, seen: set[bytes]):
+    """The pieces of ``_unpacked``, and what is packed in them in turn."""
+    for piece in _unpacked(data, seen):
+        yield piece
+        yield from _opened(bytes(piece), seen)
+
+
+def _of_bytes(data: bytes, spot):
+    """(decoded text, place) of decoded bytes, as they are and unpacked; spot: the range of each byte in the run."""
+    if PLAIN.search(data):
+        out = _text(data)
+        place, at = [], 0
+        wide = len(out) != len(data)
+        for c in out:
+            n = len(c.encode()) if wide else 1
+            place.append((spot(at)[0], spot(at + n - 1)[1]))
+            at += n
+        yield out, place
+    for piece in _opened(data, set()):
+        if PLAIN.search(piece):
+            yield _text(bytes(piece)), None
+
+
+def _base64(layer: str, start: int, end: int):
+    """(start, end, decoded text, place) of a run of base64, perhaps over several lines, from each of four places."""
+    at, run = range(end - start), layer[start:end]
+    if "\n" in run:
+        at = [i for i in at if run[i] not in " \t\r\n"]
+        run = BLANK.sub("", run)
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        part = run[skip:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        if len(part) < 19:
+            continue
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        for out, place in _of_bytes(data, lambda k: (at[skip + k * 8 // 6], at[min(len(run), skip - (-(k + 1) * 8 // 6)) - 1] + 1)):  # noqa: B023
+            yield start, end, out, place
 
 
 def _layers(text: str):
-    """(start, end, decoded text, place) of every run of ``text`` that decodes; place: for each decoded character its (start, end) in the run, or None if the run stands for all."""
-    if "%" in text:
-        for m in URL_RUN.finditer(text):
-            yield m.start(), m.end(), *_unquoted(m[0])
-    if "\\" in text:
-        for m in UNICODE_RUN.finditer(text):
-            units = [(int(x[1][1:], 16), x.start(), x.end()) for x in re.finditer(r"\\(u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})", m[0])]
-            out, place, k = [], [], 0
-            while k < len(units):
-                code, s, e = units[k]
-                if 0xD800 <= code < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1][0] < 0xE000:
-                    code, e, k = 0x10000 + ((code - 0xD800) << 10) + units[k + 1][0] - 0xDC00, units[k + 1][2], k + 1
-                out.append(chr(code) if not 0xD800 <= code < 0xE000 else "�")
-                place.append((s, e))
-                k += 1
-            yield m.start(), m.end(), "".join(out), place
+    """(start, end, decoded text, place) of all that decodes in ``text``; place: for each decoded character its (start, end) in the run, or None if the run stands for all."""
+    if "%" in text and URL_ESCAPE.search(text):
+        yield 0, len(text), *_unescaped(text, URL_ESCAPE, _url)
+    if "\\" in text and UNICODE_ESCAPE.search(text):
+        yield 0, len(text), *_unescaped(text, UNICODE_ESCAPE, _unicode)
+    wrapped = [m.span() for m in BASE64_LINES.finditer(text) if m.end() - m.start() > 19] if "\n" in text else []
+    for s, e in wrapped:
+        yield from _base64(text, s, e)
+    k = 0
     for m in BASE64_RUN.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1 or not (_mixed(run)):
-            continue
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        out = _unpacked(data)
-        if out is not None:
-            yield m.start(), m.end(), out, None
-        elif (out := _text(data)) is not None:
-            place, at = [], 0
-            for c in out:
-                n = len(c.encode())
-                place.append((at * 8 // 6, min(len(m[0]), -(-(at + n) * 8 // 6))))
-                at += n
-            yield m.start(), m.end(), out, place
-    if len(text) >= 48:
-        for m in HEX_RUN.finditer(text):
-            if m[0][:4].lower() == "1f8b" or m[0][:2] == "78":
-                out = _unpacked(bytes.fromhex(m[0]))
-                if out is not None:
-                    yield m.start(), m.end(), out, None
-
-
-def _mixed(run: str) -> bool:
-    """Whether a run may be base64 of text or packed data: not a plain word, which lacks capitals or digits inside."""
-    inner = run[1:]
-    return not (inner.islower() or inner.isupper() and inner.isalpha() or inner.isdigit())
-
-
-def _unquoted(run: str) -> tuple[str, list[tuple[int, int]]]:
-    out, place, i = [], [], 0
-    while i < len(run):
-        if run[i] == "%":
-            j, data = i, bytearray()
-            while j + 2 < len(run) + 0 and run[j] == "%":
-                data.append(int(run[j + 1 : j + 3], 16))
-                j += 3
-            at = i
-            for c in data.decode("utf-8", "replace"):
-                n = len(c.encode()) if c != "�" else 1
-                out.append(c)
-                place.append((min(at, j - 3), min(at + 3 * n, j)))
-                at += 3 * n
-            i = j
-        else:
-            out.append(run[i])
-            place.append((i, i + 1))
-            i += 1
+        while k < len(wrapped) and wrapped[k][1] < m.end():
+            k += 1
+        if k == len(wrapped) or m.start() < wrapped[k][0]:
+            yield from _base64(text, m.start(), m.end())
+    for m in HEX_RUN.finditer(text):
+        for skip in range(2):
+            digits = m[0][skip:]
+            digits = digits[: len(digits) & ~1]
+            for out, place in _of_bytes(bytes.fromhex(digits), lambda i: (skip + 2 * i, skip + 2 * i + 2)):  # noqa: B023
+                yield m.start(), m.end(), out, place
+
+
+def _url(m: re.Match):
+    at = m.start()
+    data = bytes.fromhex(m[0].replace("%", ""))
+    out = _text(data)
+    wide = len(out) != len(data)
+    for c in out:
+        n = len(c.encode()) if wide else 1
+        yield c, (at, at + 3 * n)
+        at += 3 * n
+
+
+def _unicode(m: re.Match):
+    if m[1]:
+        c = chr(0x10000 + ((int(m[1], 16) - 0xD800) << 10) + int(m[2], 16) - 0xDC00)
+    else:
+        code = int(m[3] or m[4], 16)
+        c = chr(code) if not 0xD800 <= code < 0xE000 else "�"
+    yield c, m.span()
+
+
+def _unescaped(text: str, escape: re.Pattern, decoded) -> tuple[str, list[tuple[int, int]]]:
+    """The whole text with its escapes decoded."""
+    out, place, at = [], [], 0
+    for m in escape.finditer(text):
+        out.append(text[at : m.start()])
+        place += ((i, i + 1) for i in range(at, m.start()))
+        for c, span in decoded(m):
+            out.append(c)
+            place.append(span)
+        at = m.end()
+    out.append(text[at:])
+    place += ((i, i + 1) for i in range(at, len(text)))
     return "".join(out), place
 
 
@@ -148,27 +200,32 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     """Base spans, all spans (both by start, then kind as listed, then end), and the number of layers beyond the first."""
     base = base_spans(text)
     everything = set(base)
-    seen, n = {hashlib.blake2b(text.encode(), digest_size=16).digest()}, 0
-    work: list[tuple[str, list[tuple[int, int]] | None, int, int]] = [(text, None, 0, len(text))]
+    seen, n = {hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()}, 0
+    # Open layers, the innermost last; each gives its next one when it is asked, so that big ones are not held together.
+    work: list[tuple] = [(_layers(text), text, None, 0, len(text))]
     while work:
-        layer, places, lo, hi = work.pop()
-        for s, e, out, inner in _layers(layer):
-            if places is None and layer is text:
-                a, b = s, e
-                mapped = [(s + x, s + y) for x, y in inner] if inner is not None else None
-            elif places is None:
-                a, b, mapped = lo, hi, None
-            else:
-                a, b = places[s][0], places[e - 1][1]
-                mapped = [(places[s + x][0], places[s + y - 1][1]) for x, y in inner] if inner is not None else None
-            mark = hashlib.blake2b(out.encode("utf-8", "replace") + f"@{a}:{b}".encode(), digest_size=16).digest()
-            if mark in seen or out == layer[s:e] or len(out) > LAYER_CHARS:
-                continue
-            seen.add(mark)
-            n += 1
-            for kind, x, y in base_spans(out):
-                everything.add((kind, mapped[x][0], mapped[y - 1][1]) if mapped else (kind, a, b))
-            work.append((out, mapped, a, b))
+        inside, layer, places, lo, hi = work[-1]
+        found = next(inside, None)
+        if found is None:
+            work.pop()
+            continue
+        s, e, out, inner = found
+        if len(work) == 1:
+            a, b = s, e
+            mapped = [(s + x, s + y) for x, y in inner] if inner is not None else None
+        elif places is None:
+            a, b, mapped = lo, hi, None
+        else:
+            a, b = places[s][0], places[e - 1][1]
+            mapped = [(places[s + x][0], places[s + y - 1][1]) for x, y in inner] if inner is not None else None
+        mark = hashlib.blake2b(out.encode("utf-8", "replace") + f"@{a}:{b}".encode(), digest_size=16).digest()
+        if mark in seen or out == layer[s:e]:
+            continue
+        seen.add(mark)
+        n += 1
+        for kind, x, y in base_spans(out):
+            everything.add((kind, mapped[x][0], mapped[y - 1][1]) if mapped else (kind, a, b))
+        work.append((_layers(out), out, mapped, a, b))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(everything, key=order), n
 

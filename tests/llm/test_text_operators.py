@@ -193,6 +193,42 @@ def test_secrets_in_layers(inner):
     assert all(7 <= s < e <= 7 + len(inner) for _, s, e in hits)
 
 
+NOISE = bytes(range(128, 256)) + b"\x00\x01"
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "password\\u003dabcdef123456",
+        "pass\\u0077ord=abcdef123456",
+        'password%3D"abcdef123456"',
+        b64("token=abcdefgh"),
+        *(glue + b64("here: " + SECRET) for glue in ("x", "xy", "xyz", "key_", "ab/")),
+        "key_" + b64(gzip.compress(SECRET.encode())),
+        base64.encodebytes(b"long text before it " * 5 + SECRET.encode() + b" and more of it after" * 5).decode().strip(),
+        b64("\x01 " + SECRET),
+        b64(NOISE + SECRET.encode() + NOISE),
+        b64(gzip.compress(b"first member") + gzip.compress(SECRET.encode())),
+        b64(gzip.compress(gzip.compress(SECRET.encode()))),
+        b64(gzip.compress(NOISE + SECRET.encode())),
+        zlib.compress(b"token=abcdefgh").hex(),
+    ],
+)
+def test_secrets_in_odd_layers(inner):
+    base, spans, layers = secrets.scan(f"before {inner} after")
+    hits = [s for s in spans if s[0] == "assign"]
+    assert layers >= 1 and not any(s[0] == "assign" for s in base) and hits
+    assert all(7 <= s < e <= 7 + len(inner) for _, s, e in hits)
+
+
+def test_secrets_in_big_packed_data(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_CHARS", 4000)
+    monkeypatch.setattr(secrets, "OVERLAP", 1000)
+    for before in range(2900, 3100, 7):
+        packed = b64(gzip.compress(b"." * before + SECRET.encode() + b"." * 9000))
+        assert any(s[0] == "assign" for s in secrets.scan(packed)[1])
+
+
 def brute_base(text):
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     found = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
