@@ -7,7 +7,8 @@ documents are sampled: in expectation the sampled tokens have all target
 marginals.
 
 Topics, which the documents don't carry, are the nearest of TOPICS centroids over
-hashed word counts; the centroids are fitted on a bounded sample.
+hashed word counts; the centroids are fitted on all documents, by rounds of sums per
+centroid, in whole numbers so that their order does not matter.
 """
 
 from __future__ import annotations
@@ -17,14 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.linear import bounded_sample
 from tessera.llm.words import ALNUM, blocks, column, plain, words
 from tessera.scratch import materialize, release
 
-TOPICS, SKETCH_BITS, SAMPLE = 8, 8, 4000
+TOPICS, SKETCH_BITS, TOPIC_ROUNDS = 8, 8, 15
 ROUNDS, TOLERANCE = 60, 1e-9
-#: A cell is weighted up or down by this factor at most; a topic needs this share of the sample.
-LIMIT, LEAST_TOPIC = 4.0, 0.04
+#: Rounds in memory, where one costs next to nothing.
+MEMORY_ROUNDS = 20_000
 #: Up to this many cells the fitting is done in memory, beyond it by Spark; the result is the same.
 CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
@@ -49,24 +49,47 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel().astype(np.float32)), v.shape[1]).cast(pa.list_(pa.float32()))], names=["doc_id", "v"])
 
 
-def fit_topics(docs: DataFrame, k: int = TOPICS, sample: int = SAMPLE) -> np.ndarray:
-    """Centroids of at most about ``sample`` texts, by spherical k-means with a fixed seed; one zero centroid without texts."""
-    few = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample, "doc_id")
-    seen = few.mapInArrow(_sketch, "doc_id long, v array<float>").toPandas().sort_values("doc_id", kind="stable")
-    if not len(seen):
+def _sums(shared):
+    """Of the rows' sketches: (topic, at, s), the sums over the nearest centroid in units of 2^-20."""
+
+    def work(batches):
+        c = shared.value
+        total = np.zeros(c.shape, np.int64)
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy().reshape(-1, c.shape[1])
+            near = (v @ c.T).argmax(axis=1)
+            whole = np.rint(v.astype(np.float64) * (1 << 20)).astype(np.int64)
+            for k in range(len(c)):
+                total[k] += whole[near == k].sum(axis=0)
+        topic, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(at), pa.array(total[topic, at])], names=["topic", "at", "s"])
+
+    return work
+
+
+def fit_topics(docs: DataFrame, k: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
+    """Centroids of all texts, by spherical k-means from k different texts with the least hashes; one zero centroid without texts."""
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seen = materialize(texts.mapInArrow(_sketch, "doc_id long, v array<float>"), "sketches")
+    worded = seen.filter(F.exists("v", lambda x: x > 0))
+    first = worded.select(F.xxhash64("doc_id").alias("h"), "v").distinct().orderBy("h", "v").limit(8 * k).collect()
+    start = list(dict.fromkeys(tuple(r["v"]) for r in first))[:k]
+    if not start:
+        release(seen)
         return np.zeros((1, 1 << SKETCH_BITS), np.float32)
-    x = np.stack(seen["v"].to_numpy()).astype(np.float64)
-    rng = np.random.default_rng(1)
-    c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    for _ in range(15):
-        near = (x @ c.T).argmax(axis=1)
-        for j in range(len(c)):
-            if (near == j).any():
-                c[j] = x[near == j].mean(axis=0)
-        c /= np.maximum(1e-12, np.linalg.norm(c, axis=1, keepdims=True))
-    size = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c)) / len(x)
-    c = c[(size >= LEAST_TOPIC) | (size == size.max())]
-    return c.astype(np.float32)
+    c = np.array(start, np.float32)
+    for _ in range(rounds):
+        held = docs.sparkSession.sparkContext.broadcast(c)
+        total, now = np.zeros(c.shape), c
+        for r in seen.select("v").mapInArrow(_sums(held), "topic long, at long, s long").groupBy("topic", "at").agg(F.sum("s").alias("s")).collect():
+            total[r["topic"], r["at"]] = r["s"]
+        held.destroy()
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(size > 0, total / np.maximum(1e-12, size), c).astype(np.float32)
+        if np.array_equal(c, now):
+            break
+    release(seen)
+    return c
 
 
 def _assign(shared):
@@ -97,8 +120,8 @@ def tempered(shares: dict[str, float], power: float = 0.7) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake_memory(cells: dict[tuple, float], targets: list[dict[str, float]]) -> dict[tuple, float]:
-    """Factor of each cell, so that factor * tokens has the target shares on each dimension, as far as LIMIT lets it."""
+def rake_memory(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int = MEMORY_ROUNDS) -> dict[tuple, float]:
+    """Factor of each cell, so that factor * tokens has the target shares on each dimension, wherever the cells that there are allow it."""
     keys = sorted(cells)
     tokens = np.array([float(cells[k]) for k in keys])
     total, factor = tokens.sum(), np.ones(len(keys))
@@ -106,13 +129,13 @@ def rake_memory(cells: dict[tuple, float], targets: list[dict[str, float]]) -> d
     for d, target in enumerate(targets):
         names = sorted({k[d] for k in keys})
         index.append((np.array([names.index(k[d]) for k in keys], np.int64), np.array([target.get(n, 0.0) for n in names])))
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         moved = 0.0
         for at, share in index:
             now = np.bincount(at, weights=tokens * factor, minlength=len(share))
             scale = np.where(now > 0, share * total / np.where(now > 0, now, 1), 1.0)
             moved = max(moved, float(np.abs(scale - 1).max(initial=0)))
-            factor = np.where(scale[at] > 0, np.clip(factor * scale[at], 1 / LIMIT, LIMIT), 0.0)
+            factor = factor * scale[at]
         if moved < TOLERANCE:
             break
     return dict(zip(keys, factor.tolist(), strict=True))
@@ -127,7 +150,7 @@ def rake_spark(cells: DataFrame, targets: list[DataFrame], rounds: int = ROUNDS)
         for d, target in zip(DIMENSIONS, targets, strict=True):
             sums = out.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now")).join(target.toDF(d, "share"), d, "left")
             scale = sums.select(d, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("now")).otherwise(1.0).alias("scale"))
-            out = out.join(scale, d).withColumn("factor", F.when(F.col("scale") > 0, F.least(F.greatest(F.col("factor") * F.col("scale"), F.lit(1 / LIMIT)), F.lit(LIMIT))).otherwise(0.0)).drop("scale")
+            out = out.join(scale, d).withColumn("factor", F.col("factor") * F.col("scale")).drop("scale")
         new = materialize(out.select(*now.columns), "cells")
         moved = new.join(now.withColumnRenamed("factor", "was"), [*DIMENSIONS, "tokens"]).agg(F.max(F.abs(F.col("factor") / F.when(F.col("was") > 0, F.col("was")) - 1))).first()[0]
         release(now)
@@ -179,6 +202,14 @@ def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None =
     return fitted.select(*DIMENSIONS, "factor", (F.col("factor") / most).alias("probability"))
 
 
+def marginals(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """dimension, value, share: what the ``probabilities`` of ``rows`` reach of each marginal, in expected tokens."""
+    weighed = rows.join(F.broadcast(cells.select(*DIMENSIONS, "probability")), [*DIMENSIONS]).withColumn("w", F.col("tokens") * F.col("probability"))
+    sums = weighed.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS])).alias("k"), "w").groupBy("k").agg(F.sum("w").alias("w"))
+    total = weighed.agg(F.sum("w").alias("all"))
+    return sums.crossJoin(F.broadcast(total)).select("k.*", (F.col("w") / F.col("all")).alias("share"))
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 1, bound: int = CELLS) -> DataFrame:
     """``docs``, all columns, plus topic, n_tokens, factor, probability and sampled, under names with a leading __.
 

@@ -342,6 +342,27 @@ def test_raking_meets_its_targets_in_memory_and_on_spark(spark):
     assert all(far[k] == pytest.approx(v, rel=1e-4) for k, v in got.items())
 
 
+def test_raking_meets_targets_that_need_large_factors(spark):
+    rng = random.Random(6)
+    cells = {(s, la, t): float(n * rng.randrange(50, 500)) for s, n in (("hot", 100_000), ("rare", 1)) for la in "xyz" for t in "pq"}
+    targets = {"source": {"hot": 0.5, "rare": 0.5}, "lang": {"x": 0.1, "y": 0.15, "z": 0.75}, "topic": {"p": 0.4, "q": 0.6}}
+    rows = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens double")
+    for bound in (mixing.CELLS, 0):
+        fitted = mixing.probabilities(rows, targets, bound=bound)
+        got = {(r["dimension"], r["value"]): r["share"] for r in mixing.marginals(fitted, rows).collect()}
+        assert got == {(d, v): pytest.approx(share, abs=1e-6) for d, t in targets.items() for v, share in t.items()}
+        assert max(r["probability"] for r in fitted.collect()) == 1
+
+
+def test_topics_are_fitted_on_all_documents_and_rare_ones_stay(spark):
+    rng = random.Random(7)
+    kinds = [[f"{k}{i}" for i in range(12)] for k in "abc"]
+    texts = [" ".join(rng.choices(kinds[k], k=40)) for k in [0] * 500 + [1] * 490 + [2] * 10]
+    centroids = mixing.fit_topics(docs_of(spark, texts), 60)
+    topics = [r["__topic"] for r in mixing.with_topics(docs_of(spark, texts), centroids).orderBy("doc_id").collect()]
+    assert not set(topics[990:]) & set(topics[:990]) and len(centroids) == 60
+
+
 def test_mixture_is_deterministic_and_calibrated(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a, b = (mixing.report(docs).orderBy("doc_id").collect() for _ in (0, 1))
