@@ -214,6 +214,19 @@ def autocovariance(spark, sf_dir):
     return pairs.filter(F.col("d2") <= 0.15 * 0.15).groupBy("q_id").agg(F.round(F.sum(cov), 5).alias("cov"))
 
 
+@query()
+def hat_filter_all(spark, sf_dir):
+    """The same mean for every point."""
+    return spatial.hat_filter_all(_points(spark, sf_dir), 0.2, "value").select("id", F.round("filtered", 5).alias("filtered"))
+
+
+@query()
+def autocovariance_all(spark, sf_dir):
+    """The same row sums for every point."""
+    p = _points(spark, sf_dir).withColumn("s", F.col("value") + 1)
+    return spatial.autocovariance_sums(p, 0.05, "s").select("id", F.round("cov", 5).alias("cov"))
+
+
 @query(f"""
 WITH {_POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, p_id) AS rank FROM prs WHERE p_id % 50 <> 0)
 SELECT q_id AS id, round(sqrt(d2), 6) AS size, sqrt(d2) < 0.1 AS violated FROM r WHERE rank = 1 AND pz - qz < 0

@@ -239,3 +239,17 @@ def test_registered_power_iteration_finds_the_largest_eigenvalue(spark):
     for r in entries:
         a[keys.index(r["i"]), keys.index(r["j"])] += r["v"]
     assert catalog.queries()["power_iteration"](spark, sf).first()["value"] == pytest.approx(np.linalg.eigvalsh(a)[-1], abs=1e-3)
+
+
+def test_filter_and_covariance_over_all_points(spark):
+    from tessera.plans import catalog, fields
+
+    sf = "/root/testdata/sf0.001"
+    rows = fields._points(spark, sf).collect()
+    xyz, value = np.array([[r["x"], r["y"], r["z"]] for r in rows]), np.array([r["value"] for r in rows])
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    w = np.maximum(0, 0.2 - d) / 0.2
+    cov = np.where(d <= 0.15, np.exp(-((d / 0.05) ** 2)), 0) * np.outer(value + 1, value + 1)
+    for name, column, want in (("hat_filter_all", "filtered", (w @ value) / w.sum(1)), ("autocovariance_all", "cov", cov.sum(1))):
+        got = {r["id"]: r[column] for r in catalog.queries()[name](spark, sf).collect()}
+        assert got == {r["id"]: pytest.approx(x, abs=2e-5, rel=1e-6) for r, x in zip(rows, want, strict=True)}
