@@ -1,15 +1,21 @@
 """Benchmark decontamination by training suffix arrays (operator 4).
 
-Each block of training texts is a shard. A task sorts the shard's word suffixes,
-binary-searches every distinct window of the benchmark (and, for the report of
-the longest verbatim match, widens each hit word by word) and marks what it
-finds. A suffix whose run of words known to the benchmark is too short for any
-window that starts with its first word can't match and is left out of the array;
-that changes no result.
-
-The benchmark goes to the tasks in parts of at most ``part_bytes`` of text. The
-documents pass all parts in one stage, without a shuffle: each part adds its hits
-to columns that travel with the row.
+Each block of training texts is a shard. A task sorts the shard's word suffixes by
+doubling and binary-searches every suffix of the benchmark's items. Where a suffix
+would stand, its neighbours in the array share the most words with it; from the
+sorted insertion points every training suffix finds its own longest match in turn.
+A suffix that matches its window at least has all its occurrences in one range of
+the array, found by two more searches. Windows are compared word by word; only how far a match
+goes on beyond PLAIN words is read from hashes.
+
+A training suffix ends where its run of words known to the benchmark does, since
+nothing matches beyond; one that begins with an unknown word is not in the array.
+That changes no result.
+
+The benchmark goes to the tasks in parts of at most ``part_bytes`` of distinct
+text, whose arrays grow in proportion. The documents pass a part in one stage,
+without a shuffle; with several parts each pass is written, so that one part is
+held at a time.
 """
 
 from __future__ import annotations
@@ -21,180 +27,291 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import ALNUM, blocks, column, plain, share, shared, words
+from tessera.llm.words import ALNUM, blocks, column, list_column, mix, plain, powers, share, shared, word_spans, words
+from tessera.scratch import materialize, release
 
 WINDOW = 10
 #: Bytes of benchmark text that one part holds; a single longer item is a part of its own.
-PART_BYTES = 1 << 20
+PART_BYTES = 8 << 20
+#: Bytes of training text in a shard, and suffixes that are compared at once.
+SHARD_BYTES, CHUNK = 8 << 20, 1 << 16
+#: Words that are compared one by one; no less than WINDOW.
+PLAIN = 16
 
 
-class Windows:
-    """The distinct windows of some items, over word ids of their own vocabulary."""
+def suffix_array(ids: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of known words (ids above 0) in the order of the ``depth`` words from there on; the words from position p on end at stop[p].
 
-    def __init__(self, items: list[tuple[object, str | None]], size: int = WINDOW):
-        names = sorted({str(i) for i, _ in items})
-        number = {n: k for k, n in enumerate(names)}
-        self.names = names
-        data = [(t or "").encode() for _, t in items]
-        offs = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
-        w, first = words(np.frombuffer(b"".join(data), np.uint8), offs, ALNUM)
+    Doubling: a rank by h words and that of the suffix h words on give the rank by
+    2 h; only suffixes that are still tied are sorted again.
+    """
+    order = np.flatnonzero(ids)
+    order = order[np.argsort(ids[order], kind="stable")]
+    rank = np.zeros(len(ids) + 1, np.int64)
+    slots, key, ahead = np.arange(1, len(order) + 1), ids[order], np.ones(len(order), np.int64)
+    h, position = 1, order
+    while len(slots):
+        new = np.ones(len(slots), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[position] = np.maximum.accumulate(np.where(new, slots, 0))
+        alone = new & np.append(new[1:], True)
+        slots = slots[~alone & (ahead > 0)]
+        if h >= depth or not len(slots):
+            break
+        position = order[slots - 1]
+        ahead = np.where(stop[position] - position > h, rank[np.minimum(position + h, len(ids))], 0)
+        key = rank[position] << 32 | ahead
+        by = np.argsort(key, kind="stable")
+        key, ahead, position = key[by], ahead[by], position[by]
+        order[slots - 1] = position
+        h *= 2
+    return order
+
+
+def prefix_sums(ids: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any stretch of words follows; see ``Words.equal``."""
+    out = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(mix(ids.astype(np.uint64)) * powers(len(ids) + 1)[0][: len(ids)], out=out[1:], dtype=np.uint64)
+    return out
+
+
+class Words:
+    """Word ids with where the words from each position on end; and their comparison with those of the items."""
+
+    def __init__(self, ids: np.ndarray, stop: np.ndarray, goals: np.ndarray, goal_sums: np.ndarray):
+        self.ids, self.stop, self.goals = ids, stop, goals
+        self.sums, self.goal_sums = prefix_sums(ids), goal_sums
+        self.down = powers(max(len(ids), len(goals)) + 1)[1]
+
+    def equal(self, p: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether n words from p on have the hash of those from goal g on."""
+        return (self.sums[p + n] - self.sums[p]) * self.down[p] == (self.goal_sums[g + n] - self.goal_sums[g]) * self.down[g]
+
+    def common(self, p: np.ndarray, g: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of words that each pair of a training suffix p and a goal g (until end) shares from the start.
+
+        The first PLAIN words are compared one by one; how far longer matches go is
+        found by halving, with 64-bit hashes.
+        """
+        out, live, steps = np.zeros(len(p), np.int64), np.arange(len(p)), np.arange(4)
+        for _ in range(PLAIN // len(steps)):
+            a, b = (p[live] + out[live])[:, None] + steps, (g[live] + out[live])[:, None] + steps
+            x = np.where(a < self.stop[p[live]][:, None], self.ids[np.minimum(a, len(self.ids) - 1)], 0)
+            y = np.where(b < end[live][:, None], self.goals[np.minimum(b, len(self.goals) - 1)], -1)
+            same = np.logical_and.accumulate(x == y, axis=1).sum(axis=1)
+            out[live] += same
+            live = live[same == len(steps)]
+            if not len(live):
+                return out
+        p, g = p[live], g[live]
+        lo, hi = out[live], np.minimum(self.stop[p] - p, end[live] - g)
+        while (lo < hi).any():
+            mid = (lo + hi + 1) // 2
+            same = self.equal(p, g, mid)
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        out[live] = lo
+        return out
+
+    def below(self, order: np.ndarray, g: np.ndarray, end: np.ndarray, within: bool) -> np.ndarray:
+        """Binary search of all goals at once: how many suffixes in ``order`` are below each; with ``within`` also those that begin with it."""
+        lo, hi = np.zeros(len(g), np.int64), np.full(len(g), len(order), np.int64)
+        while len(live := np.flatnonzero(lo < hi)):
+            mid = (lo[live] + hi[live]) // 2
+            p, at, last = order[mid], g[live], end[live]
+            n = self.common(p, at, last)
+            x = np.where(p + n < self.stop[p], self.ids[np.minimum(p + n, len(self.ids) - 1)], 0)
+            y = np.where(at + n < last, self.goals[np.minimum(at + n, len(self.goals) - 1)], 0)
+            up = np.where(at + n == last, within, x < y)
+            lo[live], hi[live] = np.where(up, mid + 1, lo[live]), np.where(up, hi[live], mid)
+        return lo
+
+
+class Suffixes:
+    """The word suffixes of some items, in order: word ids over their own vocabulary, item after item."""
+
+    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
+        owners: dict[bytes, set[str]] = {}
+        for name, text in items:
+            owners.setdefault((text or "").encode(), set()).add(name)
+        texts = sorted(owners)
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+        w, first = words(np.frombuffer(b"".join(texts), np.uint8), offs, ALNUM)
         self.vocabulary = np.unique(w)
-        ids = np.searchsorted(self.vocabulary, w).astype(np.int32) + 1
-        owners: dict[tuple[int, ...], set[int]] = {}
-        self.tails: dict[tuple[int, ...], list[np.ndarray]] = {}
-        for (name, _), a, b in zip(items, first[:-1], first[1:], strict=True):
-            for s in range(a, max(a + 1, b - size + 1) if b > a else a):
-                key = tuple(ids[s : min(b, s + size)])
-                owners.setdefault(key, set()).add(number[str(name)])
-                self.tails.setdefault(key, []).append(ids[s:b])
-        keys = sorted(owners)
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.padded = np.zeros((len(keys), size), np.int32)
-        for i, k in enumerate(keys):
-            self.padded[i, : len(k)] = k
-        self.keys = keys
-        self.items = [np.array(sorted(owners[k]), np.int64) for k in keys]
-        # The shortest window that starts with each word; a word that starts none has a length no run reaches.
-        self.least = np.full(len(self.vocabulary) + 1, np.iinfo(np.int64).max)
-        for k in keys:
-            self.least[k[0]] = min(self.least[k[0]], len(k))
-
-
-def shard_array(ids: np.ndarray, row_end: np.ndarray, least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions, in order of their suffixes, and the sorted first ``size`` words of each (0 beyond the row or an unknown word).
-
-    ids: word ids of the shard, 0 for words that no window has. row_end: for each
-    word the end of its row.
+        self.ids = np.searchsorted(self.vocabulary, w).astype(np.int32) + 1
+        self.sums = prefix_sums(self.ids)
+        self.names = sorted({n for names in owners.values() for n in names})
+        number = {n: k for k, n in enumerate(self.names)}
+        # Names of item i: owner[own[i] : own[i + 1]].
+        self.owner = np.array([number[n] for t in texts for n in sorted(owners[t])], np.int64)
+        self.own = np.concatenate([[0], np.cumsum([len(owners[t]) for t in texts], dtype=np.int64)]).astype(np.int64)
+        count = np.diff(first)
+        stop = np.repeat(first[1:], count)
+        self.depth = int(count.max(initial=1))
+        self.start = suffix_array(self.ids, stop, self.depth)
+        self.end = stop[self.start]
+        self.item = np.repeat(np.arange(len(texts)), count)[self.start]
+        # Words in the window that begins here: 10, or the whole of a shorter item, or 0 for none.
+        whole, head = count[self.item], self.start == first[self.item]
+        self.window = np.where(self.end - self.start >= size, size, np.where((whole < size) & head, whole, 0))
+
+
+def _repeated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges a[i] to b[i], one range after another."""
+    n = b - a
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+
+
+def search(held, ids: np.ndarray, first: np.ndarray, longest: bool):
+    """Matches of the items in a shard (word ids, 0 for unknown; first word of each row).
+
+    (start, length, item names' CSR pairs (row, name), longest of each row, where that starts (-1: none)).
     """
-    n = len(ids)
-    stop = np.where(ids == 0, np.arange(n), n)
-    stop = np.minimum(np.minimum.accumulate(stop[::-1])[::-1], row_end)  # the run of known words ends here
-    at = np.flatnonzero(stop - np.arange(n) >= least[ids])
-    if not len(at):
-        return at, np.zeros((0, size), np.int32)
-    steps = at[:, None] + np.arange(size)
-    head = np.where(steps < stop[at][:, None], ids[np.minimum(steps, n - 1)], 0).astype(np.int32)
-    order = np.lexsort([at, *head.T[::-1]])
-    return at[order], head[order]
-
-
-def _bound(head: np.ndarray, goal: np.ndarray, right: bool) -> np.ndarray:
-    """Binary search of every goal row at once: the first suffix not below (or above) it."""
-    lo, hi = np.zeros(len(goal), np.int64), np.full(len(goal), len(head), np.int64)
-    while (open_ := lo < hi).any():
-        mid = np.where(open_, (lo + hi) // 2, 0)
-        x = head[mid].astype(np.int64)
-        d = x - goal
-        k = (d != 0).argmax(axis=1)
-        sign = d[np.arange(len(goal)), k]
-        go = open_ & ((sign <= 0) if right else (sign < 0))
-        lo, hi = np.where(go, mid + 1, lo), np.where(open_ & ~go, mid, hi)
-    return lo
-
-
-def search(windows: Windows, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the range of the suffix array that starts with it."""
-    goal = windows.padded.astype(np.int64)
-    past = np.arange(goal.shape[1]) >= windows.lengths[:, None]
-    return _bound(head, goal, False), _bound(head, np.where(past, np.iinfo(np.int32).max, goal), True)
-
-
-def _hits(part, n_columns: int):
-    """Adds one part's findings to (starts, ends, items, longest)."""
+    rows, n = len(first) - 1, len(ids)
+    row_of = np.repeat(np.arange(rows), np.diff(first))
+    stop = np.minimum(np.minimum.accumulate(np.where(ids == 0, np.arange(n), n)[::-1])[::-1], np.repeat(first[1:], np.diff(first)))
+    order = suffix_array(ids, stop, held.depth)
+    best, where = np.zeros(rows, np.int64), np.full(rows, n, np.int64)
+    none = np.zeros(0, np.int64)
+    if not len(order) or not len(held.start):
+        return none, none, none, none, best, np.full(rows, -1, np.int64)
+    text = Words(ids, stop, held.ids, held.sums)
+    parts = [slice(i, i + CHUNK) for i in range(0, len(held.start), CHUNK)]
+    place = np.concatenate([text.below(order, held.start[s], held.end[s], False) for s in parts])
+    # The longest match of each benchmark suffix, from its neighbours in the array.
+    match = np.zeros(len(place), np.int64)
+    for s in parts:
+        for side in (place[s] - 1, place[s]):
+            there = np.flatnonzero((side >= 0) & (side < len(order)))
+            match[s][there] = np.maximum(match[s][there], text.common(order[side[there]], held.start[s][there], held.end[s][there]))
+    if longest:
+        # And of each training suffix, from the benchmark suffixes on both sides of it.
+        for i in range(0, len(order), CHUNK):
+            p = order[i : i + CHUNK]
+            after = np.searchsorted(place, np.arange(i, i + len(p)), "right")
+            for side in (after - 1, after):
+                there = np.flatnonzero((side >= 0) & (side < len(place)))
+                q, k = p[there], side[there]
+                m = text.common(q, held.start[k], held.end[k])
+                r = row_of[q]
+                was = best.copy()
+                np.maximum.at(best, r, m)
+                where[best > was] = n
+                top = (m == best[r]) & (m > 0)
+                np.minimum.at(where, r[top], q[top])
+    hit = np.flatnonzero((held.window > 0) & (match >= held.window))
+    g, size = held.start[hit], held.window[hit]
+    lo, hi = (text.below(order, g, g + size, within) for within in (False, True))
+    # Equal windows have one range; each is taken once, with all its items.
+    _, one, kind = np.unique(np.stack([lo, size]), axis=1, return_index=True, return_inverse=True)
+    kind = kind.ravel()
+    spread = order[_repeated(lo[one], hi[one])]
+    of = np.repeat(np.arange(len(one)), hi[one] - lo[one])
+    pairs = np.unique(np.stack([row_of[spread], of]), axis=1) if len(spread) else np.zeros((2, 0), np.int64)
+    by = np.argsort(kind, kind="stable")
+    at = np.searchsorted(kind[by], np.arange(len(one) + 1))
+    member = by[_repeated(at[pairs[1]], at[pairs[1] + 1])]  # hits with the window of each pair
+    row = np.repeat(pairs[0], at[pairs[1] + 1] - at[pairs[1]])
+    item = held.item[hit][member]
+    name = held.owner[_repeated(held.own[item], held.own[item + 1])]
+    row = np.repeat(row, held.own[item + 1] - held.own[item])
+    named = np.unique(np.stack([row, name]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+    return spread, size[one][of], named[0], named[1], best, np.where(where < n, where - first[:-1], -1)
+
+
+def _flat(batch: pa.RecordBatch, name: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row numbers of a list column between two rows."""
+    part = batch.column(batch.schema.get_field_index(name)).slice(a, b - a)
+    return part.flatten().to_numpy(zero_copy_only=False), part.value_parent_indices().to_numpy()
+
+
+def _hits(part, kept: list[str], longest: bool):
+    """Adds one part's findings to the spans that are there, and gives its own item names and longest match."""
 
     def work(batches):
-        windows = shared(part)
-        size = windows.padded.shape[1]
+        held = shared(part)
         for batch in batches:
             data, offs = column(batch, "text")
-            for a, b in blocks(offs, 8 << 20):
-                starts, ends, items, longest = ([[] for _ in range(b - a)] for _ in range(4))
-                parts, counts = [], np.zeros(b - a, np.int64)
-                for c, d in blocks(offs[a : b + 1]):
-                    w, first = words(data, offs[a + c : a + d + 1], ALNUM)
-                    counts[c:d] = np.diff(first)
-                    at = np.searchsorted(windows.vocabulary, w)
-                    known = windows.vocabulary[np.minimum(at, len(windows.vocabulary) - 1)] == w if len(windows.vocabulary) else np.zeros(len(w), bool)
-                    parts.append(np.where(known, at + 1, 0).astype(np.int32))
-                ids, first = np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
-                where, head = shard_array(ids, np.repeat(first[1:], counts), windows.least, size)
-                lo, hi = search(windows, head)
-                for k in np.flatnonzero(hi > lo):
-                    length, mine = int(windows.lengths[k]), where[lo[k] : hi[k]]
-                    for p, r in zip(mine.tolist(), (np.searchsorted(first, mine, "right") - 1).tolist(), strict=True):
-                        starts[r].append(p - int(first[r]))
-                        ends[r].append(p - int(first[r]) + length)
-                        items[r].append(windows.items[k])
-                        longest[r].append(_widen(ids, p, int(first[r + 1]), windows.tails[windows.keys[k]]))
-                keep = [batch.column(i).slice(a, b - a) for i in range(n_columns)]
-                names = [[windows.names[i] for i in np.unique(np.concatenate(x))] if x else [] for x in items]
-                old = {k: batch.column(batch.schema.get_field_index(k)).slice(a, b - a).to_pylist() for k in ("__starts", "__ends", "__items", "__longest")}
-                merged = [_merge(list(zip(old["__starts"][i] + starts[i], old["__ends"][i] + ends[i], strict=True))) for i in range(b - a)]
+            for a, b in blocks(offs, SHARD_BYTES):
+                w, first = words(data, offs[a : b + 1], ALNUM)
+                at = np.searchsorted(held.vocabulary, w)
+                known = held.vocabulary[np.minimum(at, len(held.vocabulary) - 1)] == w if len(held.vocabulary) else np.zeros(len(w), bool)
+                ids = np.where(known, at + 1, 0).astype(np.int32)
+                start, size, row, name, best, where = search(held, ids, first, longest)
+                (s0, r0), (e0, _) = _flat(batch, "__starts", a, b), _flat(batch, "__ends", a, b)
+                n = len(ids) + 1
+                edge = np.bincount(np.r_[start, s0 + first[r0]], minlength=n) - np.bincount(np.r_[start + size, e0 + first[r0]], minlength=n)
+                s, e = word_spans((np.cumsum(edge[:-1]) > 0).astype(np.uint8), first)
+                of = np.searchsorted(first, s, "right") - 1
+                ends = np.searchsorted(s, first[1:])
+                names = pa.array(held.names, pa.string()).take(pa.array(name))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *keep,
-                        pa.array(counts),
-                        pa.array([[s for s, _ in m] for m in merged], pa.list_(pa.int64())),
-                        pa.array([[e for _, e in m] for m in merged], pa.list_(pa.int64())),
-                        pa.array([sorted({*old["__items"][i], *names[i]}) for i in range(b - a)], pa.list_(pa.string())),
-                        pa.array([max([old["__longest"][i], *longest[i]]) for i in range(b - a)], pa.int64()),
+                        *(batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in kept),
+                        pa.array(np.diff(first)),
+                        list_column(s - first[of], ends),
+                        list_column(e - first[of], ends),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)), names),
+                        pa.array(best),
+                        pa.array(where),
                     ],
-                    names=[*batch.schema.names[:n_columns], "__words", "__starts", "__ends", "__items", "__longest"],
+                    names=[*kept, "__words", "__starts", "__ends", "__found", "__best", "__where"],
                 )
 
     return work
 
 
-def _widen(ids: np.ndarray, p: int, end: int, tails: list[np.ndarray]) -> int:
-    """Words that the text from p on shares with the best of the benchmark's suffixes."""
-    best = 0
-    for t in tails:
-        m = min(len(t), end - p)
-        differ = np.flatnonzero(ids[p : p + m] != t[:m])
-        best = max(best, int(differ[0]) if len(differ) else m)
-    return best
-
-
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
-
-
 def _parts(benchmark: DataFrame, part_bytes: int):
-    """The benchmark in parts, one at a time on the driver; which part an item is in follows from its id and text."""
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    """The distinct items in parts, one at a time on the driver; which part an item is in follows from its text."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / part_bytes))
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     for k in range(n):
-        mine = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Windows([(r["item_id"], r["text"]) for r in mine.collect()])
+        mine = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        yield n, Suffixes([(r["item_id"], r["text"]) for r in mine.collect()])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs``, all its columns, plus __words (count), __starts and __ends (disjoint hit word ranges), __items (sorted ids) and __longest."""
+def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, longest: bool = True) -> DataFrame:
+    """``docs``, all its columns, plus __words (count), __starts and __ends (disjoint hit word ranges), __items (sorted ids), __longest and __longest_start.
+
+    Without ``longest`` the last two are 0 and -1.
+    """
     docs = plain(docs)
-    spark = docs.sparkSession
-    kept = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __words bigint, __starts array<bigint>, __ends array<bigint>, __items array<string>, __longest bigint"
+    spark, kept = docs.sparkSession, docs.columns
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = f"{own}, __items array<string>, __longest bigint, __longest_start bigint, __words bigint, __starts array<bigint>, __ends array<bigint>, __found array<string>, __best bigint, __where bigint"
     empty = F.array().cast("array<bigint>")
-    out = docs.select("*", F.lit(0).cast("long").alias("__words"), empty.alias("__starts"), empty.alias("__ends"), F.array().cast("array<string>").alias("__items"), F.lit(0).cast("long").alias("__longest"))
-    for windows in _parts(benchmark, part_bytes):
-        out = out.mapInArrow(_hits(share(spark, windows), len(kept)), schema)
+    out = docs.select("*", empty.alias("__starts"), empty.alias("__ends"), F.array().cast("array<string>").alias("__items"), F.lit(0).cast("long").alias("__longest"), F.lit(-1).cast("long").alias("__longest_start"))
+    before = None
+    for n, held in _parts(benchmark, part_bytes):
+        part = share(spark, held)
+        found = out.mapInArrow(_hits(part, [*kept, "__items", "__longest", "__longest_start"], longest), schema)
+        better = (F.col("__best") > F.col("__longest")) | ((F.col("__best") == F.col("__longest")) & (F.col("__best") > 0) & (F.col("__where") < F.col("__longest_start")))
+        out = found.select(
+            *[F.col(f"`{c}`") for c in kept],
+            "__words",
+            "__starts",
+            "__ends",
+            F.array_sort(F.array_union("__items", "__found")).alias("__items"),
+            F.greatest("__longest", "__best").alias("__longest"),
+            F.when(better, F.col("__where")).otherwise(F.col("__longest_start")).alias("__longest_start"),
+        )
+        if n > 1:
+            out = materialize(out, "hits")
+            part.unpersist()
+            release(before)
+            before = out
     return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, any others): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, hit_spans.
+    """One row per row of ``docs`` (doc_id, text, any others): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, longest_start, hit_spans.
 
     A null or empty text has no words and no hits. A null or empty item has no
     windows; items that share an id count as one. A window that several items
-    have counts for each. longest_match is the most consecutive words shared with
-    any benchmark suffix that starts a hit; hit_spans are word ranges.
+    have counts for each. longest_match is the most consecutive words that the text
+    shares with any item, shorter than a window or longer, longest_start the first
+    word where so many begin (-1 without any); hit_spans are word ranges
+    start-end, comma-joined, end exclusive.
     """
     found = hits(docs.select("doc_id", "text"), benchmark, part_bytes)
     n_hit = F.aggregate(F.zip_with("__starts", "__ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda acc, x: acc + x)
@@ -206,11 +323,11 @@ def report(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES)
         F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"),
         (F.size("__starts") > 0).alias("contaminated"),
         F.col("__longest").alias("longest_match"),
-        F.arrays_zip(F.col("__starts").alias("start"), F.col("__ends").alias("end")).alias("hit_spans"),
+        F.col("__longest_start").alias("longest_start"),
+        F.concat_ws(",", F.zip_with("__starts", "__ends", lambda s, e: F.concat_ws("-", s.cast("string"), e.cast("string")))).alias("hit_spans"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, all columns."""
-    return hits(docs, benchmark, part_bytes).filter(F.size("__starts") == 0).select(*[F.col(f"`{c}`") for c in plain(docs).columns])
-
+    return hits(docs, benchmark, part_bytes, longest=False).filter(F.size("__starts") == 0).select(*[F.col(f"`{c}`") for c in plain(docs).columns])

@@ -64,12 +64,12 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offs
 
 
-def blocks(offs: np.ndarray, limit: int = BLOCK):
-    """Row ranges of at most ``limit`` bytes (or one row)."""
+def blocks(offs: np.ndarray, limit: int = BLOCK, rows: int = 1 << 20):
+    """Row ranges of at most ``limit`` bytes (or one row) and ``rows`` rows."""
     at, n = 0, len(offs) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, at + rows)
         yield at, end
         at = end
 
@@ -88,19 +88,41 @@ def word_spans(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def hash_spans(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the values in each span."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:], dtype=np.uint64)
-    return mix((total[e] - total[s]) * down[s])
+    """A 64-bit hash of the values in each span; spans are in order and apart. At most BLOCK values (or one span) are summed up at once."""
+    out, at = np.empty(len(s), np.uint64), 0
+    while at < len(s):
+        to = max(at + 1, int(np.searchsorted(e, s[at] + BLOCK, "right")))
+        base, some = s[at], values[s[at] : e[to - 1]]
+        up, down = powers(len(some) + 1)
+        total = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(some * up[: len(some)], out=total[1:], dtype=np.uint64)
+        out[at:to] = mix((total[e[at:to] - base] - total[s[at:to] - base]) * down[s[at:to] - base])
+        at = to
+    return out
 
 
 def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows between ``offs``: all word hashes in order, and each row's first word (one more at the end)."""
-    values = table[data[offs[0] : offs[-1]]]
-    rel = offs - offs[0]
-    s, e = word_spans(values, rel)
-    return hash_spans(values, s, e), np.searchsorted(s, rel)
+    """Of the rows between ``offs``: all word hashes in order, and each row's first word (one more at the end).
+
+    Pieces of about BLOCK bytes, cut at separators, are taken one at a time, so that
+    a long row needs no more memory than its words' hashes.
+    """
+    raw, rel = data[offs[0] : offs[-1]], offs - offs[0]
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        to = min(at + BLOCK, len(raw))
+        while to < len(raw):
+            apart = np.flatnonzero(table[raw[to : to + 4096]] == 0)
+            to += int(apart[0]) if len(apart) else min(4096, len(raw) - to)
+            if len(apart):
+                break
+        values = table[raw[at:to]]
+        a, b = np.searchsorted(rel, (at, to + 1))
+        s, e = word_spans(values, rel[a:b] - at)
+        hashes.append(hash_spans(values, s, e))
+        starts.append(s + at)
+        at = to
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), rel)
 
 
 def grams(w: np.ndarray, n: int) -> np.ndarray:
