@@ -5,13 +5,17 @@ training rows write in it. Each candidate scores a word by the log-probabilities
 of its byte trigrams. Viterbi over the words of a text, with a penalty for each
 switch, labels spans; a document's language is the one with most of its bytes.
 
-Training takes a bounded sample of rows with a language. Viterbi runs over all
-texts of a block at once, word position by word position, so that its cost is in
-array operations and its memory bounded by the block.
+Training takes a bounded sample of rows with a language. Texts for which no switch
+can pay, which sums over stretches show, need no lattice. Viterbi runs over the
+others of a block at once, word position by word position, so that its cost is in
+array operations and its memory bounded by the block; a long text is solved in
+pieces side by side, for every label a piece may be entered with.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,17 +26,65 @@ from tessera.llm.quality import fold
 from tessera.llm.words import ALNUM, blocks, column, share, shared, word_spans
 
 SAMPLE, BITS, SWITCH = 6000, 16, 12.0
-#: Scripts by first byte of a UTF-8 sequence: 0 none (digits), 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew and Arabic, 5 Indic and South-East Asian, 6 Chinese, Japanese, Korean, 7 other.
-SCRIPTS = 8
-_SCRIPT = np.zeros(256, np.uint8)
-_SCRIPT[[*range(65, 91), *range(97, 123)]] = 1
-_SCRIPT[0xC3:0xCD] = 1
-_SCRIPT[0xCD:0xD0] = 2
-_SCRIPT[0xD0:0xD5] = 3
-_SCRIPT[0xD5:0xE0] = 4
-_SCRIPT[0xE0:0xE2] = 5
-_SCRIPT[0xE3:0xEE] = 6
-_SCRIPT[0xF0:0xF5] = 7
+#: Texts of more words than this are solved in pieces, where there are no more labels than MANY.
+LONG, MANY = 20_000, 16
+LAST_LETTER = 0x33FFF
+
+
+def script_ranges() -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """First code points of ranges, the script of each (0 for what is no letter), and the scripts' names.
+
+    A letter's script is the first word of its Unicode name (the second after
+    halfwidth and fullwidth); Latin is number 1.
+    """
+    names, starts, scripts = {"": 0, "LATIN": 1}, [0], [0]
+    for code in range(LAST_LETTER + 1):
+        c = chr(code)
+        word = ""
+        if c.isalpha():
+            name = unicodedata.name(c, "OTHER").split()
+            word = (name[1] if name[0] in ("HALFWIDTH", "FULLWIDTH") else name[0]).split("-")[0]
+        script = names.setdefault(word, len(names))
+        if script != scripts[-1]:
+            starts.append(code)
+            scripts.append(script)
+    return np.array([*starts, LAST_LETTER + 1], np.uint32), np.array([*scripts, 0], np.int16), list(names)
+
+
+def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a character beyond ASCII begins in UTF-8 bytes, and its code point."""
+    at = np.flatnonzero(raw >= 0xC0)
+    b = [np.append(raw, np.zeros(3, np.uint8))[at + k].astype(np.uint32) for k in range(4)]
+    low = [x & 0x3F for x in b]
+    two = (b[0] & 0x1F) << 6 | low[1]
+    three = (b[0] & 0x0F) << 12 | low[1] << 6 | low[2]
+    four = (b[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]
+    return at, np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four))
+
+
+_ASCII = np.zeros(256, np.uint8)
+_ASCII[[*range(65, 91), *range(97, 123)]] = 1
+
+
+def word_scripts(raw: np.ndarray, s: np.ndarray, e: np.ndarray, ranges: tuple) -> np.ndarray:
+    """The script of most letters of each word (of several the least number), 0 without a letter."""
+    count = np.concatenate([[0], np.cumsum(_ASCII[raw], dtype=np.int64)])
+    ascii_ = count[e] - count[s]
+    out = (ascii_ > 0).astype(np.int16)
+    at, code = code_points(raw)
+    script = ranges[1][np.searchsorted(ranges[0], code, "right") - 1].astype(np.int64)
+    at, script = at[script > 0], script[script > 0]
+    if len(at):
+        word = np.searchsorted(s, at, "right") - 1
+        pair, n = np.unique(word << 16 | script, return_counts=True)
+        mixed = np.unique(word)
+        word, script, n = np.r_[pair >> 16, mixed], np.r_[pair & 0xFFFF, np.ones(len(mixed), np.int64)], np.r_[n, ascii_[mixed]]
+        pair, back = np.unique(word << 16 | script, return_inverse=True)  # Latin letters beyond ASCII and within it count together
+        n = np.bincount(back, weights=n).astype(np.int64)
+        order = np.lexsort([pair & 0xFFFF, -n, pair >> 16])
+        first = order[np.unique((pair >> 16)[order], return_index=True)[1]]
+        out[pair[first] >> 16] = pair[first] & 0xFFFF
+    return out
 
 
 def _trigrams(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,90 +102,164 @@ def _trigrams(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndar
     return mixed(two, one, v), mixed(one[e - 1], v[e - 1], np.zeros(len(e), np.uint32))
 
 
-def word_tables(values: np.ndarray, rel: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
+def word_tables(values: np.ndarray, rel: np.ndarray, raw: np.ndarray, ranges: tuple) -> tuple[np.ndarray, ...]:
     s, e = word_spans(values, rel)
     inside, closing = _trigrams(values, s, e)
-    ends = np.stack([s, e], 1).ravel()
-    script = np.maximum.reduceat(np.append(_SCRIPT[raw], np.uint8(0)), ends)[::2] if len(s) else np.zeros(0, np.uint8)
-    return s, e, inside, closing, script
-
-
-_ASCII = (_SCRIPT == 1) & (np.arange(256) < 128)
+    return s, e, inside, closing, word_scripts(raw, s, e, ranges)
 
 
 class Languages:
-    def __init__(self, names: list[str], scores: np.ndarray, allowed: np.ndarray):
-        self.names, self.scores, self.allowed = names, scores.astype(np.float32), allowed
+    """scores: trigram x language; allowed: script x language; ranges: as script_ranges gives them."""
+
+    def __init__(self, names: list[str], scores: np.ndarray, allowed: np.ndarray, ranges: tuple):
+        self.names, self.scores, self.allowed, self.ranges = names, scores.astype(np.float32), allowed, ranges
 
 
-def _count(batches):
-    for batch in batches:
-        data, offs = column(batch, "text")
-        langs = batch.column(1).to_pylist()
-        totals: dict[str, np.ndarray] = {}
-        for a, b in blocks(offs):
-            for i in range(a, b):
+def _count(ranges: tuple, scripts: int):
+    def work(batches):
+        for batch in batches:
+            data, offs = column(batch, "text")
+            langs = batch.column(1).to_pylist()
+            totals: dict[str, np.ndarray] = {}
+            for i in range(batch.num_rows):
                 raw = data[offs[i] : offs[i + 1]]
-                s, e, inside, closing, script = word_tables(ALNUM[raw], np.array([0, len(raw)]), raw)
+                s, e, inside, closing, script = word_tables(ALNUM[raw], np.array([0, len(raw)]), raw, ranges)
                 mine = ALNUM[raw] != 0
-                t = totals.setdefault(langs[i], np.zeros((1 << BITS) + SCRIPTS, np.int64))
+                t = totals.setdefault(langs[i], np.zeros((1 << BITS) + scripts, np.int64))
                 np.add.at(t, inside[mine], 1)
                 np.add.at(t, closing, 1)
                 np.add.at(t, (1 << BITS) + script.astype(np.int64), 1)
-        for lang, t in totals.items():
-            at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(t[at])], names=["lang", "at", "n"])
+            for lang, t in totals.items():
+                at = np.flatnonzero(t)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(t[at])], names=["lang", "at", "n"])
+
+    return work
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Languages:
     """From at most about ``sample`` of the rows (doc_id, text, lang): trigram log-probabilities and the scripts of each language."""
+    *ranges, scripts = script_ranges()
     few = bounded_sample(rows.filter("lang is not null and text is not null"), sample, "doc_id")
-    counts = few.select("text", "lang").mapInArrow(_count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    counts = few.select("text", "lang").mapInArrow(_count(tuple(ranges), len(scripts)), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())
     number = counts["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(dtype=np.int64)
-    table = np.zeros((len(names), (1 << BITS) + SCRIPTS))
+    table = np.zeros((len(names), (1 << BITS) + len(scripts)))
     table[number, counts["at"].to_numpy()] = counts["n"].to_numpy()
     tri, script = table[:, : 1 << BITS], table[:, 1 << BITS :]
     scores = np.log((tri + 0.02) / (tri.sum(axis=1, keepdims=True) + 0.02 * (1 << BITS)))
     share = script / np.maximum(1, script.sum(axis=1, keepdims=True))
-    return Languages(names, scores.T, (share >= 0.01).T)
+    return Languages(names, scores.T, (share >= 0.01).T, tuple(ranges))
 
 
-def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
-    """Best label of each word. score: words x labels; first: the first word of each text, and the number of words."""
-    length = np.diff(first)
-    order = np.argsort(-length, kind="stable")
-    start, size = first[:-1][order], length[order]
-    longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(longest), "left")  # texts longer than t
+def settled(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """For each text the label that all its words get, or -1 where a switch may pay.
+
+    Stretches under other labels than the best single one cost a switch each, so none
+    pays where no label gains more than the penalty in any stretch. Only if they are
+    the whole text they cost one switch less; that doesn't pay if all words' best
+    gains together are no more than the penalty, or any stretch's than half of it.
+    """
+    size = np.diff(first)
+    sums = np.zeros((len(score) + 1, score.shape[1]))
+    np.cumsum(score, axis=0, out=sums[1:], dtype=np.float64)
+    best = (sums[first[1:]] - sums[first[:-1]]).argmax(axis=1)
+    del sums
+    row = np.repeat(np.arange(len(size)), size)
+    mine = score[np.arange(len(score)), best[row]]
+    most = np.zeros(len(size))
+    for j in range(score.shape[1]):
+        # Losses count for no more than 50 here, which can only make a gain look larger.
+        gain = np.maximum(score[:, j] - mine, -50.0).astype(np.float64)
+        before = np.cumsum(gain) - gain
+        before -= np.repeat(before[first[:-1][size > 0]], size[size > 0])  # from each text's start on
+        apart = row * (2 * np.abs(before).max(initial=0) + 1)  # so that no text sees the minimum of one before it
+        rise = before + gain - (np.minimum.accumulate(before - apart) + apart)
+        filled = first[:-1][size > 0]
+        if len(filled):
+            most[size > 0] = np.maximum(most[size > 0], np.maximum.reduceat(rise, filled))
+    rest = score.copy()
+    rest[np.arange(len(score)), best[row]] = -np.inf
+    without = np.zeros(len(size))
+    if len(score):
+        without[size > 0] = np.add.reduceat(rest.max(axis=1).astype(np.float64) - mine, first[:-1][size > 0])
+    return np.where((most <= penalty / 2) | ((most <= penalty) & (without <= penalty)), best, -1)
+
+
+def _forward(score: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, penalty: float, came: np.ndarray | None = None) -> np.ndarray:
+    """Lattice over texts from longest to shortest: scores of the labels after the last word, from those before the first."""
     kind = np.int8 if score.shape[1] < 128 else np.int32
-    came = np.zeros(score.shape, kind)
-    label = np.zeros(len(score), kind)
-    state = np.zeros((len(size), score.shape[1]), np.float32)
     stay = np.arange(score.shape[1], dtype=kind)
-    for t in range(longest):
-        at = start[: live[t]] + t
+    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # texts longer than t
+    for t, n in enumerate(live.tolist()):
+        at, v = start[:n] + t, state[:n]
         if t:
-            v = state[: live[t]]
-            best = v.argmax(axis=1).astype(kind)
-            top = v[np.arange(len(v)), best] - penalty
-            jump = top[:, None] > v
-            came[at] = np.where(jump, best[:, None], stay)
+            best = v.argmax(axis=1)
+            top = v[np.arange(n), best] - penalty
+            if came is not None:
+                came[at] = np.where(top[:, None] > v, best.astype(kind)[:, None], stay)
             np.maximum(v, top[:, None], out=v)
-        state[: live[t]] += score[at]
-    now = state.argmax(axis=1).astype(kind)
-    for t in range(longest - 1, -1, -1):
-        at = start[: live[t]] + t
-        mine = now[: live[t]]
+        v += score[at]
+    return state
+
+
+def lattice(score: np.ndarray, first: np.ndarray, penalty: float, entered: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
+    """Best label of each word, given the scores of the labels before the first word and the label of the last one, or neither."""
+    size = np.diff(first)
+    order = np.argsort(-size, kind="stable")
+    start, size = first[:-1][order], size[order]
+    kind = np.int8 if score.shape[1] < 128 else np.int32
+    came, label = np.zeros(score.shape, kind), np.zeros(len(score), kind)
+    state = np.zeros((len(size), score.shape[1])) if entered is None else entered[order]
+    state = _forward(score, start, size, state, penalty, came)
+    now = (state.argmax(axis=1) if left is None else left[order]).astype(kind)
+    for t in range((int(size[0]) if len(size) else 0) - 1, -1, -1):
+        n = int(np.searchsorted(-size, -t, "left"))
+        at, mine = start[:n] + t, now[:n]
         label[at] = mine
-        now[: live[t]] = came[at, mine] if t else mine
+        now[:n] = came[at, mine] if t else mine
+    return label
+
+
+def _long(score: np.ndarray, penalty: float) -> np.ndarray:
+    """As lattice, for one long text: all its pieces at once, entered with each label; then the best chain of them; then the words."""
+    n = score.shape[1]
+    first = np.append(np.arange(0, len(score), int(len(score) ** 0.5) + 1), len(score))
+    pieces = len(first) - 1
+    entry = np.where(np.eye(n, dtype=bool), 0.0, -penalty)
+    state = np.tile(entry, (pieces, 1))
+    state[:n] = 0
+    out = _forward(score, np.repeat(first[:-1], n), np.repeat(np.diff(first), n), state, penalty).reshape(pieces, n, n)
+    value, back = out[0, 0], np.zeros((pieces, n), np.int64)
+    for k in range(1, pieces):
+        chained = value[:, None] + out[k]
+        back[k], value = chained.argmax(axis=0), chained.max(axis=0)
+    left = np.zeros(pieces, np.int64)
+    left[-1] = value.argmax()
+    for k in range(pieces - 1, 0, -1):
+        left[k - 1] = back[k, left[k]]
+    entered = np.concatenate([np.zeros((1, n)), entry[left[:-1]]])
+    return lattice(score, first, penalty, entered, left)
+
+
+def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """Best label of each word. score: words x labels; first: the first word of each text, and the number of words."""
+    size = np.diff(first)
+    whole = settled(score, first, penalty)
+    label = np.repeat(whole, size)
+    long_ = (size > LONG) & (score.shape[1] <= MANY)
+    for k in np.flatnonzero((whole < 0) & long_):
+        label[first[k] : first[k + 1]] = _long(score[first[k] : first[k + 1]], penalty)
+    open_ = (whole < 0) & ~long_
+    at = np.flatnonzero(np.repeat(open_, size))
+    if len(at):
+        label[at] = lattice(score[at], np.concatenate([[0], np.cumsum(size[open_])]), penalty)
     return label
 
 
 def label_words(model: Languages, data: np.ndarray, offs: np.ndarray):
     """Of the rows between ``offs``: word starts and ends, first word of each row, label of each word, whether it has letters."""
     raw, rel = data[offs[0] : offs[-1]], offs - offs[0]
-    s, e, inside, closing, script = word_tables(ALNUM[raw], rel, raw)
+    s, e, inside, closing, script = word_tables(ALNUM[raw], rel, raw, model.ranges)
     n = len(model.names)
     score = np.empty((len(s), n), np.float32)
     for k in range(n):
@@ -155,7 +281,7 @@ def _label(held):
         n = len(model.names)
         for batch in batches:
             data, offs = column(batch, "text")
-            for a, b in blocks(offs, 2 << 20):
+            for a, b in blocks(offs, (2 << 20) * 8 // max(8, n)):
                 rows = b - a
                 lang, share, spans = ["und"] * rows, np.zeros(rows), [[] for _ in range(rows)]
                 if n:
@@ -172,14 +298,8 @@ def _label(held):
                     for c, d in zip(cut.tolist(), last.tolist(), strict=True):
                         r = int(row[c])
                         spans[r].append({"start": c - int(first[r]), "end": d - int(first[r]), "lang": model.names[label[c]]})
-                    # The ranges are coarse; without an ASCII letter the characters themselves decide whether there is any letter.
-                    plain = np.concatenate([[0], np.cumsum(_ASCII[data[offs[a] : offs[b]]])])
-                    for r in np.flatnonzero(np.diff(plain[offs[a : b + 1] - offs[a]]) == 0):
-                        text = data[offs[a + r] : offs[a + r + 1]].tobytes().decode("utf-8", "ignore")
-                        if not any(ch.isalpha() for ch in text):
-                            lang[r], share[r], spans[r] = "und", 0.0, []
-                        elif total[r] == 0:
-                            lang[r] = model.names[0]
+                    for r in np.flatnonzero(total == 0):
+                        spans[r] = []
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, rows), pa.array(lang), pa.array(share), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))],
                     names=["doc_id", "lang_pred", "score", "spans"],
