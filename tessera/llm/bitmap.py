@@ -1,8 +1,9 @@
-"""A set of hashes as a bitmap of fixed size, to filter rows by before they are shuffled.
+"""Rows of a set of hashes, picked out before they are shuffled.
 
-It may let a few rows pass that aren't meant, and never drops one that is; a join
-that follows decides. Whatever the input, a bitmap has BITS / 32768 rows of 4 kB
-at most, 8 MB in all, so that it can be broadcast.
+A small set goes to the rows as a bitmap: it has BITS / 32768 rows of 4 kB at most,
+8 MB in all, whatever the input. It may let a few rows pass that aren't meant, and
+never drops one that is; a join that follows decides. A set of more than MOST
+hashes would fill it, so that one is joined.
 """
 
 from __future__ import annotations
@@ -13,22 +14,23 @@ from pyspark.sql import functions as F
 from tessera.scratch import materialize
 
 BITS = 1 << 26
-
-
-def bitmap(hashes: DataFrame) -> DataFrame:
-    """bucket, map: a set bit per value of ``h`` modulo BITS; a written table."""
-    at = F.pmod(F.col("h"), F.lit(BITS)) + 1
-    return materialize(hashes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")), "bitmap")
-
-
-def marked(rows: DataFrame, h: Column, bits: DataFrame) -> DataFrame:
-    """``rows`` plus __set: whether the bit of ``h`` is set."""
-    joined = rows.withColumn("__at", F.pmod(h, F.lit(BITS))).withColumn("__bucket", F.bitmap_bucket_number(F.col("__at") + 1)).join(F.broadcast(bits.toDF("__bucket", "__map")), "__bucket", "left")
+#: Up to so many hashes at most one in eight of the other rows passes.
+MOST = BITS // 8
+
+
+def marked(rows: DataFrame, h: Column, keys: DataFrame, most: int = MOST) -> DataFrame:
+    """``rows`` plus __set: whether the hash is among the values of ``h`` in ``keys``."""
+    keys = materialize(keys.select("h").distinct(), "keys")
+    if keys.count() > most:
+        return rows.withColumn("__h", h).join(keys.select(F.col("h").alias("__h"), F.lit(True).alias("__set")), "__h", "left").drop("__h").withColumn("__set", F.coalesce("__set", F.lit(False)))
+    at = keys.select((F.pmod(F.col("h"), F.lit(BITS)) + 1).alias("at"))
+    bits = materialize(at.groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__map")), "bitmap")
+    joined = rows.withColumn("__at", F.pmod(h, F.lit(BITS))).withColumn("__bucket", F.bitmap_bucket_number(F.col("__at") + 1)).join(F.broadcast(bits), "__bucket", "left")
     byte = F.expr("cast(conv(hex(substring(__map, cast((__at % 32768) div 8 as int) + 1, 1)), 16, 10) as int)")
     bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0
     return joined.withColumn("__set", F.coalesce(bit, F.lit(False))).drop("__at", "__bucket", "__map")
 
 
-def among(rows: DataFrame, h: Column, bits: DataFrame) -> DataFrame:
-    """The rows whose bit is set."""
-    return marked(rows, h, bits).filter("__set").drop("__set")
+def among(rows: DataFrame, h: Column, keys: DataFrame, most: int = MOST) -> DataFrame:
+    """The rows whose hash is among the values of ``h`` in ``keys``, and perhaps a few more."""
+    return marked(rows, h, keys, most).filter("__set").drop("__set")
