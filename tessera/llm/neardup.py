@@ -12,7 +12,8 @@ than one component, members of different components are compared by their
 packed bits within the join: by set size, by the coarse signature, and by a fine
 one of 2048 minima that only the documents of such buckets get. No link between
 different components is thus left out, and links within one component cannot
-change it.
+change it. A large bucket is dealt into blocks and each two of them are a task's
+work, so that the comparisons of a hot bucket spread over the cluster.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**5)**51,
 1e-6. Estimates are compared with a bound SIGMAS standard deviations below the
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bitmap import among, bitmap
+from tessera.llm.bitmap import among
 from tessera.llm.components import components
 from tessera.llm.words import SPACED, blocks, column, grams, list_column, mix, words
 from tessera.scratch import materialize, release
@@ -34,6 +35,8 @@ from tessera.scratch import materialize, release
 WORDS, PERMS, FINE, ROWS, BITS = 5, 256, 2048, 5, 2
 BANDS = PERMS // ROWS
 SIGMAS = 5
+#: A larger bucket's members are compared in blocks of about this size, apart from each other.
+BUCKET_BLOCK = 4096
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray):
@@ -126,6 +129,7 @@ def likely_at(x: str, y: str, perms: int, percent: int):
 
     if perms > PERMS:  # too many longs for one compiled method
         return F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda a, b: a + b) <= most
+    # The first ``perms`` of perhaps more.
     parts = [unequal(F.get(F.col(x), F.lit(i)), F.get(F.col(y), F.lit(i))) for i in range(perms * BITS // 64)]
     return sum(parts[1:], parts[0]) <= most
 
@@ -144,7 +148,7 @@ def _overlap(batches):
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, text of about the documents that ``ids`` (id) names; the rest is not shuffled."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return among(plain, F.xxhash64("doc_id"), bitmap(ids.select(F.xxhash64("id").alias("h"))))
+    return among(plain, F.xxhash64("doc_id"), ids.select(F.xxhash64("id").alias("h")))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -155,6 +159,21 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_overlap, "a long, b long, inter long, union long").filter(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b").distinct()
 
 
+def _blocks(rest: DataFrame, held: tuple[str, ...], block: int = BUCKET_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a join on (key, cell), in which every two of a bucket's m rows meet, and no cell has more than about 2 ``block`` rows.
+
+    A bucket is dealt into blocks by a hash; a row goes to the cells of its block with
+    each block. Rows of one block meet in the cell of that block with itself, others
+    in that of their two blocks: where block_p is block_q and lo is not hi they have
+    met already.
+    """
+    n = F.ceil(F.col("m") / block).cast("int")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("node", "key"), n).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    cells = cells.withColumn("cell", F.struct(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    return tuple(cells.select("key", "cell", F.col("block").alias(f"block_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in held)) for side in "pq")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text, any others).
 
@@ -166,14 +185,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     signed = materialize(signatures(docs), "signed")
     held = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(held.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    sigs = classes.select("node", "n", "sig", "bands")
+    sigs = classes.select("node", "n", "sig")
 
     keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("key", "rep")
     buckets = materialize(keys.join(shared, "key").select("key", "rep", "node"), "buckets")
 
     star = buckets.filter("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(sigs.drop("bands").toDF("a", "n_p", "sig_p"), "a").join(sigs.drop("bands").toDF("b", "n_q", "sig_q"), "b")
+    star = star.join(sigs.toDF("a", "n_p", "sig_p"), "a").join(sigs.toDF("b", "n_q", "sig_q"), "b")
     sizes = F.least("n_p", "n_q") * 100 >= F.greatest("n_p", "n_q") * percent
     likely = materialize(star.filter(sizes & likely_at("sig_p", "sig_q", PERMS, percent)).select("a", "b").distinct(), "likely")
     links = materialize(confirm(likely, docs, percent), "links")
@@ -181,16 +200,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # What is left: buckets that still hold more than one component.
     named = buckets.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", "m")
     rest = materialize(named.join(split, "key"), "rest")
     texts = _texts(docs, rest.select(F.col("node").alias("id")))
     fine = texts.mapInArrow(_refine, "node long, fine array<long>")
-    rest = rest.join(sigs, "node").join(fine, "node")
-    p, q = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "sig", "fine", "bands"))) for side in ("p", "q"))
+    p, q = _blocks(rest.join(sigs.drop("sig"), "node").join(fine, "node"), ("node", "component", "n", "fine"))
     apart = (F.col("node_p") < F.col("node_q")) & (F.col("component_p") != F.col("component_q"))
-    common = F.filter(F.zip_with("bands_p", "bands_q", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    once = F.get(common, F.lit(0)) == F.col("key")  # in their first common bucket
-    more = p.join(q, "key").filter(apart & sizes & likely_at("sig_p", "sig_q", PERMS, percent) & likely_at("fine_p", "fine_q", FINE, percent) & once)
+    once = (F.col("cell.lo") == F.col("cell.hi")) | (F.col("block_p") != F.col("block_q"))
+    more = p.join(q, ["key", "cell"]).filter(apart & sizes & once & likely_at("fine_p", "fine_q", PERMS, percent) & likely_at("fine_p", "fine_q", FINE, percent))
     more = materialize(more.select(F.col("node_p").alias("a"), F.col("node_q").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "more")
     later = materialize(confirm(more, docs, percent), "links")
     if later.isEmpty():
@@ -202,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         joined = components(named.select(to("a").alias("a"), to("b").alias("b"))).toDF("component", "top")
         nodes = found.unionByName(later.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
         final = materialize(nodes.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "final")
-    for done in (buckets, likely, more):
+    for done in (buckets, likely, rest, more):
         release(done)
 
     # A class's documents share its node; its node's component is theirs.
