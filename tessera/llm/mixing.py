@@ -2,13 +2,13 @@
 
 Token counts are summed to cells of source x language x topic in one aggregation;
 fitting works on the cells alone, so a hot source costs no more than another. A
-cell's factor, scaled so that the largest is 1, is the probability with which its
-documents are sampled: in expectation the sampled tokens have all target
-marginals.
+cell's factor times the rate is the number of copies that its documents get in the
+sample, on average: in expectation the sampled tokens have all target marginals.
 
 Topics, which the documents don't carry, are the nearest of TOPICS centroids over
 hashed word counts; the centroids are fitted on all documents, by rounds of sums per
-centroid, in whole numbers so that their order does not matter.
+centroid, in whole numbers so that their order does not matter. For that each text
+is sketched once, into a written table of 256 bytes a row.
 """
 
 from __future__ import annotations
@@ -22,7 +22,11 @@ from tessera.llm.words import ALNUM, blocks, column, plain, words
 from tessera.scratch import materialize, release
 
 TOPICS, SKETCH_BITS, TOPIC_ROUNDS = 8, 8, 15
-ROUNDS, TOLERANCE = 60, 1e-9
+ROUNDS, TOLERANCE, STALL, LEEWAY = 60, 1e-9, 20, 1e-4
+#: Tokens of the sample, as a share of all.
+RATE = 0.5
+#: Rows that are sketched at once.
+ROWS = 4096
 #: Rounds in memory, where one costs next to nothing.
 MEMORY_ROUNDS = 20_000
 #: Up to this many cells the fitting is done in memory, beyond it by Spark; the result is the same.
@@ -32,75 +36,100 @@ NONE = "(none)"
 
 
 def sketches(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word count and unit vector of log word counts, by hash, of each row."""
+    """Word count of each row, and the direction of its log word counts, by hash, in 256 steps a word."""
     w, first = words(data, offs, ALNUM)
     rows, size = len(offs) - 1, 1 << SKETCH_BITS
     n = np.diff(first)
     row = np.repeat(np.arange(rows), n)
-    v = np.log1p(np.bincount(row * size + (w >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=rows * size).reshape(rows, size))
-    return n, v / np.maximum(1e-12, np.linalg.norm(v, axis=1, keepdims=True))
+    v = np.log1p(np.bincount(row * size + (w >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=rows * size).reshape(rows, size).astype(np.float32))
+    return n, np.rint(v * (255 / np.maximum(1e-12, np.linalg.norm(v, axis=1, keepdims=True)))).astype(np.uint8)
+
+
+def _held(v: pa.Array) -> np.ndarray:
+    """Sketches of a binary column, a row each."""
+    return np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), -1) if len(v) else np.zeros((0, 1 << SKETCH_BITS), np.uint8)
+
+
+def _nearest(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (v.astype(np.float32) @ c.T).argmax(axis=1)
 
 
 def _sketch(batches):
     for batch in batches:
         data, offs = column(batch, "text")
-        for a, b in blocks(offs):
-            _, v = sketches(data, offs[a : b + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel().astype(np.float32)), v.shape[1]).cast(pa.list_(pa.float32()))], names=["doc_id", "v"])
+        for a, b in blocks(offs, rows=ROWS):
+            n, v = sketches(data, offs[a : b + 1])
+            ends = pa.py_buffer((np.arange(b - a + 1) * v.shape[1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(n), pa.Array.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(np.ascontiguousarray(v))])], names=["id", "source", "lang", "tokens", "v"])
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """id, source, lang, tokens and sketch of every row, 256 bytes each; a written table."""
+    rows = docs.select(F.xxhash64("doc_id").alias("id"), *(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in DIMENSIONS[:2]), "text")
+    return materialize(rows.mapInArrow(_sketch, "id long, source string, lang string, tokens long, v binary"), "sketches")
 
 
 def _sums(shared):
-    """Of the rows' sketches: (topic, at, s), the sums over the nearest centroid in units of 2^-20."""
+    """Of the rows' sketches: (topic, at, s), the sums over the nearest centroid."""
 
     def work(batches):
         c = shared.value
         total = np.zeros(c.shape, np.int64)
         for batch in batches:
-            v = batch.column(0).flatten().to_numpy().reshape(-1, c.shape[1])
-            near = (v @ c.T).argmax(axis=1)
-            whole = np.rint(v.astype(np.float64) * (1 << 20)).astype(np.int64)
+            v = _held(batch.column(0))
+            near = _nearest(v, c)
             for k in range(len(c)):
-                total[k] += whole[near == k].sum(axis=0)
+                total[k] += v[near == k].sum(axis=0, dtype=np.int64)
         topic, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(at), pa.array(total[topic, at])], names=["topic", "at", "s"])
 
     return work
 
 
-def fit_topics(docs: DataFrame, k: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
-    """Centroids of all texts, by spherical k-means from k different texts with the least hashes; one zero centroid without texts."""
-    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialize(texts.mapInArrow(_sketch, "doc_id long, v array<float>"), "sketches")
-    worded = seen.filter(F.exists("v", lambda x: x > 0))
-    first = worded.select(F.xxhash64("doc_id").alias("h"), "v").distinct().orderBy("h", "v").limit(8 * k).collect()
-    start = list(dict.fromkeys(tuple(r["v"]) for r in first))[:k]
+def fit_topics(seen: DataFrame, k: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
+    """Centroids of all sketches, by spherical k-means from k different ones with the least hashes; one zero centroid without words."""
+    worded = seen.filter("tokens > 0")
+    first = worded.select("id", "v").distinct().orderBy("id", "v").limit(8 * k).collect()
+    start = list(dict.fromkeys(bytes(r["v"]) for r in first))[:k]
     if not start:
-        release(seen)
         return np.zeros((1, 1 << SKETCH_BITS), np.float32)
-    c = np.array(start, np.float32)
+    c = np.frombuffer(b"".join(start), np.uint8).reshape(len(start), -1).astype(np.float32)
+    c /= np.maximum(1e-12, np.linalg.norm(c, axis=1, keepdims=True))
     for _ in range(rounds):
-        held = docs.sparkSession.sparkContext.broadcast(c)
+        held = seen.sparkSession.sparkContext.broadcast(c)
         total, now = np.zeros(c.shape), c
-        for r in seen.select("v").mapInArrow(_sums(held), "topic long, at long, s long").groupBy("topic", "at").agg(F.sum("s").alias("s")).collect():
+        for r in worded.select("v").mapInArrow(_sums(held), "topic long, at long, s long").groupBy("topic", "at").agg(F.sum("s").alias("s")).collect():
             total[r["topic"], r["at"]] = r["s"]
         held.destroy()
         size = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(size > 0, total / np.maximum(1e-12, size), c).astype(np.float32)
         if np.array_equal(c, now):
             break
-    release(seen)
     return c
 
 
+def _topics(shared):
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f"topic{k}" for k in _nearest(_held(batch.column(3)), shared.value)], pa.string())], names=["source", "lang", "tokens", "topic"])
+
+    return work
+
+
+def topic_rows(seen: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """source, lang, tokens, topic of every sketch."""
+    held = seen.sparkSession.sparkContext.broadcast(centroids)
+    return seen.select("source", "lang", "tokens", "v").mapInArrow(_topics(held), "source string, lang string, tokens long, topic string")
+
+
 def _assign(shared):
     def work(batches):
-        c = shared.value
         for batch in batches:
             data, offs = column(batch, "text")
-            for a, b in blocks(offs):
+            for a, b in blocks(offs, rows=ROWS):
                 n, v = sketches(data, offs[a : b + 1])
-                topic = [f"topic{k}" for k in (v @ c.T).argmax(axis=1)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(batch.num_columns)), pa.array(n), pa.array(topic)], names=[*batch.schema.names, "__tokens", "__topic"])
+                topic = [f"topic{k}" for k in _nearest(v, shared.value)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(batch.num_columns)), pa.array(n), pa.array(topic, pa.string())], names=[*batch.schema.names, "__tokens", "__topic"])
 
     return work
 
@@ -113,11 +142,9 @@ def with_topics(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
     return docs.mapInArrow(_assign(shared), schema)
 
 
-def tempered(shares: dict[str, float], power: float = 0.7) -> dict[str, float]:
-    """Shares raised to a power below 1, so that large parts shrink and small ones grow."""
-    raised = {k: v**power for k, v in shares.items() if v > 0}
-    total = sum(raised.values()) or 1.0
-    return {k: v / total for k, v in raised.items()}
+def _stalled(moved: list[float]) -> bool:
+    """Whether rounds no longer bring the marginals closer: by less than a hundredth in STALL rounds."""
+    return len(moved) > STALL and moved[-1] > 0.99 * moved[-1 - STALL]
 
 
 def rake_memory(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int = MEMORY_ROUNDS) -> dict[tuple, float]:
@@ -128,7 +155,9 @@ def rake_memory(cells: dict[tuple, float], targets: list[dict[str, float]], roun
     index = []
     for d, target in enumerate(targets):
         names = sorted({k[d] for k in keys})
-        index.append((np.array([names.index(k[d]) for k in keys], np.int64), np.array([target.get(n, 0.0) for n in names])))
+        number = {n: i for i, n in enumerate(names)}
+        index.append((np.array([number[k[d]] for k in keys], np.int64), np.array([target.get(n, 0.0) for n in names])))
+    history: list[float] = []
     for _ in range(rounds):
         moved = 0.0
         for at, share in index:
@@ -136,43 +165,57 @@ def rake_memory(cells: dict[tuple, float], targets: list[dict[str, float]], roun
             scale = np.where(now > 0, share * total / np.where(now > 0, now, 1), 1.0)
             moved = max(moved, float(np.abs(scale - 1).max(initial=0)))
             factor = factor * scale[at]
-        if moved < TOLERANCE:
+        history.append(moved)
+        if moved < TOLERANCE or _stalled(history):
             break
     return dict(zip(keys, factor.tolist(), strict=True))
 
 
 def rake_spark(cells: DataFrame, targets: list[DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """As rake_memory, where cells (source, lang, topic, tokens) and targets (value, share) are too many for one machine."""
+    """As rake_memory, with the same test for the end, where cells (source, lang, topic, tokens) and targets (value, share) are too many for one machine."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = materialize(cells.withColumn("factor", F.lit(1.0)), "cells")
+    history: list[float] = []
     for _ in range(rounds):
-        out = now
+        out = now.withColumn("moved", F.lit(0.0))
         for d, target in zip(DIMENSIONS, targets, strict=True):
             sums = out.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now")).join(target.toDF(d, "share"), d, "left")
             scale = sums.select(d, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("now")).otherwise(1.0).alias("scale"))
-            out = out.join(scale, d).withColumn("factor", F.col("factor") * F.col("scale")).drop("scale")
-        new = materialize(out.select(*now.columns), "cells")
-        moved = new.join(now.withColumnRenamed("factor", "was"), [*DIMENSIONS, "tokens"]).agg(F.max(F.abs(F.col("factor") / F.when(F.col("was") > 0, F.col("was")) - 1))).first()[0]
+            out = out.join(scale, d).withColumns({"factor": F.col("factor") * F.col("scale"), "moved": F.greatest("moved", F.abs(F.col("scale") - 1))}).drop("scale")
+        new = materialize(out.select(*now.columns, "moved"), "cells")
         release(now)
-        now = new
-        if (moved or 0) < TOLERANCE:
+        now = new.drop("moved")
+        now._tessera_path = new._tessera_path
+        history.append(new.agg(F.max("moved")).first()[0] or 0.0)
+        if history[-1] < TOLERANCE or _stalled(history):
             break
     return now
 
 
-def _cells(docs: DataFrame) -> DataFrame:
-    return docs.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+def _check(residual: float, targets) -> None:
+    if targets and residual > LEEWAY:
+        raise ValueError(f"mixing: no weights have all the targets; a share stays off by {residual:.2e}")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
 
 
-def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, bound: int = CELLS) -> DataFrame:
-    """source, lang, topic, factor, probability of each cell of ``rows`` (source, lang, topic, tokens).
+def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, bound: int = CELLS, rate: float = RATE) -> DataFrame:
+    """source, lang, topic, factor, expected, probability, residual of each cell of ``rows`` (source, lang, topic, tokens).
 
-    Without targets the marginals of the rows themselves are tempered by ``power``.
+    Without targets the cells' tokens are raised to ``power``, so that large ones
+    shrink, and the marginals of that are aimed at; some weights have them all.
     A value that a target doesn't name gets probability 0; a target value without
-    rows is left out and the rest scaled up by the fitting.
+    rows is left out and the rest scaled up by the fitting. expected is the number
+    of copies of a document in a sample of ``rate`` times the tokens, probability
+    that of at least one. residual, the same in all rows, is the largest difference
+    between a target share and the one reached. Given targets that no weights of the
+    cells have together leave one above LEEWAY, which is an error.
     """
     spark = rows.sparkSession
     cells = materialize(_cells(rows), "cells")
+    copies = [F.col("factor"), (F.col("factor") * rate).alias("expected"), F.least(F.lit(1.0), F.col("factor") * rate).alias("probability")]
     if cells.count() <= bound:
         held = {tuple(r[d] for d in DIMENSIONS): float(r["tokens"]) for r in cells.collect()}
         total = sum(held.values()) or 1.0
@@ -180,55 +223,72 @@ def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None =
         for i, d in enumerate(DIMENSIONS):
             shares: dict[str, float] = {}
             for k, v in held.items():
-                shares[k[i]] = shares.get(k[i], 0.0) + v / total
-            given = {k: v for k, v in (targets or {}).get(d, {}).items() if k in shares} or tempered(shares, power)
-            size = sum(given.values()) or 1.0
-            want.append({k: v / size for k, v in given.items()})
+                shares[k[i]] = shares.get(k[i], 0.0) + (v**power if v > 0 else 0.0)
+            shares = {k: v for k, v in (targets or {}).get(d, {}).items() if k in shares} or shares
+            size = sum(shares.values()) or 1.0
+            want.append({k: v / size for k, v in shares.items()})
         fitted = rake_memory(held, want)
-        most = max(fitted.values(), default=0.0) or 1.0
-        return spark.createDataFrame([(*k, v, v / most) for k, v in sorted(fitted.items())], ", ".join(f"{d} string" for d in DIMENSIONS) + ", factor double, probability double")
+        residual = 0.0
+        for i, share in enumerate(want):
+            got: dict[str, float] = {}
+            for k, v in held.items():
+                got[k[i]] = got.get(k[i], 0.0) + v * fitted[k] / total
+            residual = max([residual, *(abs(v - share.get(k, 0.0)) for k, v in got.items())])
+        _check(residual, targets)
+        made = spark.createDataFrame([(*k, v) for k, v in sorted(fitted.items())], ", ".join(f"{d} string" for d in DIMENSIONS) + ", factor double")
+        return made.select(*DIMENSIONS, *copies, F.lit(residual).alias("residual"))
     want = []
     for d in DIMENSIONS:
-        sums = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("n")).filter("n > 0")
+        share = cells.filter("tokens > 0").groupBy(d).agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(power))).alias("share"))
         given = (targets or {}).get(d)
         if given:
-            share = sums.join(spark.createDataFrame(list(given.items()), f"{d} string, share double"), d).select(d, "share")
-        else:
-            share = sums.select(d, F.pow("n", F.lit(power)).alias("share"))
+            share = share.select(d).join(spark.createDataFrame(list(given.items()), f"{d} string, share double"), d)
         size = share.agg(F.sum("share")).first()[0] or 1.0
         want.append(share.select(F.col(d).alias("value"), (F.col("share") / size).alias("share")))
     fitted = rake_spark(cells, want)
-    most = fitted.agg(F.max("factor")).first()[0] or 1.0
-    return fitted.select(*DIMENSIONS, "factor", (F.col("factor") / most).alias("probability"))
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    residual = 0.0
+    for d, share in zip(DIMENSIONS, want, strict=True):
+        got = fitted.groupBy(F.col(d).alias("value")).agg((F.sum(F.col("tokens") * F.col("factor")) / total).alias("got")).join(share, "value", "left")
+        residual = max(residual, got.agg(F.max(F.abs(F.col("got") - F.coalesce("share", F.lit(0.0))))).first()[0] or 0.0)
+    _check(residual, targets)
+    return fitted.select(*DIMENSIONS, *copies, F.lit(residual).alias("residual"))
 
 
 def marginals(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """dimension, value, share: what the ``probabilities`` of ``rows`` reach of each marginal, in expected tokens."""
-    weighed = rows.join(F.broadcast(cells.select(*DIMENSIONS, "probability")), [*DIMENSIONS]).withColumn("w", F.col("tokens") * F.col("probability"))
+    """dimension, value, share: what the copies that ``cells`` (as ``probabilities`` gives them) expect of ``rows`` reach of each marginal, in tokens."""
+    weighed = rows.join(cells.select(*DIMENSIONS, "expected"), [*DIMENSIONS]).withColumn("w", F.col("tokens") * F.col("expected"))
+    total = weighed.agg(F.sum("w")).first()[0] or 1.0
     sums = weighed.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS])).alias("k"), "w").groupBy("k").agg(F.sum("w").alias("w"))
-    total = weighed.agg(F.sum("w").alias("all"))
-    return sums.crossJoin(F.broadcast(total)).select("k.*", (F.col("w") / F.col("all")).alias("share"))
+    return sums.select("k.*", (F.col("w") / total).alias("share"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 1, bound: int = CELLS) -> DataFrame:
-    """``docs``, all columns, plus topic, n_tokens, factor, probability and sampled, under names with a leading __.
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 1, bound: int = CELLS, rate: float = RATE) -> DataFrame:
+    """``docs``, all columns, plus topic, tokens, factor, expected, probability, residual, copies and sampled, under names with a leading __.
 
     Null or missing source and lang are a value of their own, "(none)". A text
-    without words has 0 tokens and its cell's probability. Sampling is by a hash of
-    the doc_id (of the text where that is null), so it is the same in every run and
-    for repeated rows.
+    without words has 0 tokens and its cell's probability. copies is ``expected``
+    rounded up or down by a hash of the doc_id (of the text where that is null), so
+    it is the same in every run and for repeated rows; sampled is copies > 0. A cell
+    whose target asks for more than its documents hold has copies above 1, so that
+    the marginals are met whatever the factors.
     """
-    tagged = with_topics(docs, fit_topics(docs))
+    seen = sketched(docs)
+    centroids = fit_topics(seen)
+    cells = materialize(probabilities(topic_rows(seen, centroids), targets, bound=bound, rate=rate), "cells")
+    release(seen)
+    tagged = with_topics(docs, centroids)
     dims = {"source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "topic": F.col("__topic")}
-    cells = probabilities(materialize(tagged.select(*(c.alias(d) for d, c in dims.items()), F.col("__tokens").alias("tokens")), "tagged"), targets, bound=bound)
     small = cells.count() <= bound
-    named = cells.select(*(F.col(d).alias(f"__{d}_of") for d in DIMENSIONS), F.col("factor").alias("__factor"), F.col("probability").alias("__probability"))
+    named = cells.select(*(F.col(d).alias(f"__{d}_of") for d in DIMENSIONS), *(F.col(c).alias(f"__{c}") for c in ("factor", "expected", "probability", "residual")))
     joined = tagged.join(F.broadcast(named) if small else named, [c == F.col(f"__{d}_of") for d, c in dims.items()], "left").drop(*(f"__{d}_of" for d in DIMENSIONS))
-    draw = F.pmod(F.coalesce(F.xxhash64("doc_id", F.lit(seed)), F.xxhash64("text", F.lit(seed))), F.lit(1 << 52)) / float(1 << 52)
-    return joined.withColumn("__sampled", draw < F.coalesce("__probability", F.lit(0.0)))
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    draw = F.pmod(drawn, F.lit(1 << 52)) / float(1 << 52)
+    whole = F.floor("__expected")
+    return joined.withColumn("__copies", F.coalesce(whole + (draw < F.col("__expected") - whole).cast("long"), F.lit(0).cast("long"))).withColumn("__sampled", F.col("__copies") > 0)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, factor, probability, sampled of every row of ``docs``."""
+    """doc_id, source, lang, topic, n_tokens, factor, probability, residual, copies, sampled of every row of ``docs``."""
     out = mix(docs.select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__factor").alias("factor"), F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"))
+    return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), *(F.col(f"__{c}").alias(c) for c in ("factor", "probability", "residual", "copies", "sampled")))
