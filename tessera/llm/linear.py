@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import column, hash_spans, mix
+from tessera.scratch import materialize, release
 
 #: Kinds of bytes: 0 ends a token; letters, digits and what is beyond ASCII form words; each other byte value forms runs of its own.
 _KIND = np.zeros(256, np.uint16)
@@ -48,12 +49,17 @@ def bounded_sample(rows: DataFrame, limit: int, *key: str) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int(limit / total * (1 << 40)))
 
 
-def fit_in_task(examples: DataFrame, fit, schema: str):
+#: Bytes of text that training takes at most; a text of more than a sixteenth of it is not learned from.
+SAMPLE_BYTES = 128 << 20
+
+
+def fit_in_task(examples: DataFrame, fit, schema: str, limit: int = SAMPLE_BYTES):
     """The rows (pandas) that ``fit`` makes of a bounded sample (doc_id, y, text), in one task.
 
     fit(data, offs, y) gets the texts in the order of doc_id, whatever the
-    partitions were, and returns arrays by column name. The task's memory follows
-    from the sample's bound; if its executor is lost, it runs again elsewhere.
+    partitions were, and returns arrays by column name. Where the sample's texts have
+    more than ``limit`` bytes, those of a part of it by a hash. The task's memory
+    follows from the sample's bounds; if its executor is lost, it runs again elsewhere.
     """
 
     def work(batches):
@@ -67,7 +73,13 @@ def fit_in_task(examples: DataFrame, fit, schema: str):
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], names=list(found))
 
     rows = examples.filter(F.col("y").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition(1).mapInArrow(work, schema).toPandas()
+    rows = materialize(rows.filter(F.octet_length("text") <= limit // 16), "examples")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > limit:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < int(limit / total * (1 << 40)))
+    out = rows.repartition(1).mapInArrow(work, schema).toPandas()
+    release(rows)
+    return out
 
 
 class Leader:
