@@ -1,14 +1,17 @@
 """Toxicity (operator 10): cumulative-link ordinal regression on sparse text features.
 
-Grades. The labels say toxic or not; the severity of a toxic document is the
-number of its screened words and stems (below), cut at the terciles of the
-training sample: 0 none, 1 mild, 2 marked, 3 severe.
-
-Model. P(grade > k) = sigmoid(w.x - theta_k) with one weight vector w >= 0 for all
+Model. P(grade >= k) = sigmoid(w.x - theta_k) with one weight vector w >= 0 for all
 thresholds theta_1 < theta_2 < theta_3: clean words don't make up for toxic ones.
 x holds the log-scaled counts of the words and word beginnings of 4 to 8 bytes
-that the screen below lets in. The fit is a proximal gradient descent with steps
-per coordinate. The expected severity is the sum over k of P(grade > k).
+that the screen below lets in. The expected severity is the sum over k of
+P(grade >= k).
+
+Fit. The likelihood of a grade known to lie in lo..hi is P(grade >= lo) less
+P(grade > hi), a difference of two sigmoids; its slopes drive a proximal gradient
+ascent with steps per coordinate. The labels here say toxic or not, which is grade
+0, or 1 to 3. They leave theta_2 and theta_3 open; those are put where, by the
+model, a toxic document of the sample passes them with 2/3 and 1/3 on average.
+Labels that name the grade (``graded``) fit all thresholds.
 
 Screen. A feature comes in if, of the sample's documents that hold it, a Wilson
 bound puts more than LEAST_SHARE among the toxic ones. Copies count together as
@@ -83,53 +86,79 @@ def screen(row: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (n > 0) & (bound > LEAST_SHARE)
 
 
-def _fit(data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    parts = []
-    for a, b in blocks(offs):
-        r, f, c = features(data, offs[a : b + 1])
-        parts.append(((r + a).astype(np.int32), f.astype(np.int32), c.astype(np.int32)))
-    row, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    used = screen(row, at, y)[at]
-    names, column_ = np.unique(at[used], return_inverse=True)
-    row, x = row[used], np.log1p(n[used])
-    dose = np.bincount(row, minlength=len(y))
-    held = dose[(y == 1) & (dose > 0)]
-    cuts = np.quantile(held, [1 / 3, 2 / 3]) if len(held) else np.zeros(2)
-    grade = np.where(y == 1, 1 + (dose > cuts[0]) + (dose > cuts[1]), 0)
+def likelihood(dot: np.ndarray, theta: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted log-likelihood of grades that lie in lo..hi, and its slopes by the rows' dot products and by the thresholds."""
+    n, row = len(dot), np.arange(len(dot))
+    p = np.concatenate([np.ones((n, 1)), above(theta, dot), np.zeros((n, 1))], axis=1)  # P(grade >= k), k from 0 to GRADES + 1
+    a, b = p[row, lo], p[row, hi + 1]
+    q = np.maximum(a - b, 1e-12)
+    up, down = weight * a * (1 - a) / q, weight * b * (1 - b) / q
+    slope = np.bincount(hi + 1, weights=down, minlength=GRADES + 2) - np.bincount(lo, weights=up, minlength=GRADES + 2)
+    return float((weight * np.log(q)).sum()), up - down, slope[1 : GRADES + 1]
+
+
+def fit_ordinal(row: np.ndarray, at: np.ndarray, x: np.ndarray, size: int, lo: np.ndarray, hi: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (``size`` of them) and thresholds from a sparse matrix (row, at, x) and the grades lo..hi of its rows."""
     # Rare grades count as much as the rest together, up to tenfold.
-    weight = np.where(grade > 0, min(10.0, max(1.0, (grade == 0).sum() / max(1, (grade > 0).sum()))), 1.0)
+    bad = lo > 0
+    weight = np.where(bad, min(10.0, max(1.0, (~bad).sum() / max(1, bad.sum()))), 1.0)
     weight /= weight.sum()
-    above = grade[:, None] > np.arange(GRADES)
-    share = np.clip((weight[:, None] * above).sum(axis=0), 1e-3, 1 - 1e-3)
-    theta, w = np.log(1 / share - 1), np.zeros(len(names))
-    past, theta_past = np.full(len(names), 1e-12), np.full(GRADES, 1e-12)
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[column_] * x, minlength=len(y))[:, None] - theta, -30, 30)))
-        g = (p - above) * weight[:, None]
-        slope = np.bincount(column_, weights=g.sum(axis=1)[row] * x, minlength=len(names)) + L2 * w
+    reached = lo[:, None] > np.arange(GRADES)
+    share = np.clip((weight[:, None] * reached).sum(axis=0), 1e-3, 1 - 1e-3)
+    theta, w = np.maximum.accumulate(np.log(1 / share - 1) + np.arange(GRADES) * 1e-3), np.zeros(size)
+    past, theta_past = np.full(size, 1e-12), np.full(GRADES, 1e-12)
+    for _ in range(steps):
+        _, by_dot, by_theta = likelihood(np.bincount(row, weights=w[at] * x, minlength=len(lo)), theta, lo, hi, weight)
+        slope = L2 * w - np.bincount(at, weights=by_dot[row] * x, minlength=size)
         past += slope * slope
         w = np.maximum(0.0, w - STEP / np.sqrt(past) * slope)
-        slope = -g.sum(axis=0)
-        theta_past += slope * slope
-        theta = np.maximum.accumulate(theta - STEP / np.sqrt(theta_past) * slope + np.arange(GRADES) * 1e-6)
+        theta_past += by_theta * by_theta
+        theta = theta + STEP / np.sqrt(theta_past) * by_theta
+        theta = np.maximum.accumulate(theta + np.arange(GRADES) * 1e-6)
     # The weighting raised all probabilities: the thresholds take them back to the sample's own shares.
-    dot = np.bincount(row, weights=w[column_] * x, minlength=len(y))
-    low, high = np.full(GRADES, -40.0), np.full(GRADES, 40.0)
-    for _ in range(60):
-        theta = (low + high) / 2
-        more = (1 / (1 + np.exp(-np.clip(dot[:, None] - theta, -40, 40)))).mean(axis=0) > above.mean(axis=0)
-        low, high = np.where(more, theta, low), np.where(more, high, theta)
-    theta = np.maximum.accumulate(theta)
-    cut = best_cut(1 / (1 + np.exp(-np.clip(dot - theta[0], -30, 30))), grade > 0)
-    kind = np.repeat([0, 1, 2], [GRADES, 1, len(names)])
-    return {"kind": kind, "at": np.concatenate([np.arange(GRADES), [0], names]), "value": np.concatenate([theta, [cut], w])}
-
-
-def train(examples: DataFrame) -> Ordinal:
-    """The model from a bounded number of rows (doc_id, text, y in 0 and 1); without rows it predicts grade 0."""
-    found = fit_in_task(examples, _fit, "kind long, at long, value double")
-    if not len(found):
+    dot = np.bincount(row, weights=w[at] * x, minlength=len(lo))
+    split = (lo == hi).all()
+    for k in range(GRADES):
+        low, high = -40.0, 40.0
+        for _ in range(60):
+            theta[k] = (low + high) / 2
+            p = 1 / (1 + np.exp(-np.clip(dot - theta[k], -40, 40)))
+            if k and not split:
+                more = p[bad].sum() > (GRADES - k) / GRADES * above(theta[:1], dot)[bad].sum() if bad.any() else True
+            else:
+                more = p.mean() > (lo > k).mean()
+            low, high = (theta[k], high) if more else (low, theta[k])
+    return w, np.maximum.accumulate(theta)
+
+
+def _fit(graded: bool):
+    def fit(data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        parts = [(np.zeros(0, np.int32),) * 3]
+        for a, b in blocks(offs):
+            r, f, c = features(data, offs[a : b + 1])
+            parts.append(((r + a).astype(np.int32), f.astype(np.int32), c.astype(np.int32)))
+        row, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        y = np.clip(y, 0, GRADES if graded else 1).astype(np.int64)
+        used = screen(row, at, (y > 0).astype(np.int64))[at]
+        names, column_ = np.unique(at[used], return_inverse=True)
+        row, x = row[used], np.log1p(n[used])
+        w, theta = fit_ordinal(row, column_, x, len(names), y, y if graded else y * GRADES)
+        dot = np.bincount(row, weights=w[column_] * x, minlength=len(y))
+        cut = best_cut(above(theta[:1], dot)[:, 0], y > 0)
+        kind = np.repeat([0, 1, 2], [GRADES, 1, len(names)])
+        return {"kind": kind, "at": np.concatenate([np.arange(GRADES), [0], names]), "value": np.concatenate([theta, [cut], w])}
+
+    return fit
+
+
+def train(examples: DataFrame, graded: bool = False) -> Ordinal:
+    """The model from a bounded number of rows (doc_id, text, y); without rows it predicts grade 0.
+
+    y is 0 or 1, or with ``graded`` the grade, 0 to 3.
+    """
+    if examples.isEmpty():
         return Ordinal(np.zeros(1 << BITS), 10.0 + np.arange(GRADES))
+    found = fit_in_task(examples, _fit(graded), "kind long, at long, value double")
     part = lambda k: found[found["kind"] == k]
     w = np.zeros(1 << BITS)
     w[part(2)["at"].to_numpy()] = part(2)["value"].to_numpy()
