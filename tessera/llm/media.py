@@ -15,10 +15,11 @@ import hashlib
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.words import column
+from tessera.llm.words import blocks, column
 
 # Fixed values of the format.
 PACKET, SYNC, STUFFING = 188, 0x47, 0xFF
@@ -28,6 +29,8 @@ CRC_POLYNOMIAL, CLOCK = 0x04C11DB7, 90_000
 UNIT = 576
 #: Units in an elementary packet, samples a second, elementary packets from one random-access point to the next.
 UNITS, RATE, RAP_EVERY = 4, 8000, 4
+#: Rows and bytes of text whose streams are made at once.
+STORE_ROWS, STORE_BYTES = 64, 32 << 20
 
 
 def crc_table() -> list[int]:
@@ -40,10 +43,13 @@ def crc_table() -> list[int]:
     return out
 
 
+CRC_TABLE = crc_table()
+
+
 def section_crc(data: bytes) -> int:
-    table, c = crc_table(), 0xFFFFFFFF
+    c = 0xFFFFFFFF
     for b in data:
-        c = ((c << 8) & 0xFFFFFFFF) ^ table[(c >> 24) ^ b]
+        c = ((c << 8) & 0xFFFFFFFF) ^ CRC_TABLE[(c >> 24) ^ b]
     return c
 
 
@@ -208,13 +214,13 @@ def padded(text: bytes) -> bytes:
 
 
 def _store(batches):
+    """Streams in batches of at most STORE_ROWS rows and, but for a single longer one, STORE_BYTES of text."""
     head = tables()
     for batch in batches:
         data, offs = column(batch, "text")
-        for i in range(0, batch.num_rows, 64):
-            rows = range(i, min(i + 64, batch.num_rows))
-            media = [mux(padded(data[offs[r] : offs[r + 1]].tobytes()), head) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(rows)), pa.array([int(offs[r + 1] - offs[r]) for r in rows], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for a, b in blocks(offs, STORE_BYTES, STORE_ROWS):
+            media = [mux(padded(data[offs[r] : offs[r + 1]].tobytes()), head) for r in range(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offs[a : b + 1])), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -243,13 +249,22 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, types.get(c, pa.int64())) for c, v in out.items())], names=["doc_id", "n_bytes", *out])
 
 
+_FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
+
+
 def features(media: DataFrame) -> DataFrame:
     """What the stored streams (doc_id, n_bytes, media) hold, read from their bytes; pts and random_access list every elementary packet."""
-    kind = dict(media.dtypes)["doc_id"]
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        _read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
-    )
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, f"doc_id {dict(media.dtypes)['doc_id']}, {_FEATURES}")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return features(stored(docs)).drop("pts", "random_access")
+    """``features`` of the ``stored`` texts of every row of ``docs``, without the lists; streams are stored and read back within one task.
+
+    A null text is empty; a null doc_id stays null. One row's stream has to stay
+    below 2 GB.
+    """
+
+    def work(batches):
+        yield from _read(_store(batches))
+
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, {_FEATURES}").drop("pts", "random_access")
