@@ -76,10 +76,11 @@ def format_conversations(rows: DataFrame, learned_role: str = "assistant") -> Da
     text; repeated rows are repeated turns; a null conv_id is a conversation.
     loss_mask lists the texts of ``learned_role``: segment (counted from 0), start
     within it, start within formatted, length, in characters. round_trip says that
-    the parsed turns equal the source; it holds for every input.
+    the parsed turns equal the source; a conversation for which they don't is an error.
 
-    A conversation is one value here (its digests are over its whole text), so one
-    must fit in a row.
+    A conversation is one value here (its digests are over its whole text), so its
+    turns and their formatted text must fit in a row: 2 GB by Spark's limit, and about
+    a tenth of a task's memory.
     """
     flat = rows.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     role, text = F.col("role"), F.col("text")
@@ -107,7 +108,8 @@ def format_conversations(rows: DataFrame, learned_role: str = "assistant") -> Da
         F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
         mask.alias("loss_mask"),
     )
-    return made.withColumn("round_trip", parsed_turns(F.col("formatted")) == F.col("turns"))
+    same = parsed_turns(F.col("formatted")) == F.col("turns")
+    return made.withColumn("round_trip", F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("chat: a conversation does not come back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("boolean")))
 
 
 def parsed_turns(formatted: Column) -> Column:
