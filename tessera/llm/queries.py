@@ -37,7 +37,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = w.doc_id GROUP BY w.do
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import report
 
-    return report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hit_spans", "longest_match")
+    return report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 _OP4_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,9 +51,19 @@ spots AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS p, unnest(list_
   FROM d, sizes WHERE len(ws) >= n),
 occ AS (SELECT doc_id, p, win.n, item FROM spots JOIN win ON spots.n = win.n AND spots.g = win.g),
 hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS w FROM occ) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
-SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id),
+hw AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS w FROM occ),
+isl AS (SELECT doc_id, min(w) - 1 AS a, max(w) AS b FROM (SELECT doc_id, w, w - row_number() OVER (PARTITION BY doc_id ORDER BY w) AS g FROM hw) GROUP BY doc_id, g),
+spans AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS hit_spans FROM isl GROUP BY doc_id),
+dw AS (SELECT doc_id, unnest(range(0, len(ws))) AS p, unnest(ws) AS w FROM d),
+bt AS (SELECT row_number() OVER () AS r, ws FROM (SELECT DISTINCT ws FROM b)),
+bw AS (SELECT r, unnest(range(0, len(ws))) AS q, unnest(ws) AS w FROM bt),
+eq AS (SELECT doc_id, r, p - q AS diag, p FROM dw JOIN bw USING (w)),
+run AS (SELECT doc_id, min(p) AS a, count(*) AS m FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, r, diag ORDER BY p) AS g FROM eq) GROUP BY doc_id, r, diag, g),
+best AS (SELECT doc_id, max(m) AS longest_match, arg_min(a, (-m, a)) AS longest_start FROM run GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(longest_match, 0) AS longest_match, coalesce(longest_start, -1) AS longest_start, coalesce(hit_spans, '') AS hit_spans
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 
@@ -110,24 +120,31 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_documents(spark, sf_dir))
 
 
-OP5_SQL = r"""
-WITH ls AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-hs AS (SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 10))::BIGINT) AS h FROM ls),
-es AS (SELECT *, list_distinct(list_append(list_filter(range(1, len(h) + 1), lambda i: (h[i] + 31 * CASE WHEN i = 1 THEN 0 ELSE h[i - 1] END) % 4 = 0), len(h))) AS es0 FROM hs),
-cs AS (SELECT doc_id, list_sort(es0) AS es, ls FROM es),
-ch AS (SELECT doc_id, unnest(range(0, len(es))) AS place, unnest(list_transform(range(1, len(es) + 1), lambda k: es[k] - CASE WHEN k = 1 THEN 0 ELSE es[k - 1] END)) AS n,
-  unnest(list_transform(range(1, len(es) + 1), lambda k: array_to_string(ls[CASE WHEN k = 1 THEN 1 ELSE es[k - 1] + 1 END:es[k]], chr(10)))) AS t FROM cs),
-mk AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY t, n >= 2 ORDER BY doc_id, place) > 1 AS gone FROM ch)
-SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(length(string_agg(t, chr(10) ORDER BY place) FILTER (NOT gone)), 0)::BIGINT AS n_chars,
-  sha256(coalesce(string_agg(t, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS text_sha256
-FROM mk GROUP BY doc_id
+_OP5_WORD = r"[^\x20\x09-\x0D]"
+OP5_SQL = rf"""
+WITH l0 AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+w AS (SELECT doc_id, i, t, len(regexp_extract_all(t, '{_OP5_WORD}+')) AS n, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM l0 WHERE regexp_matches(t, '{_OP5_WORD}')),
+x AS (SELECT *, row_number() OVER o AS k, coalesce(lag(h, 1) OVER o, 0) AS h1, coalesce(lag(h, 2) OVER o, 0) AS h2, coalesce(lag(h, 3) OVER o, 0) AS h3, lead(h) OVER o AS following, lead(h, 2) OVER o AS then_, sum(n) OVER o AS c
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, ((((h3 * 1000003 % 2147483647 + h2) * 1000003 % 2147483647 + h1) * 1000003 % 2147483647 + h) % 2147483647 < 536870911 OR (k > 1 AND h = h1) OR coalesce(following = then_, false)) AND h IS DISTINCT FROM following AS cut FROM x),
+g AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+chunks AS (SELECT doc_id, 0 AS kind, min(i) AS s, max(i) AS e, list(t ORDER BY k) AS key FROM g GROUP BY doc_id, chunk HAVING count(*) >= 2),
+ahead AS (SELECT a.doc_id, a.k AS k0, min(b.k) AS k1 FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 50 AND b.c - a.c + a.n > 50 GROUP BY a.doc_id, a.k),
+back AS (SELECT a.doc_id, max(b.k) AS k0, a.k AS k1 FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k - 50 AND a.k AND a.c - b.c + b.n > 50 GROUP BY a.doc_id, a.k),
+windows AS (SELECT p.doc_id, 1 AS kind, min(i) AS s, max(i) AS e, list(t ORDER BY k) AS key FROM (SELECT * FROM ahead UNION SELECT * FROM back) p JOIN x ON x.doc_id = p.doc_id AND x.k BETWEEN k0 AND k1 GROUP BY p.doc_id, k0, k1),
+units AS (SELECT * FROM chunks UNION ALL SELECT * FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY doc_id, s) > 1 AS again FROM units) WHERE again)
+SELECT l0.doc_id, count(gone.i) AS n_removed, coalesce(length(string_agg(t, chr(10) ORDER BY l0.i) FILTER (gone.i IS NULL)), 0)::BIGINT AS n_chars,
+  sha256(coalesce(string_agg(t, chr(10) ORDER BY l0.i) FILTER (gone.i IS NULL), '')) AS text_sha256
+FROM l0 LEFT JOIN gone USING (doc_id, i) GROUP BY l0.doc_id
 """
 
 
 def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.passages import report
+    """The same operator for passages of more than 50 words alone."""
+    from tessera.llm.linededup import report
 
-    return report(_documents(spark, sf_dir))
+    return report(_documents(spark, sf_dir), chunks=False)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,4 +170,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: globals()[f"{name.split('_')[0].upper()}_SQL"] for name in queries() if f"{name.split('_')[0].upper()}_SQL" in globals() and name != "op5_passage_dedup"}
+    found = {name: globals().get(f"{name.split('_')[0].upper()}_SQL") for name in queries()}
+    found["op5_passage_dedup"] = OP5_SQL.replace("SELECT * FROM chunks UNION ALL ", "")
+    return {name: sql for name, sql in found.items() if sql}

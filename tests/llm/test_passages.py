@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import passages
+from tessera.llm import linededup
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -42,7 +42,7 @@ def test_planted_passages_of_one_to_five_lines_go(spark, size):
     texts = [None, "", "\n\n", *("\n".join([line(40), *p, line(40), line(3)]) for p in passages_ for _ in range(2))]
     texts += ["\n".join([line(20)] * 5), "\n".join([line(30), *[f"{line(5)}"] * 30]), "\n".join([*passages_[0][:1], "", *passages_[0][1:], "short"]), "\n".join(passages_[1][:-1] + [line(9)])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = passages.passage_dedup(df).orderBy("doc_id").collect()
+    out = linededup.line_dedup(df, chunks=False).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == [None, *brute_passages(texts)[1:]]
     assert all(r["__removed"] >= size for r in out[4:43:2]) and not any(r["__removed"] for r in out[3:43:2])
 
@@ -50,7 +50,7 @@ def test_planted_passages_of_one_to_five_lines_go(spark, size):
 def test_rows_that_share_an_id(spark):
     p = "\n".join(" ".join(WORDS[k : k + 30]) for k in (0, 50, 90))
     df = spark.createDataFrame([(1, p), (1, p), (2, "a\n" + p), (None, "b\n" + p)], "doc_id long, text string")
-    got = {(r["doc_id"], r["n_removed"], r["text_sha256"]) for r in passages.report(df).collect()}
+    got = {(r["doc_id"], r["n_removed"], r["text_sha256"]) for r in linededup.report(df, chunks=False).collect()}
     empty, a = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"a").hexdigest()
     assert got == {(None, 0, hashlib.sha256(("b\n" + p).encode()).hexdigest()), (1, 3, empty), (2, 3, a)}
-    assert passages.report(df.filter(F.lit(False))).collect() == []
+    assert linededup.report(df.filter(F.lit(False)), chunks=False).collect() == []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, langid, linededup, media, mixing, neardup, quality, secrets, toxicity
 from tessera.llm.components import components
-from tests_plain import brute_components, brute_hits, brute_lines
+from tests_plain import brute_components, brute_hits, brute_lines, brute_longest
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __score string, note array<int>"
@@ -64,6 +64,23 @@ def test_near_duplicates_where_buckets_hold_several_components(spark):
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == want
 
 
+def test_blocks_of_a_bucket_meet_once(spark):
+    rows = spark.range(100).select(F.lit(1).alias("key"), F.col("id").alias("node"), F.lit(100).alias("m"))
+    p, q = neardup._blocks(rows, ("node",), 9)
+    met = p.join(q, ["key", "cell"]).filter((F.col("node_p") < F.col("node_q")) & ((F.col("cell.lo") == F.col("cell.hi")) | (F.col("block_p") != F.col("block_q"))))
+    assert met.count() == met.distinct().count() == 100 * 99 // 2
+    assert p.groupBy("cell").count().agg(F.max("count")).first()[0] < 50
+
+
+def test_marks_by_bitmap_and_by_join(spark):
+    from tessera.llm.bitmap import among
+
+    rows = spark.range(1000).withColumn("h", F.xxhash64("id"))
+    keys = rows.filter("id % 10 = 0").select("h").unionByName(rows.filter("id = 0").select("h"))
+    for most in (0, 1000):
+        assert {r["id"] for r in among(rows, F.col("h"), keys, most).collect()} == set(range(0, 1000, 10))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
@@ -87,6 +104,8 @@ def test_decontamination_against_all_windows(spark, part_bytes):
     got = decontaminate.report(docs_of(spark, texts), bench, part_bytes).orderBy("doc_id").collect()
     want = brute_hits(texts, [(("" if i is None else i), t) for i, t in items])
     assert [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got] == want
+    assert [(r["longest_match"], r["longest_start"]) for r in got] == brute_longest(texts, items)
+    assert [sum(int(b) - int(a) for a, b in (x.split("-") for x in r["hit_spans"].split(",") if x)) for r in got] == [w[1] for w in want]
     kept = decontaminate.clean(docs_of(spark, texts), bench, part_bytes)
     assert kept.columns == [c for c in docs_of(spark, []).columns if c != "__score"] and sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in enumerate(want) if not w[4]]
 
@@ -100,7 +119,34 @@ def test_decontamination_with_empty_tables(spark):
 def test_longest_match_goes_beyond_the_window(spark):
     bench = spark.createDataFrame([(1, " ".join(WORDS[:40]))], "item_id long, text string")
     r = decontaminate.report(docs_of(spark, ["x " + " ".join(WORDS[5:30]) + " y"]), bench).first()
-    assert (r["n_hit"], r["longest_match"], [(s["start"], s["end"]) for s in r["hit_spans"]]) == (25, 25, [(1, 26)])
+    assert (r["n_hit"], r["longest_match"], r["longest_start"], r["hit_spans"]) == (25, 25, 1, "1-26")
+    r = decontaminate.report(docs_of(spark, ["x " + " ".join(WORDS[5:12]) + " y"]), bench).first()
+    assert (r["n_hit"], r["longest_match"], r["longest_start"], r["hit_spans"]) == (0, 7, 1, "")
+
+
+def test_long_items_and_hot_short_items(spark):
+    rng = random.Random(12)
+    item = " ".join(rng.choices(WORDS, k=100_000))
+    bench = spark.createDataFrame([(1, item), (2, "w7"), (2, "w8 w9"), *((k, "w7") for k in range(10, 60))], "item_id long, text string")
+    part = item.split()[50_000:90_000]
+    texts = ["w7 " * 50_000, " ".join(["zz", *part, "zz"])]
+    got = decontaminate.report(docs_of(spark, texts), bench).orderBy("doc_id").collect()
+    assert (got[0]["n_hit"], got[0]["n_items"]) == (50_000, 51)
+    assert (got[1]["longest_match"], got[1]["longest_start"], got[1]["hit_spans"]) == (40_000, 1, "1-40001")
+
+
+def test_suffix_array_against_sorting():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, kinds in ((0, 2), (1, 2), (300, 3), (500, 40), (200, 1)):
+        ids = rng.integers(0, kinds + 1, n).astype(np.int32)
+        ids[:20] = 1
+        stop = np.minimum.accumulate(np.where(ids == 0, np.arange(n), n)[::-1])[::-1]
+        for depth in (1, 7, 1000):
+            got = decontaminate.suffix_array(ids, stop, depth)
+            keys = [tuple(ids[p : min(stop[p], p + depth)]) for p in got]
+            assert sorted(got) == np.flatnonzero(ids).tolist() and keys == sorted(keys)
 
 
 def test_line_dedup_against_a_loop_and_shifted_passages(spark):
@@ -113,6 +159,9 @@ def test_line_dedup_against_a_loop_and_shifted_passages(spark):
     want = brute_lines(texts)
     assert [r["text"] for r in out] == [None, *want[1:]]
     assert len(out[5]["text"]) < len(texts[5]) / 2
+    block = [line()] * 6
+    repeated = ["\n".join([line(), *block, line()]) for _ in range(2)]
+    assert [r["text"] for r in linededup.line_dedup(docs_of(spark, repeated)).orderBy("doc_id").collect()][1].count(block[0]) <= 1
     assert [r["note"] for r in out] == [[i] for i in range(len(texts))]
     twice = linededup.line_dedup(df.unionByName(df)).collect()
     assert sorted((r["doc_id"], r["text"] or "") for r in twice) == sorted((r["doc_id"], r["text"] or "") for r in out for _ in (0, 1))
@@ -277,6 +326,51 @@ def test_viterbi_with_many_labels():
     assert langid.viterbi(score, np.array([0, 20]), 3.0).tolist() == [199] * 10 + [150] * 10
 
 
+@pytest.mark.parametrize("labels", [2, 5])
+def test_shortcuts_of_viterbi_change_nothing(monkeypatch, labels):
+    import numpy as np
+
+    rng = np.random.default_rng(labels)
+    size = rng.integers(0, 60, 200)
+    size[:3] = 500, 0, 777
+    first = np.concatenate([[0], np.cumsum(size)])
+    score = rng.normal(size=(first[-1], labels)).astype(np.float32) - np.float32(1e4) * (rng.random((first[-1], labels)) < 0.01)
+    score[:, 0] += np.repeat(rng.random(len(size)) * 3, size)
+    value = lambda a, b, path: score[np.arange(a, b), path].astype(float).sum() - 4.0 * (np.diff(path) != 0).sum()
+    plain = langid.lattice(score, first, 4.0)
+    whole = langid.settled(score, first, 4.0)
+    assert 0 < (whole >= 0).sum() < len(whole)
+    for long_ in (20_000, 30):
+        monkeypatch.setattr(langid, "LONG", long_)
+        got = langid.viterbi(score, first, 4.0)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            assert value(a, b, got[a:b]) == pytest.approx(value(a, b, plain[a:b]), abs=1e-3)
+
+
+def test_scripts_of_words():
+    import numpy as np
+
+    ranges = langid.script_ranges()
+    words = ["Việt", "naïve", "שלום", "سلام", "मेरा", "日本", "ひらがな", "한국", "Привет", "—", "12", "ეს", "µm", "ＡＢ", "𝒳", "日本の"]
+    text = " ".join(words)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    s, e = langid.word_spans(langid.ALNUM[raw], np.array([0, len(raw)]))
+    got = [ranges[2][k] for k in langid.word_scripts(raw, s, e, ranges)]
+    assert got == ["LATIN", "LATIN", "HEBREW", "ARABIC", "DEVANAGARI", "CJK", "HIRAGANA", "HANGUL", "CYRILLIC", "", "", "GEORGIAN", "LATIN", "LATIN", "MATHEMATICAL", "CJK"]
+
+
+def test_long_text_of_two_languages(spark):
+    import time
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    en, de = (docs.filter(f"lang = '{x}' and n_chars > 400").first()["text"] for x in ("en", "de"))
+    text = "\n".join([*[en] * (5_000_000 // len(en)), *[de] * (5_000_000 // len(de))])
+    start = time.time()
+    r = langid.identify(docs_of(spark, [text]), model).first()
+    assert time.time() - start < 30 and [x["lang"] for x in r["spans"]] == ["en", "de"]
+
+
 def test_two_hundred_languages(spark):
     name = lambda k: f"l{k:03d}"
     rows = [(k, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{c}{chr(97 + k % 26)}" for c in "abcdefgh"), name(k)) for k in range(200)]
@@ -327,6 +421,82 @@ def test_toxicity_held_out_and_order_of_grades(spark):
     assert {r["grade"] for r in toxicity.predictions(docs_of(spark, ["a", None]), none).collect()} == {0}
 
 
+def test_quality_training_against_a_plain_loop(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS[:30] if k % 2 else WORDS[20:50], k=12)) for k in range(50)]
+    df = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)], "doc_id long, text string, y int")
+    got = quality.train(df)
+
+    data = "".join(texts).encode()
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    row, at, x = quality.vectors(np.frombuffer(data, np.uint8), offs)
+    z, n, bias = {}, {}, 1 << quality.BITS
+    alpha, beta, l1, l2 = 4.0, 1.0, 0.01, 0.02
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(6)
+    for _ in range(-(-quality.UPDATES // 50)):
+        for k in order.permutation(50):
+            mine = [*((int(i), float(np.float32(v))) for i, v in zip(at[row == k], x[row == k], strict=True)), (bias, 1.0)]
+            w = {i: weight(i) for i, _ in mine}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in mine)))
+            for i, v in mine:
+                g = (p - k % 2) * v
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert all(got[i] == pytest.approx(weight(i), abs=1e-3) for i in z) and set(np.flatnonzero(got)) <= set(z)
+    scores = [r["__score"] for r in quality.scored(df.select("doc_id", "text"), got).orderBy("doc_id").collect()]
+    assert all((s > 0.5) == bool(k % 2) for k, s in enumerate(scores))
+
+
+def test_training_is_bounded_in_bytes(spark, monkeypatch):
+    from tessera.llm import linear
+
+    df = spark.createDataFrame([(k, "a b c d " * 100, k % 2) for k in range(200)] + [(1000, "x " * 100_000, 1)], "doc_id long, text string, y int")
+    seen = lambda data, offs, y: {"n": [len(y)], "size": [int(offs[-1] - offs[0])]}
+    out = linear.fit_in_task(df, seen, "n long, size long", 40_000).iloc[0]
+    assert 10 <= out["n"] < 100 and out["size"] <= 80_000
+    assert linear.fit_in_task(df, seen, "n long, size long").iloc[0]["n"] == 201
+
+
+def test_cumulative_link_likelihood_and_its_slopes():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    dot, theta = rng.normal(size=40), np.array([-0.5, 0.3, 1.1])
+    lo = rng.integers(0, 4, 40)
+    hi = np.maximum(lo, rng.integers(0, 4, 40))
+    weight = rng.random(40)
+    value, by_dot, by_theta = toxicity.likelihood(dot, theta, lo, hi, weight)
+    p = lambda k, d, th: 1.0 if k == 0 else 0.0 if k == 4 else 1 / (1 + np.exp(th[k - 1] - d))
+    plain = lambda d, th: sum(w * np.log(p(a, x, th) - p(b + 1, x, th)) for x, a, b, w in zip(d, lo, hi, weight, strict=True))
+    assert value == pytest.approx(plain(dot, theta))
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert by_theta[k] == pytest.approx((plain(dot, theta + step) - plain(dot, theta - step)) / 2e-6, abs=1e-5)
+    for k in range(0, 40, 7):
+        step = np.eye(40)[k] * 1e-6
+        assert by_dot[k] == pytest.approx((plain(dot + step, theta) - plain(dot - step, theta)) / 2e-6, abs=1e-5)
+
+
+def test_graded_labels_give_their_grades_back(spark):
+    rng = random.Random(2)
+    steps = [[], ["ugh"], ["ugh", "vile"], ["ugh", "vile", "hateful"]]
+    rows = [(k, " ".join(rng.choices(WORDS, k=20) + steps[k % 4] * 2), k % 4) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity.train(df, graded=True)
+    out = toxicity.severities(df, model).orderBy("doc_id").collect()
+    mean = [sum(r["__severity"] for r in out[k::4]) / 100 for k in range(4)]
+    assert mean == sorted(mean) and mean[0] < 0.5 and mean[3] > 2
+    assert sum(r["__grade"] == r["y"] for r in out) > 300
+
+
 def test_raking_meets_its_targets_in_memory_and_on_spark(spark):
     rng = random.Random(5)
     cells = {(s, la, t): float(rng.randrange(50, 500)) for s in "ab" for la in "xyz" for t in "pq"}
@@ -351,14 +521,33 @@ def test_raking_meets_targets_that_need_large_factors(spark):
         fitted = mixing.probabilities(rows, targets, bound=bound)
         got = {(r["dimension"], r["value"]): r["share"] for r in mixing.marginals(fitted, rows).collect()}
         assert got == {(d, v): pytest.approx(share, abs=1e-6) for d, t in targets.items() for v, share in t.items()}
-        assert max(r["probability"] for r in fitted.collect()) == 1
+        assert all(0 < r["probability"] <= 1 and r["residual"] < 1e-6 for r in fitted.collect())
+
+
+def test_targets_that_no_weights_have_are_an_error(spark):
+    rows = spark.createDataFrame([("a", "x", "p", 10.0), ("b", "y", "q", 30.0)], "source string, lang string, topic string, tokens double")
+    targets = {"source": {"a": 0.2, "b": 0.8}, "lang": {"x": 0.6, "y": 0.4}}
+    for bound in (mixing.CELLS, 0):
+        with pytest.raises(ValueError, match="off by"):
+            mixing.probabilities(rows, targets, bound=bound)
+        got = mixing.probabilities(rows, bound=bound)
+        assert all(r["residual"] < 1e-9 for r in got.collect())
+
+
+def test_raking_in_one_round_by_hand(spark):
+    """Two cells a dimension value each: shares over tokens, as fractions."""
+    cells = {("a", "x", "p"): 10.0, ("b", "x", "p"): 30.0}
+    got = mixing.rake_memory(cells, [{"a": 0.5, "b": 0.5}, {"x": 1.0}, {"p": 1.0}])
+    assert got == {("a", "x", "p"): pytest.approx(2.0), ("b", "x", "p"): pytest.approx(2 / 3)}
 
 
 def test_topics_are_fitted_on_all_documents_and_rare_ones_stay(spark):
     rng = random.Random(7)
     kinds = [[f"{k}{i}" for i in range(12)] for k in "abc"]
     texts = [" ".join(rng.choices(kinds[k], k=40)) for k in [0] * 500 + [1] * 490 + [2] * 10]
-    centroids = mixing.fit_topics(docs_of(spark, texts), 60)
+    seen = mixing.sketched(docs_of(spark, texts))
+    centroids = mixing.fit_topics(seen, 60)
+    assert sorted(tuple(r) for r in mixing.topic_rows(seen, centroids).groupBy("topic").agg({"tokens": "sum"}).collect()) == sorted(tuple(r) for r in mixing.with_topics(docs_of(spark, texts), centroids).groupBy("__topic").agg({"__tokens": "sum"}).collect())
     topics = [r["__topic"] for r in mixing.with_topics(docs_of(spark, texts), centroids).orderBy("doc_id").collect()]
     assert not set(topics[990:]) & set(topics[:990]) and len(centroids) == 60
 
@@ -369,6 +558,9 @@ def test_mixture_is_deterministic_and_calibrated(spark):
     assert a == b and len(a) == docs.count()
     expected = sum(r["probability"] for r in a)
     assert abs(sum(r["sampled"] for r in a) - expected) < 5 * expected**0.5
+    assert all(r["sampled"] == (r["copies"] > 0) for r in a)
+    tokens = sum(r["n_tokens"] for r in a)
+    assert abs(sum(r["copies"] * r["n_tokens"] for r in a) / tokens - mixing.RATE) < 0.1 and {round(r["residual"], 6) for r in a} == {0.0}
     odd = mixing.report(docs_of(spark, [None, "", "a b", "NULL ID", "NULL ID"])).collect()
     assert len(odd) == 5 and all(0 < r["probability"] <= 1 for r in odd if r["n_tokens"])
     assert mixing.report(docs_of(spark, [])).collect() == []
