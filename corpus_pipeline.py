@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go from the texts, but for their first place; n_chars follows."""
+    """Repeated multi-line chunks and passages go from the texts, but for their first place; n_chars follows."""
     out = linededup.line_dedup(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -44,9 +44,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by raked probabilities: the documents with topic, n_tokens and the probability they came in with."""
+    """A sample by raked probabilities: the documents with topic, n_tokens, the probability they came in with and their copies."""
     out = mixing.mix(docs.select(*COLUMNS)).filter("__sampled")
-    return out.select(*COLUMNS, F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"))
+    return out.select(*COLUMNS, *(F.col(f"__{a}").alias(b) for a, b in (("topic", "topic"), ("tokens", "n_tokens"), ("probability", "probability"), ("copies", "copies"))))
 
 
 STAGES = [
