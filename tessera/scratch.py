@@ -14,14 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local run that has none gets a new temp folder."""
+    """This application's folder within ``spark.checkpoint.dir``, which goes when the application ends.
+
+    A local run without that setting gets a new temp folder. On a cluster it is an
+    error, since executors don't see each other's disks.
+    """
+    held = getattr(spark, "_tessera_scratch", None)
+    if held:
+        return held
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    if not getattr(spark, "_tessera_scratch", None):
-        spark._tessera_scratch = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all machines share")
+    base = found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
+    spark._tessera_scratch = f"{base}/tessera-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(spark._tessera_scratch)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
     return spark._tessera_scratch
 
 
