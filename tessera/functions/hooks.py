@@ -66,3 +66,38 @@ def spring(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 register("spring", spring)
+
+
+def initial_state(name: str, points: DataFrame, parts: list[str], *args: Column) -> DataFrame:
+    """``points`` plus the hook's parts of an initial state (stresses, state variables), one column each; the hook gives a matrix of a column per part."""
+    hook = _HOOKS[name]
+
+    @F.pandas_udf("array<double>")
+    def call(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series(list(np.asarray(hook(*[c.to_numpy() for c in columns]), float).reshape(-1, len(parts))))
+
+    held = points.withColumn("__state", call(*args))
+    return held.select(*points.columns, *[F.col("__state")[i].alias(p) for i, p in enumerate(parts)])
+
+
+def constraint(name: str, terms: DataFrame, schema: str) -> DataFrame:
+    """A user constraint: the hook takes one constraint's terms (mpc, ...) as a pandas frame and gives its coefficients; each has a few terms, and many share a task."""
+    law = _HOOKS[name]
+    return terms.groupBy("mpc").applyInPandas(lambda pdf: law(pdf), schema)
+
+
+def dashpot_link(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A link along the line between its first two terms' places: (mpc, pos, dof, x) -> coef, the first 1, the others shares by distance that sum to -1."""
+    pdf = pdf.sort_values("pos")
+    far = np.abs(pdf["x"].to_numpy() - pdf["x"].iloc[0])[1:] + 1.0
+    share = (1 / far) / (1 / far).sum() if len(far) else far
+    return pd.DataFrame({"mpc": pdf["mpc"], "pos": pdf["pos"], "dof": pdf["dof"], "coef": np.concatenate([[1.0], -share])})
+
+
+register("nearest_shares", dashpot_link)
+#: Stresses at rest below a level: vertical from the weight above, sideways a share of it.
+register("geostatic", lambda z, level, weight, share: np.stack([-share * weight * np.maximum(level - z, 0)] * 2 + [-weight * np.maximum(level - z, 0)], axis=1))
+#: Conductance of a gap: full when closed, falling with the gap, raised by pressure.
+register("gap_conductance", lambda gap, pressure, full, decay: np.where(gap <= 0, full * (1 + pressure), full * np.exp(-gap / decay)))
+register("power_creep", lambda stress, time, a, n, m: a * np.abs(stress) ** n * time**m)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,130 @@ def mean_constraint(members: DataFrame) -> DataFrame:
     """Distributing coupling: (group, node, weight) -> (group, node, coef), weights scaled to sum 1."""
     total = members.groupBy("group").agg(F.sum("weight").alias("total"))
     return members.join(total, "group").select("group", "node", (F.col("weight") / F.col("total")).alias("coef"))
+
+
+def _terms(rows: DataFrame, kept: list[str], terms: list) -> DataFrame:
+    """One row per term; terms: (node, dof, coef) columns, or arrays of them."""
+    each = F.array(*[F.struct(F.col(node).alias("node"), F.lit(dof).alias("dof") if isinstance(dof, int) else dof.alias("dof"), coef.cast("double").alias("coef")) for node, dof, coef in terms])
+    return rows.select(*kept, F.posexplode(each).alias("p", "t")).select(*kept, (F.col("p") + 1).alias("pos"), "t.node", "t.dof", "t.coef")
+
+
+def straight_links(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """Nodes (group, node, x, y, z) that stay on the line through two others (group, a, ax, ay, az, b, bx, by, bz) -> (group, node_id, eq, pos, node, dof, coef).
+
+    eq is the direction of each of a node's two equations, the longest of the line's
+    being left out (the first of equal ones); coefficients are the slopes of
+    (p_j - a_j)(b_m - a_m) - (p_m - a_m)(b_j - a_j) by the displacements.
+    """
+    rows = nodes.join(ends, "group").withColumnRenamed("node", "node_id")
+    length = [F.abs(F.col(f"b{c}") - F.col(f"a{c}")) for c in "xyz"]
+    longest = F.when((length[0] >= length[1]) & (length[0] >= length[2]), 1).when(length[1] >= length[2], 2).otherwise(3)
+    rows = rows.withColumn("__m", longest).withColumn("eq", F.explode(F.array(*[F.lit(j) for j in (1, 2, 3)]))).filter("eq <> __m").withColumn("node", F.col("node_id"))
+    pick = lambda stem, at: F.element_at(F.array(*[F.col(f"{stem}{c}") for c in "xyz"]), at)
+    j, m = F.col("eq"), F.col("__m")
+    p, a, b = ((lambda at, s=s: pick(s, at)) for s in ("", "a", "b"))
+    terms = [("node", j, b(m) - a(m)), ("node", m, a(j) - b(j)), ("a", j, p(m) - b(m)), ("a", m, b(j) - p(j)), ("b", j, a(m) - p(m)), ("b", m, p(j) - a(j))]
+    return _terms(rows, ["group", "node_id", "eq"], terms)
+
+
+def _cross(u: list, v: list) -> list:
+    return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+
+def plane_links(nodes: DataFrame, corners: DataFrame) -> DataFrame:
+    """Nodes (group, node, x, y, z) that stay in the plane of three others (group, a, ax.., b, bx.., c, cx..) -> (group, node_id, pos, node, dof, coef).
+
+    Coefficients are the slopes of (p - c) . ((a - c) x (b - c)) by the displacements;
+    the first dof is the one in which the plane's normal is largest.
+    """
+    rows = nodes.join(corners, "group").withColumnRenamed("node", "node_id").withColumn("node", F.col("node_id"))
+    sub = lambda s, t: [F.col(f"{s}{k}") - F.col(f"{t}{k}") for k in "xyz"]
+    pc, ac, bc = sub("", "c"), sub("a", "c"), sub("b", "c")
+    by_p, by_a, by_b = _cross(ac, bc), _cross(bc, pc), _cross(pc, ac)
+    by_c = [-(x + y + z) for x, y, z in zip(by_p, by_a, by_b, strict=True)]
+    size = [F.abs(k) for k in by_p]
+    first = F.when((size[0] >= size[1]) & (size[0] >= size[2]), 1).when(size[1] >= size[2], 2).otherwise(3)
+    rows = rows.withColumn("__j", first)
+    order = [(F.col("__j") + k - 1) % 3 + 1 for k in range(3)]
+    pick = lambda v, at: F.element_at(F.array(*v), at)
+    return _terms(rows, ["group", "node_id"], [(node, d, pick(v, d)) for node, v in (("node", by_p), ("a", by_a), ("b", by_b), ("c", by_c)) for d in order])
+
+
+def distance_links(pairs: DataFrame) -> DataFrame:
+    """Pairs (pair, a, ax, ay, az, b, bx, by, bz, distance) kept no farther apart than distance -> (pair, residual, linked, pos, node, dof, coef).
+
+    residual is |a - b|^2 - distance^2; a pair is linked where it is not below 0.
+    """
+    d = [F.col(f"a{k}") - F.col(f"b{k}") for k in "xyz"]
+    residual = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] - F.col("distance") * F.col("distance")
+    rows = pairs.withColumn("linked", residual >= 0).withColumn("residual", F.when(residual < 0, 0.0).otherwise(residual))
+    return _terms(rows, ["pair", "residual", "linked"], [*(("a", k + 1, d[k] * 2) for k in range(3)), *(("b", k + 1, d[k] * -2) for k in range(3))])
+
+
+def mean_rotation(nodes: DataFrame, axes: DataFrame) -> DataFrame:
+    """Coefficients (group, node, dof, coef) of the mean rotation of a cloud of nodes (group, node, x, y, z) about an axis (group, ax, ay, az) through its centre.
+
+    The sum of coef times displacement, over the number of nodes, is the mean angle by
+    which the nodes turn, to the first order. Nodes on the axis have no part in it.
+    """
+    centre = nodes.groupBy("group").agg(*[F.avg(k).alias(f"__c{k}") for k in "xyz"], F.count("*").alias("__n"), *[F.var_pop(k).alias(f"__v{k}") for k in "xyz"])
+    size = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") + F.col("az") * F.col("az"))
+    unit = axes.select("group", *[(F.col(f"a{k}") / F.when(size > 1e-10, size).otherwise(F.raise_error(F.lit("mean_rotation: an axis has no length")).cast("double"))).alias(f"__a{k}") for k in "xyz"])
+    rows = nodes.join(centre, "group").join(unit, "group")
+    a, d = [F.col(f"__a{k}") for k in "xyz"], [F.col(k) - F.col(f"__c{k}") for k in "xyz"]
+    along = sum((x * y for x, y in zip(a[1:], d[1:], strict=True)), a[0] * d[0])
+    p = [x - along * y for x, y in zip(d, a, strict=True)]
+    r2 = p[0] * p[0] + p[1] * p[1] + p[2] * p[2]
+    spread = F.col("__vx") + F.col("__vy") + F.col("__vz")
+    own = [F.when(r2 <= spread * 1e-10, 0.0).otherwise(c / r2) for c in _cross(a, p)]
+    held = rows.select("group", "node", "__n", *[c.alias(f"__w{k}") for k, c in enumerate(own)])
+    total = held.groupBy("group").agg(*[F.sum(f"__w{k}").alias(f"__t{k}") for k in range(3)])
+    out = held.join(total, "group")
+    each = F.array(*[F.struct(F.lit(k + 1).alias("dof"), (F.col(f"__w{k}") - F.col(f"__t{k}") / F.col("__n")).alias("coef")) for k in range(3)])
+    return out.select("group", "node", F.explode(each).alias("x")).select("group", "node", "x.dof", "x.coef")
+
+
+def distributing_coupling(nodes: DataFrame) -> DataFrame:
+    """Coefficients (group, node, term, dof, coef) by which a cloud of weighted nodes (group, node, x, y, z, weight) moves its reference point at the weighted centre.
+
+    Terms 1 to 3 are the mean displacements, 4 to 6 the mean rotations, from the
+    moments of the displacements over the cloud's inertia. Clouds on a line have none.
+    """
+    w = F.col("weight")
+    centre = nodes.groupBy("group").agg(F.sum("weight").alias("__w"), *[(F.sum(w * F.col(k)) / F.sum("weight")).alias(f"__c{k}") for k in "xyz"])
+    rows = nodes.join(centre, "group").select("group", "node", "weight", "__w", *[(F.col(k) - F.col(f"__c{k}")).alias(f"__d{k}") for k in "xyz"])
+    dx, dy, dz = (F.col(f"__d{k}") for k in "xyz")
+    second = {"xx": dy * dy + dz * dz, "yy": dx * dx + dz * dz, "zz": dx * dx + dy * dy, "xy": -dx * dy, "xz": -dx * dz, "yz": -dy * dz}
+    inertia = rows.groupBy("group").agg(*[F.sum(w * c).alias(f"__i{k}") for k, c in second.items()])
+    i = {k: F.col(f"__i{k}") for k in second}
+    m = [[i["xx"], i["xy"], i["xz"]], [i["xy"], i["yy"], i["yz"]], [i["xz"], i["yz"], i["zz"]]]
+    minor = lambda r, c: _cross(m[(r + 1) % 3], m[(r + 2) % 3])[c]
+    det = sum((m[0][c] * minor(0, c) for c in (1, 2)), m[0][0] * minor(0, 0))
+    # Displacement along dof k has the moment r x e_k.
+    zero = F.lit(0.0)
+    moments = [[zero, dz, -dy], [-dz, zero, dx], [dy, -dx, zero]]
+    size = (i["xx"] + i["yy"] + i["zz"]) / 3
+    turned = [[F.when(F.abs(det) > 1e-12 * size * size * size, w * sum((minor(r, c) * moments[k][c] for c in (1, 2)), minor(r, 0) * moments[k][0]) / det).otherwise(0.0) for k in range(3)] for r in range(3)]
+    each = F.array(*[F.struct(F.lit(k + 1).alias("term"), F.lit(k + 1).alias("dof"), (w / F.col("__w")).alias("coef")) for k in range(3)], *[F.struct(F.lit(r + 4).alias("term"), F.lit(k + 1).alias("dof"), turned[r][k].alias("coef")) for r in range(3) for k in range(3)])
+    return rows.join(inertia, "group").select("group", "node", F.explode(each).alias("x")).select("group", "node", "x.term", "x.dof", "x.coef")
+
+
+def tied(slaves: DataFrame, faces: DataFrame, tolerance: float, start: float) -> DataFrame:
+    """Slave nodes (id, x, y, z) on master triangles (face, corners: three (node, x, y, z)) -> (id, face, gap, node, coef).
+
+    A slave within the tolerance of its nearest triangle follows its corners with the
+    barycentric weights of the closest point; others have no rows.
+    """
+    from tessera.operators.locate import attach
+
+    near = attach(slaves, faces, start).filter(F.col("distance") <= tolerance)
+    each = F.arrays_zip(F.transform("corners", lambda c: c["node"]).alias("node"), F.col("weights").alias("coef"))
+    return near.select("id", "face", F.col("distance").alias("gap"), F.explode(each).alias("x")).select("id", "face", "gap", "x.node", "x.coef")
+
+
+def cyclic(slaves: DataFrame, faces: DataFrame, sectors: int, tolerance: float, start: float) -> DataFrame:
+    """As ``tied``, of the nodes of one sector face turned about z by one of ``sectors`` equal angles onto the other face's triangles."""
+    from tessera.operators.spatial import rotate
+
+    x, y = rotate(F.col("x"), F.col("y"), 2 * math.pi / sectors)
+    return tied(slaves.select("id", x.alias("x"), y.alias("y"), "z"), faces, tolerance, start)

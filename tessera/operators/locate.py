@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import lookup
+from tessera.operators.spatial import nearest, radius_pairs
+from tessera.scratch import materialize
+
 AXES = ("x", "y", "z")
 
 
@@ -42,6 +49,89 @@ def locate(points: DataFrame, tets: DataFrame, size: float, slack: float = 1e-9)
     return inside.groupBy("id").agg(F.min_by(F.struct("elem", value.alias("value")), "elem").alias("r")).select("id", "r.elem", "r.value")
 
 
+def _dot(a: list, b: list) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def on_segment(p: list, a: list, b: list) -> Column:
+    """Weight of b at the point of the segment from a to b that is closest to p."""
+    ab, ap = ([y - x for x, y in zip(a, q, strict=True)] for q in (b, p))
+    length = _dot(ab, ab)
+    return F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), _dot(ap, ab) / length))).otherwise(0.0)
+
+
+def on_triangle(p: list, a: list, b: list, c: list) -> Column:
+    """Barycentric weights (array of three) of the point of a triangle that is closest to p."""
+    corner = [a, b, c]
+    sub = lambda x, y: [i - j for i, j in zip(x, y, strict=True)]
+    e1, e2, d = sub(b, a), sub(c, a), sub(p, a)
+    d11, d12, d22, dp1, dp2 = _dot(e1, e1), _dot(e1, e2), _dot(e2, e2), _dot(d, e1), _dot(d, e2)
+    det = d11 * d22 - d12 * d12
+    v, w = (d22 * dp1 - d12 * dp2) / det, (d11 * dp2 - d12 * dp1) / det
+    sides = []
+    for i, j in ((0, 1), (1, 2), (2, 0)):
+        t = on_segment(p, corner[i], corner[j])
+        weights = [F.lit(0.0)] * 3
+        weights[i], weights[j] = 1 - t, t
+        at = [x + t * (y - x) for x, y in zip(corner[i], corner[j], strict=True)]
+        off = sub(p, at)
+        sides.append(F.struct(_dot(off, off).alias("d2"), F.array(*weights).alias("w")))
+    edge = F.array_min(F.array(*sides))["w"]
+    return F.when((det > 0) & (v >= 0) & (w >= 0) & (v + w <= 1), F.array(1 - v - w, v, w)).otherwise(edge)
+
+
+def _corner(k: int) -> list:
+    return [F.col("corners")[k][a].cast("double") for a in AXES]
+
+
+def _on_face(points: DataFrame) -> DataFrame:
+    """Adds weights, and distance from (x, y, z) to the closest point of ``corners``."""
+    p = [F.col(a).cast("double") for a in AXES]
+    out = points.withColumn("weights", on_triangle(p, *[_corner(k) for k in range(3)]))
+    off = [sum((F.col("weights")[k] * _corner(k)[i] for k in (1, 2)), F.col("weights")[0] * _corner(0)[i]) - p[i] for i in range(3)]
+    return out.withColumn("distance", F.sqrt(_dot(off, off)))
+
+
+def attach(points: DataFrame, faces: DataFrame, start: float) -> DataFrame:
+    """(id, x, y, z) and triangles (face, corners: three structs with x, y, z) -> id, x, y, z, face, corners, weights, distance: the closest point of the closest triangle, of equal ones the least face.
+
+    The triangle with the nearest centre bounds the distance; all triangles whose
+    centres lie within that bound and the largest triangle's reach are compared. Points
+    go by powers of two of that radius, each with its own grid.
+    """
+    centre = [(F.col("corners")[0][a] + F.col("corners")[1][a] + F.col("corners")[2][a]) / 3 for a in AXES]
+    held = faces.select(F.col("face").alias("id"), "corners", *[c.alias(a) for c, a in zip(centre, AXES, strict=True)])
+    reach = [F.sqrt(sum(((_corner(k)[i] - centre[i]) * (_corner(k)[i] - centre[i]) for i in (1, 2)), (_corner(k)[0] - centre[0]) * (_corner(k)[0] - centre[0]))) for k in range(3)]
+    most = faces.agg(F.max(F.greatest(*reach))).first()[0] or 0.0
+    named = lambda d: d.select(F.col("q_id").alias("id"), *[F.col(f"q_{a}").alias(a) for a in AXES], F.col("p_id").alias("face"), F.col("p_corners").alias("corners"))
+    first = _on_face(named(nearest(points.select("id", *AXES), held, 1, start)))
+    level = materialize(first.withColumn("__level", F.ceil(F.log2(F.col("distance") + most + 1e-12)).cast("int")).select("id", *AXES, "__level"), "attach")
+    parts = []
+    for r in level.select("__level").distinct().collect():
+        some = level.filter(F.col("__level") == r[0]).drop("__level")
+        parts.append(named(radius_pairs(some, held, 2.0 ** r[0])))
+    if not parts:
+        return first.limit(0)
+    every = _on_face(functools.reduce(DataFrame.unionByName, parts))
+    best = every.groupBy("id").agg(F.min_by(F.struct(*AXES, "face", "corners", "weights", "distance"), F.struct("distance", "face")).alias("r"))
+    return best.select("id", "r.*")
+
+
+def transfer(points: DataFrame, tets: DataFrame, size: float, slack: float = 1e-9) -> DataFrame:
+    """id, elem, value, distance: a field at all points, as for a submodel's boundary.
+
+    Points in a tetrahedron (see ``locate``) get its value, with distance 0; others that
+    of the closest point of the closest tetrahedron's surface.
+    """
+    inside = materialize(locate(points, tets, size, slack), "inside")
+    outside = points.join(inside.select("id"), "id", "left_anti")
+    faces = tets.select(F.col("elem"), F.explode(F.array(*[F.array(*[F.col("corners")[k] for k in f]) for f in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))])).alias("corners"))
+    faces = faces.select(F.struct("elem", "corners").alias("face"), "corners")
+    near = attach(outside, faces, size)
+    value = sum((F.col("weights")[k] * F.col("corners")[k]["value"] for k in (1, 2)), F.col("weights")[0] * F.col("corners")[0]["value"])
+    return inside.withColumn("distance", F.lit(0.0)).unionByName(near.select("id", F.col("face.elem").alias("elem"), value.alias("value"), "distance"))
+
+
 def patch_recovery(samples: DataFrame) -> DataFrame:
     """Least-squares plane of each node's samples (node, x, y, value; x, y relative to the node) -> node, its value at the node.
 
@@ -101,24 +191,16 @@ def merge_sorted(lists: DataFrame, by: list[str], values: str) -> DataFrame:
 
 def two_way(points: DataFrame, table: DataFrame, by: list[str], t: str, x: str, y: str) -> DataFrame:
     """``points`` (by, t, x, ...) plus y from a table (by, t, x, y): linear in x at the temperatures on both sides, then linear between them; constant beyond."""
-    from tessera.operators.lookup import interpolate
-
-    temps = table.select(*by, t).distinct().select(*by, t, F.col(t).alias("__t"))
-    low = temps.select(*by, F.col("__t").alias("__lo"), F.lead("__t").over(_window(by)).alias("__hi"), (F.row_number().over(_window(by)) == 1).alias("__one"))
-    keyed = low.withColumnsRenamed({b: f"__by_{b}" for b in by})
-    at = F.col(t)
-    hit = ((F.col("__one") & (at < F.col("__lo"))) | (at >= F.col("__lo"))) & (F.col("__hi").isNull() | (at < F.col("__hi")))
-    for b in by:
-        hit = (F.col(b) == F.col(f"__by_{b}")) & hit
-    sided = points.join(F.broadcast(keyed) if keyed.count() <= 10_000 else keyed, hit).select(*points.columns, "__lo", F.coalesce("__hi", "__lo").alias("__hi"))
-    curve = table.withColumnRenamed(t, "__curve")
+    temps = table.select(*by, t).distinct()
+    order = W.partitionBy(*by).orderBy(t)
+    entries = temps.select(*by, t, F.struct(F.col(t).alias("lo"), F.lead(t).over(order).alias("hi")).alias("__pair"))
+    first = entries.groupBy(*by).agg(F.min_by("__pair", t).alias("__begin"))
+    found = lookup.as_of(points, entries, by, t, ["__pair"])
+    found = found.join(first.withColumnsRenamed({b: f"__by_{b}" for b in by}), lookup._same(by))
+    pair = F.coalesce("__pair_at", "__begin")
+    sided = found.select(*points.columns, pair["lo"].alias("__lo"), F.coalesce(pair["hi"], pair["lo"]).alias("__hi"))
+    curve, at = table.withColumnRenamed(t, "__curve"), F.col(t)
     for side in ("lo", "hi"):
-        sided = interpolate(sided.withColumn("__curve", F.col(f"__{side}")), curve, [*by, "__curve"], x, [y]).withColumnRenamed(y, f"__{side}_y").drop("__curve")
+        sided = lookup.interpolate(sided.withColumn("__curve", F.col(f"__{side}")), curve, [*by, "__curve"], x, [y]).withColumnRenamed(y, f"__{side}_y").drop("__curve")
     share = F.when(F.col("__hi") > F.col("__lo"), F.least(F.greatest((at - F.col("__lo")) / (F.col("__hi") - F.col("__lo")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return sided.select(*points.columns, (F.col("__lo_y") + (F.col("__hi_y") - F.col("__lo_y")) * share).alias(y))
-
-
-def _window(by):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(*by).orderBy("__t")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.scratch import materialize
 
-#: Tables of up to this many rows are broadcast; for longer ones points and entries are sorted together.
-SMALL_TABLE = 10_000
+#: Tables of up to this many rows, and sorted keys of up to this many bytes, go to the tasks; for longer ones points and entries are sorted together.
+SMALL_TABLE, SMALL_BYTES = 10_000, 16 << 20
 #: A table is joined by range only if no group has more entries than this, since each point meets all of its group's.
 FEW = 64
 
@@ -24,19 +24,26 @@ def intervals(table: DataFrame, by: list[str], x: str, ys: list[str]) -> DataFra
 
 
 def floor_position(points: DataFrame, x: str, table: DataFrame, key: str) -> DataFrame:
-    """``points`` plus position: how many table keys are not beyond x (0: none or no x), keys taken in order.
+    """``points`` plus position: how many table keys (numbers or names) are not beyond x (0: none or no x), keys taken in order.
 
     A small table's sorted keys go to the tasks for a binary search. Else one sort of
     both together; the window's carry is per range of x, so that no task sees more
-    than its share.
+    than its share. Names are in the order of their code points.
     """
+    named = dict(table.dtypes)[key] == "string"
     keys = table.select(F.col(key).alias("__k")).filter(F.col("__k").isNotNull()).groupBy("__k").count()
-    if table.count() <= SMALL_TABLE:
-        held = np.sort(np.repeat(*(np.array(c) for c in zip(*keys.collect(), strict=True)))) if not keys.isEmpty() else np.zeros(0)
+    size = keys.agg(F.sum(F.octet_length("__k") + 64) if named else F.count("*") * 16).first()[0] or 0
+    if size <= SMALL_BYTES:
+        found = sorted(tuple(r) for r in keys.collect())
+        held = np.array([k for k, _ in found], object if named else None)
+        upto = np.concatenate([[0], np.cumsum([n for _, n in found], dtype=np.int64)]).astype(np.int64)
 
         @F.pandas_udf("long")
         def position(v: pd.Series) -> pd.Series:
-            return pd.Series(np.where(v.isna(), 0, np.searchsorted(held, v.to_numpy(), "right")))
+            if not len(held):
+                return pd.Series(np.zeros(len(v), np.int64))
+            known = v.fillna("") if named else v
+            return pd.Series(np.where(v.isna(), 0, upto[np.searchsorted(held, known.to_numpy(), "right")]))
 
         return points.withColumn("position", position(x))
     both = points.select(F.col(x).alias("__k")).distinct().withColumn("count", F.lit(0).cast("long")).unionByName(keys)
@@ -85,11 +92,100 @@ def interpolate(points: DataFrame, table: DataFrame, by: list[str], x: str, ys:
 def as_of(points: DataFrame, table: DataFrame, by: list[str], x: str, ys: list[str]) -> DataFrame:
     """``points`` plus, as <y>_at, the values of the last entry of ``table`` at or before x, per ``by``; null before the first.
 
-    Points and entries are sorted together per ``by`` and values carried forward.
+    Points and entries are sorted together into ranges of (by, x) and values carried
+    forward within a range; where a group goes on in the next range, the last entry
+    of those before is handed on, one row per range and group. So a hot group, or
+    no ``by`` at all, is many tasks' work.
     """
-    tagged = points.withColumns({f"__{y}": F.lit(None).cast(dict(table.dtypes)[y]) for y in ys} | {"__side": F.lit(1)})
-    source = table.select(*by, x, *[F.col(y).alias(f"__{y}") for y in ys]).withColumn("__side", F.lit(0))
-    order = W.partitionBy(*by).orderBy(x, "__side").rowsBetween(W.unboundedPreceding, 0)
+    held = F.struct(*[F.col(y).alias(y) for y in ys])
+    kind = "struct<" + ",".join(f"`{y}`:{dict(table.dtypes)[y]}" for y in ys) + ">"
+    tagged = points.withColumn("__e", F.lit(None).cast(kind)).withColumn("__side", F.lit(1))
+    source = table.select(*by, x, held.alias("__e")).withColumn("__side", F.lit(0))
     both = tagged.unionByName(source, allowMissingColumns=True)
-    out = both.withColumns({f"{y}_at": F.last(f"__{y}", ignorenulls=True).over(order) for y in ys})
-    return out.filter("__side = 1").select(*points.columns, *[f"{y}_at" for y in ys])
+    dealt = materialize(both.repartitionByRange(*by, x, "__side").withColumn("__p", F.spark_partition_id()), "ranges")
+    last = dealt.filter("__side = 0").groupBy(*by, "__p").agg(F.max_by("__e", x).alias("__last"))
+    groups = dealt.select(*by, "__p").distinct().join(last.withColumnsRenamed({b: f"__by_{b}" for b in by} | {"__p": "__q"}), _same(by) & (F.col("__p") == F.col("__q")), "left")
+    handed = groups.withColumn("__handed", F.last("__last", ignorenulls=True).over(W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)))
+    handed = handed.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.col("__p").alias("__q"), "__handed")
+    carried = dealt.withColumn("__own", F.last("__e", ignorenulls=True).over(W.partitionBy("__p", *by).orderBy(x, "__side").rowsBetween(W.unboundedPreceding, 0)))
+    out = carried.filter("__side = 1").join(handed, _same(by) & (F.col("__p") == F.col("__q")), "left").withColumn("__at", F.coalesce("__own", "__handed"))
+    return out.select(*points.columns, *[F.col(f"__at.{y}").alias(f"{y}_at") for y in ys])
+
+
+def _same(by: list[str]) -> Column:
+    out = F.lit(True)
+    for b in by:
+        out = out & F.col(b).eqNullSafe(F.col(f"__by_{b}"))
+    return out
+
+
+CONSTANT, LINEAR, QUADRATIC = 0, 1, 2
+
+
+def tabulated(points: DataFrame, table: DataFrame, by: list[str], x: str, y: str, order: int = LINEAR, low: int = CONSTANT, high: int = CONSTANT) -> DataFrame:
+    """``points`` (by, x, ...) plus y from ``table`` (by, x, y): constant from the entry before, linear, or quadratic; beyond the first and last entry by ``low`` and ``high``.
+
+    Quadratic means a parabola through three entries in the first and last interval,
+    and between them the mean of the parabolas on both sides, weighted by nearness. A
+    linear continuation has the slope at the end entry. An order that a group's
+    entries are too few for, or a continuation of a higher order than the
+    interpolation, is lowered.
+    """
+    within = W.partitionBy(*by).orderBy(x)
+    near = {f"{n}{k}": (F.lag(n, -k) if k < 0 else F.lead(n, k)).over(within) for k in (-2, -1, 1, 2) for n in (x, y)}
+    # lag(n, -k) with k below 0 looks back.
+    count = F.count("*").over(W.partitionBy(*by))
+    entry = F.struct(F.col(x).alias("x0"), F.col(y).alias("y0"), *[near[f"{n}{k}"].alias(f"{'x' if n == x else 'y'}{'m' if k < 0 else 'p'}{abs(k)}") for k in (-2, -1, 1, 2) for n in (x, y)], count.alias("n"))
+    entries = table.select(*by, F.col(x), entry.alias("__entry"))
+    first = entries.groupBy(*by).agg(F.min_by("__entry", x).alias("__begin"))
+    found = as_of(points, entries, by, x, ["__entry"])
+    found = found.join(first.withColumnsRenamed({b: f"__by_{b}" for b in by}), _same(by), "left")
+    at, below = F.col(x), F.col("__entry_at").isNull()
+    e = F.coalesce("__entry_at", "__begin")
+    used = F.least(F.lit(order), e["n"] - 1)
+
+    def line(xa, ya, xb, yb):
+        return ya + (at - xa) * (yb - ya) / (xb - xa)
+
+    def bend(xa, ya, xb, yb, xc, yc):
+        return ((yc - ya) / (xc - xa) - (yb - ya) / (xb - xa)) / (xc - xb)
+
+    def parabola(xa, ya, xb, yb, xc, yc):
+        return line(xa, ya, xb, yb) + bend(xa, ya, xb, yb, xc, yc) * (at - xa) * (at - xb)
+
+    def tangent(xa, ya, xb, yb, xc, yc):
+        """At the first of the three."""
+        return ya + (at - xa) * ((yb - ya) / (xb - xa) + bend(xa, ya, xb, yb, xc, yc) * (xa - xb))
+
+    ends = {
+        "low": [e["x0"], e["y0"], e["xp1"], e["yp1"], e["xp2"], e["yp2"]],
+        "high": [e["x0"], e["y0"], e["xm1"], e["ym1"], e["xm2"], e["ym2"]],
+    }
+
+    def beyond(kind, three):
+        k = F.least(F.lit(kind), used)
+        return F.when(k == 0, three[1]).when((k == 1) & (used == 1), line(*three[:4])).when(k == 1, tangent(*three)).otherwise(parabola(*three))
+
+    before, after = [e["xm1"], e["ym1"], e["x0"], e["y0"], e["xp1"], e["yp1"]], [e["x0"], e["y0"], e["xp1"], e["yp1"], e["xp2"], e["yp2"]]
+    share = (at - e["x0"]) / (e["xp1"] - e["x0"])
+    blend = parabola(*before) + (parabola(*after) - parabola(*before)) * share
+    inside = F.when(used == 0, e["y0"]).when(used == 1, line(e["x0"], e["y0"], e["xp1"], e["yp1"])).when(e["xm1"].isNull(), parabola(*after)).when(e["xp2"].isNull(), parabola(*before)).otherwise(blend)
+    value = F.when(below, beyond(low, ends["low"])).when(e["xp1"].isNull(), beyond(high, ends["high"])).otherwise(inside)
+    return found.select(*points.columns, value.alias(y))
+
+
+def amplitude(points: DataFrame, table: DataFrame, name: str, step_time: str, total_time: str, t: str, y: str, shifts: DataFrame | None = None) -> DataFrame:
+    """``points`` (name, step_time, total_time, ...) plus y, linear in the table (name, t, y) and constant beyond it.
+
+    ``shifts`` (name, shift_x, shift_y, total): what is added to a table's times and
+    values, and whether it goes by the total time instead of the step's.
+    """
+    if shifts is not None:
+        moved = table.join(shifts.select(name, "shift_x", "shift_y"), name, "left")
+        table = moved.withColumns({t: F.col(t) + F.coalesce("shift_x", F.lit(0.0)), y: F.col(y) + F.coalesce("shift_y", F.lit(0.0))}).select(*table.columns)
+        points = points.join(shifts.select(name, F.col("total").alias("__total")), name, "left")
+        clock = F.when(F.coalesce("__total", F.lit(False)), F.col(total_time)).otherwise(F.col(step_time))
+    else:
+        clock = F.col(step_time)
+    out = interpolate(points.withColumn(t, clock.cast("double")), table, [name], t, [y])
+    return out.drop(t, "__total")

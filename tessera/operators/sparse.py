@@ -17,9 +17,11 @@ def assemble(entries: DataFrame, symmetric: bool = True) -> DataFrame:
     return entries.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def structure(elements: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
-    """(i, j) places, i >= j, that elements (elem, dofs) fill; fixed dofs (dof) have none."""
+def structure(elements: DataFrame, fixed: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """(i, j) places, i >= j, that elements (elem, dofs) fill; fixed dofs (dof) have none, and dependent ones (rules: dep, dof) those of the dofs they depend on."""
     d = elements.select("elem", F.explode(F.array_distinct("dofs")).alias("dof"))
+    if rules is not None:
+        d = d.join(rules.select(F.col("dep").alias("dof"), F.col("dof").alias("__to")), "dof", "left").select("elem", F.coalesce("__to", "dof").alias("dof")).distinct()
     if fixed is not None:
         d = d.join(fixed.select("dof"), "dof", "left_anti")
     rows = d.groupBy("elem").agg(F.collect_set("dof").alias("dofs"))  # an element's own few dofs
@@ -50,6 +52,17 @@ def atb(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
 
 
+def atv(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A' b for (i, j, v) and (i, x)."""
+    return a.join(b, "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+
+
+def residual(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, r): A x - b for (i, j, v), (i, x) and (i, b)."""
+    y = spmv(a, x.select(F.col("i").alias("j"), "x"))
+    return b.join(y, "i", "left").select("i", (F.coalesce("y", F.lit(0.0)) - F.col("b")).alias("r"))
+
+
 def dot(x: DataFrame, y: DataFrame, key: str, a: str, b: str) -> float:
     return x.join(y, key).agg(F.sum(F.col(a) * F.col(b))).first()[0] or 0.0
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,6 +22,43 @@ def replace_then_accumulate(loads: DataFrame, step: str, keys: list[str], value:
     return sums.groupBy(*keys).agg(F.max_by(value, step).alias(value), F.max(step).alias(step))
 
 
+def amplitude_conflicts(loads: DataFrame, step: str, keys: list[str], amplitude: str) -> DataFrame:
+    """Keys that one step loads with different amplitudes; any row is an input error."""
+    seen = loads.groupBy(*keys, step).agg(F.min(amplitude).alias("lo"), F.max(amplitude).alias("hi"))
+    return seen.filter("lo <> hi").select(*keys, step)
+
+
+def add_loads(loads: DataFrame, step: str, keys: list[str], value: str, amplitude: str) -> DataFrame:
+    """As ``replace_then_accumulate``, with the amplitude of the step that counts; different amplitudes of a key within a step raise an error.
+
+    Point loads are keyed by node, dof and sector, face loads by element, label and
+    sector, body loads by set, type and direction (see ``direction_key``).
+    """
+    sums = loads.groupBy(*keys, step).agg(F.sum(value).alias(value), F.min(amplitude).alias("__lo"), F.max(amplitude).alias("__hi"))
+    one = F.when(F.col("__lo").eqNullSafe(F.col("__hi")), F.col("__lo")).otherwise(F.raise_error(F.lit("add_loads: different amplitudes in one step")).cast(dict(loads.dtypes)[amplitude]))
+    best = sums.groupBy(*keys).agg(F.max_by(F.struct(F.col(value), one.alias(amplitude), F.col(step)), step).alias("__r"))
+    return best.select(*keys, "__r.*")
+
+
+def direction_key(x, y, z):
+    """A direction of length 1, to six digits: body loads of one set and type count as one where they agree."""
+    size = F.sqrt(x * x + y * y + z * z)
+    return F.array(*[F.round(c / size, 6) + 0.0 for c in (x, y, z)])
+
+
+def add_constraints(held: DataFrame, added: DataFrame, key: str, order: str) -> DataFrame:
+    """Terms of the constraints that are there, and of the added ones whose dependent key has none yet; of several for one key the first by ``order``."""
+    new = added.join(held.select(key).distinct(), key, "left_anti")
+    first = new.groupBy(key).agg(F.min(order).alias("__first"))
+    return held.unionByName(new.join(first, key).filter(F.col(order) == F.col("__first")).select(*held.columns))
+
+
+def active_status(items: DataFrame, changes: DataFrame, key: str, order: str, kind: str) -> DataFrame:
+    """``items`` (elements or contact pairs) plus active: what the last change says, 'add' or 'remove'; active without any."""
+    last = changes.groupBy(key).agg(F.max_by(kind, order).alias("__kind"))
+    return items.join(last, key, "left").withColumn("active", F.coalesce(F.col("__kind") != "remove", F.lit(True))).drop("__kind")
+
+
 def match_steps(now: DataFrame, before: DataFrame, field: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Each present value with its start: the same key's value a step before, else the last value of the field, else 0."""
     old = before.select(*keys, F.col(value).alias("__old"))

@@ -9,24 +9,105 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Parameters whose value keeps its case, and the order in which cards are taken; later entries only follow earlier ones.
+from tessera.scratch import materialize, release
+
+# Parameters whose value keeps its case; the classes in the order in which their cards are taken, and the beginnings of their cards, the rest coming last.
 KEEP_CASE = ("FILE", "INPUT", "OUTPUT", "FILENAME", "MASSFILE", "STIFFNESSFILE")
-CARD_ORDER = ("*NODE", "*ELEMENT", "*NSET", "*ELSET", "*SURFACE", "*TRANSFORM", "*ORIENTATION", "*AMPLITUDE", "*MATERIAL", "*EQUATION", "*STEP")
+CARD_CLASSES = (
+    ("RESTART,READ", ("*RESTART",)),
+    ("NODE", ("*NODE",)),
+    ("USERELEMENT", ("*USERELEMENT",)),
+    ("ELEMENT", ("*ELEMENT",)),
+    ("MATRIXASSEMBLE", ("*MATRIXASSEMBLE",)),
+    ("NSET", ("*NSET",)),
+    ("ELSET", ("*ELSET",)),
+    ("SURFACE", ("*SURFACE",)),
+    ("TRANSFORM", ("*TRANSFORM",)),
+    (
+        "MATERIAL",
+        (
+            "*CONDUCTIVITY",
+            "*CREEP",
+            "*CYCLICHARDENING",
+            "*DAMPING",
+            "*DEFORMATIONPLASTICITY",
+            "*DENSITY",
+            "*DEPVAR",
+            "*ELASTIC",
+            "*ELECTRICALCONDUCTIVITY",
+            "*EXPANSION",
+            "*FLUIDCONSTANTS",
+            "*HYPERELASTIC",
+            "*HYPERFOAM",
+            "*MAGNETICPERMEABILITY",
+            "*MATERIAL",
+            "*PLASTIC",
+            "*RATEDEPENDENT",
+            "*SPECIFICGASCONSTANT",
+            "*SPECIFICHEAT",
+            "*USERMATERIAL",
+        ),
+    ),
+    ("DISTRIBUTION", ("*DISTRIBUTION",)),
+    ("ORIENTATION", ("*ORIENTATION",)),
+    ("TIE", ("*TIE",)),
+    ("INTERACTION", ("*CONTACTDAMPING", "*FRICTION", "*GAPCONDUCTANCE", "*GAPHEATGENERATION", "*SURFACEINTERACTION", "*SURFACEBEHAVIOR")),
+    ("INITIALCONDITIONS", ("*INITIALCONDITIONS",)),
+    ("AMPLITUDE", ("*AMPLITUDE",)),
+    ("CONTACTPAIR", ("*CONTACTPAIR",)),
+    ("COUPLING", ("*COUPLING",)),
+    ("REST", ("*",)),
+)
+#: Cards that begin like one of a class but are of the rest.
+NOT_THESE = ("*ELEMENTOUTPUT", "*NODEPRINT", "*NODEOUTPUT", "*NODEFILE")
+#: Cards of the rest once the deck has had the other one.
+CHANGED = {"*FRICTION": "*CHANGEFRICTION", "*SURFACEBEHAVIOR": "*CHANGESURFACEBEHAVIOR"}
 FIELDS, FIELD_CHARS = 16, 132
+#: Levels of included files.
+DEEPEST = 9
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per line of the text files at ``path``; line numbers are per file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("deck"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return whole.select("deck", (F.col("line") + 1).alias("line"), "value")
+    """One row per line of the text files at ``path``; line numbers are per file.
+
+    Files are split: each block numbers its own lines and adds those of the blocks
+    before it, so that a long deck is many tasks' work.
+    """
+    at = spark.read.text(path).select(F.col("_metadata.file_path").alias("deck"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
+    held = materialize(at, "deck")
+    size = held.groupBy("deck", "__block").agg(F.count("*").alias("n"))
+    base = size.select(F.col("deck").alias("__deck"), F.col("__block").alias("__b"), F.coalesce(F.sum("n").over(W.partitionBy("deck").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    within = held.withColumn("__r", F.row_number().over(W.partitionBy("deck", "__block").orderBy("__id")))
+    return within.join(base, (F.col("deck") == F.col("__deck")) & (F.col("__block") == F.col("__b"))).select("deck", (F.col("__r") + F.col("__base")).alias("line"), F.rtrim("value", F.lit("\r")).alias("value"))
 
 
 def include(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Lines with each ``*INCLUDE, INPUT=name`` replaced by the lines (name, line, value) of that file; one level per call."""
+    """Lines with each ``*INCLUDE, INPUT=name`` replaced by the lines (name, line, value) of that file; one level, whose lines are numbered by sub."""
     name = F.regexp_extract("value", r"(?i)^\*include,\s*input\s*=\s*(\S+)", 1)
-    marked = lines.withColumn("__name", name)
     inner = files.select(F.col("name").alias("__name"), F.col("line").alias("__sub"), F.col("value").alias("__value"))
-    return marked.join(inner, "__name", "left").select("deck", "line", F.coalesce("__sub", F.lit(0)).alias("sub"), F.when(F.col("__name") != "", F.col("__value")).otherwise(F.col("value")).alias("value")).filter(F.col("value").isNotNull())
+    both = lines.withColumn("__name", name).join(inner, "__name", "left")
+    return both.select("deck", "line", F.coalesce("__sub", F.lit(0)).alias("sub"), F.when(F.col("__name") != "", F.col("__value")).otherwise(F.col("value")).alias("value")).filter(F.col("value").isNotNull())
+
+
+def include_all(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(deck, path, value) with each ``*INCLUDE, INPUT=name`` replaced by the lines (name, line, value) of that file, down to DEEPEST levels.
+
+    path is an array of line numbers, one per level; ``lines`` may have a plain line
+    instead. Deeper files are an error; a file that isn't there gives no lines.
+    """
+    name = F.regexp_extract("value", r"(?i)^\s*\*include\s*,\s*input\s*=\s*(\S+)", 1)
+    out = lines.select("deck", (F.col("path") if "path" in lines.columns else F.array(F.col("line").cast("long"))).alias("path"), "value")
+    inner = files.select(F.col("name").alias("__name"), F.col("line").cast("long").alias("__sub"), F.col("value").alias("__value"))
+    for _ in range(DEEPEST + 1):
+        marked = out.withColumn("__name", name)
+        open_ = marked.filter(F.col("__name") != "")
+        if open_.isEmpty():
+            return out
+        spliced = open_.join(inner, "__name").select("deck", F.concat("path", F.array("__sub")).alias("path"), F.col("__value").alias("value"))
+        new = materialize(marked.filter(F.col("__name") == "").drop("__name").unionByName(spliced), "included")
+        release(out)
+        out = new
+    raise ValueError(f"deck: files are included in more than {DEEPEST} levels")
 
 
 def normal(value: Column) -> Column:
@@ -45,19 +126,34 @@ def parse(lines: DataFrame) -> DataFrame:
     return text.select("deck", "line", card.alias("card"), is_card.alias("is_card"), fields.alias("fields"))
 
 
-def card_rank(card: Column) -> Column:
-    """Place of a card in the fixed order, by prefix; unknown cards come last."""
-    rank = F.lit(len(CARD_ORDER))
-    for i, name in reversed(list(enumerate(CARD_ORDER))):
-        rank = F.when(card.startswith(name), i).otherwise(rank)
-    return rank
+def card_rank(card: Column, fields: Column | None = None, changed: dict[str, Column] | None = None) -> Column:
+    """Place of a card's class in the order, from 0 on, by the longest beginning that fits.
+
+    A restart counts only with READ among its fields. changed: for the cards of
+    CHANGED whether the deck has had the other one before.
+    """
+    found = sorted(((name, i) for i, (_, names) in enumerate(CARD_CLASSES) for name in names), key=lambda x: (-len(x[0]), x[0]))
+    rest = len(CARD_CLASSES) - 1
+    rank = F.lit(rest)
+    for name, i in reversed(found):
+        here = card.startswith(name)
+        if name == "*RESTART" and fields is not None:
+            here = here & F.exists(fields, lambda f: f.startswith("READ"))
+        if name in CHANGED and changed:
+            here = here & ~changed[name]
+        rank = F.when(here, i).otherwise(rank)
+    return F.when(F.coalesce(F.regexp_like(card, F.lit("^(" + "|".join(n.replace("*", "\\*") for n in NOT_THESE) + ")")), F.lit(False)), rest).otherwise(rank)
 
 
 def blocks(parsed: DataFrame) -> DataFrame:
     """Blocks in the order they are taken: (deck, card, rank, first line, number of data lines)."""
-    start = F.max(F.when(F.col("is_card"), F.col("line"))).over(W.partitionBy("deck").orderBy("line"))
-    out = parsed.withColumn("first", start).groupBy("deck", "card", "first").agg(F.sum((~F.col("is_card")).cast("long")).alias("n_data"))
-    return out.select("deck", "card", card_rank(F.col("card")).alias("rank"), "first", "n_data")
+    sofar = W.partitionBy("deck").orderBy("line")
+    start = F.max(F.when(F.col("is_card"), F.col("line"))).over(sofar)
+    head = F.last(F.when(F.col("is_card"), F.col("fields")), ignorenulls=True).over(sofar)
+    had = {name: F.max(F.col("card").startswith(other)).over(sofar) for name, other in CHANGED.items()}
+    rank = card_rank(F.col("card"), F.col("__head"), {name: F.col(f"__{i}") for i, name in enumerate(had)})
+    known = parsed.withColumns({"first": start, "__head": head} | {f"__{i}": c for i, c in enumerate(had.values())}).withColumn("rank", rank)
+    return known.groupBy("deck", "card", "rank", "first").agg(F.sum((~F.col("is_card")).cast("long")).alias("n_data"))
 
 
 def number(field: Column) -> Column:
