@@ -161,7 +161,7 @@ def ks_aggregate(spark, sf_dir):
 @query("SELECT l_suppkey, round(sum(l_discount * l_discount + l_tax * l_tax), 4) AS objective FROM lineitem GROUP BY l_suppkey")
 def disp_objective(spark, sf_dir):
     """Sum of squared components."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(F.col("l_discount") * F.col("l_discount") + F.col("l_tax") * F.col("l_tax")), 4).alias("objective"))
+    return results.squared_displacements(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_discount", "l_tax"]).withColumn("objective", F.round("objective", 4))
 
 
 @query("""
@@ -214,16 +214,23 @@ def autocovariance(spark, sf_dir):
     return pairs.filter(F.col("d2") <= 0.15 * 0.15).groupBy("q_id").agg(F.round(F.sum(cov), 5).alias("cov"))
 
 
-@query()
+@query(f"WITH {_POINTS.replace('ON q.id % 50 = 0', 'ON true')} SELECT q_id AS id, round(sum((0.2 - sqrt(d2)) / 0.2 * pv) / sum((0.2 - sqrt(d2)) / 0.2), 5) AS filtered FROM prs WHERE d2 <= 0.2 * 0.2 GROUP BY q_id")
 def hat_filter_all(spark, sf_dir):
     """The same mean for every point."""
     return spatial.hat_filter_all(_points(spark, sf_dir), 0.2, "value").select("id", F.round("filtered", 5).alias("filtered"))
 
 
-@query()
+@query(f"WITH {_POINTS.replace('ON q.id % 50 = 0', 'ON true')} SELECT q_id AS id, round(sum((qv + 1) * (pv + 1) * exp(-d2 / (0.05 * 0.05))), 5) AS cov FROM prs WHERE d2 <= 0.15 * 0.15 GROUP BY q_id")
 def autocovariance_all(spark, sf_dir):
     """The same row sums for every point."""
     p = _points(spark, sf_dir).withColumn("s", F.col("value") + 1)
+    return spatial.autocovariance_sums(p, 0.05, "s", 3.0).select("id", F.round("cov", 5).alias("cov"))
+
+
+@query(f"WITH {_POINTS.replace('ON q.id % 50 = 0', 'ON true')} SELECT q_id AS id, round(sum((qv + 1) * (pv + 1) * exp(-d2 / (0.05 * 0.05))), 5) AS cov FROM prs GROUP BY q_id")
+def autocovariance_exact(spark, sf_dir):
+    """Row sums for every point, of all pairs whose covariance is not 0 as a double."""
+    p = _points(spark, sf_dir).withColumn("s", F.col("value") + 1)
     return spatial.autocovariance_sums(p, 0.05, "s").select("id", F.round("cov", 5).alias("cov"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks
-from tessera.operators import locate, sparse
+from tessera.operators import locate, results, sparse
 from tessera.plans.catalog import query
 from tessera.plans.relational import table
 
@@ -28,7 +28,10 @@ def locate_points(spark, sf_dir):
     return own.select("id.*", "elem", F.round("value", 6).alias("value"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT l_partkey AS node, count(*)::DOUBLE AS n, sum(10 * l_discount) AS x, sum(10 * l_tax) AS y, sum(100 * l_discount * l_discount) AS xx, sum(100 * l_discount * l_tax) AS xy, sum(100 * l_tax * l_tax) AS yy, sum(l_quantity) AS v, sum(10 * l_discount * l_quantity) AS xv, sum(10 * l_tax * l_quantity) AS yv FROM lineitem GROUP BY l_partkey)
+SELECT node, round((v * (xx * yy - xy * xy) - x * (xv * yy - xy * yv) + y * (xv * xy - xx * yv)) / (n * (xx * yy - xy * xy) - x * (x * yy - xy * y) + y * (x * xy - xx * y)), 4) AS value FROM s
+""")
 def patch_recovery(spark, sf_dir):
     """Values at nodes from planes fitted over their elements' samples."""
     li = table(spark, sf_dir, "lineitem")
@@ -71,8 +74,7 @@ SELECT l_returnflag, count(*) AS n_contacts, round(sum(CASE WHEN l_discount > 0.
 """)
 def contact_totals(spark, sf_dir):
     """Contacts, those that are closed, and their normal force."""
-    closed = F.col("l_discount") > 0.05
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n_contacts"), F.round(F.sum(F.when(closed, F.col("l_quantity")).otherwise(0)), 2).alias("f_normal"), F.count_if(closed).alias("n_closed"))
+    return results.contact_totals(table(spark, sf_dir, "lineitem"), ["l_returnflag"], F.col("l_discount") > 0.05, "l_quantity").withColumn("f_normal", F.round("f_normal", 2))
 
 
 @query("""

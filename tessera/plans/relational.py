@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks
-from tessera.operators import lookup, sets, upsert
+from tessera.operators import lookup, ordering, sets, spatial, upsert
 from tessera.plans.catalog import query
 from tessera.scratch import shared_dir
 from tessera.sources import files
@@ -175,7 +176,7 @@ SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY
 """)
 def output_frequency(spark, sf_dir):
     """Every third increment of each key."""
-    e = table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    e = ordering.ranked_within(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "rn")
     return e.filter("rn % 3 = 0").select("user_id", "event_id", "value")
 
 
@@ -188,13 +189,17 @@ def dat_print(spark, sf_dir):
     return o.select("o_orderkey", F.format_string("%10d%10d%14.6E", F.col("o_orderkey"), F.col("o_custkey"), F.floor("o_totalprice").cast("double")).alias("value"))
 
 
-@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus")
+@query("""
+SELECT 'orders' AS name, o_orderstatus AS part, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'supplier', CAST(s_nationkey AS VARCHAR), count(*), round(sum(s_acctbal), 2) FROM supplier GROUP BY s_nationkey
+""")
 def restart_roundtrip(spark, sf_dir):
     """A model's tables written as a state and read again."""
-    path = f"{shared_dir(spark)}/state-{spark.sparkContext.applicationId}"
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
     files.write_state({"orders": table(spark, sf_dir, "orders"), "supplier": table(spark, sf_dir, "supplier")}, path)
-    back = files.read_state(spark, path)["orders"]
-    return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    back = files.read_state(spark, path)
+    sums = lambda name, part, value: back[name].groupBy(F.col(part).cast("string").alias("part")).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("total")).select(F.lit(name).alias("name"), "part", "n", "total")
+    return sums("orders", "o_orderstatus", "o_totalprice").unionByName(sums("supplier", "s_nationkey", "s_acctbal"))
 
 
 @query("SELECT event_id, round(greatest(0.0, least(1.0, (event_id % 100) / 40.0)), 6) AS amplitude FROM events")
@@ -205,10 +210,12 @@ def user_amplitude_udf(spark, sf_dir):
     return e.select("event_id", F.round(hooks.scalar("ramp", t, F.lit(40.0)), 6).alias("amplitude"))
 
 
-@query()
+@query("""
+SELECT p_partkey, round(sqrt(-2 * ln((('0x' || substr(md5('7:' || p_partkey), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) * cos(2 * pi() * ('0x' || substr(md5('7:' || p_partkey), 14, 13))::BIGINT / 4503599627370496.0), 9) AS draw FROM part
+""")
 def random_field(spark, sf_dir):
-    """Standard normal draws with a fixed seed (both signs; a given row's draw depends on the partitioning)."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.randn(7).alias("draw"))
+    """Standard normal draws, of both signs, by a hash of the key, so that a row's draw is the same in every run."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(spatial.normal_draw(F.col("p_partkey"), 7), 9).alias("draw"))
 
 
 @query("""
@@ -218,7 +225,7 @@ def replay_increments(spark, sf_dir):
     """A history replayed as a stream of increments; the state after the last one."""
     from tessera.streaming.replay import replay
 
-    base = f"{shared_dir(spark)}/replay-{spark.sparkContext.applicationId}-{abs(hash(sf_dir)) % 10**9}"
+    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
     e.repartitionByRange(3, "event_id").write.mode("overwrite").parquet(f"{base}/in")
     replay(spark, f"{base}/in", "user_id long, event_type string, event_id long, value double", f"{base}/state", f"{base}/check", ["user_id", "event_type"], "event_id")
@@ -279,7 +286,7 @@ def deck_parse(spark, sf_dir):
 
 @query(f"""
 WITH {_PARSED}, b AS (SELECT deck, card, max(CASE WHEN is_card THEN line END) OVER (PARTITION BY deck ORDER BY line) AS first, is_card FROM parsed)
-SELECT deck, card, first, CASE card WHEN '*NODE' THEN 0 WHEN '*MATERIAL' THEN 8 ELSE 11 END AS rank, count(*) FILTER (NOT is_card) AS n_data FROM b GROUP BY ALL
+SELECT deck, card, first, CASE card WHEN '*NODE' THEN 1 WHEN '*MATERIAL' THEN 9 ELSE 18 END AS rank, count(*) FILTER (NOT is_card) AS n_data FROM b GROUP BY ALL
 """)
 def card_order(spark, sf_dir):
     """Blocks with their place in the order in which cards are taken."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hooks
 from tessera.functions.spectrum import real_spectrum
-from tessera.operators import constraints, locate, lookup, results, sets, sparse, spatial, topology, upsert
+from tessera.operators import constraints, locate, lookup, ordering, results, sets, sparse, spatial, topology, upsert
 from tessera.plans import statics
 from tessera.sources import deck, files
 from tessera.streaming import replay
@@ -253,3 +253,194 @@ def test_filter_and_covariance_over_all_points(spark):
     for name, column, want in (("hat_filter_all", "filtered", (w @ value) / w.sum(1)), ("autocovariance_all", "cov", cov.sum(1))):
         got = {r["id"]: r[column] for r in catalog.queries()[name](spark, sf).collect()}
         assert got == {r["id"]: pytest.approx(x, abs=2e-5, rel=1e-6) for r, x in zip(rows, want, strict=True)}
+
+
+def test_positions_in_a_global_and_a_grouped_order(spark):
+    rows = spark.createDataFrame([(k * 7919 % 101, k % 3, f"p{k}") for k in range(300)], "key long, part long, payload string")
+    got = [r["payload"] for r in ordering.ranked(rows, ["key"]).orderBy("pos").collect()]
+    assert got == [r["payload"] for r in sorted(rows.collect(), key=lambda r: (r["key"], r["part"], r["payload"]))]
+    each = ordering.ranked_within(rows, ["part"], ["key", "payload"]).collect()
+    for part in range(3):
+        mine = sorted((r for r in each if r["part"] == part), key=lambda r: r["pos"])
+        assert [r["pos"] for r in mine] == list(range(1, 101)) and [(r["key"], r["payload"]) for r in mine] == sorted((r["key"], r["payload"]) for r in mine)
+    assert ordering.ranked(rows.limit(0), ["key"]).collect() == []
+
+
+def test_loads_with_different_amplitudes_in_a_step_are_an_error(spark):
+    df = spark.createDataFrame([(1, 7, 1.0, "a"), (1, 7, 2.0, "a"), (2, 7, 5.0, "b"), (1, 8, 1.0, "a")], "step int, node int, v double, amp string")
+    got = {r["node"]: (r["v"], r["amp"], r["step"]) for r in upsert.add_loads(df, "step", ["node"], "v", "amp").collect()}
+    assert got == {7: (5.0, "b", 2), 8: (1.0, "a", 1)}
+    bad = df.unionByName(spark.createDataFrame([(2, 7, 1.0, "c")], df.schema))
+    assert [(r["node"], r["step"]) for r in upsert.amplitude_conflicts(bad, "step", ["node"], "amp").collect()] == [(7, 2)]
+    with pytest.raises(Exception, match="different amplitudes"):
+        upsert.add_loads(bad, "step", ["node"], "v", "amp").collect()
+
+
+def test_a_range_that_starts_beyond_the_last_id_is_an_error(spark):
+    e = spark.createDataFrame([("a", 1, 12, 20, 1)], "name string, seq int, first long, last long, inc int")
+    with pytest.raises(Exception, match="beyond the last id"):
+        sets.expand(e, 10).collect()
+
+
+def test_values_are_carried_through_a_hot_group_and_without_groups(spark):
+    rng = np.random.default_rng(2)
+    entries = [(0 if k % 10 else k % 7, float(t), k) for k, t in enumerate(rng.permutation(400))]
+    points = [(g, float(x), n) for n, (g, x) in enumerate(zip(rng.integers(0, 8, 300).tolist(), (rng.random(300) * 420 - 10).tolist(), strict=True))]
+    table = spark.createDataFrame(entries, "g long, t double, v long").repartition(6)
+    got = {r["n"]: r["v_at"] for r in lookup.as_of(spark.createDataFrame(points, "g long, t double, n long"), table, ["g"], "t", ["v"]).collect()}
+    want = {n: max(((t, v) for h, t, v in entries if h == g and t <= x), default=(0, None))[1] for g, x, n in points}
+    assert got == want
+    one = lookup.as_of(spark.createDataFrame([(x, n) for _, x, n in points], "t double, n long"), table.select("t", "v"), [], "t", ["v"])
+    assert {r["n"]: r["v_at"] for r in one.collect()} == {n: max(((t, v) for _, t, v in entries if t <= x), default=(0, None))[1] for _, x, n in points}
+
+
+def test_tables_with_continuations_follow_polynomials(spark):
+    xs = [0.0, 1.0, 2.5, 4.0, 7.0]
+    f = lambda x: 2 + 3 * x - 0.5 * x * x
+    table = spark.createDataFrame([("q", x, f(x)) for x in xs] + [("two", 1.0, 5.0), ("two", 3.0, 9.0), ("one", 2.0, 4.0)], "name string, x double, y double")
+    at = [-3.0, 0.0, 0.3, 1.7, 3.0, 6.9, 7.0, 9.0]
+    points = spark.createDataFrame([(n, x) for n in ("q", "two", "one") for x in at], "name string, x double")
+    run = lambda **how: {(r["name"], r["x"]): r["y"] for r in lookup.tabulated(points, table, ["name"], "x", "y", **how).collect()}
+    got = run(order=2, low=2, high=2)
+    assert all(got["q", x] == pytest.approx(f(x)) for x in at)
+    assert all(got["two", x] == pytest.approx(3 + 2 * x) and got["one", x] == 4.0 for x in at)
+    got = run(order=2, low=1, high=0)
+    assert got["q", -3.0] == pytest.approx(f(0) + 3 * -3) and got["q", 9.0] == pytest.approx(f(7))
+    got = run(order=0)
+    assert [got["q", x] for x in at] == [f(0), f(0), f(0), f(1), f(2.5), f(4), f(7), f(7)]
+    got = run(order=1, low=1, high=1)
+    assert [got["q", x] for x in at] == [pytest.approx(np.interp(x, xs, [f(k) for k in xs]) if 0 <= x <= 7 else f(0) + x * (f(1) - f(0)) if x < 0 else f(7) + (x - 7) * (f(7) - f(4)) / 3) for x in at]
+
+
+def test_nearest_passes_over_points_that_are_nowhere(spark):
+    nan = float("nan")
+    points = spark.createDataFrame([(k, float(k), 0.0, 0.0) for k in range(20)] + [(90, nan, 0.0, 0.0), (91, None, 1.0, 1.0), (92, float("inf"), 0.0, 0.0)], "id long, x double, y double, z double")
+    queries = spark.createDataFrame([(1, 3.2, 0.0, 0.0), (2, nan, 0.0, 0.0), (3, None, 0.0, 0.0), (4, 1e6, 0.0, 0.0)], "id long, x double, y double, z double")
+    got = {(r["q_id"], r["rank"]): r["p_id"] for r in spatial.nearest(queries, points, 2, 0.5).collect()}
+    assert got == {(1, 1): 3, (1, 2): 4, (4, 1): 19, (4, 2): 18}
+    assert spatial.nearest(queries.filter("id in (2, 3)"), points, 2, 0.5).collect() == spatial.nearest(queries, points.limit(0), 2, 0.5).collect() == []
+
+
+def _closest(p, tri):
+    """By a fine search over the triangle's own coordinates."""
+    a, b, c = (np.array(t) for t in tri)
+    best = min(np.linalg.norm(p - (a + u * (b - a) + v * (c - a))) for u in np.linspace(0, 1, 101) for v in np.linspace(0, 1 - u, 101))
+    return best
+
+
+def test_points_are_attached_to_the_closest_triangle(spark):
+    rng = np.random.default_rng(5)
+    tris = [[tuple(x) for x in (c + rng.normal(size=(3, 3)) * 0.4).tolist()] for c in rng.random((12, 3)) * 4]
+    faces = spark.createDataFrame([(k, t) for k, t in enumerate(tris)], "face long, corners array<struct<x: double, y: double, z: double>>")
+    pts = rng.random((8, 3)) * 5
+    points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(pts)], "id long, x double, y double, z double")
+    for r in locate.attach(points, faces, 0.3).collect():
+        d = [_closest(pts[r["id"]], t) for t in tris]
+        assert r["distance"] == pytest.approx(min(d), abs=2e-2) and d[r["face"]] == pytest.approx(min(d), abs=2e-2)
+        assert sum(r["weights"]) == pytest.approx(1) and min(r["weights"]) >= 0
+    assert locate.attach(points.limit(0), faces, 0.3).collect() == []
+
+
+def test_brick_and_tetrahedron_matrices_reproduce_linear_fields():
+    g = 1 / math.sqrt(3)
+    field = lambda s: 2 + 3 * s[0] - s[1] + 0.5 * s[2]
+    at = np.array([field([g * k for k in s]) for s in results.POINT_SIGNS])
+    assert np.allclose(np.array(results.brick_matrix()) @ at, [field(s) for s in results.CORNER_SIGNS])
+    a, b = (5 + 3 * math.sqrt(5)) / 20, (5 - math.sqrt(5)) / 20
+    corners = np.array([1.0, 4.0, -2.0, 7.0])
+    points = np.array([[a if i == j else b for j in range(4)] for i in range(4)]) @ corners
+    assert np.allclose(np.array(results.tet_matrix()) @ points, corners)
+
+
+def test_midside_nodes_get_the_mean_of_their_corners(spark):
+    elements = spark.createDataFrame([(1, list(range(20))), (2, list(range(100, 120)))], "elem long, nodes array<long>")
+    points = spark.createDataFrame([(e, ip, float(ip + 10 * e)) for e in (1, 2) for ip in range(1, 9)], "elem long, ip int, value double")
+    got = {r["node"]: r["value"] for r in results.extrapolate(elements, points, results.brick_matrix(), results.MIDSIDES).collect()}
+    corner = np.array(results.brick_matrix()) @ np.arange(11, 19)
+    assert [got[k] for k in range(8)] == pytest.approx(list(corner))
+    assert [got[8 + m] for m in range(12)] == pytest.approx([(corner[a] + corner[b]) / 2 for a, b in results.MIDSIDES])
+
+
+def test_distributing_coupling_gives_a_rotation_back(spark):
+    rng = np.random.default_rng(8)
+    p, w, turn = rng.normal(size=(9, 3)), rng.random(9) + 0.5, np.array([0.3, -0.7, 1.1])
+    rows = spark.createDataFrame([(1, k, *map(float, p[k]), float(w[k])) for k in range(9)] + [(2, k, float(k), 0.0, 0.0, 1.0) for k in range(3)], "group long, node long, x double, y double, z double, weight double")
+    moved = np.cross(turn, p) + [1, 2, 3]
+    out = constraints.distributing_coupling(rows).collect()
+    got = np.zeros(6)
+    for r in (r for r in out if r["group"] == 1):
+        got[r["term"] - 1] += r["coef"] * moved[r["node"], r["dof"] - 1]
+    assert np.allclose(got[3:], turn) and np.allclose(got[:3], (moved * w[:, None]).sum(axis=0) / w.sum())
+    assert all(r["coef"] == 0 for r in out if r["group"] == 2 and r["term"] > 3)  # on a line
+
+
+def test_mean_rotation_and_links_are_slopes(spark):
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(6, 3))
+    rows = spark.createDataFrame([(1, k, *map(float, p[k])) for k in range(6)], "group long, node long, x double, y double, z double")
+    axes = spark.createDataFrame([(1, 0.0, 0.0, 3.0)], "group long, ax double, ay double, az double")
+    u = 1e-6 * np.cross([0, 0, 1.0], p)
+    total = sum(r["coef"] * u[r["node"], r["dof"] - 1] for r in constraints.mean_rotation(rows, axes).collect())
+    assert total / 6 == pytest.approx(1e-6)
+    name = lambda k, s: {s: k} | {f"{s}{c}": float(v) for c, v in zip("xyz", p[k], strict=True)}
+    corners = spark.createDataFrame([{"group": 1} | name(0, "a") | name(1, "b") | name(2, "c")])
+    f = lambda q: float(np.dot(q[3] - q[2], np.cross(q[0] - q[2], q[1] - q[2])))
+    for r in constraints.plane_links(rows.filter("node = 3"), corners).collect():
+        step = np.zeros((6, 3))
+        step[r["node"], r["dof"] - 1] = 1e-6
+        assert (f(p + step) - f(p - step)) / 2e-6 == pytest.approx(r["coef"], abs=1e-6)
+    ends = spark.createDataFrame([{"group": 1} | name(0, "a") | name(1, "b")])
+    m = int(np.abs(p[1] - p[0]).argmax())
+    h = lambda q, j: (q[3][j] - q[0][j]) * (q[1][m] - q[0][m]) - (q[3][m] - q[0][m]) * (q[1][j] - q[0][j])
+    links = constraints.straight_links(rows.filter("node = 3"), ends).collect()
+    assert len(links) == 12 and {r["eq"] for r in links} == {1, 2, 3} - {m + 1}
+    for r in links:
+        step = np.zeros((6, 3))
+        step[r["node"], r["dof"] - 1] = 1e-6
+        assert (h(p + step, r["eq"] - 1) - h(p - step, r["eq"] - 1)) / 2e-6 == pytest.approx(r["coef"], abs=1e-6)
+
+
+def test_mac_in_blocks_is_the_same(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(k, rng.normal(size=5).tolist()) for k in range(40)], "id long, v array<double>")
+    one, many = ({(r["id_a"], r["id_b"]): round(r["mac"], 12) for r in results.mac(rows, rows, small).collect()} for small in (1 << 20, 0))
+    assert one == many and len(one) == 1600
+
+
+def test_three_triangles_at_an_edge_are_an_error(spark):
+    t = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 1, 4]), (3, [1, 2, 5])], "elem long, nodes array<long>")
+    with pytest.raises(Exception, match="more than two triangles"):
+        topology.triangle_neighbours(t).collect()
+
+
+def test_decks_are_read_in_blocks_and_files_included_to_the_ninth_level(spark, tmp_path):
+    lines = [f"line {k} of the deck, {'x' * (k % 40)}" for k in range(3000)]
+    (tmp_path / "a.inp").write_bytes("\r\n".join(lines).encode() + b"\r\n")
+    (tmp_path / "b.inp").write_text("one\n\ntwo")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = deck.read(spark, str(tmp_path)).orderBy("deck", "line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    a, b = ([r for r in got if r["deck"].endswith(n)] for n in ("a.inp", "b.inp"))
+    assert [r["value"] for r in a] == lines and [r["line"] for r in a] == list(range(1, 3001)) and [r["value"] for r in b] == ["one", "", "two"]
+    chain = lambda n: spark.createDataFrame([(f"f{k}", 1, f"*INCLUDE, INPUT=f{k + 1}" if k + 1 < n else "end") for k in range(n)], "name string, line long, value string")
+    first = spark.createDataFrame([("d", 1, "*include,input=f0"), ("d", 2, "last")], "deck string, line long, value string")
+    assert [r["value"] for r in deck.include_all(first, chain(9)).orderBy("path").collect()] == ["end", "last"]
+    with pytest.raises(ValueError, match="levels"):
+        deck.include_all(first, chain(11))
+
+
+def test_frictions_after_a_change_are_of_the_rest(spark):
+    rows = [("d", k, v) for k, v in enumerate(["*FRICTION", "1,", "*Change Friction, Interaction=A", "*FRICTION", "*Restart, Read", "*RESTART, WRITE", "*Node Print", "*Surface Behavior"], 1)]
+    got = [r["rank"] for r in deck.blocks(deck.parse(spark.createDataFrame(rows, "deck string, line long, value string"))).orderBy("first").collect()]
+    assert got == [13, 18, 18, 0, 18, 18, 13]
+
+
+def test_initial_states_and_creep_from_hooks(spark):
+    rows = spark.createDataFrame([(1, 10.0), (2, 50.0)], "id long, z double")
+    got = {r["id"]: (r["sxx"], r["szz"]) for r in hooks.initial_state("geostatic", rows, ["sxx", "syy", "szz"], F.col("z"), F.lit(40.0), F.lit(2.0), F.lit(0.5)).collect()}
+    assert got == {1: (-30.0, -60.0), 2: (0.0, 0.0)}
+    rate = rows.select(hooks.scalar("power_creep", F.col("z"), F.lit(2.0), F.lit(0.1), F.lit(2.0), F.lit(1.0)).alias("r")).collect()
+    assert [r["r"] for r in rate] == pytest.approx([20.0, 500.0])
