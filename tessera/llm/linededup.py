@@ -104,7 +104,8 @@ def repeats(docs: DataFrame, chunks: bool = True) -> DataFrame:
     again = lines.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("h"))
     twice = materialize(among(lines, F.col("a"), again), "lines")
     release(lines)
-    same = twice.join(_differing(docs, twice), "a", "left_anti")
+    differing = materialize(_differing(docs, twice), "differing")
+    same = twice if differing.isEmpty() else twice.join(differing, "a", "left_anti")
     found = materialize(units(same, chunks), "units")
     spot = F.struct("doc_id", "v", "s")
     first = found.groupBy("kind", "key").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
