@@ -204,9 +204,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = materialize(named.join(split, "key"), "rest")
     texts = _texts(docs, rest.select(F.col("node").alias("id")))
     fine = texts.mapInArrow(_refine, "node long, fine array<long>")
-    p, q = _blocks(rest.join(sigs.drop("sig"), "node").join(fine, "node"), ("node", "component", "n", "fine"))
+    p, q = _blocks(rest.join(classes.select("node", "n", "bands"), "node").join(fine, "node"), ("node", "component", "n", "fine", "bands"))
     apart = (F.col("node_p") < F.col("node_q")) & (F.col("component_p") != F.col("component_q"))
-    once = (F.col("cell.lo") == F.col("cell.hi")) | (F.col("block_p") != F.col("block_q"))
+    common = F.filter(F.zip_with("bands_p", "bands_q", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    # In their first common bucket, and there in one cell.
+    once = (F.get(common, F.lit(0)) == F.col("key")) & ((F.col("cell.lo") == F.col("cell.hi")) | (F.col("block_p") != F.col("block_q")))
     more = p.join(q, ["key", "cell"]).filter(apart & sizes & once & likely_at("fine_p", "fine_q", PERMS, percent) & likely_at("fine_p", "fine_q", FINE, percent))
     more = materialize(more.select(F.col("node_p").alias("a"), F.col("node_q").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "more")
     later = materialize(confirm(more, docs, percent), "links")
