@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, langid, linededup, media, mixing, neardup, quality, secrets, toxicity
 from tessera.llm.components import components
-from tests_plain import brute_components, brute_hits, brute_lines, brute_longest
+from tests_plain import brute_components, brute_hits, brute_lines, brute_longest, lower
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __score string, note array<int>"
@@ -347,6 +347,31 @@ def test_shortcuts_of_viterbi_change_nothing(monkeypatch, labels):
             assert value(a, b, got[a:b]) == pytest.approx(value(a, b, plain[a:b]), abs=1e-3)
 
 
+def test_word_scores_against_counted_trigrams(spark):
+    """Scores of words from a dictionary of trigrams, the word before and after it as a blank."""
+    import math
+
+    import numpy as np
+
+    texts = {"aa": "abra kadabra bara ab", "bb": "zulu lulu zuzu b"}
+    docs = spark.createDataFrame([(k, t, la) for k, (la, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+
+    def trigrams(word):
+        b = [0, 0, *(x + 1 for x in word.encode()), 0]
+        m = 0xFFFFFFFF
+        return [((((x * 31337 + y) * 40503 + z) & m) * 0x9E3779B1 & m) >> 16 for x, y, z in zip(b, b[1:], b[2:], strict=False)]
+
+    counts = {la: [g for w in t.split() for g in trigrams(w)] for la, t in texts.items()}
+    for word in ("abra", "zuzu", "kazu"):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        s, e, inside, closing, _ = langid.word_tables(langid.ALNUM[raw], np.array([0, len(raw)]), raw, model.ranges)
+        assert [*inside, *closing] == trigrams(word)
+        for k, la in enumerate(model.names):
+            plain = sum(math.log((counts[la].count(g) + 0.02) / (len(counts[la]) + 0.02 * 65536)) for g in trigrams(word))
+            assert model.scores[[*inside, *closing], k].sum() == pytest.approx(plain, rel=1e-4)
+
+
 def test_scripts_of_words():
     import numpy as np
 
@@ -552,6 +577,40 @@ def test_topics_are_fitted_on_all_documents_and_rare_ones_stay(spark):
     assert not set(topics[990:]) & set(topics[:990]) and len(centroids) == 60
 
 
+def test_copies_and_topics_by_plain_arithmetic(spark):
+    """Copies from the cell's expectation and XXH64 of the id; topics and tokens from word counts by hash."""
+    import numpy as np
+    import xxhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    for d, r in rows.items():
+        h = xxhash.xxh64((1).to_bytes(4, "little"), seed=xxhash.xxh64(int(d).to_bytes(8, "little"), seed=42).intdigest()).intdigest()
+        draw = (h - (1 << 64) if h >> 63 else h) % (1 << 52) / (1 << 52)
+        whole = int(r["__expected"] // 1)
+        assert r["__copies"] == whole + (draw < r["__expected"] - whole)
+        assert r["__expected"] == pytest.approx(mixing.RATE * r["__factor"]) and r["__probability"] == min(1.0, r["__expected"])
+        assert r["__tokens"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r["text"])))
+    # The fitted cells, summed by hand, have the tempered marginals.
+    cells = {}
+    for r in rows.values():
+        cells.setdefault((r["source"], r["lang"], r["__topic"]), [0, r["__factor"]])[0] += r["__tokens"]
+    total, raised = sum(n for n, _ in cells.values()), {k: n**0.7 for k, (n, _) in cells.items() if n}
+    for d in range(3):
+        for name in {k[d] for k in cells}:
+            want = sum(v for k, v in raised.items() if k[d] == name) / sum(raised.values())
+            assert sum(n * f for k, (n, f) in cells.items() if k[d] == name) / total == pytest.approx(want, abs=1e-6)
+    centroids = mixing.fit_topics(mixing.sketched(docs))
+    for r in list(rows.values())[:20]:
+        count = np.zeros(256)
+        for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r["text"]).encode()):
+            (h,), _ = mixing.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), mixing.ALNUM)
+            count[int(h) >> 56] += 1
+        v = np.log1p(count)
+        near = (centroids @ v) / max(1e-12, np.linalg.norm(v))
+        assert near[int(r["__topic"][5:])] >= near.max() - 0.02  # sketches have 256 steps
+
+
 def test_mixture_is_deterministic_and_calibrated(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a, b = (mixing.report(docs).orderBy("doc_id").collect() for _ in (0, 1))
