@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators import lookup
 from tessera.operators.spatial import nearest, radius_pairs
@@ -151,30 +150,24 @@ def patch_recovery(samples: DataFrame) -> DataFrame:
     return sums.select("node", solve("s").alias("value"))
 
 
-POLYGON = T.ArrayType(T.ArrayType(T.DoubleType()))
+def clip_polygon(subject: Column, clip: Column) -> Column:
+    """The part of a polygon (array of points) within a convex, counter-clockwise one: cut by the half-plane of each side in turn."""
+    sides = F.transform(clip, lambda b, i: F.struct(F.element_at(clip, F.when(i == 0, F.size(clip)).otherwise(i)).alias("a"), b.alias("b")))
 
+    def cut(left: Column, side: Column) -> Column:
+        a, b = side["a"], side["b"]
+        inside = lambda p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
 
-def _clip(subject: list, clip: list) -> list[tuple[float, float]]:
-    """The part of a polygon within a convex, counter-clockwise one: cut by the half-plane of each side in turn."""
-    left = [tuple(p) for p in subject]
-    for k, b in enumerate(clip):
-        a = clip[k - 1]
-        side = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for p in left]
-        kept = []
-        for i, p in enumerate(left):
-            q, sp, sq = left[i - 1], side[i], side[i - 1]
-            if (sp < 0) != (sq < 0):
-                t = sq / (sq - sp)
-                kept.append((q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])))
-            if sp >= 0:
-                kept.append(p)
-        left = kept
-    return left
+        def around(p: Column, i: Column) -> Column:
+            q = F.element_at(left, F.when(i == 0, F.size(left)).otherwise(i))
+            at, before = inside(p), inside(q)
+            t = F.try_divide(before, before - at)
+            crossed = F.when((at < 0) != (before < 0), F.array(q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])))
+            return F.filter(F.array(crossed, F.when(at >= 0, p)), lambda x: x.isNotNull())
 
+        return F.flatten(F.transform(left, around))
 
-@F.pandas_udf(POLYGON)
-def clip_polygon(subject: pd.Series, clip: pd.Series) -> pd.Series:
-    return pd.Series([[list(p) for p in _clip(list(s), list(c))] for s, c in zip(subject, clip, strict=True)])
+    return F.aggregate(sides, subject, cut)
 
 
 def polygon_area(p: Column) -> Column:

@@ -113,7 +113,7 @@ _TABLE = """
 t AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS x, max(p_retailprice) AS y FROM part WHERE p_size % 6 = 1 AND p_size > 6 GROUP BY ALL),
 i AS (SELECT p_brand, x AS x0, y AS y0, lag(x) OVER w AS xm, lag(y) OVER w AS ym, lag(x, 2) OVER w AS xmm, lag(y, 2) OVER w AS ymm, lead(x) OVER w AS xp, lead(y) OVER w AS yp, lead(x, 2) OVER w AS xpp, lead(y, 2) OVER w AS ypp,
   count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER w AS one FROM t WINDOW w AS (PARTITION BY p_brand ORDER BY x)),
-q AS (SELECT p_brand, l_quantity + 0.5 AS u FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+q AS (SELECT p_brand, l_quantity + 0.14285714285714285::DOUBLE AS u FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
 j AS (SELECT q.u, i.*, q.u < x0 AS below FROM q JOIN i ON i.p_brand = q.p_brand AND ((one = 1 AND q.u < x0) OR q.u >= x0) AND (xp IS NULL OR q.u < xp))
 """
 
@@ -121,9 +121,9 @@ j AS (SELECT q.u, i.*, q.u < x0 AS below FROM q JOIN i ON i.p_brand = q.p_brand
 def _tabulated(spark, sf_dir, **how):
     part = table(spark, sf_dir, "part")
     curve = part.filter("p_size % 6 = 1 and p_size > 6").groupBy("p_brand", F.col("p_size").cast("double").alias("u")).agg(F.max("p_retailprice").alias("y"))
-    points = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select("p_brand", (F.col("l_quantity") + 0.5).alias("u")).distinct()
+    points = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select("p_brand", (F.col("l_quantity") + 1 / 7).alias("u")).distinct()
     held = points.join(curve.select("p_brand").distinct(), "p_brand", "left_semi")
-    return lookup.tabulated(held, curve, ["p_brand"], "u", "y", **how).select("p_brand", "u", F.round("y", 7).alias("y"))
+    return lookup.tabulated(held, curve, ["p_brand"], "u", "y", **how).select("p_brand", "u", F.round("y", 6).alias("y"))
 
 
 def _line(a, b):
@@ -138,7 +138,7 @@ def _parabola(a, b, c):
     return f"({_line(a, b)} + {_bend(a, b, c)} * (u - x{a}) * (u - x{b}))"
 
 
-@query(f"WITH {_TABLE} SELECT p_brand, u, round(CASE WHEN n = 1 THEN y0 WHEN below THEN {_line(0, 'p')} WHEN xp IS NULL THEN y0 ELSE {_line(0, 'p')} END, 7) AS y FROM j")
+@query(f"WITH {_TABLE} SELECT p_brand, u, round(CASE WHEN n = 1 THEN y0 WHEN below THEN {_line(0, 'p')} WHEN xp IS NULL THEN y0 ELSE {_line(0, 'p')} END, 6) AS y FROM j")
 def table_linear(spark, sf_dir):
     """Linear between a table's entries, continued below the first and constant beyond the last."""
     return _tabulated(spark, sf_dir, order=lookup.LINEAR, low=lookup.LINEAR, high=lookup.CONSTANT)
@@ -148,7 +148,7 @@ def table_linear(spark, sf_dir):
 WITH {_TABLE} SELECT p_brand, u, round(CASE WHEN n = 1 THEN y0 WHEN n = 2 THEN {_line(0, 'p').replace('yp', 'coalesce(yp, ym)').replace('xp', 'coalesce(xp, xm)')}
   WHEN below THEN y0 + (u - x0) * ((yp - y0) / (xp - x0) + {_bend(0, 'p', 'pp')} * (x0 - xp)) WHEN xp IS NULL THEN {_parabola(0, 'm', 'mm')}
   WHEN xm IS NULL THEN {_parabola(0, 'p', 'pp')} WHEN xpp IS NULL THEN {_parabola('m', 0, 'p')}
-  ELSE {_parabola('m', 0, 'p')} + ({_parabola(0, 'p', 'pp')} - {_parabola('m', 0, 'p')}) * (u - x0) / (xp - x0) END, 7) AS y FROM j
+  ELSE {_parabola('m', 0, 'p')} + ({_parabola(0, 'p', 'pp')} - {_parabola('m', 0, 'p')}) * (u - x0) / (xp - x0) END, 6) AS y FROM j
 """)
 def table_quadratic(spark, sf_dir):
     """Parabolas through a table's entries, continued by a tangent below and a parabola beyond."""
