@@ -262,10 +262,10 @@ def label_words(model: Languages, data: np.ndarray, offs: np.ndarray):
     s, e, inside, closing, script = word_tables(ALNUM[raw], rel, raw, model.ranges)
     n = len(model.names)
     score = np.empty((len(s), n), np.float32)
-    for k in range(n):
-        total = np.zeros(len(raw) + 1)
-        np.cumsum(np.where(ALNUM[raw] != 0, model.scores[inside, k], 0), out=total[1:])
-        score[:, k] = total[e] - total[s] + model.scores[closing, k]
+    spots = np.stack([s, e], 1).ravel()
+    for k in range(n if len(s) else 0):
+        mine = np.ascontiguousarray(model.scores[:, k])
+        score[:, k] = np.add.reduceat(np.append(mine[inside], np.float32(0)), spots)[::2] + mine[closing]
     lettered = script > 0
     score[~lettered] = 0
     allowed = model.allowed[script]
@@ -282,26 +282,25 @@ def _label(held):
         for batch in batches:
             data, offs = column(batch, "text")
             for a, b in blocks(offs, (2 << 20) * 8 // max(8, n)):
-                rows = b - a
-                lang, share, spans = ["und"] * rows, np.zeros(rows), [[] for _ in range(rows)]
+                rows, names = b - a, pa.array(["und", *model.names])
+                lang, share, ends = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows + 1, np.int32)
+                start, end, label_of = (np.zeros(0, np.int64) for _ in range(3))
                 if n:
                     s, e, first, label, lettered = label_words(model, data, offs[a : b + 1])
                     row = np.repeat(np.arange(rows), np.diff(first))
                     size = np.where(lettered, e - s, 0)
                     weight = np.bincount(row * n + label.astype(np.int64), weights=size, minlength=rows * n).reshape(rows, n)
-                    best = weight.argmax(axis=1)
                     total = weight.sum(axis=1)
-                    share = np.where(total > 0, weight[np.arange(rows), best] / np.maximum(1, total), 0.0)
-                    lang = [model.names[k] if t > 0 else "und" for k, t in zip(best, total, strict=True)]
+                    share = np.where(total > 0, weight.max(axis=1) / np.maximum(1, total), 0.0)
+                    lang = np.where(total > 0, weight.argmax(axis=1) + 1, 0)
                     cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (label[1:] != label[:-1])]) if len(row) else np.zeros(0, np.int64)
                     last = np.r_[cut[1:], len(row)][: len(cut)]
-                    for c, d in zip(cut.tolist(), last.tolist(), strict=True):
-                        r = int(row[c])
-                        spans[r].append({"start": c - int(first[r]), "end": d - int(first[r]), "lang": model.names[label[c]]})
-                    for r in np.flatnonzero(total == 0):
-                        spans[r] = []
+                    cut, last = cut[total[row[cut]] > 0], last[total[row[cut]] > 0]
+                    start, end, label_of = cut - first[row[cut]], last - first[row[cut]], label[cut].astype(np.int64) + 1
+                    ends[1:] = np.cumsum(np.bincount(row[cut], minlength=rows))
+                spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end), names.take(pa.array(label_of))], names=["start", "end", "lang"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, rows), pa.array(lang), pa.array(share), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))],
+                    [batch.column(0).slice(a, rows), names.take(pa.array(lang)), pa.array(share), pa.ListArray.from_arrays(pa.array(ends), spans)],
                     names=["doc_id", "lang_pred", "score", "spans"],
                 )
 
