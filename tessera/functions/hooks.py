@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,14 @@ def register(name: str, hook: Callable[..., np.ndarray]) -> None:
     _HOOKS[name] = hook
 
 
+def load(spec: str) -> str:
+    """Register a function of an installed module, given as module:function, under @function; gives that name."""
+    module, _, function = spec.partition(":")
+    name = f"@{function}"
+    register(name, getattr(importlib.import_module(module), function))
+    return name
+
+
 def scalar(name: str, *args: Column) -> Column:
     """The hook's value for each row, as an Arrow-batched function (amplitudes, boundary values, loads, film coefficients)."""
     hook = _HOOKS[name]

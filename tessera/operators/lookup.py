@@ -174,6 +174,29 @@ def tabulated(points: DataFrame, table: DataFrame, by: list[str], x: str, y: str
     return found.select(*points.columns, value.alias(y))
 
 
+def tabulated_two(points: DataFrame, table: DataFrame, by: list[str], x: str, y: str, z: str, order: tuple[int, int] = (LINEAR, LINEAR), low: tuple[int, int] = (CONSTANT, CONSTANT), high: tuple[int, int] = (CONSTANT, CONSTANT)) -> DataFrame:
+    """``points`` (by, x, y, ...) plus z from a grid (by, x, y, z): along x as ``tabulated`` in the grid's lines on both sides of y, then between the two.
+
+    order, low and high are for x (any) and y (constant or linear). Beyond the first
+    and last line the two nearest are continued, or the nearest is taken.
+    """
+    within = W.partitionBy(*by).orderBy(y)
+    line = F.struct(F.lag(y).over(within).alias("before"), F.col(y).alias("here"), F.lead(y).over(within).alias("after"))
+    entries = table.select(*by, y).distinct().select(*by, y, line.alias("__line"))
+    first = entries.groupBy(*by).agg(F.min_by("__line", y).alias("__begin"))
+    found = as_of(points, entries, by, y, ["__line"]).join(first.withColumnsRenamed({b: f"__by_{b}" for b in by}), _same(by))
+    under, e = F.col("__line_at").isNull(), F.coalesce("__line_at", "__begin")
+    over = ~under & e["after"].isNull()
+    a, b = F.when(over, F.coalesce(e["before"], e["here"])).otherwise(e["here"]), F.when(over, e["here"]).otherwise(F.coalesce(e["after"], e["here"]))
+    free = F.when(b > a, (F.col(y) - a) / (b - a)).otherwise(0.0)
+    share = F.when(under, free if min(low[1], order[1]) else F.lit(0.0)).when(over, free if min(high[1], order[1]) else F.lit(1.0)).otherwise(free if order[1] else F.lit(0.0))
+    out = found.select(*points.columns, a.alias("__a"), b.alias("__b"), share.alias("__share"))
+    curve = table.withColumnRenamed(y, "__curve")
+    for side in ("a", "b"):
+        out = tabulated(out.withColumn("__curve", F.col(f"__{side}")), curve, [*by, "__curve"], x, z, order[0], low[0], high[0]).withColumnRenamed(z, f"__z{side}").drop("__curve")
+    return out.select(*points.columns, (F.col("__za") + (F.col("__zb") - F.col("__za")) * F.col("__share")).alias(z))
+
+
 def amplitude(points: DataFrame, table: DataFrame, name: str, step_time: str, total_time: str, t: str, y: str, shifts: DataFrame | None = None) -> DataFrame:
     """``points`` (name, step_time, total_time, ...) plus y, linear in the table (name, t, y) and constant beyond it.
 

@@ -567,3 +567,43 @@ def card_classes(spark, sf_dir):
     names = F.array(*[F.lit(c) for c, _ in _CARDS])
     rows = table(spark, sf_dir, "part").select(p, F.element_at(names, (p % 24 + 1).cast("int")).alias("card"), F.array(F.lit("X"), F.when(p % 48 == 0, "READ").otherwise("WRITE")).alias("fields"))
     return rows.select("p_partkey", "card", deck.card_rank(F.col("card"), F.col("fields")).alias("rank"))
+
+
+@query("""
+WITH q AS (SELECT DISTINCT p_brand, l_linenumber * 1.5::DOUBLE AS t, l_quantity::DOUBLE AS x FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT p_brand, t, x, round(10 * t + x, 6) AS y FROM q
+""")
+def table_two_ways(spark, sf_dir):
+    """A grid over temperature and strain, linear in both, and continued beyond its ends."""
+    part = table(spark, sf_dir, "part")
+    grid = part.select("p_brand").distinct().withColumn("t", F.explode(F.array(F.lit(2.0), F.lit(3.0), F.lit(7.0)))).withColumn("x", F.explode(F.array(F.lit(4.0), F.lit(8.0), F.lit(40.0))))
+    points = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select("p_brand", (F.col("l_linenumber") * 1.5).alias("t"), F.col("l_quantity").cast("double").alias("x")).distinct()
+    out = lookup.tabulated_two(points, grid.withColumn("y", F.col("t") * 10 + F.col("x")), ["p_brand"], "x", "t", "y", low=(lookup.LINEAR, lookup.LINEAR), high=(lookup.LINEAR, lookup.LINEAR))
+    return out.select("p_brand", "t", "x", F.round("y", 6).alias("y"))
+
+
+@query("SELECT l_partkey AS i, l_suppkey AS j, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY ALL")
+def assemble_asymmetric(spark, sf_dir):
+    """Contributions summed over a whole matrix."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
+    return sparse.assemble(rows, symmetric=False).withColumn("v", F.round("v", 2))
+
+
+@query("""
+WITH c AS (SELECT event_id, value * 1e-5 AS e, value * 1e-6 AS g FROM events)
+SELECT event_id, round(200000 / 2.6 * 2 * e + 200000 * 0.3 / (1.3 * 0.4) * e, 6) AS sxx, round(200000 * 0.3 / (1.3 * 0.4) * e, 6) AS syy, round(200000 / 2.6 * 2 * g, 6) AS sxy FROM c
+""")
+def elastic_stress(spark, sf_dir):
+    """Stresses of a material law, in batches of points."""
+    e = table(spark, sf_dir, "events")
+    zero = F.lit(0.0)
+    points = e.select(F.col("event_id").alias("id"), F.lit(200000.0).alias("young"), F.lit(0.3).alias("poisson"), F.array(F.col("value") * 1e-5, zero, zero, F.col("value") * 1e-6, zero, zero).alias("e"))
+    s = hooks.material("elastic", points, "id long, s array<double>")
+    return s.select(F.col("id").alias("event_id"), *[F.round(F.col("s")[k], 6).alias(n) for k, n in ((0, "sxx"), (1, "syy"), (3, "sxy"))])
+
+
+@query("SELECT s_suppkey, round(sqrt(s_acctbal * s_acctbal + s_suppkey * s_suppkey), 6) AS size FROM supplier")
+def loaded_hook(spark, sf_dir):
+    """A hook loaded by the name of its module and function."""
+    size = hooks.scalar(hooks.load("numpy:hypot"), F.col("s_acctbal"), F.col("s_suppkey").cast("double"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(size, 6).alias("size"))
