@@ -414,10 +414,14 @@ def effective_modal_mass(spark, sf_dir):
     return results.modal_mass(phi, mass).select("mode", F.round("participation", 5).alias("participation"), F.round("effective_mass", 3).alias("effective_mass"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS m FROM events),
+w AS (SELECT *, unnest(range(0, m // 2 + 1)) AS k FROM s)
+SELECT user_id, k, round(sum(value * cos(2 * pi() * k * n / m)), 4) + 0.0 AS re, round(-sum(value * sin(2 * pi() * k * n / m)), 4) + 0.0 AS im FROM w GROUP BY user_id, k
+""")
 def fft_spectrum(spark, sf_dir):
     """The spectrum of each user's values in time order."""
-    return real_spectrum(table(spark, sf_dir, "events"), "user_id", "ts", "value").select("user_id", "k", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
+    return real_spectrum(table(spark, sf_dir, "events"), "user_id", "ts", "value").select("user_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
 
 
 @query("""
