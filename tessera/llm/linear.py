@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import column, hash_spans, mix
+from tessera.llm.words import column, hash_spans, mix, small_batches
 from tessera.scratch import materialize, release
 
 #: Kinds of bytes: 0 ends a token; letters, digits and what is beyond ASCII form words; each other byte value forms runs of its own.
@@ -72,7 +72,7 @@ def fit_in_task(examples: DataFrame, fit, schema: str, limit: int = SAMPLE_BYTES
         found = fit(data, offs, batch.column(1).to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], names=list(found))
 
-    rows = examples.filter(F.col("y").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(examples).filter(F.col("y").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
     rows = materialize(rows.filter(F.octet_length("text") <= limit // 16), "examples")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > limit:

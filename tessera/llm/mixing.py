@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import ALNUM, blocks, column, plain, words
+from tessera.llm.words import ALNUM, blocks, column, plain, small_batches, words
 from tessera.scratch import materialize, release
 
 TOPICS, SKETCH_BITS, TOPIC_ROUNDS = 8, 8, 15
@@ -65,7 +65,7 @@ def _sketch(batches):
 
 def sketched(docs: DataFrame) -> DataFrame:
     """id, source, lang, tokens and sketch of every row, 256 bytes each; a written table."""
-    rows = docs.select(F.xxhash64("doc_id").alias("id"), *(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in DIMENSIONS[:2]), "text")
+    rows = small_batches(docs).select(F.xxhash64("doc_id").alias("id"), *(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in DIMENSIONS[:2]), "text")
     return materialize(rows.mapInArrow(_sketch, "id long, source string, lang string, tokens long, v binary"), "sketches")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bitmap import among
 from tessera.llm.components import components
-from tessera.llm.words import SPACED, blocks, column, grams, list_column, mix, words
+from tessera.llm.words import SPACED, blocks, column, grams, list_column, mix, small_batches, words
 from tessera.scratch import materialize, release
 
 WORDS, PERMS, FINE, ROWS, BITS = 5, 256, 2048, 5, 2
@@ -96,7 +96,7 @@ def _sign(batches):
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, (k1, k2) naming the set, band keys, packed low bits; nothing for empty sets."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
 
 
 def _refine(batches):

@@ -51,6 +51,18 @@ SPACED = byte_table(bytes([32, *range(9, 14)]))
 ALNUM = byte_table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
+#: Bytes of a batch that goes to a Python worker, in a session that leaves Spark's own bound as it is (64 MB, of which worker and executor hold copies).
+BATCH_BYTES, _BATCH, _DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, after seeing to it that their session's Arrow batches are small; a bound that the user has set stays."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return rows
+
+
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """A text column's bytes and row offsets; null rows are empty."""
     arr = batch.column(batch.schema.get_field_index(name))
@@ -139,7 +151,7 @@ def grams(w: np.ndarray, n: int) -> np.ndarray:
 
 def plain(docs: DataFrame) -> DataFrame:
     """``docs`` without columns whose names begin with two underscores: the operators' own are called so."""
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")])
+    return small_batches(docs).select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")])
 
 
 def share(spark: SparkSession, held):
