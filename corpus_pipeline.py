@@ -3,6 +3,14 @@
 Part of the text operators (tessera.llm). Each stage takes (spark, docs, sf_dir)
 and returns the documents with its decisions applied; all but the last return the
 columns of documents.
+
+Odd rows. A null, empty or blank text has no words: the quality stage scores it by
+the classifier's bias, and the stages after it keep it as it is. Rows with a null
+doc_id are scored and cleaned like others, are near copies of nothing and all stay.
+Rows that repeat a doc_id and a text are treated alike. An empty table gives an empty
+one; without labels every score is 0.5, without benchmark items nothing goes. Columns
+beyond those of documents are left out, whatever their names. Texts of any length are
+taken whole.
 """
 
 from __future__ import annotations
@@ -57,7 +65,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: A trained classifier can't be put in SQL; tests hold each stage against a brute-force version.
+#: A trained classifier can't be put in SQL; tests hold the other stages against brute-force versions on their own input, the classifier against a plain loop of its training, and all on odd rows.
 ORACLE_SQL = None
 
 
