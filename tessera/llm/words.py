@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 19
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
