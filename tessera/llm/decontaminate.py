@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import ALNUM, blocks, column, list_column, mix, plain, powers, share, shared, word_spans, words
+from tessera.llm.words import ALNUM, blocks, column, lean, list_column, mix, plain, powers, share, shared, word_spans, words
 from tessera.scratch import materialize, release
 
 WINDOW = 10
 #: Bytes of benchmark text that one part holds; a single longer item is a part of its own.
 PART_BYTES = 8 << 20
 #: Bytes of training text in a shard, and suffixes that are compared at once.
-SHARD_BYTES, CHUNK = 8 << 20, 1 << 16
+SHARD_BYTES, CHUNK = 4 << 20, 1 << 15
 #: Words that are compared one by one; no less than WINDOW.
 PLAIN = 16
 
@@ -284,7 +284,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, lo
     before = None
     for n, held in _parts(benchmark, part_bytes):
         part = share(spark, held)
-        found = out.mapInArrow(_hits(part, [*kept, "__items", "__longest", "__longest_start"], longest), schema)
+        found = out.mapInArrow(lean(_hits(part, [*kept, "__items", "__longest", "__longest_start"], longest)), schema)
         better = (F.col("__best") > F.col("__longest")) | ((F.col("__best") == F.col("__longest")) & (F.col("__best") > 0) & (F.col("__where") < F.col("__longest_start")))
         out = found.select(
             *[F.col(f"`{c}`") for c in kept],

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.linear import bounded_sample
 from tessera.llm.quality import fold
-from tessera.llm.words import ALNUM, blocks, column, share, shared, small_batches, word_spans
+from tessera.llm.words import ALNUM, blocks, column, lean, share, shared, small_batches, word_spans
 
 SAMPLE, BITS, SWITCH = 6000, 16, 12.0
 #: Texts of more words than this are solved in pieces, where there are no more labels than MANY.
@@ -140,7 +140,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Languages:
     """From at most about ``sample`` of the rows (doc_id, text, lang): trigram log-probabilities and the scripts of each language."""
     *ranges, scripts = script_ranges()
     few = bounded_sample(small_batches(rows).filter("lang is not null and text is not null"), sample, "doc_id")
-    counts = few.select("text", "lang").mapInArrow(_count(tuple(ranges), len(scripts)), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    counts = few.select("text", "lang").mapInArrow(lean(_count(tuple(ranges), len(scripts))), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())
     number = counts["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(dtype=np.int64)
     table = np.zeros((len(names), (1 << BITS) + len(scripts)))
@@ -315,7 +315,7 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
     """
     held = share(docs.sparkSession, model)
     kind = dict(docs.dtypes)["doc_id"]
-    return small_batches(docs).select("doc_id", "text").mapInArrow(_label(held), f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lean(_label(held)), f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>")
 
 
 def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import column, hash_spans, mix, small_batches
+from tessera.llm.words import column, hash_spans, lean, mix, small_batches
 from tessera.scratch import materialize, release
 
 #: Kinds of bytes: 0 ends a token; letters, digits and what is beyond ASCII form words; each other byte value forms runs of its own.
@@ -77,7 +77,7 @@ def fit_in_task(examples: DataFrame, fit, schema: str, limit: int = SAMPLE_BYTES
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > limit:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < int(limit / total * (1 << 40)))
-    out = rows.repartition(1).mapInArrow(work, schema).toPandas()
+    out = rows.repartition(1).mapInArrow(lean(work), schema).toPandas()
     release(rows)
     return out
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.words import blocks, column, small_batches
+from tessera.llm.words import blocks, column, lean, small_batches
 
 # Fixed values of the format.
 PACKET, SYNC, STUFFING = 188, 0x47, 0xFF
@@ -226,7 +226,7 @@ def _store(batches):
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (the stream) of every row of ``docs`` (doc_id, text, any others); a null text is empty."""
     kind = dict(docs.dtypes)["doc_id"]
-    return small_batches(docs).select("doc_id", "text").mapInArrow(_store, f"doc_id {kind}, n_bytes long, media binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lean(_store), f"doc_id {kind}, n_bytes long, media binary")
 
 
 def _read(batches):
@@ -254,7 +254,7 @@ _FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32
 
 def features(media: DataFrame) -> DataFrame:
     """What the stored streams (doc_id, n_bytes, media) hold, read from their bytes; pts and random_access list every elementary packet."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, f"doc_id {dict(media.dtypes)['doc_id']}, {_FEATURES}")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(_read), f"doc_id {dict(media.dtypes)['doc_id']}, {_FEATURES}")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -267,4 +267,4 @@ def report(docs: DataFrame) -> DataFrame:
     def work(batches):
         yield from _read(_store(batches))
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, {_FEATURES}").drop("pts", "random_access")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lean(work), f"doc_id {dict(docs.dtypes)['doc_id']}, {_FEATURES}").drop("pts", "random_access")

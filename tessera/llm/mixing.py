@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import ALNUM, blocks, column, plain, small_batches, words
+from tessera.llm.words import ALNUM, blocks, column, lean, plain, small_batches, words
 from tessera.scratch import materialize, release
 
 TOPICS, SKETCH_BITS, TOPIC_ROUNDS = 8, 8, 15
@@ -66,7 +66,7 @@ def _sketch(batches):
 def sketched(docs: DataFrame) -> DataFrame:
     """id, source, lang, tokens and sketch of every row, 256 bytes each; a written table."""
     rows = small_batches(docs).select(F.xxhash64("doc_id").alias("id"), *(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in DIMENSIONS[:2]), "text")
-    return materialize(rows.mapInArrow(_sketch, "id long, source string, lang string, tokens long, v binary"), "sketches")
+    return materialize(rows.mapInArrow(lean(_sketch), "id long, source string, lang string, tokens long, v binary"), "sketches")
 
 
 def _sums(shared):
@@ -98,7 +98,7 @@ def fit_topics(seen: DataFrame, k: int = TOPICS, rounds: int = TOPIC_ROUNDS) ->
     for _ in range(rounds):
         held = seen.sparkSession.sparkContext.broadcast(c)
         total, now = np.zeros(c.shape), c
-        for r in worded.select("v").mapInArrow(_sums(held), "topic long, at long, s long").groupBy("topic", "at").agg(F.sum("s").alias("s")).collect():
+        for r in worded.select("v").mapInArrow(lean(_sums(held)), "topic long, at long, s long").groupBy("topic", "at").agg(F.sum("s").alias("s")).collect():
             total[r["topic"], r["at"]] = r["s"]
         held.destroy()
         size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -119,7 +119,7 @@ def _topics(shared):
 def topic_rows(seen: DataFrame, centroids: np.ndarray) -> DataFrame:
     """source, lang, tokens, topic of every sketch."""
     held = seen.sparkSession.sparkContext.broadcast(centroids)
-    return seen.select("source", "lang", "tokens", "v").mapInArrow(_topics(held), "source string, lang string, tokens long, topic string")
+    return seen.select("source", "lang", "tokens", "v").mapInArrow(lean(_topics(held)), "source string, lang string, tokens long, topic string")
 
 
 def _assign(shared):
@@ -139,7 +139,7 @@ def with_topics(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
     docs = plain(docs)
     shared = docs.sparkSession.sparkContext.broadcast(centroids)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __tokens long, __topic string"
-    return docs.mapInArrow(_assign(shared), schema)
+    return docs.mapInArrow(lean(_assign(shared)), schema)
 
 
 def _stalled(moved: list[float]) -> bool:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bitmap import among
 from tessera.llm.components import components
-from tessera.llm.words import SPACED, blocks, column, grams, list_column, mix, small_batches, words
+from tessera.llm.words import SPACED, blocks, column, grams, lean, list_column, mix, small_batches, words
 from tessera.scratch import materialize, release
 
 WORDS, PERMS, FINE, ROWS, BITS = 5, 256, 2048, 5, 2
@@ -96,7 +96,7 @@ def _sign(batches):
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, (k1, k2) naming the set, band keys, packed low bits; nothing for empty sets."""
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_sign), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>")
 
 
 def _refine(batches):
@@ -156,7 +156,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_overlap, "a long, b long, inter long, union long").filter(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b").distinct()
+    return both.mapInArrow(lean(_overlap), "a long, b long, inter long, union long").filter(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b").distinct()
 
 
 def _blocks(rest: DataFrame, held: tuple[str, ...], block: int = BUCKET_BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", "m")
     rest = materialize(named.join(split, "key"), "rest")
     texts = _texts(docs, rest.select(F.col("node").alias("id")))
-    fine = texts.mapInArrow(_refine, "node long, fine array<long>")
+    fine = texts.mapInArrow(lean(_refine), "node long, fine array<long>")
     p, q = _blocks(rest.join(classes.select("node", "n", "bands"), "node").join(fine, "node"), ("node", "component", "n", "fine", "bands"))
     apart = (F.col("node_p") < F.col("node_q")) & (F.col("component_p") != F.col("component_q"))
     common = F.filter(F.zip_with("bands_p", "bands_q", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())

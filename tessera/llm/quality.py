@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.linear import Leader, bounded_sample, fit_in_task, row_vectors, tokens
-from tessera.llm.words import blocks, column, mix, plain
+from tessera.llm.words import blocks, column, lean, mix, plain
 
 BITS = 18
 #: Labelled rows that training takes at most.
@@ -95,7 +95,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     docs = plain(docs)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
-    return docs.mapInArrow(_score(shared), schema)
+    return docs.mapInArrow(lean(_score(shared)), schema)
 
 
 def fold(modulus: int):

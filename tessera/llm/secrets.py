@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import column, small_batches
+from tessera.llm.words import column, lean, small_batches
 
 # The patterns and least lengths of the kinds.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -256,7 +256,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     secret found in a layer that was compressed maps to the whole packed run.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    return small_batches(docs).select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, spans string, layers long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lean(_scan), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, spans string, layers long")
 
 
 def report(docs: DataFrame) -> DataFrame:

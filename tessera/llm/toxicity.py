@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.linear import fit_in_task, row_vectors
 from tessera.llm.quality import fold, labelled
-from tessera.llm.words import ALNUM, blocks, column, hash_spans, mix, plain, share, shared, word_spans
+from tessera.llm.words import ALNUM, blocks, column, hash_spans, lean, mix, plain, share, shared, word_spans
 
 BITS = 20
 #: Labelled rows that training takes at most.
@@ -193,7 +193,7 @@ def severities(docs: DataFrame, model: Ordinal) -> DataFrame:
     docs = plain(docs)
     held = share(docs.sparkSession, model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __p double, __severity double, __grade int"
-    return docs.mapInArrow(_severity(held), schema)
+    return docs.mapInArrow(lean(_severity(held)), schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

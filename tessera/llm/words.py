@@ -62,6 +62,31 @@ def small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def lean(work):
+    """``work`` over batches, handing memory that is free back to the system after each batch that it takes: workers live on between tasks, beside an executor that needs the room."""
+
+    def trim() -> None:
+        import ctypes
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (AttributeError, OSError):  # another libc
+            pass
+
+    def watched(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            trim()
+
+    def run(batches):
+        yield from work(watched(batches))
+        trim()
+
+    return run
+
+
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """A text column's bytes and row offsets; null rows are empty."""
     arr = batch.column(batch.schema.get_field_index(name))
