@@ -5,8 +5,8 @@ doubling and binary-searches every suffix of the benchmark's items. Where a suff
 would stand, its neighbours in the array share the most words with it; from the
 sorted insertion points every training suffix finds its own longest match in turn.
 A suffix that matches its window at least has all its occurrences in one range of
-the array, found by two more searches. Windows are compared word by word; only how far a match
-goes on beyond PLAIN words is read from hashes.
+the array, found by two more searches. Windows are compared word by word; only how
+far a match goes on beyond PLAIN words is read from hashes.
 
 A training suffix ends where its run of words known to the benchmark does, since
 nothing matches beyond; one that begins with an unknown word is not in the array.
