@@ -165,6 +165,60 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.vectors import report
+
+    return report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _op11_round(k: int) -> str:
+    """Codebooks e<k + 1> from e<k>: assigned, then the floors of the means."""
+    floor = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"
+    return f"""
+n{k} AS (SELECT r, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (SELECT r, parts.p, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS dist FROM parts JOIN e{k} ON parts.p = e{k}.p) GROUP BY r, p),
+m{k} AS (SELECT p, e, list(x ORDER BY i) AS c FROM (SELECT p, e, i, ({floor})::BIGINT AS x FROM (SELECT p, e, unnest(range(len(x))) AS i, unnest(x) AS x FROM parts JOIN n{k} USING (r, p)) GROUP BY p, e, i) GROUP BY p, e),
+e{k + 1} AS (SELECT p, e, coalesce(m{k}.c, e{k}.c) AS c FROM e{k} LEFT JOIN m{k} USING (p, e)),"""
+
+
+OP11_SQL = f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(coalesce(x, 0))))),
+parts AS (SELECT r, p, list_transform(embedding[p * len(embedding) // 16 + 1:(p + 1) * len(embedding) // 16], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM kept, range(16) AS t(p)),
+e0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 64),{_op11_round(0)}{_op11_round(1)}
+last AS (SELECT r, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (SELECT r, parts.p, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS dist FROM parts JOIN e2 ON parts.p = e2.p) GROUP BY r, p),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM e2),
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM last GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), books
+"""
+
+
+def op12_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.tokens import report
+
+    return report(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.search import search
+
+    return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_OP13_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, {LOWER}), '{_OP13_TERM}') AS ws FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS nn, sum(len(ws))::BIGINT AS ll FROM d WHERE len(ws) > 0),
+q AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, {LOWER}), '{_OP13_TERM}')) AS w FROM benchmark),
+t AS (SELECT doc_id, n, w, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY doc_id, n, w),
+f AS (SELECT w, floor(1000 * ln((2 * (SELECT nn FROM s) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t GROUP BY w),
+i AS (SELECT doc_id, w, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))) AS impact FROM t JOIN f USING (w), s),
+r AS (SELECT item_id, text, doc_id, sum(impact)::BIGINT AS score FROM q JOIN i USING (w) GROUP BY item_id, text, doc_id HAVING sum(impact) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r) WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
