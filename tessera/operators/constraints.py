@@ -169,7 +169,7 @@ def distributing_coupling(nodes: DataFrame) -> DataFrame:
     return rows.join(inertia, "group").select("group", "node", F.explode(each).alias("x")).select("group", "node", "x.term", "x.dof", "x.coef")
 
 
-def tied(slaves: DataFrame, faces: DataFrame, tolerance: float, start: float) -> DataFrame:
+def tied(slaves: DataFrame, faces: DataFrame, tolerance: float) -> DataFrame:
     """Slave nodes (id, x, y, z) on master triangles (face, corners: three (node, x, y, z)) -> (id, face, gap, node, coef).
 
     A slave within the tolerance of its nearest triangle follows its corners with the
@@ -177,14 +177,14 @@ def tied(slaves: DataFrame, faces: DataFrame, tolerance: float, start: float) ->
     """
     from tessera.operators.locate import attach
 
-    near = attach(slaves, faces, start).filter(F.col("distance") <= tolerance)
+    near = attach(slaves, faces).filter(F.col("distance") <= tolerance)
     each = F.arrays_zip(F.transform("corners", lambda c: c["node"]).alias("node"), F.col("weights").alias("coef"))
     return near.select("id", "face", F.col("distance").alias("gap"), F.explode(each).alias("x")).select("id", "face", "gap", "x.node", "x.coef")
 
 
-def cyclic(slaves: DataFrame, faces: DataFrame, sectors: int, tolerance: float, start: float) -> DataFrame:
+def cyclic(slaves: DataFrame, faces: DataFrame, sectors: int, tolerance: float) -> DataFrame:
     """As ``tied``, of the nodes of one sector face turned about z by one of ``sectors`` equal angles onto the other face's triangles."""
     from tessera.operators.spatial import rotate
 
     x, y = rotate(F.col("x"), F.col("y"), 2 * math.pi / sectors)
-    return tied(slaves.select("id", x.alias("x"), y.alias("y"), "z"), faces, tolerance, start)
+    return tied(slaves.select("id", x.alias("x"), y.alias("y"), "z"), faces, tolerance)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators import lookup
-from tessera.operators.spatial import nearest, radius_pairs
+from tessera.operators import levels, lookup
+from tessera.operators.spatial import _placed
 from tessera.scratch import materialize
 
 AXES = ("x", "y", "z")
@@ -27,20 +25,17 @@ def _inverse(p: list[list[Column]], at: list[Column]) -> list[Column]:
     return [1 - inner[0] - inner[1] - inner[2], *inner]
 
 
-def locate(points: DataFrame, tets: DataFrame, size: float, slack: float = 1e-9) -> DataFrame:
+def locate(points: DataFrame, tets: DataFrame, size: float = 1.0, slack: float = 1e-9) -> DataFrame:
     """(id, x, y, z) and (elem, corners: four (x, y, z, value)) -> id, elem, value.
 
-    A tetrahedron stands in every grid cell its box touches, so that a point meets
-    only those of its own cell; of several that hold it the least elem counts.
-    Points outside all have no row. ``size`` should be near the elements' size.
+    Each tetrahedron stands on the grid level of its own size (see levels), so that
+    large and small ones may be mixed at will; of several that hold a point the least
+    elem counts. Points outside all have no row. ``size`` is the grid's unit; it does
+    not matter to the outcome, and little to the work.
     """
-    low = {a: F.array_min(F.col("corners")[a]) for a in AXES}
-    high = {a: F.array_max(F.col("corners")[a]) for a in AXES}
-    out = tets
-    for a in AXES:
-        out = out.withColumn(f"__{a}", F.explode(F.sequence(F.floor((low[a] - slack) / size), F.floor((high[a] + slack) / size))))
-    here = points.select("id", *AXES, *[F.floor(F.col(a) / size).alias(f"__{a}") for a in AXES])
-    both = here.join(out, [f"__{a}" for a in AXES])
+    low = [F.array_min(F.transform("corners", lambda c: c[a])).cast("double") - slack for a in AXES]  # noqa: B023
+    high = [F.array_max(F.transform("corners", lambda c: c[a])).cast("double") + slack for a in AXES]  # noqa: B023
+    both = levels.by_levels(points.select("id", *AXES), tets.select("elem", "corners"), low, high, size)
     corner = [[F.col("corners")[k][a] for a in AXES] for k in range(4)]
     bary = _inverse(corner, [F.col(a) for a in AXES])
     inside = both.withColumn("__b", F.array(*bary)).filter(F.array_min("__b") >= -slack)
@@ -91,27 +86,20 @@ def _on_face(points: DataFrame) -> DataFrame:
     return out.withColumn("distance", F.sqrt(_dot(off, off)))
 
 
-def attach(points: DataFrame, faces: DataFrame, start: float) -> DataFrame:
+def attach(points: DataFrame, faces: DataFrame) -> DataFrame:
     """(id, x, y, z) and triangles (face, corners: three structs with x, y, z) -> id, x, y, z, face, corners, weights, distance: the closest point of the closest triangle, of equal ones the least face.
 
-    The triangle with the nearest centre bounds the distance; all triangles whose
-    centres lie within that bound and the largest triangle's reach are compared. Points
-    go by powers of two of that radius, each with its own grid.
+    The triangles' boxes are packed in a tree, which leaves each point those that may
+    be closest, whatever the triangles' sizes and however far off the point is. Points
+    with a null, infinite or NaN coordinate are attached to nothing.
     """
-    centre = [(F.col("corners")[0][a] + F.col("corners")[1][a] + F.col("corners")[2][a]) / 3 for a in AXES]
-    held = faces.select(F.col("face").alias("id"), "corners", *[c.alias(a) for c, a in zip(centre, AXES, strict=True)])
-    reach = [F.sqrt(sum(((_corner(k)[i] - centre[i]) * (_corner(k)[i] - centre[i]) for i in (1, 2)), (_corner(k)[0] - centre[0]) * (_corner(k)[0] - centre[0]))) for k in range(3)]
-    most = faces.agg(F.max(F.greatest(*reach))).first()[0] or 0.0
-    named = lambda d: d.select(F.col("q_id").alias("id"), *[F.col(f"q_{a}").alias(a) for a in AXES], F.col("p_id").alias("face"), F.col("p_corners").alias("corners"))
-    first = _on_face(named(nearest(points.select("id", *AXES), held, 1, start)))
-    level = materialize(first.withColumn("__level", F.ceil(F.log2(F.col("distance") + most + 1e-12)).cast("int")).select("id", *AXES, "__level"), "attach")
-    parts = []
-    for r in level.select("__level").distinct().collect():
-        some = level.filter(F.col("__level") == r[0]).drop("__level")
-        parts.append(named(radius_pairs(some, held, 2.0 ** r[0])))
-    if not parts:
-        return first.limit(0)
-    every = _on_face(functools.reduce(DataFrame.unionByName, parts))
+    ends = {f"__{n}{a}": f(F.transform("corners", lambda c: c[a])).cast("double") for n, f in (("lo", F.array_min), ("hi", F.array_max)) for a in AXES}  # noqa: B023
+    low, high = [f"__lo{a}" for a in AXES], [f"__hi{a}" for a in AXES]
+    tree = levels.box_tree(faces.select("face", "corners").withColumns(ends), low, high)
+    if tree is None:
+        return _on_face(points.select("id", *AXES).limit(0).join(faces.select("face", "corners"), F.lit(True)))
+    near = levels.nearest_boxes(_placed(points.select("id", *AXES)), tree, 1, low, high)
+    every = _on_face(near.select(F.col("q_id").alias("id"), *[F.col(f"q_{a}").alias(a) for a in AXES], F.col("p_face").alias("face"), F.col("p_corners").alias("corners")))
     best = every.groupBy("id").agg(F.min_by(F.struct(*AXES, "face", "corners", "weights", "distance"), F.struct("distance", "face")).alias("r"))
     return best.select("id", "r.*")
 
@@ -126,7 +114,7 @@ def transfer(points: DataFrame, tets: DataFrame, size: float, slack: float = 1e-
     outside = points.join(inside.select("id"), "id", "left_anti")
     faces = tets.select(F.col("elem"), F.explode(F.array(*[F.array(*[F.col("corners")[k] for k in f]) for f in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))])).alias("corners"))
     faces = faces.select(F.struct("elem", "corners").alias("face"), "corners")
-    near = attach(outside, faces, size)
+    near = attach(outside, faces)
     value = sum((F.col("weights")[k] * F.col("corners")[k]["value"] for k in (1, 2)), F.col("weights")[0] * F.col("corners")[0]["value"])
     return inside.withColumn("distance", F.lit(0.0)).unionByName(near.select("id", F.col("face.elem").alias("elem"), value.alias("value"), "distance"))
 

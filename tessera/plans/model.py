@@ -415,7 +415,7 @@ def _above(spark, sf_dir):
 @query(_TIED)
 def tied_contact(spark, sf_dir):
     """Slave nodes above a plane of triangles follow the corners below them."""
-    out = constraints.tied(_above(spark, sf_dir), _triangles(spark, sf_dir), 0.2, 0.5)
+    out = constraints.tied(_above(spark, sf_dir), _triangles(spark, sf_dir), 0.2)
     return out.withColumns({"gap": F.round("gap", 6), "coef": F.round("coef", 6)})
 
 
@@ -423,7 +423,7 @@ def tied_contact(spark, sf_dir):
 def cyclic_ties(spark, sf_dir):
     """The same nodes, a quarter turn away, tied to the plane as the next sector's."""
     turned = _above(spark, sf_dir).select("id", F.col("y").alias("x"), (-F.col("x")).alias("y"), "z")
-    out = constraints.cyclic(turned, _triangles(spark, sf_dir), 4, 0.2, 0.5)
+    out = constraints.cyclic(turned, _triangles(spark, sf_dir), 4, 0.2)
     return out.withColumns({"gap": F.round("gap", 6), "coef": F.round("coef", 6)})
 
 

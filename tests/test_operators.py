@@ -334,11 +334,11 @@ def test_points_are_attached_to_the_closest_triangle(spark):
     faces = spark.createDataFrame([(k, t) for k, t in enumerate(tris)], "face long, corners array<struct<x: double, y: double, z: double>>")
     pts = rng.random((8, 3)) * 5
     points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(pts)], "id long, x double, y double, z double")
-    for r in locate.attach(points, faces, 0.3).collect():
+    for r in locate.attach(points, faces).collect():
         d = [_closest(pts[r["id"]], t) for t in tris]
         assert r["distance"] == pytest.approx(min(d), abs=2e-2) and d[r["face"]] == pytest.approx(min(d), abs=2e-2)
         assert sum(r["weights"]) == pytest.approx(1) and min(r["weights"]) >= 0
-    assert locate.attach(points.limit(0), faces, 0.3).collect() == []
+    assert locate.attach(points.limit(0), faces).collect() == []
 
 
 def test_brick_and_tetrahedron_matrices_reproduce_linear_fields():
