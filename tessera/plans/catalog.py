@@ -19,7 +19,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from tessera.plans import exchange, fields, located, model, relational, spaces  # noqa: F401
+    from tessera.plans import design, exchange, fields, located, model, relational, spaces  # noqa: F401
 
     return dict(QUERIES)
 
