@@ -559,6 +559,55 @@ def test_targets_that_no_weights_have_are_an_error(spark):
         assert all(r["residual"] < 1e-9 for r in got.collect())
 
 
+def plain_raking(cells, targets, rounds=60_000):
+    """Sweeps over one dimension after another until nothing moves."""
+    factor, total = dict.fromkeys(cells, 1.0), sum(cells.values())
+    for _ in range(rounds):
+        moved = 0.0
+        for d, target in enumerate(targets):
+            now = {}
+            for k, v in cells.items():
+                now[k[d]] = now.get(k[d], 0.0) + v * factor[k]
+            scale = {n: target[n] * total / v for n, v in now.items()}
+            moved = max(moved, *(abs(s - 1) for s in scale.values()))
+            factor = {k: f * scale[k[d]] for k, f in factor.items()}
+        if moved < 1e-13:
+            break
+    return factor
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_raking_of_few_and_uneven_cells_is_the_same_everywhere(spark, seed):
+    """Default targets over tables on which sweeps are slow: factors in memory, by Spark and by plain sweeps."""
+    rng = random.Random(seed)
+    cells = {}
+    while len(cells) < 14:
+        cells[rng.choice("abcde"), rng.choice("xyz"), rng.choice("pqr")] = float(10 ** rng.randrange(1, 6))
+    rows = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens double")
+    near, far = ({tuple(r[d] for d in mixing.DIMENSIONS): r["factor"] for r in mixing.probabilities(rows, bound=b).collect()} for b in (mixing.CELLS, 0))
+    assert far == {k: pytest.approx(v, rel=1e-6) for k, v in near.items()}
+    raised = {k: v**0.7 for k, v in cells.items()}
+    targets = [{n: sum(v for k, v in raised.items() if k[d] == n) / sum(raised.values()) for n in {k[d] for k in cells}} for d in range(3)]
+    assert near == {k: pytest.approx(v, rel=1e-4) for k, v in plain_raking(cells, targets).items()}
+
+
+def test_close_targets_on_three_cells_have_one_answer(spark):
+    rows = spark.createDataFrame([("a", "x", "p", 10.0), ("a", "y", "p", 20.0), ("b", "y", "p", 30.0)], "source string, lang string, topic string, tokens double")
+    targets = {"source": {"a": 0.52, "b": 0.48}, "lang": {"x": 0.001, "y": 0.999}}
+    near, far = ({tuple(r[d] for d in mixing.DIMENSIONS): r["factor"] for r in mixing.probabilities(rows, targets, bound=b).collect()} for b in (mixing.CELLS, 0))
+    assert far == {k: pytest.approx(v, rel=1e-6) for k, v in near.items()}
+    assert near["b", "y", "p"] == pytest.approx(0.48 * 60 / 30) and near["a", "x", "p"] == pytest.approx(0.001 * 60 / 10)
+
+
+def test_unusable_targets_and_cells_without_words_are_treated_alike(spark):
+    rows = spark.createDataFrame([("a", "x", "p", 10), ("a", "y", "p", 30), ("b", "y", "q", 20), ("b", "x", "q", 0), ("c", "x", "p", 0), ("d", "y", "q", 5)], "source string, lang string, topic string, tokens long")
+    for targets in ({"lang": {"zz": 1.0}}, {"source": {"a": 0.5, "b": 0.5, "gone": 3.0}, "topic": {"p": 0.5, "q": 0.5}, "lang": {"x": 0.2, "y": 0.8}}, {"lang": {"x": 0.0, "y": 0.0}}):
+        near, far = ({tuple(r[d] for d in mixing.DIMENSIONS): r["factor"] for r in mixing.probabilities(rows, targets, bound=b).collect()} for b in (mixing.CELLS, 0))
+        assert len(near) == 6 and far == {k: pytest.approx(v, rel=1e-6) for k, v in near.items()}
+        assert near["c", "x", "p"] == 1.0
+        assert near["d", "y", "q"] == 0 if "source" in targets else near["d", "y", "q"] > 0
+
+
 def test_raking_in_one_round_by_hand(spark):
     """Two cells a dimension value each: shares over tokens, as fractions."""
     cells = {("a", "x", "p"): 10.0, ("b", "x", "p"): 30.0}
