@@ -5,9 +5,11 @@ it becomes a new layer, until no layer is new: the layer with its URL or Unicode
 escapes decoded and all else kept; runs of base64 (from each of four places, as a
 run may be glued to other characters; wrapped lines joined) and of hex; and gzip or
 zlib data that begins anywhere in what these decode to. Layers are known by their
-digest, so that cycles end. A layer keeps, for each of its characters, the range of
-the original text it came from, so that what is found in it maps back. Bytes that
-are not UTF-8 are taken one by one, so that they hide nothing beside them.
+digest, so that cycles end. A layer can tell for each of its characters the range of
+the original text it came from, so that what is found in it maps back: by one entry
+per escape, or by arithmetic, so that a long text costs no more than its length. Of
+bytes that are not UTF-8 the stretches of plain characters are taken, each a layer;
+all that any pattern matches or opens is within one.
 
 Regular expressions run only over texts that hold a keyword, a marker or a long
 enough run, which plain byte searches tell; no pattern loses a match by that.
@@ -19,7 +21,10 @@ import base64
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +51,7 @@ BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{4,}+\r?\n[ \t
 BLANK = re.compile(r"[ \t\r\n]+")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{28,}")
 #: Anything that can be found or opened in bytes has so many plain characters in a row.
-PLAIN = re.compile(rb"[\t\n\r -~]{%d}" % LEAST_SECRET)
+PLAIN = re.compile(rb"[\t\n\r -~]{%d,}+" % LEAST_SECRET)
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 
@@ -62,24 +67,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _text(data: bytes) -> str:
-    """UTF-8, or a character for each byte where it is not."""
+def _texts(data: bytes):
+    """(text, first byte) of what can be read in ``data``: all of it if it is UTF-8, else each long enough stretch of plain characters; first byte -1: of UTF-8 with characters of several bytes."""
     try:
-        return data.decode("utf-8")
+        text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return data.decode("latin-1")
+        for m in PLAIN.finditer(data):
+            yield m[0].decode("ascii"), m.start()
+        return
+    if PLAIN.search(data):
+        yield text, 0 if len(text) == len(data) else -1
 
 
-def _unpacked(data: bytes, seen: set[bytes]):
+def _unpacked(data: bytes):
     """What gzip or zlib data that begins anywhere in ``data`` unfolds to, in overlapping pieces: all members, of broken data what comes before the fault."""
     at = 0
     while (m := PACKED.search(data, at)) is not None:
         at = now = m.start()
-        mark = hashlib.blake2b(memoryview(data)[at:], digest_size=16).digest()
         at += 1
-        if mark in seen:
-            continue
-        seen.add(mark)
         opener, tail, piece = zlib.decompressobj(47), b"", bytearray()
         try:
             while now < len(data) and not opener.eof:
@@ -99,47 +104,98 @@ def _unpacked(data: bytes, seen: set[bytes]):
 
 
 def _opened(data: bytes, seen: set[bytes]):
-    """The pieces of ``_unpacked``, and what is packed in them in turn."""
-    for piece in _unpacked(data, seen):
-        yield piece
-        yield from _opened(bytes(piece), seen)
+    """The pieces of ``_unpacked``, and what is packed in them in turn; a piece that has been there is not opened again."""
+    for piece in _unpacked(data):
+        mark = hashlib.blake2b(piece, digest_size=16).digest()
+        if mark not in seen:
+            seen.add(mark)
+            yield piece
+            yield from _opened(bytes(piece), seen)
 
 
-def _of_bytes(data: bytes, spot):
-    """(decoded text, place) of decoded bytes, as they are and unpacked; spot: the range of each byte in the run."""
-    if PLAIN.search(data):
-        out = _text(data)
-        place, at = [], 0
-        wide = len(out) != len(data)
-        for c in out:
-            n = len(c.encode()) if wide else 1
-            place.append((spot(at)[0], spot(at + n - 1)[1]))
-            at += n
-        yield out, place
+class _Steps:
+    """Places of the characters of bytes that stand for ``width`` characters each, or for six bits of each of them (width 0), in a run.
+
+    ``at`` are the run's own characters, where blanks are left out; ``first`` the first
+    of them that counts; ``starts`` the first byte of each character, where they have several.
+    """
+
+    def __init__(self, width: int, first: int, byte: int, at: np.ndarray | None, count: int, starts: np.ndarray | None):
+        self.width, self.first, self.byte, self.at, self.count, self.starts = width, first, byte, at, count, starts
+
+    def span(self, k: int) -> tuple[int, int]:
+        a, z = (k, k + 1) if self.starts is None else (int(self.starts[k]), int(self.starts[k + 1]))
+        a, z = a + self.byte, z + self.byte
+        if self.width:
+            return self.first + self.width * a, self.first + self.width * z
+        a, z = self.first + a * 8 // 6, min(self.count, self.first - (-z * 8 // 6)) - 1
+        return (a, z + 1) if self.at is None else (int(self.at[a]), int(self.at[z]) + 1)
+
+
+class _Pieces:
+    """Places in a text of which some parts, the escapes, were decoded: an entry for each escape and for each stretch between them."""
+
+    def __init__(self):
+        self.begin, self.start, self.end = array("q"), array("q"), array("q")
+
+    def add(self, begin: int, start: int, end: int) -> None:
+        """From character ``begin`` on: the range of one escape, or (end -1) as it stands from ``start`` on."""
+        self.begin.append(begin)
+        self.start.append(start)
+        self.end.append(end)
+
+    def span(self, k: int) -> tuple[int, int]:
+        i = bisect_right(self.begin, k) - 1
+        start, end = self.start[i], self.end[i]
+        if end >= 0:
+            return start, end
+        return start + k - self.begin[i], start + k - self.begin[i] + 1
+
+
+class _Within:
+    """Places of a layer within another one, from its character ``first`` on, whose own places may be known (``outer``)."""
+
+    def __init__(self, outer, first: int, inner):
+        self.outer, self.first, self.inner = outer, first, inner
+
+    def span(self, k: int) -> tuple[int, int]:
+        a, z = self.inner.span(k)
+        a, z = a + self.first, z + self.first
+        return (a, z) if self.outer is None else (self.outer.span(a)[0], self.outer.span(z - 1)[1])
+
+
+def _of_bytes(data: bytes, places):
+    """(decoded text, place) of decoded bytes, as they are and unpacked; places(byte, starts): of the text from that byte on."""
+    for out, byte in _texts(data):
+        starts = None
+        if byte < 0:
+            starts = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
+        yield out, places(max(byte, 0), starts)
     for piece in _opened(data, set()):
-        if PLAIN.search(piece):
-            yield _text(bytes(piece)), None
+        for out, _ in _texts(bytes(piece)):
+            yield out, None
 
 
 def _base64(layer: str, start: int, end: int):
     """(start, end, decoded text, place) of a run of base64, perhaps over several lines, from each of four places."""
-    at, run = range(end - start), layer[start:end]
+    at, run = None, layer[start:end]
     if "\n" in run:
-        at = [i for i in at if run[i] not in " \t\r\n"]
+        at = np.flatnonzero(~np.isin(np.frombuffer(run.encode("ascii"), np.uint8), np.frombuffer(b" \t\r\n", np.uint8)))
         run = BLANK.sub("", run)
     run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    count = len(run)
     for skip in range(4):
         part = run[skip:]
         part = part[:-1] if len(part) % 4 == 1 else part
         if len(part) < 19:
             continue
         data = base64.b64decode(part + "=" * (-len(part) % 4))
-        for out, place in _of_bytes(data, lambda k: (at[skip + k * 8 // 6], at[min(len(run), skip - (-(k + 1) * 8 // 6)) - 1] + 1)):  # noqa: B023
+        for out, place in _of_bytes(data, lambda byte, starts: _Steps(0, skip, byte, at, count, starts)):  # noqa: B023
             yield start, end, out, place
 
 
 def _layers(text: str):
-    """(start, end, decoded text, place) of all that decodes in ``text``; place: for each decoded character its (start, end) in the run, or None if the run stands for all."""
+    """(start, end, decoded text, place) of all that decodes in ``text``; place tells each decoded character's (start, end) in the run, or is None if the run stands for all."""
     if "%" in text and URL_ESCAPE.search(text):
         yield 0, len(text), *_unescaped(text, URL_ESCAPE, _url)
     if "\\" in text and UNICODE_ESCAPE.search(text):
@@ -157,15 +213,17 @@ def _layers(text: str):
         for skip in range(2):
             digits = m[0][skip:]
             digits = digits[: len(digits) & ~1]
-            for out, place in _of_bytes(bytes.fromhex(digits), lambda i: (skip + 2 * i, skip + 2 * i + 2)):  # noqa: B023
+            for out, place in _of_bytes(bytes.fromhex(digits), lambda byte, starts: _Steps(2, skip, byte, None, 0, starts)):  # noqa: B023
                 yield m.start(), m.end(), out, place
 
 
 def _url(m: re.Match):
     at = m.start()
     data = bytes.fromhex(m[0].replace("%", ""))
-    out = _text(data)
-    wide = len(out) != len(data)
+    try:
+        out, wide = data.decode("utf-8"), True
+    except UnicodeDecodeError:
+        out, wide = data.decode("latin-1"), False
     for c in out:
         n = len(c.encode()) if wide else 1
         yield c, (at, at + 3 * n)
@@ -177,22 +235,25 @@ def _unicode(m: re.Match):
         c = chr(0x10000 + ((int(m[1], 16) - 0xD800) << 10) + int(m[2], 16) - 0xDC00)
     else:
         code = int(m[3] or m[4], 16)
-        c = chr(code) if not 0xD800 <= code < 0xE000 else "�"
+        c = chr(code) if not 0xD800 <= code < 0xE000 else "\ufffd"
     yield c, m.span()
 
 
-def _unescaped(text: str, escape: re.Pattern, decoded) -> tuple[str, list[tuple[int, int]]]:
+def _unescaped(text: str, escape: re.Pattern, decoded) -> tuple[str, _Pieces]:
     """The whole text with its escapes decoded."""
-    out, place, at = [], [], 0
+    out, place, at, n = [], _Pieces(), 0, 0
     for m in escape.finditer(text):
-        out.append(text[at : m.start()])
-        place += ((i, i + 1) for i in range(at, m.start()))
-        for c, span in decoded(m):
+        if m.start() > at:
+            out.append(text[at : m.start()])
+            place.add(n, at, -1)
+            n += m.start() - at
+        for c, (a, z) in decoded(m):
             out.append(c)
-            place.append(span)
+            place.add(n, a, z)
+            n += 1
         at = m.end()
     out.append(text[at:])
-    place += ((i, i + 1) for i in range(at, len(text)))
+    place.add(n, at, -1)
     return "".join(out), place
 
 
@@ -210,21 +271,18 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             work.pop()
             continue
         s, e, out, inner = found
-        if len(work) == 1:
-            a, b = s, e
-            mapped = [(s + x, s + y) for x, y in inner] if inner is not None else None
-        elif places is None:
+        if len(work) > 1 and places is None:
             a, b, mapped = lo, hi, None
         else:
-            a, b = places[s][0], places[e - 1][1]
-            mapped = [(places[s + x][0], places[s + y - 1][1]) for x, y in inner] if inner is not None else None
+            a, b = (s, e) if places is None else (places.span(s)[0], places.span(e - 1)[1])
+            mapped = None if inner is None else _Within(places, s, inner)
         mark = hashlib.blake2b(out.encode("utf-8", "replace") + f"@{a}:{b}".encode(), digest_size=16).digest()
         if mark in seen or out == layer[s:e]:
             continue
         seen.add(mark)
         n += 1
         for kind, x, y in base_spans(out):
-            everything.add((kind, mapped[x][0], mapped[y - 1][1]) if mapped else (kind, a, b))
+            everything.add((kind, mapped.span(x)[0], mapped.span(y - 1)[1]) if mapped is not None else (kind, a, b))
         work.append((_layers(out), out, mapped, a, b))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(everything, key=order), n
