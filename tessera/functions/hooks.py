@@ -9,7 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
+from pyspark.sql.udtf import AnalyzeResult
 
+#: Rows that a table function hands to its hook at once.
+UDTF_ROWS = 10_000
 _HOOKS: dict[str, Callable] = {}
 
 
@@ -77,6 +81,48 @@ def spring(pdf: pd.DataFrame) -> pd.DataFrame:
 register("spring", spring)
 
 
+class UserElements:
+    """The table function behind ``register_elements``: rows in, rows (i, j, v) of a matrix out, by the hook over batches."""
+
+    columns: tuple[str, ...] = ()
+
+    def __init__(self):
+        self._rows = []
+
+    def eval(self, row):
+        self._rows.append(tuple(row[c] for c in self.columns))
+        if len(self._rows) >= UDTF_ROWS:
+            yield from self._flush()
+
+    def terminate(self):
+        yield from self._flush()
+
+    def _flush(self):
+        if self._rows:
+            found = self.law(pd.DataFrame(self._rows, columns=list(self.columns)))
+            self._rows = []
+            yield from zip(found["i"].tolist(), found["j"].tolist(), found["v"].tolist(), strict=True)
+
+
+def register_elements(spark, name: str, columns: list[str]) -> None:
+    """The user element ``name`` as a table function for SQL: SELECT * FROM name(TABLE(..)), with PARTITION BY where its rows belong together.
+
+    Its plan is checked against the columns that the element needs before anything runs.
+    """
+
+    def analyze(rows) -> AnalyzeResult:
+        if not rows.isTable:
+            raise ValueError(f"{name}: its argument is a table")
+        there = {f.name.lower() for f in rows.dataType.fields}
+        missing = [c for c in columns if c.lower() not in there]
+        if missing:
+            raise ValueError(f"{name}: the table has no column {', '.join(missing)}")
+        return AnalyzeResult(StructType().add("i", LongType()).add("j", LongType()).add("v", DoubleType()))
+
+    made = type(f"Elements_{name}", (UserElements,), {"columns": tuple(columns), "law": staticmethod(_HOOKS[name]), "analyze": staticmethod(analyze)})
+    spark.udtf.register(name, F.udtf(made))
+
+
 def initial_state(name: str, points: DataFrame, parts: list[str], *args: Column) -> DataFrame:
     """``points`` plus the hook's parts of an initial state (stresses, state variables), one column each; the hook gives a matrix of a column per part."""
     hook = _HOOKS[name]
