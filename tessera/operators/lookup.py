@@ -89,25 +89,30 @@ def interpolate(points: DataFrame, table: DataFrame, by: list[str], x: str, ys:
     return out
 
 
-def as_of(points: DataFrame, table: DataFrame, by: list[str], x: str, ys: list[str]) -> DataFrame:
+def as_of(points: DataFrame, table: DataFrame, by: list[str], x: str, ys: list[str], tie: list[str] = ()) -> DataFrame:
     """``points`` plus, as <y>_at, the values of the last entry of ``table`` at or before x, per ``by``; null before the first.
 
+    Of entries at one x (a jump) the last in the order of the columns ``tie`` counts,
+    else the one with the greatest values, so that the answer is the same in every run.
+
     Points and entries are sorted together into ranges of (by, x) and values carried
     forward within a range; where a group goes on in the next range, the last entry
     of those before is handed on, one row per range and group. So a hot group, or
     no ``by`` at all, is many tasks' work.
     """
-    held = F.struct(*[F.col(y).alias(y) for y in ys])
-    kind = "struct<" + ",".join(f"`{y}`:{dict(table.dtypes)[y]}" for y in ys) + ">"
+    # What orders entries at one x comes first in the struct, under names of its own.
+    parts = [(f"__t{k}", t) for k, t in enumerate(tie)] + [(y, y) for y in ys]
+    held = F.struct(*[F.col(c).alias(n) for n, c in parts])
+    kind = "struct<" + ",".join(f"`{n}`:{dict(table.dtypes)[c]}" for n, c in parts) + ">"
     tagged = points.withColumn("__e", F.lit(None).cast(kind)).withColumn("__side", F.lit(1))
     source = table.select(*by, x, held.alias("__e")).withColumn("__side", F.lit(0))
     both = tagged.unionByName(source, allowMissingColumns=True)
-    dealt = materialize(both.repartitionByRange(*by, x, "__side").withColumn("__p", F.spark_partition_id()), "ranges")
-    last = dealt.filter("__side = 0").groupBy(*by, "__p").agg(F.max_by("__e", x).alias("__last"))
+    dealt = materialize(both.repartitionByRange(*by, x, "__side", "__e").withColumn("__p", F.spark_partition_id()), "ranges")
+    last = dealt.filter("__side = 0").groupBy(*by, "__p").agg(F.max_by("__e", F.struct(x, "__e")).alias("__last"))
     groups = dealt.select(*by, "__p").distinct().join(last.withColumnsRenamed({b: f"__by_{b}" for b in by} | {"__p": "__q"}), _same(by) & (F.col("__p") == F.col("__q")), "left")
     handed = groups.withColumn("__handed", F.last("__last", ignorenulls=True).over(W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)))
     handed = handed.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.col("__p").alias("__q"), "__handed")
-    carried = dealt.withColumn("__own", F.last("__e", ignorenulls=True).over(W.partitionBy("__p", *by).orderBy(x, "__side").rowsBetween(W.unboundedPreceding, 0)))
+    carried = dealt.withColumn("__own", F.last("__e", ignorenulls=True).over(W.partitionBy("__p", *by).orderBy(x, "__side", "__e").rowsBetween(W.unboundedPreceding, 0)))
     out = carried.filter("__side = 1").join(handed, _same(by) & (F.col("__p") == F.col("__q")), "left").withColumn("__at", F.coalesce("__own", "__handed"))
     return out.select(*points.columns, *[F.col(f"__at.{y}").alias(f"{y}_at") for y in ys])
 

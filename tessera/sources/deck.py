@@ -5,10 +5,13 @@ A deck is (deck, line, value). Comment lines start with **, a card with one *.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.lookup import as_of
 from tessera.scratch import materialize, release
 
 # Parameters whose value keeps its case; the classes in the order in which their cards are taken, and the beginnings of their cards, the rest coming last.
@@ -118,12 +121,16 @@ def normal(value: Column) -> Column:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """(deck, line, value) -> (deck, line, card, is_card, fields): comments and blank lines go; fields are cut at commas, 16 at most, a trailing empty one dropped."""
+    """(deck, line, value) -> (deck, line, card, is_card, fields): comments and blank lines go; fields are cut at commas, 16 at most, a trailing empty one dropped.
+
+    A data line's card is carried to it from the card line before, over as many tasks
+    as a long deck has.
+    """
     text = lines.withColumn("value", normal(F.col("value"))).filter((F.col("value") != "") & ~F.col("value").startswith("**"))
-    is_card = F.col("value").startswith("*")
-    card = F.last(F.when(is_card, F.substring_index("value", ",", 1)), ignorenulls=True).over(W.partitionBy("deck").orderBy("line"))
+    cards = text.filter(F.col("value").startswith("*")).select("deck", "line", F.substring_index("value", ",", 1).alias("card"))
     fields = F.transform(F.slice(F.split(F.regexp_replace("value", ",$", ""), ","), 1, FIELDS), lambda x: F.substring(x, 1, FIELD_CHARS))
-    return text.select("deck", "line", card.alias("card"), is_card.alias("is_card"), fields.alias("fields"))
+    carried = as_of(text.select("deck", "line", "value"), cards, ["deck"], "line", ["card"])
+    return carried.select("deck", "line", F.col("card_at").alias("card"), F.col("value").startswith("*").alias("is_card"), fields.alias("fields"))
 
 
 def card_rank(card: Column, fields: Column | None = None, changed: dict[str, Column] | None = None) -> Column:
@@ -147,13 +154,80 @@ def card_rank(card: Column, fields: Column | None = None, changed: dict[str, Col
 
 def blocks(parsed: DataFrame) -> DataFrame:
     """Blocks in the order they are taken: (deck, card, rank, first line, number of data lines)."""
-    sofar = W.partitionBy("deck").orderBy("line")
-    start = F.max(F.when(F.col("is_card"), F.col("line"))).over(sofar)
-    head = F.last(F.when(F.col("is_card"), F.col("fields")), ignorenulls=True).over(sofar)
-    had = {name: F.max(F.col("card").startswith(other)).over(sofar) for name, other in CHANGED.items()}
-    rank = card_rank(F.col("card"), F.col("__head"), {name: F.col(f"__{i}") for i, name in enumerate(had)})
-    known = parsed.withColumns({"first": start, "__head": head} | {f"__{i}": c for i, c in enumerate(had.values())}).withColumn("rank", rank)
-    return known.groupBy("deck", "card", "rank", "first").agg(F.sum((~F.col("is_card")).cast("long")).alias("n_data"))
+    heads = parsed.filter("is_card").select("deck", "line", F.col("line").alias("first"), F.col("fields").alias("head"))
+    carried = as_of(parsed.select("deck", "line", "card", "is_card"), heads, ["deck"], "line", ["first", "head"])
+    # Where each deck first has the cards after which others are changes.
+    since = parsed.groupBy(F.col("deck").alias("__deck")).agg(*[F.min(F.when(F.col("card").startswith(other), F.col("line"))).alias(f"__{i}") for i, other in enumerate(CHANGED.values())])
+    known = carried.join(since, F.col("deck").eqNullSafe(F.col("__deck")), "left")
+    had = {name: F.coalesce(F.col("line") >= F.col(f"__{i}"), F.lit(False)) for i, name in enumerate(CHANGED)}
+    ranked = known.withColumn("rank", card_rank(F.col("card"), F.col("head_at"), had))
+    return ranked.groupBy("deck", "card", "rank", F.col("first_at").alias("first")).agg(F.sum((~F.col("is_card")).cast("long")).alias("n_data"))
+
+
+#: What cards may look like: parameters that are known, those that must be there, and what the fields of data lines are, the last one again and again. int: a whole number; real: a number or nothing; name: anything; item: a number or a name; ids: whole numbers above 0.
+RULES = {
+    "*NODE": (("NSET", "SYSTEM"), (), ("ids", "real", "real", "real")),
+    "*ELEMENT": (("ELSET", "TYPE"), ("TYPE",), ("ids",)),
+    "*NSET": (("GENERATE", "NSET"), ("NSET",), ("item",)),
+    "*ELSET": (("ELSET", "GENERATE"), ("ELSET",), ("item",)),
+    "*AMPLITUDE": (("NAME", "SHIFTX", "SHIFTY", "TIME", "USER"), ("NAME",), ("real",)),
+    "*BOUNDARY": (("AMPLITUDE", "FIXED", "LOADCASE", "OP", "SUBMODEL", "STEP", "DATASET", "TIMEDELAY", "USER", "MASSFLOW"), (), ("item", "int", "int", "real")),
+    "*CLOAD": (("AMPLITUDE", "DATASET", "LOADCASE", "OMEGA0", "OP", "SECTOR", "SUBMODEL", "STEP", "TIMEDELAY", "USER"), (), ("item", "int", "real")),
+    "*MATERIAL": (("NAME",), ("NAME",), ("name",)),
+    "*ELASTIC": (("TYPE",), (), ("real",)),
+    "*DENSITY": ((), (), ("real",)),
+}
+NAME_CHARS = 80
+
+
+@dataclass
+class Checked:
+    """rows: the parsed lines without errors; issues: (deck, line, card, severity, reason, field) of all that is wrong or odd; counts: an observation of lines, errors and warnings, filled in when ``rows`` are first computed."""
+
+    rows: DataFrame
+    issues: DataFrame
+    counts: Observation
+
+
+def check(parsed: DataFrame, rules: dict = RULES) -> Checked:
+    """What of parsed lines breaks the rules of their cards; nothing goes without a reason beside it.
+
+    Parameters that a card does not know are warnings; a missing parameter, a name of
+    more than NAME_CHARS, a malformed field and a data line before any card are errors,
+    and so is each data line of a card that itself has an error. Cards without rules
+    are taken as they are, with a note in ``counts``.
+    """
+    names = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    table = F.create_map(*[c for card, (may, must, data) in sorted(rules.items()) for c in (F.lit(card), F.struct(names(may).alias("may"), names(must).alias("must"), names(data).alias("data")))])
+    rule = F.try_element_at(table, F.coalesce("card", F.lit("")))
+    held = parsed.withColumn("__rule", rule)
+    may, must, data = (F.col(f"__rule.{n}") for n in ("may", "must", "data"))
+    issue = lambda severity, reason, field: F.struct(F.lit(severity).alias("severity"), reason.alias("reason"), field.cast("int").alias("field"))
+    given = F.filter(F.transform(F.slice("fields", 2, FIELDS), lambda x, i: F.struct(F.substring_index(x, "=", 1).alias("name"), F.when(F.contains(x, F.lit("=")), F.substring_index(x, "=", -1)).alias("value"), (i + 2).alias("field"))), lambda x: x["name"] != "")
+    unknown = F.transform(F.filter(given, lambda x: ~F.array_contains(may, x["name"])), lambda x: issue("warning", F.concat(F.lit("parameter not recognized: "), x["name"]), x["field"]))
+    missing = F.transform(F.filter(must, lambda m: ~F.exists(given, lambda x: x["name"] == m)), lambda m: issue("error", F.concat(F.lit("parameter missing: "), m), F.lit(None)))
+    long = F.transform(F.filter(given, lambda x: F.coalesce(F.length(x["value"]), F.lit(0)) > NAME_CHARS), lambda x: issue("error", F.concat(F.lit("name too long: "), x["name"]), x["field"]))
+    kind = lambda i: F.element_at(data, F.least(i + 1, F.size(data)))
+    whole = lambda x: x.rlike(r"^[+-]?\d+$")
+
+    def wrong(x: Column, i: Column) -> Column:
+        k = kind(i)
+        bad = F.when(k == "int", (x != "") & ~whole(x)).when(k == "ids", ~whole(x) | (F.coalesce(x.try_cast("long"), F.lit(0)) <= 0)).when(k == "real", (x != "") & number(x).isNull()).when(k == "item", x == "")
+        return F.when(F.coalesce(bad, F.lit(False)), issue("error", F.concat(F.lit("not a "), F.when(k == "ids", "positive whole number").when(k == "int", "whole number").when(k == "real", "number").otherwise("number or name"), F.lit(": "), x), i + 1))
+
+    malformed = F.filter(F.transform("fields", wrong), lambda x: x.isNotNull())
+    none = F.array().cast("array<struct<severity: string, reason: string, field: int>>")
+    own = F.when(F.col("card").isNull(), F.array(issue("error", F.lit("data before any card"), F.lit(None)))).when(F.col("__rule").isNull(), none).when(F.col("is_card"), F.concat(unknown, missing, long)).otherwise(malformed)
+    found = held.withColumn("__found", own).drop("__rule")
+    broken = found.filter(F.col("is_card")).select("deck", "line", F.exists("__found", lambda x: x["severity"] == "error").alias("broken"))
+    carried = materialize(as_of(found, broken, ["deck"], "line", ["broken"]), "checked")
+    under = F.when(~F.col("is_card") & F.coalesce("broken_at", F.lit(False)), F.array(issue("error", F.lit("its card has an error"), F.lit(None)))).otherwise(none)
+    every = carried.withColumn("__all", F.concat("__found", under))
+    issues = every.select("deck", "line", "card", F.explode("__all").alias("x")).select("deck", "line", "card", "x.*")
+    counts = Observation()
+    errors = F.exists("__all", lambda x: x["severity"] == "error")
+    seen = every.observe(counts, F.count("*").alias("lines"), F.count_if(errors).alias("errors"), F.count_if(F.exists("__all", lambda x: x["severity"] == "warning")).alias("warnings"), F.count_if(~F.col("card").isin(*rules)).alias("unchecked"))
+    return Checked(seen.filter(~errors).select(*parsed.columns), issues, counts)
 
 
 def number(field: Column) -> Column:

@@ -444,3 +444,38 @@ def test_initial_states_and_creep_from_hooks(spark):
     assert got == {1: (-30.0, -60.0), 2: (0.0, 0.0)}
     rate = rows.select(hooks.scalar("power_creep", F.col("z"), F.lit(2.0), F.lit(0.1), F.lit(2.0), F.lit(1.0)).alias("r")).collect()
     assert [r["r"] for r in rate] == pytest.approx([20.0, 500.0])
+
+
+def test_as_of_takes_the_last_of_entries_at_one_place(spark):
+    table = spark.createDataFrame([("a", 1.0, 3, "x"), ("a", 1.0, 5, "y"), ("a", 1.0, 4, "z"), ("a", 0.0, 9, "w"), (None, 1.0, 1, "n")], "g string, t double, n int, v string")
+    points = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 0.5), ("a", -1.0), (None, 1.5), ("b", 1.0)], "g string, t double")
+    got = {(r["g"], r["t"]): r["v_at"] for r in lookup.as_of(points, table.repartition(3), ["g"], "t", ["v"], ["n"]).collect()}
+    assert got == {("a", 1.0): "y", ("a", 2.0): "y", ("a", 0.5): "w", ("a", -1.0): None, (None, 1.5): "n", ("b", 1.0): None}
+    got = {(r["g"], r["t"]): r["v_at"] for r in lookup.as_of(points, table.repartition(4), ["g"], "t", ["v"]).collect()}
+    assert got["a", 1.0] == got["a", 2.0] == "z"
+
+
+def test_deck_diagnostics_and_their_counts(spark):
+    lines = ["1, 2", "*NODE, NSET=ALL, COLOUR=RED", "1, 0., 1.5D0", "x, 1.", "2, 1.x", "-3, 0.", "*NSET", "1, 2", "*STRANGE, A=B", "what, ever", "*CLOAD", "SET1, 2, 5.", "3, two, 1.", "** a comment", ""]
+    parsed = deck.parse(spark.createDataFrame([("d", k, v) for k, v in enumerate(lines)], "deck string, line long, value string"))
+    checked = deck.check(parsed)
+    issues = sorted((r["line"], r["severity"], r["reason"], r["field"]) for r in checked.issues.collect())
+    assert issues == [
+        (0, "error", "data before any card", None),
+        (1, "warning", "parameter not recognized: COLOUR", 3),
+        (3, "error", "not a positive whole number: X", 1),
+        (4, "error", "not a number: 1.X", 2),
+        (5, "error", "not a positive whole number: -3", 1),
+        (6, "error", "parameter missing: NSET", None),
+        (7, "error", "its card has an error", None),
+        (12, "error", "not a whole number: TWO", 2),
+    ]
+    assert sorted(r["line"] for r in checked.rows.collect()) == [1, 2, 8, 9, 10, 11]
+    assert checked.counts.get == {"lines": 13, "errors": 7, "warnings": 1, "unchecked": 2}
+
+
+def test_long_decks_are_parsed_in_many_tasks(spark):
+    lines = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "one").otherwise("two").alias("deck"), F.col("id").alias("line"), F.when(F.col("id") < 2, "*NODE").otherwise(F.concat(F.col("id").cast("string"), F.lit(", 1."))).alias("value"))
+    parsed = deck.parse(lines)
+    assert parsed.filter("card = '*NODE'").count() == 3000
+    assert {(r["deck"], r["n_data"]) for r in deck.blocks(parsed).collect()} == {("one", 1499), ("two", 1499)}
