@@ -156,3 +156,6 @@ register("geostatic", lambda z, level, weight, share: np.stack([-share * weight
 #: Conductance of a gap: full when closed, falling with the gap, raised by pressure.
 register("gap_conductance", lambda gap, pressure, full, decay: np.where(gap <= 0, full * (1 + pressure), full * np.exp(-gap / decay)))
 register("power_creep", lambda stress, time, a, n, m: a * np.abs(stress) ** n * time**m)
+#: Heat of friction: the share ``kept`` of the work of shear over slip, in its parts for the slave (``share``) and the master.
+register("friction_heat_slave", lambda pressure, friction, speed, kept, share: kept * share * friction * np.maximum(pressure, 0) * np.abs(speed))
+register("friction_heat_master", lambda pressure, friction, speed, kept, share: kept * (1 - share) * friction * np.maximum(pressure, 0) * np.abs(speed))

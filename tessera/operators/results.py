@@ -72,6 +72,70 @@ def principal_error(points: DataFrame, node_elements: DataFrame) -> DataFrame:
     return node_elements.join(spread, "elem").groupBy("node").agg(F.max("spread").alias("spread"), F.max("relative").alias("relative"))
 
 
+# Per kind of result and of element the line, or two lines and where the second begins, from the relative spread at a node to its error in per cent.
+ERROR_LINES = {
+    "stress": {
+        "tet10": ((30.0, 0.0),),
+        "brick20": ((5.115, 0.0), (27.792, -5.895), 0.26),
+        "plane20": ((9.538, 0.0), (53.695, -14.351), 0.325),
+        "brick20r": ((20.278, 0.0), (74.318, -9.727), 0.18),
+        "plane20r": ((54.054, 0.0),),
+        "brick8i": ((30.303, 0.0), (139.535, -18.023), 0.165),
+        "brick8": ((31.847, 0.0), (85.324, -8.396), 0.157),
+        "plane8": ((74.074, 0.0),),
+        "wedge15": ((46.189, 0.0),),
+    },
+    "heat": {
+        "tet4": ((12.5064, 0.62694),),
+        "tet10": ((6.6739, 0.0668),),
+        "brick20": ((3.0980, 0.0744),),
+        "plane20": ((2.791, 0.146),),
+        "brick20r": ((2.6085, 0.03934),),
+        "shell20r": ((2.566, 0.0485),),
+        "plane20r": ((2.337, 0.0985),),
+        "brick8": ((8.069, 0.351), (3.858, 0.525), 0.0412),
+        "wedge6": ((13.3096, 0.179),),
+        "wedge15": ((3.5303, 0.15927),),
+    },
+}
+
+
+def error_per_cent(spread: DataFrame, node_types: DataFrame, kind: str = "stress") -> DataFrame:
+    """node, relative, error: the estimated error in per cent from the relative spread at nodes (node, relative), by the line of each type of element that a node has (node, type); the largest counts.
+
+    Types without a line give none; a node of such alone has a null error.
+    """
+    line = None
+    for name, (first, *more) in sorted(ERROR_LINES[kind].items()):
+        value = F.col("relative") * first[0] + first[1]
+        if more:
+            value = F.when(F.col("relative") <= more[1], value).otherwise(F.col("relative") * more[0][0] + more[0][1])
+        line = F.when(F.col("type") == name, value) if line is None else line.when(F.col("type") == name, value)
+    return spread.join(node_types.select("node", "type").distinct(), "node").withColumn("e", line).groupBy("node", "relative").agg(F.max("e").alias("error"))
+
+
+def contact_print(contacts: DataFrame, by: list[str], part: str = "all") -> DataFrame:
+    """All that is printed of contacts that are closed, per group: the section statistics of their tractions, and n_contacts, n_closed, pressure and clearance ends and the elastic energy.
+
+    Contacts are (a, x, y, z, nx, ny, nz: the slave's outward normal, pressure, tx, ty,
+    tz: shear, clearance, energy per area); ``part`` "normal" or "shear" leaves the other
+    force out. A group without a closed contact has the counts alone.
+    """
+    closed = F.col("pressure") > 0
+    normal = F.lit(0.0 if part == "shear" else 1.0)
+    shear = F.lit(0.0 if part == "normal" else 1.0)
+    tractions = contacts.filter(closed).withColumns({f"t{c}": F.col(f"t{c}") * shear - F.col("pressure") * F.col(f"n{c}") * normal for c in "xyz"})
+    counts = contacts.groupBy(*by).agg(
+        F.count("*").alias("n_contacts"),
+        F.count_if(closed).alias("n_closed"),
+        F.max(F.when(closed, F.col("pressure"))).alias("most_pressure"),
+        F.min("clearance").alias("least_clearance"),
+        F.max("clearance").alias("most_clearance"),
+        F.sum(F.when(closed, F.col("energy") * F.col("a"))).alias("energy"),
+    )
+    return counts.join(section_statistics(tractions, by), by, "left")
+
+
 def element_totals(points: DataFrame, by: list[str]) -> DataFrame:
     """Volume, mass, internal and kinetic energy and body heating, per group and over all, from integration points (v, density, energy, speed2, heat; energies and heat per volume)."""
     sums = {"volume": F.col("v"), "mass": F.col("v") * F.col("density"), "internal": F.col("v") * F.col("energy"), "kinetic": F.col("v") * F.col("density") * F.col("speed2") * 0.5, "heating": F.col("v") * F.col("heat")}
@@ -176,3 +240,17 @@ def modal_mass(phi: DataFrame, mass: DataFrame) -> DataFrame:
     s = phi.join(mass, "i").groupBy("mode", "axis").agg(F.sum(F.col("x") * F.col("m")).alias("l"), F.sum(F.col("x") * F.col("x") * F.col("m")).alias("g"))
     g = F.sum("g").over(W.partitionBy("mode"))  # a mode has three axes
     return s.withColumn("g", g).select("mode", "axis", (F.col("l") / F.col("g")).alias("participation"), (F.col("l") * F.col("l") / F.col("g")).alias("effective_mass"))
+
+
+def modal_mass_full(phi: DataFrame, mass: DataFrame) -> DataFrame:
+    """As modal_mass, for a consistent mass matrix: modes (mode, i, x, axis) and entries (i, j, m) between degrees of freedom of one axis, both of i, j and j, i.
+
+    A mode's degrees of freedom i are those of its axis, each with one axis.
+    """
+    moved = mass.join(phi.select(F.col("i").alias("j"), "mode", F.col("x").alias("xj"), "axis"), "j")
+    image = moved.groupBy("mode", "i").agg(F.sum(F.col("m") * F.col("xj")).alias("y"))
+    axes = phi.select("i", "axis").distinct()
+    all_rows = image.join(axes, "i").join(phi.select("mode", "i", "x"), ["mode", "i"], "left")
+    s = all_rows.groupBy("mode", "axis").agg(F.sum("y").alias("l"), F.sum(F.coalesce("x", F.lit(0.0)) * F.col("y")).alias("g"))
+    g = F.sum("g").over(W.partitionBy("mode"))  # a mode has three axes
+    return s.withColumn("g", g).select("mode", "axis", (F.col("l") / F.col("g")).alias("participation"), (F.col("l") * F.col("l") / F.col("g")).alias("effective_mass"))

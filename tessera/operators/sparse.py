@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import ranked_within
 from tessera.scratch import materialize, release
 
 
@@ -17,6 +17,16 @@ def assemble(entries: DataFrame, symmetric: bool = True) -> DataFrame:
     return entries.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def scatter(entries: DataFrame, places: DataFrame) -> DataFrame:
+    """Element matrices (elem, a, b, v: between places of the element) as rows (i, j, v) between degrees of freedom, by (elem, pos, dof).
+
+    Two joins by element and place; no element's matrix or list is gathered in a row,
+    so one of any size is spread like all others.
+    """
+    left, right = places.select("elem", F.col("pos").alias("a"), F.col("dof").alias("i")), places.select("elem", F.col("pos").alias("b"), F.col("dof").alias("j"))
+    return entries.join(left, ["elem", "a"]).join(right, ["elem", "b"]).select("i", "j", "v")
+
+
 def structure(elements: DataFrame, fixed: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """(i, j) places, i >= j, that elements (elem, dofs) fill; fixed dofs (dof) have none, and dependent ones (rules: dep, dof) those of the dofs they depend on."""
     d = elements.select("elem", F.explode(F.array_distinct("dofs")).alias("dof"))
@@ -24,8 +34,8 @@ def structure(elements: DataFrame, fixed: DataFrame | None = None, rules: DataFr
         d = d.join(rules.select(F.col("dep").alias("dof"), F.col("dof").alias("__to")), "dof", "left").select("elem", F.coalesce("__to", "dof").alias("dof")).distinct()
     if fixed is not None:
         d = d.join(fixed.select("dof"), "dof", "left_anti")
-    rows = d.groupBy("elem").agg(F.collect_set("dof").alias("dofs"))  # an element's own few dofs
-    return rows.select(F.explode("dofs").alias("i"), "dofs").select("i", F.explode("dofs").alias("j")).filter("i >= j").distinct()
+    d = d.distinct()
+    return d.withColumnRenamed("dof", "i").join(d.withColumnRenamed("dof", "j"), "elem").filter("i >= j").select("i", "j").distinct()
 
 
 def full(lower: DataFrame, sign: int = 1) -> DataFrame:
@@ -163,9 +173,8 @@ def dominant_eigenpair(a: DataFrame, rounds: int = 500, tolerance: float = 1e-9)
 
 
 def by_column(a: DataFrame) -> DataFrame:
-    """(j, pos, i, v): entries of each column in the order of their rows, pos from 1 on; partitions hold whole ranges of columns, sorted."""
-    order = W.partitionBy("j").orderBy("i")
-    return a.withColumn("pos", F.row_number().over(order).cast("long")).select("j", "pos", "i", "v")
+    """(j, pos, i, v): entries of each column in the order of their rows, pos from 1 on; partitions hold ranges of (column, row), so a full column is many tasks' work."""
+    return ranked_within(a.select("j", "i", "v"), ["j"], ["i"], "pos").select("j", F.col("pos").cast("long").alias("pos"), "i", "v")
 
 
 def smooth(values: DataFrame, lower: DataFrame, weight: float, tolerance: float = 1e-8) -> DataFrame:

@@ -19,7 +19,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from tessera.plans import decks, design, exchange, fields, located, model, relational, spaces, stages  # noqa: F401
+    from tessera.plans import decks, design, exchange, fields, located, model, prints, relational, spaces, stages  # noqa: F401
 
     return dict(QUERIES)
 
