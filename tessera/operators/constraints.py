@@ -121,6 +121,27 @@ def distance_links(pairs: DataFrame) -> DataFrame:
     return _terms(rows, ["pair", "residual", "linked"], [*(("a", k + 1, d[k] * 2) for k in range(3)), *(("b", k + 1, d[k] * -2) for k in range(3))])
 
 
+def beam_links(pairs: DataFrame) -> DataFrame:
+    """Links that keep their length (pair, a, ax, ay, az, b, bx, by, bz, and where they are displaced ux_a.., ux_b..) -> (pair, residual, pos, node, dof, coef).
+
+    Linear around the present places: coef are the slopes of the squared distance by the
+    displacements of both ends, residual how much the squared length differs from that at
+    first, to be made up by the next step. The first dof is the one along which the link
+    is longest at first (the first of equal ones), the others follow in turn.
+    """
+    have = set(pairs.columns)
+    moved = lambda side, c: F.col(f"{side}{c}") + (F.coalesce(f"u{c}_{side}", F.lit(0.0)) if f"u{c}_{side}" in have else F.lit(0.0))
+    first = [F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"]
+    now = [moved("a", c) - moved("b", c) for c in "xyz"]
+    square = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+    size = [F.abs(v) for v in first]
+    longest = F.when((size[0] >= size[1]) & (size[0] >= size[2]), 1).when(size[1] >= size[2], 2).otherwise(3)
+    rows = pairs.withColumn("residual", square(now) - square(first)).withColumn("__m", longest)
+    dof = lambda k: (F.col("__m") - 1 + k) % 3 + 1
+    pick = lambda k: F.element_at(F.array(*now), dof(k))
+    return _terms(rows, ["pair", "residual"], [*(("a", dof(k), pick(k) * 2) for k in range(3)), *(("b", dof(k), pick(k) * -2) for k in range(3))])
+
+
 def mean_rotation(nodes: DataFrame, axes: DataFrame) -> DataFrame:
     """Coefficients (group, node, dof, coef) of the mean rotation of a cloud of nodes (group, node, x, y, z) about an axis (group, ax, ay, az) through its centre.
 

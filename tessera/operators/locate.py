@@ -138,6 +138,41 @@ def patch_recovery(samples: DataFrame) -> DataFrame:
     return sums.select("node", solve("s").alias("value"))
 
 
+def patch_fit(samples: DataFrame, axes: tuple[str, ...] = AXES, degree: int = 1) -> DataFrame:
+    """node, value, n_samples: at each node the least-squares polynomial of ``degree`` 1 or 2 over its samples (node, axes relative to the node, value), in any number of axes.
+
+    The normal equations are summed up per node, whatever its number of samples.
+    Patches that don't fix all terms get the fit with the least terms that remain;
+    coordinates are scaled by each patch's reach first.
+    """
+    reach = samples.groupBy(F.col("node").alias("__node")).agg(F.greatest(*[F.max(F.abs(F.col(a))) for a in axes], F.lit(1e-300)).alias("__reach"))
+    rows = samples.join(reach, F.col("node") == F.col("__node"))
+    x = [F.col(a) / F.col("__reach") for a in axes]
+    terms = [F.lit(1.0), *x] + ([x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))] if degree == 2 else [])
+    n = len(terms)
+    rows = rows.withColumn("__t", F.array(*terms))
+    t = lambda k: F.col("__t")[k]
+    products = [F.sum(t(i) * t(j)) for i in range(n) for j in range(i, n)]
+    sums = rows.groupBy("node").agg(F.array(*products, *[F.sum(t(i) * F.col("value")) for i in range(n)]).alias("s"), F.count("*").alias("n_samples"))
+
+    @F.pandas_udf("double")
+    def solve(s: pd.Series) -> pd.Series:
+        m = np.stack(s.to_numpy()) if len(s) else np.zeros((0, n * (n + 1) // 2 + n))
+        i, j = np.triu_indices(n)
+        a = np.zeros((len(m), n, n))
+        a[:, i, j] = a[:, j, i] = m[:, : len(i)]
+        return pd.Series(np.einsum("nij,nj->ni", np.linalg.pinv(a, rcond=1e-10, hermitian=True), m[:, len(i) :])[:, 0])
+
+    return sums.select("node", solve("s").alias("value"), "n_samples")
+
+
+def patch_samples(elements: DataFrame, points: DataFrame, nodes: DataFrame, corners: int) -> DataFrame:
+    """Samples for ``patch_fit``: for the corner nodes (the first ``corners``) of elements (elem, nodes) all integration points (elem, x, y, z, value) of the elements around, relative to the node (node, x, y, z)."""
+    around = elements.select("elem", F.explode(F.slice("nodes", 1, corners)).alias("node")).distinct()
+    at = nodes.select("node", *[F.col(a).alias(f"__{a}") for a in AXES])
+    return around.join(points, "elem").join(at, "node").select("node", *[(F.col(a) - F.col(f"__{a}")).alias(a) for a in AXES], "value")
+
+
 def clip_polygon(subject: Column, clip: Column) -> Column:
     """The part of a polygon (array of points) within a convex, counter-clockwise one: cut by the half-plane of each side in turn."""
     sides = F.transform(clip, lambda b, i: F.struct(F.element_at(clip, F.when(i == 0, F.size(clip)).otherwise(i)).alias("a"), b.alias("b")))

@@ -222,7 +222,11 @@ SMALL_BYTES, BLOCK_ROWS = 16 << 20, 256
 
 
 def mac(vectors: DataFrame, others: DataFrame, small: int = SMALL_BYTES) -> DataFrame:
-    """|<a, b>| / (|a| |b|), not squared, of each stated vector (id, v) against all others."""
+    """|<a, b>| / (|a| |b|), not squared, of each stated vector (id, v) against all others: all pairs of the two, which is what it is for; ``closest`` keeps a few.
+
+    Stated vectors that are small together go to all tasks, others in blocks that meet
+    every block of the rest. Complex vectors, in rows per entry: see functions.complexes.
+    """
     unit = lambda d, side: d.select(F.col("id").alias(f"id_{side}"), F.col("v").alias(f"v_{side}"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)).alias(f"n_{side}"))
     a, b = unit(vectors, "a"), unit(others, "b")
     count, size = vectors.agg(F.count("*"), F.sum(F.size("v") * 8 + 32)).first()
@@ -235,6 +239,11 @@ def mac(vectors: DataFrame, others: DataFrame, small: int = SMALL_BYTES) -> Data
     return pairs.select("id_a", "id_b", (F.abs(inner) / (F.col("n_a") * F.col("n_b"))).alias("mac"))
 
 
+def closest(pairs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best matches of each stated vector among ``mac``'s pairs, with their rank; ties by id_b."""
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("id_a").orderBy(F.desc("mac"), "id_b"))).filter(F.col("rank") <= k)
+
+
 def modal_mass(phi: DataFrame, mass: DataFrame) -> DataFrame:
     """Participation and effective mass of each mode (mode, i, x, axis) for a lumped mass (i, m), per axis."""
     s = phi.join(mass, "i").groupBy("mode", "axis").agg(F.sum(F.col("x") * F.col("m")).alias("l"), F.sum(F.col("x") * F.col("x") * F.col("m")).alias("g"))

@@ -137,3 +137,77 @@ def modal_mass_full(spark, sf_dir):
     mass = keys.select("i", F.col("i").alias("j"), F.lit(2.0).alias("m")).unionByName(beside.select("i", "j", F.lit(0.5).alias("m"))).unionByName(beside.select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(0.5).alias("m")))
     out = results.modal_mass_full(phi, mass)
     return out.select("mode", "axis", F.round("participation", 6).alias("participation"), F.round("effective_mass", 6).alias("effective_mass"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS pair, l_linenumber AS line, CAST(l_partkey % 13 AS DOUBLE) AS dx, CAST(l_suppkey % 11 AS DOUBLE) AS dy, CAST(l_quantity AS DOUBLE) AS dz, l_discount AS ux, l_tax AS uy FROM lineitem),
+m AS (SELECT *, CASE WHEN dx >= dy AND dx >= dz THEN 1 WHEN dy >= dz THEN 2 ELSE 3 END AS m, [dx + ux, dy + uy, dz] AS now FROM p),
+k AS (SELECT *, unnest([0, 1, 2]) AS k FROM m), t AS (SELECT *, (m - 1 + k) % 3 + 1 AS dof FROM k)
+SELECT pair, line, dx, dy, dz, ux, uy, dof, round(2 * now[dof], 6) AS coef, round(2 * dx * ux + ux * ux + 2 * dy * uy + uy * uy, 6) AS residual, k + 1 AS pos, count(*) AS n FROM t GROUP BY ALL
+""")
+def beam_links(spark, sf_dir):
+    """Links that keep their length: the terms of their first ends at displaced places."""
+    li = table(spark, sf_dir, "lineitem")
+    d = [(F.col("l_partkey") % 13).cast("double"), (F.col("l_suppkey") % 11).cast("double"), F.col("l_quantity").cast("double")]
+    own = F.struct(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("line"), d[0].alias("dx"), d[1].alias("dy"), d[2].alias("dz"), F.col("l_discount").alias("ux"), F.col("l_tax").alias("uy"))
+    pairs = li.select(own.alias("pair"), F.lit(1).alias("a"), F.lit(2).alias("b"), *[(v + 1).alias(f"a{c}") for v, c in zip(d, "xyz", strict=True)], *[F.lit(1.0).alias(f"b{c}") for c in "xyz"], F.col("l_discount").alias("ux_a"), F.col("l_tax").alias("uy_a"))
+    out = constraints.beam_links(pairs).filter("node = 1").select("pair.*", "dof", F.round("coef", 6).alias("coef"), F.round("residual", 6).alias("residual"), "pos")
+    return out.groupBy(*out.columns).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_partkey AS node, 2.0 + l_partkey AS value, 2.0 + l_partkey AS curved, count(*) AS n_samples FROM lineitem GROUP BY l_partkey HAVING count(*) >= 20")
+def patch_recovery_solid(spark, sf_dir):
+    """Values at nodes from polynomials of degree one and two in space over the samples around them, of fields that these hold exactly."""
+    from tessera.operators import locate
+
+    li = table(spark, sf_dir, "lineitem")
+    x, y, z = F.col("l_discount") * 10, F.col("l_tax") * 10, F.sin(F.col("l_extendedprice"))
+    linear, square = 2 + F.col("l_partkey") + x * 3 - y + z / 2, 2 + F.col("l_partkey") + x * y - z * z + x * 3
+    at = li.select(F.col("l_partkey").alias("node"), x.alias("x"), y.alias("y"), z.alias("z"), linear.alias("value"), square.alias("square"))
+    one = locate.patch_fit(at).filter("n_samples >= 20").select("node", F.round("value", 5).alias("value"), "n_samples")
+    two = locate.patch_fit(at.drop("value").withColumnRenamed("square", "value"), degree=2).select("node", F.round("value", 4).alias("curved"))
+    return one.join(two, "node").select("node", "value", "curved", "n_samples")
+
+
+@query("""
+WITH l AS (SELECT c_mktsegment AS segment, c_custkey AS k FROM customer)
+SELECT segment, '*NODE' AS card, count(*) AS n_data, CAST(sum(k) AS BIGINT) AS total FROM l GROUP BY segment
+""")
+def deck_file(spark, sf_dir):
+    """Decks written as text files, one per segment, and read block by block into cards and fields."""
+    import uuid
+
+    from tessera.scratch import shared_dir
+    from tessera.sources import deck
+
+    c = table(spark, sf_dir, "customer")
+    lines = c.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("k")).select("c_mktsegment", F.lit("*Node, nset=all").alias("value"), F.lit(-1).cast("long").alias("k")).unionByName(c.select("c_mktsegment", F.concat(F.col("c_custkey").cast("string"), F.lit(", 0., 1.5")).alias("value"), F.col("c_custkey").alias("k")))
+    where = f"{shared_dir(spark)}/decks-{uuid.uuid4().hex}"
+    ordered = lines.repartitionByRange("c_mktsegment").sortWithinPartitions("c_mktsegment", "k")
+    ordered.select(F.col("c_mktsegment").alias("segment"), "value").write.partitionBy("segment").text(where)
+    parsed = deck.parse(deck.read(spark, where)).filter("not is_card")
+    named = parsed.withColumn("segment", F.regexp_extract("deck", "segment=([^/]*)", 1))
+    return named.groupBy("segment", "card").agg(F.count("*").alias("n_data"), F.sum(F.col("fields")[0].cast("long")).alias("total"))
+
+
+_G = "0.5854101966249685 AS p, 0.1381966011250105 AS q"
+
+
+@query(f"""
+WITH e AS (SELECT o_orderkey AS elem, o_custkey % 50 AS k, {_G} FROM orders),
+c AS (SELECT elem, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS pos, k, unnest([k + 1.0, k + 5.0, k - 2.0, k + 8.0, k + 3.0, k + 1.5, k - 0.5, k + 4.5, k + 6.5, k + 3.0]) AS v FROM e)
+SELECT elem * 10 + pos AS node, round(v, 6) AS value, 1 AS n_contributions FROM c
+""")
+def extrapolated_tets(spark, sf_dir):
+    """Values of quadratic tetrahedra at their four integration points taken to all ten nodes."""
+    k = F.col("o_custkey") % 50
+    corner = [k + 1.0, k + 5.0, k - 2.0, k + 8.0]
+    p, q = 0.5854101966249685, 0.1381966011250105
+    o = table(spark, sf_dir, "orders")
+    elements = o.select(F.col("o_orderkey").alias("elem"), F.array(*[F.col("o_orderkey") * 10 + n for n in range(10)]).alias("nodes"))
+    at = [p * corner[i] + q * (corner[(i + 1) % 4] + corner[(i + 2) % 4] + corner[(i + 3) % 4]) for i in range(4)]
+    points = o.select(F.col("o_orderkey").alias("elem"), F.posexplode(F.array(*at)).alias("ip", "value")).withColumn("ip", F.col("ip") + 1)
+    from tessera.operators.curved import TETRAHEDRON_SIDES
+
+    out = results.extrapolate(elements, points, results.tet_matrix(), TETRAHEDRON_SIDES)
+    return out.select("node", F.round("value", 6).alias("value"), F.col("n_contributions").cast("int").alias("n_contributions"))

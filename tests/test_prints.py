@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import hooks
-from tessera.operators import results, sparse, spatial
+from tessera.operators import constraints, locate, results, sparse, spatial
 
 
 def test_vectors_in_tilted_frames(spark):
@@ -99,3 +99,39 @@ def test_friction_heat_is_shared(spark):
     args = [F.col("p"), F.lit(0.5), F.col("v"), F.lit(0.9), F.lit(0.25)]
     got = df.select(hooks.scalar("friction_heat_slave", *args), hooks.scalar("friction_heat_master", *args)).collect()
     assert tuple(got[0]) == (pytest.approx(0.675), pytest.approx(2.025)) and tuple(got[1]) == (0.0, 0.0)
+
+
+def test_beam_links_bring_lengths_back(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(6, 3)), rng.normal(size=(6, 3))
+    ua, ub = np.zeros((6, 3)), rng.normal(size=(6, 3)) * 0.2
+    wanted = ((a - b) ** 2).sum(axis=1)
+    names = [f"{s}{c}" for s in "ab" for c in "xyz"] + [f"u{c}_{s}" for s in "ab" for c in "xyz"]
+    for _ in range(6):  # each round makes the terms anew and moves the first dof of the first end
+        rows = [(k, 1, 2, *map(float, [*a[k], *b[k], *ua[k], *ub[k]])) for k in range(6)]
+        terms = constraints.beam_links(spark.createDataFrame(rows, "pair int, a int, b int, " + ", ".join(f"{n} double" for n in names))).collect()
+        for r in terms:
+            if r["pos"] == 1:
+                assert r["node"] == 1 and r["dof"] == int(np.abs(a[r["pair"]] - b[r["pair"]]).argmax()) + 1
+                ua[r["pair"], r["dof"] - 1] -= r["residual"] / r["coef"]
+    assert np.allclose(((a + ua - b - ub) ** 2).sum(axis=1), wanted)
+
+
+def test_patch_fits_in_space(spark):
+    rng = np.random.default_rng(8)
+    at = rng.normal(size=(3, 25, 3)) * np.array([1e-3, 1.0, 100.0])[:, None, None]
+    field = lambda n, p: 4.0 + n + 2 * p[0] - p[1] * p[2] + 0.3 * p[0] ** 2
+    rows = [(n, *map(float, p), float(field(n, p))) for n in range(3) for p in at[n]] + [(9, 0.5, 0.0, 0.0, 7.0), (9, -0.5, 0.0, 0.0, 3.0)]
+    got = {r["node"]: r for r in locate.patch_fit(spark.createDataFrame(rows, "node int, x double, y double, z double, value double"), degree=2).collect()}
+    assert [got[n]["value"] for n in range(3)] == pytest.approx([4.0, 5.0, 6.0], rel=1e-6) and got[9]["n_samples"] == 2
+    elements = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [2, 3, 4, 6, 7])], "elem int, nodes array<int>")
+    points = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 5.0), (2, 0.0, 1.0, 0.0, 6.0)], "elem int, x double, y double, z double, value double")
+    nodes = spark.createDataFrame([(k, float(k), 0.0, 0.0) for k in range(8)], "node int, x double, y double, z double")
+    samples = locate.patch_samples(elements, points, nodes, 4).collect()
+    assert sorted((r["node"], r["x"], r["value"]) for r in samples) == [(1, 0.0, 5.0), (2, -2.0, 6.0), (2, -1.0, 5.0), (3, -3.0, 6.0), (3, -2.0, 5.0), (4, -4.0, 6.0), (4, -3.0, 5.0), (6, -6.0, 6.0)]
+
+
+def test_closest_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0])], "id int, v array<double>")
+    got = results.closest(results.mac(v.filter("id = 1"), v), 2).orderBy("rank").collect()
+    assert [(r["id_b"], r["rank"]) for r in got] == [(1, 1), (4, 2)]
