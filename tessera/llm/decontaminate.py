@@ -37,6 +37,8 @@ PART_BYTES = 8 << 20
 SHARD_BYTES, CHUNK = 4 << 20, 1 << 15
 #: Words that are compared one by one; no less than WINDOW.
 PLAIN = 16
+#: Names of items that a batch of rows is given together, or one row.
+NAMES = 1 << 21
 
 
 def suffix_array(ids: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
@@ -161,10 +163,19 @@ def _repeated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of whole numbers from 0 on, in order."""
+    if not len(a):
+        return a, b
+    wide = int(b.max()) + 1
+    key = np.unique(a * wide + b)
+    return key // wide, key % wide
+
+
 def search(held, ids: np.ndarray, first: np.ndarray, longest: bool):
     """Matches of the items in a shard (word ids, 0 for unknown; first word of each row).
 
-    (start, length, item names' CSR pairs (row, name), longest of each row, where that starts (-1: none)).
+    (start, length, pairs (row, set of items), these sets, longest of each row, where that starts (-1: none)).
     """
     rows, n = len(first) - 1, len(ids)
     row_of = np.repeat(np.arange(rows), np.diff(first))
@@ -173,7 +184,7 @@ def search(held, ids: np.ndarray, first: np.ndarray, longest: bool):
     best, where = np.zeros(rows, np.int64), np.full(rows, n, np.int64)
     none = np.zeros(0, np.int64)
     if not len(order) or not len(held.start):
-        return none, none, none, none, best, np.full(rows, -1, np.int64)
+        return none, none, none, none, (np.zeros(1, np.int64), none), best, np.full(rows, -1, np.int64)
     text = Words(ids, stop, held.ids, held.sums)
     parts = [slice(i, i + CHUNK) for i in range(0, len(held.start), CHUNK)]
     place = np.concatenate([text.below(order, held.start[s], held.end[s], False) for s in parts])
@@ -206,16 +217,31 @@ def search(held, ids: np.ndarray, first: np.ndarray, longest: bool):
     kind = kind.ravel()
     spread = order[_repeated(lo[one], hi[one])]
     of = np.repeat(np.arange(len(one)), hi[one] - lo[one])
-    pairs = np.unique(np.stack([row_of[spread], of]), axis=1) if len(spread) else np.zeros((2, 0), np.int64)
-    by = np.argsort(kind, kind="stable")
-    at = np.searchsorted(kind[by], np.arange(len(one) + 1))
-    member = by[_repeated(at[pairs[1]], at[pairs[1] + 1])]  # hits with the window of each pair
-    row = np.repeat(pairs[0], at[pairs[1] + 1] - at[pairs[1]])
-    item = held.item[hit][member]
-    name = held.owner[_repeated(held.own[item], held.own[item + 1])]
-    row = np.repeat(row, held.own[item + 1] - held.own[item])
-    named = np.unique(np.stack([row, name]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
-    return spread, size[one][of], named[0], named[1], best, np.where(where < n, where - first[:-1], -1)
+    pairs = _distinct(row_of[spread], of)
+    sets, set_of = _item_sets(kind, held.item[hit], len(one))
+    pairs = _distinct(pairs[0], set_of[pairs[1]])
+    return spread, size[one][of], pairs[0], pairs[1], sets, best, np.where(where < n, where - first[:-1], -1)
+
+
+def _item_sets(kind: np.ndarray, item: np.ndarray, kinds: int):
+    """The different sets of items that windows stand in (ends and items, set after set), and the set of each kind of window.
+
+    Windows of a prompt that many items share have one set, however many windows and
+    items there are; sets of one size and hash are compared item by item.
+    """
+    kind, item = _distinct(kind, item)
+    start = np.searchsorted(kind, np.arange(kinds + 1))
+    count = np.diff(start)
+    if not kinds:
+        return (np.zeros(1, np.int64), item), np.zeros(0, np.int64)
+    marks = np.add.reduceat(mix(item.astype(np.uint64) + np.uint64(1)), start[:-1])
+    _, first, alike = np.unique(np.stack([count.astype(np.uint64), marks]), axis=1, return_index=True, return_inverse=True)
+    model = first[alike.ravel()]
+    steps = np.arange(len(item)) - np.repeat(start[:-1], count)
+    unlike = item != item[np.repeat(start[model], count) + steps]
+    model = np.where(np.bincount(kind[unlike], minlength=kinds) > 0, np.arange(kinds), model)
+    kept, set_of = np.unique(model, return_inverse=True)
+    return (np.concatenate([[0], np.cumsum(count[kept])]), item[_repeated(start[kept], start[kept + 1])]), set_of.ravel()
 
 
 def _flat(batch: pa.RecordBatch, name: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,11 +250,33 @@ def _flat(batch: pa.RecordBatch, name: str, a: int, b: int) -> tuple[np.ndarray,
     return part.flatten().to_numpy(zero_copy_only=False), part.value_parent_indices().to_numpy()
 
 
-def _hits(part, kept: list[str], longest: bool):
-    """Adds one part's findings to the spans that are there, and gives its own item names and longest match."""
+def _names(held, row: np.ndarray, which: np.ndarray, sets, rows: int):
+    """(first row, row after the last, ends, numbers of the items' names per row) for ranges of rows with some NAMES names together, or one row."""
+    ends, items = sets
+    names = held.own[items + 1] - held.own[items]
+    size = np.add.reduceat(np.append(names, 0), ends[:-1]) if len(ends) > 1 else np.zeros(0, np.int64)
+    at = np.searchsorted(row, np.arange(rows + 1))
+    so_far = np.concatenate([[0], np.cumsum(size[which])])[at]
+    a = 0
+    while a < rows:
+        b = min(rows, max(a + 1, int(np.searchsorted(so_far, so_far[a] + NAMES, "right")) - 1))
+        r, w = row[at[a] : at[b]], which[at[a] : at[b]]
+        item = items[_repeated(ends[w], ends[w + 1])]
+        r = np.repeat(r, ends[w + 1] - ends[w])
+        r, item = _distinct(r, item)
+        name = held.owner[_repeated(held.own[item], held.own[item + 1])]
+        r = np.repeat(r, held.own[item + 1] - held.own[item])
+        r, name = _distinct(r, name)
+        yield a, b, np.searchsorted(r, np.arange(a + 1, b + 1)), name
+        a = b
+
+
+def _hits(part, kept: list[str], longest: bool, named: bool):
+    """Adds one part's findings to the spans that are there, and gives its own item names (if ``named``) and longest match."""
 
     def work(batches):
         held = shared(part)
+        names = pa.array(held.names, pa.string())
         for batch in batches:
             data, offs = column(batch, "text")
             for a, b in blocks(offs, SHARD_BYTES):
@@ -236,44 +284,47 @@ def _hits(part, kept: list[str], longest: bool):
                 at = np.searchsorted(held.vocabulary, w)
                 known = held.vocabulary[np.minimum(at, len(held.vocabulary) - 1)] == w if len(held.vocabulary) else np.zeros(len(w), bool)
                 ids = np.where(known, at + 1, 0).astype(np.int32)
-                start, size, row, name, best, where = search(held, ids, first, longest)
+                start, size, row, which, sets, best, where = search(held, ids, first, longest)
                 (s0, r0), (e0, _) = _flat(batch, "__starts", a, b), _flat(batch, "__ends", a, b)
                 n = len(ids) + 1
                 edge = np.bincount(np.r_[start, s0 + first[r0]], minlength=n) - np.bincount(np.r_[start + size, e0 + first[r0]], minlength=n)
                 s, e = word_spans((np.cumsum(edge[:-1]) > 0).astype(np.uint8), first)
                 of = np.searchsorted(first, s, "right") - 1
-                ends = np.searchsorted(s, first[1:])
-                names = pa.array(held.names, pa.string()).take(pa.array(name))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in kept),
-                        pa.array(np.diff(first)),
-                        list_column(s - first[of], ends),
-                        list_column(e - first[of], ends),
-                        pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)), names),
-                        pa.array(best),
-                        pa.array(where),
-                    ],
-                    names=[*kept, "__words", "__starts", "__ends", "__found", "__best", "__where"],
-                )
+                ends = np.searchsorted(s, first)
+                if not named:
+                    row, which = row[:0], which[:0]
+                for i, j, name_ends, name in _names(held, row, which, sets, b - a):
+                    spans = slice(ends[i], ends[j])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch.column(batch.schema.get_field_index(c)).slice(a + i, j - i) for c in kept),
+                            pa.array(np.diff(first[i : j + 1])),
+                            list_column((s - first[of])[spans], ends[i + 1 : j + 1] - ends[i]),
+                            list_column((e - first[of])[spans], ends[i + 1 : j + 1] - ends[i]),
+                            pa.ListArray.from_arrays(pa.array(np.append(0, name_ends).astype(np.int32)), names.take(pa.array(name))),
+                            pa.array(best[i:j]),
+                            pa.array(where[i:j]),
+                        ],
+                        names=[*kept, "__words", "__starts", "__ends", "__found", "__best", "__where"],
+                    )
 
     return work
 
 
 def _parts(benchmark: DataFrame, part_bytes: int):
-    """The distinct items in parts, one at a time on the driver; which part an item is in follows from its text."""
+    """The distinct items in parts, one at a time on the driver; which part an item is in follows from its id and text, so that one text under many ids is dealt out too."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id") + 64), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / part_bytes))
     for k in range(n):
-        mine = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        mine = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield n, Suffixes([(r["item_id"], r["text"]) for r in mine.collect()])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, longest: bool = True) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, longest: bool = True, named: bool = True) -> DataFrame:
     """``docs``, all its columns, plus __words (count), __starts and __ends (disjoint hit word ranges), __items (sorted ids), __longest and __longest_start.
 
-    Without ``longest`` the last two are 0 and -1.
+    Without ``longest`` the last two are 0 and -1, without ``named`` there are no items.
     """
     docs = plain(docs)
     spark, kept = docs.sparkSession, docs.columns
@@ -284,7 +335,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, lo
     before = None
     for n, held in _parts(benchmark, part_bytes):
         part = share(spark, held)
-        found = out.mapInArrow(lean(_hits(part, [*kept, "__items", "__longest", "__longest_start"], longest)), schema)
+        found = out.mapInArrow(lean(_hits(part, [*kept, "__items", "__longest", "__longest_start"], longest, named)), schema)
         better = (F.col("__best") > F.col("__longest")) | ((F.col("__best") == F.col("__longest")) & (F.col("__best") > 0) & (F.col("__where") < F.col("__longest_start")))
         out = found.select(
             *[F.col(f"`{c}`") for c in kept],
@@ -330,4 +381,4 @@ def report(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES)
 
 def clean(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, all columns."""
-    return hits(docs, benchmark, part_bytes, longest=False).filter(F.size("__starts") == 0).select(*[F.col(f"`{c}`") for c in plain(docs).columns])
+    return hits(docs, benchmark, part_bytes, longest=False, named=False).filter(F.size("__starts") == 0).select(*[F.col(f"`{c}`") for c in plain(docs).columns])

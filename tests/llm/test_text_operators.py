@@ -672,3 +672,29 @@ def test_mixture_is_deterministic_and_calibrated(spark):
     odd = mixing.report(docs_of(spark, [None, "", "a b", "NULL ID", "NULL ID"])).collect()
     assert len(odd) == 5 and all(0 < r["probability"] <= 1 for r in odd if r["n_tokens"])
     assert mixing.report(docs_of(spark, [])).collect() == []
+
+
+def test_many_items_that_share_a_prompt(spark, monkeypatch):
+    """Items under one prompt, equal items under many ids, and rows that hold prompt and item: against all windows, in ranges of a few names."""
+    monkeypatch.setattr(decontaminate, "NAMES", 50)
+    rng = random.Random(12)
+    prompt = " ".join(rng.choices(WORDS, k=13))
+    own = [" ".join(rng.choices(WORDS, k=12)) for _ in range(40)]
+    items = [(k, f"{prompt} {o}") for k, o in enumerate(own)] + [(100 + k, f"{prompt} {own[0]}") for k in range(30)] + [(200, own[1])]
+    texts = [prompt, f"x {prompt} {own[0]} y", own[1], f"{own[2]} {prompt}", "nothing of that", None, *[f"{k} {prompt}" for k in range(20)]]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    wanted = {}
+    for k, t in enumerate(texts):
+        words, spots, found = (lower(t or "")).split(), set(), set()
+        for item, text in items:
+            goal = lower(text).split()
+            windows = [goal[i : i + 10] for i in range(len(goal) - 9)]
+            for p in range(len(words)):
+                if words[p : p + 10] in windows:
+                    spots |= set(range(p, p + 10))
+                    found.add(str(item))
+        wanted[k] = (len(spots), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
+    for part_bytes in (1 << 20, 600):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.report(docs, bench, part_bytes).collect()}
+        assert got == wanted
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {4, 5}
