@@ -35,6 +35,8 @@ from tessera.scratch import materialize, release
 WORDS, PERMS, FINE, ROWS, BITS = 5, 256, 2048, 5, 2
 BANDS = PERMS // ROWS
 SIGMAS = 5
+#: Rows of a fine band, and the members from which on a bucket is split by these bands.
+FINE_ROWS, LARGE_BUCKET = 10, 2048
 #: A larger bucket's members are compared in blocks of about this size, apart from each other.
 BUCKET_BLOCK = 4096
 
@@ -101,11 +103,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _refine(batches):
     mul, add = permutations(FINE)
+    bands = FINE // FINE_ROWS
+    spread = mix(np.arange(1, FINE_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    salt = mix(np.arange(5000, 5000 + bands, dtype=np.uint64))
     for batch in batches:
         data, offs = column(batch, "text")
         for a, b in blocks(offs):
-            packed = pack(np.stack([minima(s, mul, add) for s in shingle_sets(data, offs[a : b + 1])]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_column(packed.ravel().view(np.int64), np.arange(1, b - a + 1) * packed.shape[1])], names=["node", "fine"])
+            m = np.stack([minima(s, mul, add) for s in shingle_sets(data, offs[a : b + 1])])
+            packed = pack(m)
+            keys = mix((m[:, : bands * FINE_ROWS].reshape(-1, bands, FINE_ROWS).astype(np.uint64) * spread).sum(axis=2, dtype=np.uint64) ^ salt)
+            ends = np.arange(1, b - a + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_column(packed.ravel().view(np.int64), ends * packed.shape[1]), list_column(keys.ravel().view(np.int64), ends * bands)], names=["node", "fine", "keys"])
 
 
 def likely_at(x: str, y: str, perms: int, percent: int):
@@ -203,14 +211,32 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", "m")
     rest = materialize(named.join(split, "key"), "rest")
     texts = _texts(docs, rest.select(F.col("node").alias("id")))
-    fine = texts.mapInArrow(lean(_refine), "node long, fine array<long>")
-    p, q = _blocks(rest.join(classes.select("node", "n", "bands"), "node").join(fine, "node"), ("node", "component", "n", "fine", "bands"))
+    refined = texts.mapInArrow(lean(_refine), "node long, fine array<long>, keys array<long>")
     apart = (F.col("node_p") < F.col("node_q")) & (F.col("component_p") != F.col("component_q"))
+    in_one_cell = (F.col("cell.lo") == F.col("cell.hi")) | (F.col("block_p") != F.col("block_q"))
+    alike = likely_at("fine_p", "fine_q", PERMS, percent) & likely_at("fine_p", "fine_q", FINE, percent)
+    large = F.col("m") > LARGE_BUCKET
+    few = rest.filter(~large)
+    if rest.filter(large).isEmpty():
+        fine, many = refined.drop("keys"), None
+    else:
+        fine = many = materialize(refined, "fine")
+    p, q = _blocks(few.join(classes.select("node", "n", "bands"), "node").join(fine.select("node", "fine"), "node"), ("node", "component", "n", "fine", "bands"))
     common = F.filter(F.zip_with("bands_p", "bands_q", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    # In their first common bucket, and there in one cell.
-    once = (F.get(common, F.lit(0)) == F.col("key")) & ((F.col("cell.lo") == F.col("cell.hi")) | (F.col("block_p") != F.col("block_q")))
-    more = p.join(q, ["key", "cell"]).filter(apart & sizes & once & likely_at("fine_p", "fine_q", PERMS, percent) & likely_at("fine_p", "fine_q", FINE, percent))
-    more = materialize(more.select(F.col("node_p").alias("a"), F.col("node_q").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "more")
+    # In their first common bucket, and there in one cell; that bucket may be a large one, where they meet by other bands.
+    of_few = F.col("key") == F.get(common, F.lit(0))
+    if many is not None:
+        of_few = F.lit(True)
+    more = p.join(q, ["key", "cell"]).filter(apart & sizes & of_few & in_one_cell & alike).select(F.col("node_p").alias("a"), F.col("node_q").alias("b"))
+    if many is not None:
+        members = rest.filter(large).select("node", "component").distinct().join(classes.select("node", "n"), "node")
+        anew = members.join(many.select("node", F.explode("keys").alias("key")), "node")
+        open_ = anew.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", "m")
+        p, q = _blocks(anew.join(open_, "key"), ("node", "component", "n"))
+        pairs = p.join(q, ["key", "cell"]).filter(apart & sizes & in_one_cell).select("node_p", "node_q").distinct()
+        held_p, held_q = (many.select(F.col("node").alias(f"node_{side}"), F.col("fine").alias(f"fine_{side}")) for side in "pq")
+        more = more.unionByName(pairs.join(held_p, "node_p").join(held_q, "node_q").filter(alike).select(F.col("node_p").alias("a"), F.col("node_q").alias("b")))
+    more = materialize(more.distinct().join(likely, ["a", "b"], "left_anti"), "more")
     later = materialize(confirm(more, docs, percent), "links")
     if later.isEmpty():
         final = found
@@ -221,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         joined = components(named.select(to("a").alias("a"), to("b").alias("b"))).toDF("component", "top")
         nodes = found.unionByName(later.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
         final = materialize(nodes.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "final")
-    for done in (buckets, likely, rest, more):
+    for done in (buckets, likely, rest, more, many):
         release(done)
 
     # A class's documents share its node; its node's component is theirs.

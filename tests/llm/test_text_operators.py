@@ -64,6 +64,22 @@ def test_near_duplicates_where_buckets_hold_several_components(spark):
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("large", [2, 40])
+def test_large_buckets_are_split_by_finer_bands(spark, monkeypatch, large):
+    """Pages that share half of their words, and near copies among them: all links, by few comparisons."""
+    monkeypatch.setattr(neardup, "LARGE_BUCKET", large)
+    monkeypatch.setattr(neardup, "BUCKET_BLOCK", 16)
+    rng = random.Random(21)
+    template = rng.choices(WORDS, k=60)
+    pages = [" ".join([*template, *rng.choices([f"u{i}" for i in range(5000)], k=45)]) for _ in range(60)]
+    near = [" ".join(w if rng.random() > 0.03 else "zz" for w in p.split()) for p in pages[:20] for _ in range(2)]
+    texts = [*pages, *near, *odd_texts()]
+    df = docs_of(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect() if r["doc_id"] is not None}
+    wanted, _ = brute_components([(r["doc_id"], r["text"] or "") for r in df.collect() if r["doc_id"] is not None])
+    assert got == wanted
+
+
 def test_blocks_of_a_bucket_meet_once(spark):
     rows = spark.range(100).select(F.lit(1).alias("key"), F.col("id").alias("node"), F.lit(100).alias("m"))
     p, q = neardup._blocks(rows, ("node",), 9)
