@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, linededup, mixing, neardup, quality
-from tessera.scratch import materialize
+from tessera.scratch import materialize, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents that score below this go; the classifier's own threshold.
@@ -70,8 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after another, over the documents table; each one's result is written and read again."""
+    """The stages, one after another, over the documents table; each one's result is written and read again, and goes when the next one's is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
