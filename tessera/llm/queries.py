@@ -159,6 +159,18 @@ def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_documents(spark, sf_dir))
 
 
+def op8_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the streams SQL can say: the payloads that are read back from them."""
+    return op8_transport_stream(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+OP8_PAYLOAD_SQL = r"""
+WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+p AS (SELECT *, greatest(1, (n + 575) // 576) * 576 AS size FROM n)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(b || repeat('\xFF'::BLOB, size - n)) AS payload_sha256 FROM p
+"""
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.secrets import report
 
@@ -225,5 +237,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     found = {name: globals().get(f"{name.split('_')[0].upper()}_SQL") for name in queries()}
+    found["op8_payload"] = OP8_PAYLOAD_SQL
     found["op5_passage_dedup"] = OP5_SQL.replace("SELECT * FROM chunks UNION ALL ", "")
     return {name: sql for name, sql in found.items() if sql}

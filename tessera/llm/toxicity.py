@@ -115,7 +115,8 @@ def fit_ordinal(row: np.ndarray, at: np.ndarray, x: np.ndarray, size: int, lo: n
         theta_past += by_theta * by_theta
         theta = theta + STEP / np.sqrt(theta_past) * by_theta
         theta = np.maximum.accumulate(theta + np.arange(GRADES) * 1e-6)
-    # The weighting raised all probabilities: the thresholds take them back to the sample's own shares.
+    # The weighting raised all probabilities: the thresholds take them back to the sample's own
+    # shares. So what was fitted of them steers the weights alone; what is kept is set here.
     dot = np.bincount(row, weights=w[at] * x, minlength=len(lo))
     split = (lo == hi).all()
     for k in range(GRADES):

@@ -20,7 +20,7 @@ def rows_of(df, *columns):
     return sorted(tuple(str(r[c]) for c in columns) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["op11_vector_codes", "op13_ranked_search"])
+@pytest.mark.parametrize("name", ["op8_payload", "op11_vector_codes", "op13_ranked_search"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
