@@ -164,11 +164,12 @@ def level_of(extent: Column, unit: float) -> Column:
     return F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.ceil(F.log2(F.greatest(extent, F.lit(1e-300)) / unit)).cast("int")))
 
 
-def by_levels(points: DataFrame, items: DataFrame, low: list[Column], high: list[Column], unit: float, axes=AXES) -> DataFrame:
+def by_levels(points: DataFrame, items: DataFrame, low: list[Column], high: list[Column], unit: float, axes=AXES, by: tuple[str, ...] = ()) -> DataFrame:
     """``points`` joined with all ``items`` whose box (low to high) their cell of the items' level touches; the boxes are still to be tested.
 
     An item stands in two cells along each axis at most, whatever its size; a point is
-    looked up once on each level that there is (121 at most).
+    looked up once on each level that there is (121 at most). With ``by`` only points
+    and items that agree in these columns, of both, meet.
     """
     extent = functools.reduce(F.greatest, [h - a for a, h in zip(low, high, strict=True)])
     leveled = items.withColumn("__level", level_of(extent, unit))
@@ -182,4 +183,4 @@ def by_levels(points: DataFrame, items: DataFrame, low: list[Column], high: list
     for k, x in enumerate(axes):
         probes = probes.withColumn(f"__c{k}", F.floor(F.col(x) / side))
     cells = ["__level", *(f"__c{k}" for k in range(len(axes)))]
-    return probes.join(spread, cells).drop(*cells)
+    return probes.join(spread, [*by, *cells]).drop(*cells)

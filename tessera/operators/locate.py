@@ -25,17 +25,18 @@ def _inverse(p: list[list[Column]], at: list[Column]) -> list[Column]:
     return [1 - inner[0] - inner[1] - inner[2], *inner]
 
 
-def locate(points: DataFrame, tets: DataFrame, size: float = 1.0, slack: float = 1e-9) -> DataFrame:
+def locate(points: DataFrame, tets: DataFrame, size: float = 1.0, slack: float = 1e-9, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, x, y, z) and (elem, corners: four (x, y, z, value)) -> id, elem, value.
 
     Each tetrahedron stands on the grid level of its own size (see levels), so that
     large and small ones may be mixed at will; of several that hold a point the least
     elem counts. Points outside all have no row. ``size`` is the grid's unit; it does
-    not matter to the outcome, and little to the work.
+    not matter to the outcome, and little to the work. With ``by``, columns of both
+    tables (a set's name), a point is in elements of its own set alone.
     """
     low = [F.array_min(F.transform("corners", lambda c: c[a])).cast("double") - slack for a in AXES]  # noqa: B023
     high = [F.array_max(F.transform("corners", lambda c: c[a])).cast("double") + slack for a in AXES]  # noqa: B023
-    both = levels.by_levels(points.select("id", *AXES), tets.select("elem", "corners"), low, high, size)
+    both = levels.by_levels(points.select("id", *AXES, *by), tets.select("elem", "corners", *by), low, high, size, by=by)
     corner = [[F.col("corners")[k][a] for a in AXES] for k in range(4)]
     bary = _inverse(corner, [F.col(a) for a in AXES])
     inside = both.withColumn("__b", F.array(*bary)).filter(F.array_min("__b") >= -slack)

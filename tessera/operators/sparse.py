@@ -77,6 +77,18 @@ def dot(x: DataFrame, y: DataFrame, key: str, a: str, b: str) -> float:
     return x.join(y, key).agg(F.sum(F.col(a) * F.col(b))).first()[0] or 0.0
 
 
+def split_fixed(a: DataFrame, fixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a full matrix (i, j, v): its entries between free degrees of freedom, and those in rows of free and columns of fixed ones (fixed: dof)."""
+    marked = a.join(fixed.select(F.col("dof").alias("i")).distinct(), "i", "left_anti")
+    columns = fixed.select(F.col("dof").alias("j")).distinct()
+    return marked.join(columns, "j", "left_anti").select("i", "j", "v"), marked.join(columns, "j", "left_semi").select("i", "j", "v")
+
+
+def boundary_load(boundary: DataFrame, values: DataFrame) -> DataFrame:
+    """(i, y): what prescribed values (j, x) take off the right-hand side of the free rows, from ``split_fixed``'s second part."""
+    return boundary.join(values.select("j", "x"), "j").groupBy("i").agg((-F.sum(F.col("v") * F.col("x"))).alias("y"))
+
+
 def lump(a: DataFrame) -> DataFrame:
     """Row sums, as a diagonal."""
     return a.groupBy("i").agg(F.sum("v").alias("v"))

@@ -211,3 +211,16 @@ def extrapolated_tets(spark, sf_dir):
 
     out = results.extrapolate(elements, points, results.tet_matrix(), TETRAHEDRON_SIDES)
     return out.select("node", F.round("value", 6).alias("value"), F.col("n_contributions").cast("int").alias("n_contributions"))
+
+
+@query("""
+WITH m AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), x AS (SELECT p_partkey AS j, p_retailprice / 1000 AS x FROM part WHERE p_size <= 10), f AS (SELECT o_orderkey AS dof FROM orders WHERE o_orderstatus = 'F' UNION SELECT j FROM x)
+SELECT i, round(-sum(v * x), 4) AS y FROM m JOIN x USING (j) WHERE i NOT IN (SELECT dof FROM f) GROUP BY i
+""")
+def boundary_load(spark, sf_dir):
+    """What prescribed values take off the right-hand side of free rows."""
+    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    values = table(spark, sf_dir, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("j"), (F.col("p_retailprice") / 1000).alias("x"))
+    fixed = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("dof")).unionByName(values.select(F.col("j").alias("dof")))
+    _, boundary = sparse.split_fixed(m, fixed)
+    return sparse.boundary_load(boundary, values).withColumn("y", F.round("y", 4))
