@@ -84,14 +84,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return within.join(base, (F.col("deck") == F.col("__deck")) & (F.col("__block") == F.col("__b"))).select("deck", (F.col("__r") + F.col("__base")).alias("line"), F.rtrim("value", F.lit("\r")).alias("value"))
 
 
-def include(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Lines with each ``*INCLUDE, INPUT=name`` replaced by the lines (name, line, value) of that file; one level, whose lines are numbered by sub."""
-    name = F.regexp_extract("value", r"(?i)^\*include,\s*input\s*=\s*(\S+)", 1)
-    inner = files.select(F.col("name").alias("__name"), F.col("line").alias("__sub"), F.col("value").alias("__value"))
-    both = lines.withColumn("__name", name).join(inner, "__name", "left")
-    return both.select("deck", "line", F.coalesce("__sub", F.lit(0)).alias("sub"), F.when(F.col("__name") != "", F.col("__value")).otherwise(F.col("value")).alias("value")).filter(F.col("value").isNotNull())
-
-
 def include_all(lines: DataFrame, files: DataFrame) -> DataFrame:
     """(deck, path, value) with each ``*INCLUDE, INPUT=name`` replaced by the lines (name, line, value) of that file, down to DEEPEST levels.
 

@@ -148,7 +148,7 @@ def test_deck_reading_includes_and_numbers(spark, tmp_path):
     (tmp_path / "a.inp").write_text("** c\n*Node, nset=Nall\n1, 1.5D2,\n\n*INCLUDE, INPUT=b\n*Step, INPUT=Mixed.Case\n")
     lines = deck.read(spark, str(tmp_path))
     inner = spark.createDataFrame([("b", 1, "*Material"), ("b", 2, "7, 8")], "name string, line int, value string")
-    flat = deck.include(lines, inner).withColumn("line", F.col("line") * 100 + F.col("sub")).drop("sub")
+    flat = deck.include_all(lines, inner).withColumn("line", F.col("path")[0] * 100 + F.coalesce(F.get("path", F.lit(1)), F.lit(0))).drop("path")
     got = [(r["card"], r["is_card"], r["fields"]) for r in deck.parse(flat).orderBy("line").collect()]
     assert got == [("*NODE", True, ["*NODE", "NSET=NALL"]), ("*NODE", False, ["1", "1.5D2"]), ("*MATERIAL", True, ["*MATERIAL"]), ("*MATERIAL", False, ["7", "8"]), ("*STEP", True, ["*STEP", "INPUT=Mixed.Case"])]
     assert spark.range(1).select(deck.number(F.lit("1.5D2")), deck.number(F.lit("x"))).first()[:] == (150.0, None)
