@@ -15,14 +15,13 @@ from tessera.scratch import materialize
 AXES = ("x", "y", "z")
 
 
-def _inverse(p: list[list[Column]], at: list[Column]) -> list[Column]:
-    """Barycentric coordinates of a point in a tetrahedron of four corners."""
+def _inverse(p: list[list[Column]]) -> list[Column]:
+    """Of a tetrahedron of four corners the first one and the rows of the matrix that takes a place, seen from there, to its weights of the others; null where it is flat."""
     e = [[p[k][a] - p[0][a] for a in range(3)] for k in (1, 2, 3)]
-    d = [at[a] - p[0][a] for a in range(3)]
-    triple = lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
-    v = triple(*e)
-    inner = [triple(d, e[1], e[2]) / v, triple(e[0], d, e[2]) / v, triple(e[0], e[1], d) / v]
-    return [1 - inner[0] - inner[1] - inner[2], *inner]
+    cross = lambda u, w: [u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0]]
+    rows = [cross(e[1], e[2]), cross(e[2], e[0]), cross(e[0], e[1])]
+    volume = e[0][0] * rows[0][0] + e[0][1] * rows[0][1] + e[0][2] * rows[0][2]
+    return [*p[0], *[F.try_divide(c, volume) for row in rows for c in row]]
 
 
 def locate(points: DataFrame, tets: DataFrame, size: float = 1.0, slack: float = 1e-9, by: tuple[str, ...] = ()) -> DataFrame:
@@ -34,13 +33,21 @@ def locate(points: DataFrame, tets: DataFrame, size: float = 1.0, slack: float =
     not matter to the outcome, and little to the work. With ``by``, columns of both
     tables (a set's name), a point is in elements of its own set alone.
     """
-    low = [F.array_min(F.transform("corners", lambda c: c[a])).cast("double") - slack for a in AXES]  # noqa: B023
-    high = [F.array_max(F.transform("corners", lambda c: c[a])).cast("double") + slack for a in AXES]  # noqa: B023
-    both = levels.by_levels(points.select("id", *AXES, *by), tets.select("elem", "corners", *by), low, high, size, by=by)
-    corner = [[F.col("corners")[k][a] for a in AXES] for k in range(4)]
-    bary = _inverse(corner, [F.col(a) for a in AXES])
-    inside = both.withColumn("__b", F.array(*bary)).filter(F.array_min("__b") >= -slack)
-    value = F.aggregate(F.zip_with("__b", F.transform("corners", lambda c: c["value"]), lambda b, v: b * v), F.lit(0.0), lambda acc, x: acc + x)
+    ends = {f"__{n}{a}": f(F.transform("corners", lambda c: c[a])).cast("double") + by_ for n, f, by_ in (("lo", F.array_min, -slack), ("hi", F.array_max, slack)) for a in AXES}  # noqa: B023
+    corner = [[F.col("corners")[k][a].cast("double") for a in AXES] for k in range(4)]
+    # What a tetrahedron asks of a place is worked out once for each, before it meets any.
+    ready = tets.select("elem", *by, F.array(*_inverse(corner)).alias("__inv"), F.transform("corners", lambda c: c["value"].cast("double")).alias("__values"), *[c.alias(n) for n, c in ends.items()])
+    low, high = ([F.col(f"__{n}{a}") for a in AXES] for n in ("lo", "hi"))
+    both = levels.by_levels(points.select("id", *AXES, *by), ready, low, high, size, by=by)
+    for a in AXES:
+        both = both.filter((F.col(a) >= F.col(f"__lo{a}")) & (F.col(a) <= F.col(f"__hi{a}")))
+    d = [F.col(a).cast("double") - F.col("__inv")[k] for k, a in enumerate(AXES)]
+    weights = [d[0] * F.col("__inv")[3 * k] + d[1] * F.col("__inv")[3 * k + 1] + d[2] * F.col("__inv")[3 * k + 2] for k in (1, 2, 3)]
+    b = [F.col(f"__b{k}") for k in range(4)]
+    weighed = both.withColumns({f"__b{k}": w for k, w in enumerate(weights, 1)}).withColumn("__b0", 1 - b[1] - b[2] - b[3])
+    inside = weighed.filter((b[0] >= -slack) & (b[1] >= -slack) & (b[2] >= -slack) & (b[3] >= -slack))
+    v = F.col("__values")
+    value = b[0] * v[0] + b[1] * v[1] + b[2] * v[2] + b[3] * v[3]
     return inside.groupBy("id").agg(F.min_by(F.struct("elem", value.alias("value")), "elem").alias("r")).select("id", "r.elem", "r.value")
 
 
