@@ -144,10 +144,13 @@ def likely_at(x: str, y: str, perms: int, percent: int):
 
 def _overlap(batches):
     for batch in batches:
-        (da, oa), (db, ob) = column(batch, "text_a"), column(batch, "text_b")
+        sides = [[batch.column(batch.schema.get_field_index(f"text_{side}")), *column(batch, f"text_{side}"), None, None] for side in "ab"]
         inter, union = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for i in range(batch.num_rows):
-            (x,), (y,) = shingle_sets(da, oa[i : i + 2]), shingle_sets(db, ob[i : i + 2])
+            for s in sides:  # a text that comes again in the next row has its set already
+                if s[3] is None or s[0][i] != s[3]:
+                    (s[4],), s[3] = shingle_sets(s[1], s[2][i : i + 2]), s[0][i]
+            x, y = sides[0][4], sides[1][4]
             inter[i] = len(np.intersect1d(x, y, assume_unique=True))
             union[i] = len(x) + len(y) - inter[i]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter), pa.array(union)], names=["a", "b", "inter", "union"])
@@ -160,11 +163,11 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    """The pairs whose full sets have 100 * intersection >= percent * union; where rows share a doc_id, one may come repeatedly."""
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lean(_overlap), "a long, b long, inter long, union long").filter(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b").distinct()
+    return both.mapInArrow(lean(_overlap), "a long, b long, inter long, union long").filter(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b")
 
 
 def _blocks(rest: DataFrame, held: tuple[str, ...], block: int = BUCKET_BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -214,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     refined = texts.mapInArrow(lean(_refine), "node long, fine array<long>, keys array<long>")
     apart = (F.col("node_p") < F.col("node_q")) & (F.col("component_p") != F.col("component_q"))
     in_one_cell = (F.col("cell.lo") == F.col("cell.hi")) | (F.col("block_p") != F.col("block_q"))
-    alike = likely_at("fine_p", "fine_q", PERMS, percent) & likely_at("fine_p", "fine_q", FINE, percent)
+    coarse, close = (likely_at("fine_p", "fine_q", perms, percent) for perms in (PERMS, FINE))  # the first few longs cost least, so they come before what goes through whole arrays
     large = F.col("m") > LARGE_BUCKET
     few = rest.filter(~large)
     if rest.filter(large).isEmpty():
@@ -227,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     of_few = F.col("key") == F.get(common, F.lit(0))
     if many is not None:
         of_few = F.lit(True)
-    more = p.join(q, ["key", "cell"]).filter(apart & sizes & of_few & in_one_cell & alike).select(F.col("node_p").alias("a"), F.col("node_q").alias("b"))
+    more = p.join(q, ["key", "cell"]).filter(apart & in_one_cell & sizes & coarse & of_few & close).select(F.col("node_p").alias("a"), F.col("node_q").alias("b"))
     if many is not None:
         members = rest.filter(large).select("node", "component").distinct().join(classes.select("node", "n"), "node")
         anew = members.join(many.select("node", F.explode("keys").alias("key")), "node")
@@ -235,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         p, q = _blocks(anew.join(open_, "key"), ("node", "component", "n"))
         pairs = p.join(q, ["key", "cell"]).filter(apart & sizes & in_one_cell).select("node_p", "node_q").distinct()
         held_p, held_q = (many.select(F.col("node").alias(f"node_{side}"), F.col("fine").alias(f"fine_{side}")) for side in "pq")
-        more = more.unionByName(pairs.join(held_p, "node_p").join(held_q, "node_q").filter(alike).select(F.col("node_p").alias("a"), F.col("node_q").alias("b")))
+        more = more.unionByName(pairs.join(held_p, "node_p").join(held_q, "node_q").filter(coarse & close).select(F.col("node_p").alias("a"), F.col("node_q").alias("b")))
     more = materialize(more.distinct().join(likely, ["a", "b"], "left_anti"), "more")
     later = materialize(confirm(more, docs, percent), "links")
     if later.isEmpty():

@@ -8,6 +8,7 @@ import re
 import urllib.parse
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,31 @@ def test_marks_by_bitmap_and_by_join(spark):
         assert {r["id"] for r in among(rows, F.col("h"), keys, most).collect()} == set(range(0, 1000, 10))
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_marks_write_the_bitmap_alone(spark, monkeypatch, most):
+    """No table of the hashes themselves is written before it."""
+    from tessera.llm import bitmap
+
+    written, write = [], bitmap.materialize
+    monkeypatch.setattr(bitmap, "materialize", lambda df, label="t": written.append(label) or write(df, label))
+    rows = spark.range(1000).withColumn("h", F.xxhash64("id"))
+    keys = rows.filter("id % 10 = 0").select("h")
+    found = bitmap.marked(rows, F.col("h"), keys.unionByName(keys), most)
+    assert written == ["bitmap"]
+    assert {(r["id"], r["__set"]) for r in found.collect()} == {(i, i % 10 == 0) for i in range(1000)}
+    assert not bitmap.marked(rows, F.col("h"), keys.limit(0), most).filter("__set").count()
+
+
+def test_overlap_makes_the_set_of_a_text_in_turn_once(monkeypatch):
+    made, sets = [], neardup.shingle_sets
+    monkeypatch.setattr(neardup, "shingle_sets", lambda data, offs: made.append(1) or sets(data, offs))
+    one, two, three = (" ".join(f"w{i}" for i in range(a, a + 24)) for a in (0, 1, 10))
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2, 3, 4, 5], "b": [7, 7, 7, 8, 9], "text_a": [one, two, three, three, "x"], "text_b": [one, one, one, two, None]})
+    out = pa.Table.from_batches(neardup._overlap([batch])).to_pydict()
+    assert out == {"a": [1, 2, 3, 4, 5], "b": [7, 7, 7, 8, 9], "inter": [20, 19, 10, 11, 0], "union": [20, 21, 30, 29, 1]}
+    assert len(made) == 7  # of ten
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
