@@ -13,11 +13,11 @@ from tessera.plans.catalog import query
 from tessera.plans.relational import table
 
 
-def _bricks(spark, sf_dir):
+def _bricks(spark, sf_dir, span=1 << 10):
     """A brick per part, at places that follow from its key."""
     p = F.col("p_partkey")
     cells = table(spark, sf_dir, "part").select(p.alias("elem"), (p % 16).alias("cx"), (F.floor(p / 16) % 16).alias("cy"), F.floor(p / 256).alias("cz"))
-    return statics.brick_grid(cells)
+    return statics.brick_grid(cells, span)
 
 
 _NODE = lambda d: f"(((p_partkey % 16 + {d[0]}) * 1024 + (p_partkey // 16) % 16 + {d[1]}) * 1024 + p_partkey // 256 + {d[2]})"
@@ -429,7 +429,8 @@ SELECT p_partkey AS elem, ip, round(269.230769230769, 6) AS sxx, round(115.38461
 """)
 def brick_stress(spark, sf_dir):
     """Stresses of the bricks under a uniform strain of 0.001 along x (Young 200000, Poisson 0.3)."""
-    elements, nodes = _bricks(spark, sf_dir)
+    # Layers of 256 bricks each: beyond 1,023 of them ids need the wider span.
+    elements, nodes = _bricks(spark, sf_dir, 1 << 20)
     elements = elements.select("elem", "nodes", F.lit(200000.0).alias("young"), F.lit(0.3).alias("poisson"))
     dofs = nodes.select("node", "x", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("a"))
     u = dofs.select((F.col("node") * 3 + F.col("a")).alias("dof"), F.when(F.col("a") == 0, F.col("x") * 0.001).otherwise(0.0).alias("u"))

@@ -6,6 +6,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,22 +90,52 @@ def solve(elements: DataFrame, nodes: DataFrame, fixed: DataFrame, loads: DataFr
     return x.select(F.col("i").alias("dof"), F.col("x").alias("u")).unionByName(fixed.select("dof", F.col("value").cast("double").alias("u")))
 
 
+def _strain_matrices(xyz: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``strain_matrix`` of many elements (rows x 8 x 3) at once: rows x 6 x 24."""
+    local = slopes(at)
+    d = np.linalg.solve(local @ xyz, np.broadcast_to(local, (len(xyz), 3, 8)))
+    b = np.zeros((len(xyz), 6, 24))
+    for a in range(3):
+        b[:, a, a::3] = d[:, a]
+    for row, (p, q) in enumerate(((0, 1), (0, 2), (1, 2)), 3):
+        b[:, row, p::3], b[:, row, q::3] = d[:, q], d[:, p]
+    return b
+
+
 def stresses(elements: DataFrame, nodes: DataFrame, u: DataFrame) -> DataFrame:
-    """(elem, ip from 1 on, s: xx, yy, zz, xy, xz, yz) at the eight integration points."""
-    each = elements.select("elem", F.posexplode("nodes").alias("pos", "node")).select("elem", "pos", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda a: F.col("node") * 3 + a)).alias("axis", "dof"))
-    ue = each.join(u, "dof").groupBy("elem").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "axis", "u"))), lambda s: s["u"]).alias("ue"))
+    """(elem, ip from 1 on, s: xx, yy, zz, xy, xz, yz) at the eight integration points.
 
-    def work(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                c = elasticity(r.young, r.poisson)
-                for ip, g in enumerate(GAUSS, 1):
-                    b, _ = strain_matrix(np.asarray(r.xyz).reshape(8, 3), g)
-                    out.append((r.elem, ip, c @ b @ np.asarray(r.ue)))
-            yield pd.DataFrame(out, columns=["elem", "ip", "s"])
+    A node's place and displacement go together to the elements, as one row for each
+    corner. The joins go by shuffles: sizes after an explode are guessed far too low.
+    """
+    moved = u.groupBy(F.floor(F.col("dof") / 3).alias("node")).agg(*[F.max(F.when(F.col("dof") % 3 == a, F.col("u"))).alias(f"u{x}") for a, x in enumerate("xyz")])
+    at = nodes.select("node", "x", "y", "z").hint("merge").join(moved, "node", "left")
+    each = elements.select("elem", F.posexplode("nodes").alias("pos", "node")).hint("merge").join(at, "node")
+    packed = each.groupBy("elem").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.array("x", "y", "z", "ux", "uy", "uz").alias("p")))), lambda s: s["p"])).alias("at"))
+    rows = elements.select("elem", F.col("young").cast("double").alias("young"), F.col("poisson").cast("double").alias("poisson")).hint("merge").join(packed, "elem")
 
-    return _with_corners(elements, nodes).join(ue, "elem").mapInPandas(work, "elem long, ip int, s array<double>")
+    def work(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            lists = batch.column(3)
+            if not (lists.value_lengths().to_numpy() == 48).all() or lists.flatten().null_count:
+                raise ValueError("stresses: a corner has no place, or a displacement is missing, or there are two")
+            at = lists.flatten().to_numpy().reshape(n, 8, 6)
+            xyz, ue = at[:, :, :3], at[:, :, 3:].reshape(n, 24)
+            young, nu = (batch.column(k).to_numpy() for k in (1, 2))
+            mu, lam = young / (2 * (1 + nu)), young * nu / ((1 + nu) * (1 - 2 * nu))
+            out = np.empty((n, len(GAUSS), 6))
+            for k, g in enumerate(GAUSS):
+                e = np.einsum("rij,rj->ri", _strain_matrices(xyz, g), ue)
+                out[:, k] = e * mu[:, None] * np.array([2.0] * 3 + [1.0] * 3)
+                out[:, k, :3] += (lam * e[:, :3].sum(axis=1))[:, None]
+            points = np.tile(np.arange(1, len(GAUSS) + 1, dtype=np.int32), n)
+            s = pa.ListArray.from_arrays(pa.array(np.arange(len(points) + 1, dtype=np.int32) * 6), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), len(GAUSS)))), pa.array(points), s], names=["elem", "ip", "s"])
+
+    return rows.mapInArrow(work, "elem long, ip int, s array<double>")
 
 
 def reactions(elements: DataFrame, nodes: DataFrame, u: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -114,10 +145,9 @@ def reactions(elements: DataFrame, nodes: DataFrame, u: DataFrame, fixed: DataFr
     return y.join(fixed.select(F.col("dof").alias("i")), "i", "left_semi").select(F.col("i").alias("dof"), F.col("y").alias("rf"))
 
 
-def brick_grid(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Unit bricks at integer places (elem, cx, cy, cz) -> elements (elem, nodes) and nodes; node ids follow from the place."""
+def brick_grid(cells: DataFrame, span: int = 1 << 10) -> tuple[DataFrame, DataFrame]:
+    """Unit bricks at integer places (elem, cx, cy, cz) -> elements (elem, nodes) and nodes; node ids follow from the place, below ``span`` along y and z; places beyond share ids with others."""
     corner = ((CORNERS + 1) / 2).astype(int).tolist()
-    span = 1 << 10
     at = lambda d: ((F.col("cx") + d[0]) * span + F.col("cy") + d[1]) * span + F.col("cz") + d[2]
     elements = cells.select("elem", F.array(*[at(d).cast("long") for d in corner]).alias("nodes"))
     each = cells.select(F.explode(F.array(*[F.struct(at(d).cast("long").alias("node"), *[(F.col(f"c{a}") + d[i]).cast("double").alias(a) for i, a in enumerate("xyz")]) for d in corner])).alias("n"))
