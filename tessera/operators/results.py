@@ -39,10 +39,10 @@ def extrapolate(elements: DataFrame, points: DataFrame, matrix: list[list[float]
 
     Nodes beyond the corners are midsides in the order of ``midsides``.
     """
-    weights = points.join(elements.select("elem", "nodes"), "elem")
-    factors = F.array(*[F.element_at(F.array(*[F.lit(float(w)) for w in row]), F.col("ip")) for row in matrix])
-    part = weights.select("elem", "nodes", F.posexplode(F.transform(factors, lambda w: w * F.col("value"))).alias("c", "v"))
-    corner = part.groupBy("elem", "c").agg(F.first("nodes").alias("nodes"), F.sum("v").alias("v"))
+    # One row per element with a sum for each corner; the nodes meet these rows, not one for each corner and point.
+    sums = points.groupBy("elem").agg(*[F.sum(F.col("value") * F.element_at(F.array(*[F.lit(float(w)) for w in row]), F.col("ip"))).alias(f"__v{c}") for c, row in enumerate(matrix)])
+    whole = sums.hint("merge").join(elements.select("elem", "nodes"), "elem")
+    corner = whole.select("nodes", F.posexplode(F.array(*[F.col(f"__v{c}") for c in range(len(matrix))])).alias("c", "v"))
     spots = F.array(F.struct(F.element_at("nodes", F.col("c") + 1).alias("node"), F.col("v").alias("v"), F.lit(1.0).alias("share"), F.lit(-1).alias("m")))
     sides = [F.when((F.col("c") == a) | (F.col("c") == b), F.struct(F.get("nodes", F.lit(len(matrix) + m)).alias("node"), (F.col("v") / 2).alias("v"), F.lit(0.5).alias("share"), F.lit(m).alias("m"))) for m, (a, b) in enumerate(midsides)]
     if sides:

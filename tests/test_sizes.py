@@ -19,3 +19,27 @@ def test_stresses_of_bricks_beyond_a_thousand_layers(spark, tmp_path):
     assert sorted((r["elem"], r["ip"]) for r in rows) == [(e, i) for e in (16, 17, 262144, 262145) for i in range(1, 9)]
     assert {(r["sxx"], r["syy"], r["szz"]) for r in rows} == {(269.230769, 115.384615, 115.384615)}
     assert "BroadcastHashJoin" not in plan_of(df)
+
+
+def test_extrapolation_sends_one_row_per_element(spark):
+    rng = np.random.default_rng(3)
+    elements = spark.createDataFrame([(e, [int(n) for n in rng.choice(40, 20, replace=False)]) for e in range(30)], "elem long, nodes array<long>")
+    values = [(e, i, float(v)) for e in range(30) for i, v in enumerate(rng.normal(size=8), 1)]
+    df = results.extrapolate(elements, spark.createDataFrame(values, "elem long, ip int, value double"), results.brick_matrix(), results.MIDSIDES)
+    at = {}
+    for r in elements.collect():
+        v = np.array(results.brick_matrix()) @ [x for e, _, x in values if e == r["elem"]]
+        for n, w in zip(r["nodes"], [*v, *[(v[a] + v[b]) / 2 for a, b in results.MIDSIDES]], strict=True):
+            at.setdefault(n, []).append(w)
+    got = {r["node"]: (r["value"], r["n_contributions"]) for r in df.collect()}
+    assert got.keys() == at.keys()
+    assert all(abs(got[n][0] - np.mean(v)) < 1e-12 and got[n][1] == len(v) for n, v in at.items())
+    assert "BroadcastHashJoin" not in plan_of(df)
+
+
+def test_neighbours_without_a_join(spark):
+    t = spark.createDataFrame([(0, [1, 2, 3]), (1, [2, 3, 4]), (2, [5, 6, 5])], "elem long, nodes array<long>")
+    df = topology.triangle_neighbours(t)
+    assert sorted((r["elem"], r["side"], r["neighbour"]) for r in df.filter("elem < 2").collect()) == [(0, 1, None), (0, 2, 1), (0, 3, None), (1, 1, 0), (1, 2, None), (1, 3, None)]
+    assert sorted((r["side"], r["neighbour"]) for r in df.filter("elem = 2").collect()) == [(1, None), (2, None), (3, None)]
+    assert "Join" not in plan_of(df)
