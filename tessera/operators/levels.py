@@ -4,8 +4,9 @@ The grid puts each element on the level whose cells are as wide as the element,
 that it stands in at most two cells along each axis, and a point looks into one
 cell of every level that has elements. The tree sorts boxes along a space-filling
 curve and packs them by their place in that order, FANOUT at a time, level upon
-level; so its nodes are equally full wherever the boxes crowd, and a search goes
-down it by equality joins on nodes, however far off a query is.
+level; so its nodes are equally full wherever the boxes crowd. Each task goes down
+its upper levels by itself; a tree of more boxes ends in equality joins on nodes,
+however far off a query is.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from tessera.scratch import materialize, release
 AXES = ("x", "y", "z")
 #: Children of a node, and nodes of a level that are few enough to go to all tasks.
 FANOUT, FEW_NODES = 16, 4096
+#: Boxes of a tree's lowest level that still goes to all tasks (48 bytes each in space), and pairs that a task looks at together.
+TASK_BOXES, TASK_PAIRS = 1 << 19, 1 << 19
 #: Bits of each coordinate in the order along the curve, and the levels of the grid, as powers of two of its unit.
 CURVE_BITS, LOWEST, HIGHEST = 20, -60, 60
 
@@ -60,12 +65,14 @@ def curve_key(at: list[Column], low: list[float], high: list[float]) -> Column:
 
 @dataclass
 class BoxTree:
-    """items with their leaf (__node); levels: (node, parent, n, low, high) per level, the lowest first; top: boxes of the highest."""
+    """items with their place along the curve (__pos, from 0 on) and their leaf (__node); levels: (node, parent, n, low, high) per level, the lowest first; low and high name the ends of the items' boxes."""
 
     items: DataFrame
     levels: list[DataFrame]
     sizes: list[int]
-    top: list
+    count: int
+    low: list[str]
+    high: list[str]
 
 
 def box_tree(items: DataFrame, low: list[str], high: list[str]) -> BoxTree | None:
@@ -77,7 +84,9 @@ def box_tree(items: DataFrame, low: list[str], high: list[str]) -> BoxTree | Non
     least, most = list(ends[1 : d + 1]), list(ends[d + 1 : 2 * d + 1])
     middle = [(F.col(a).cast("double") + F.col(b).cast("double")) / 2 for a, b in zip(low, high, strict=True)]
     key = curve_key(middle, least, most) if d <= 3 else F.lit(0)
-    held = materialize(ranked(items.withColumn("__key", key), ["__key"], "__pos").withColumn("__node", F.floor((F.col("__pos") - 1) / FANOUT)).drop("__key", "__pos"), "boxes")
+    order = ranked(items.withColumn("__key", key), ["__key"], "__pos")
+    held = materialize(order.withColumn("__pos", F.col("__pos") - 1).withColumn("__node", F.floor(F.col("__pos") / FANOUT)).drop("__key"), "boxes")
+    release(order._tessera_dealt)
     boxes = held.select(F.col("__node").alias("node"), F.lit(1).cast("long").alias("n"), F.array(*[F.col(c).cast("double") for c in low]).alias("low"), F.array(*[F.col(c).cast("double") for c in high]).alias("high"))
     levels, sizes, count = [], [], ends[0]
     while True:
@@ -88,10 +97,71 @@ def box_tree(items: DataFrame, low: list[str], high: list[str]) -> BoxTree | Non
         levels.append(level)
         sizes.append(count)
         if count <= FANOUT:
-            return BoxTree(held, levels, sizes, level.collect())
+            return BoxTree(held, levels, sizes, ends[0], low, high)
         boxes = level.select(F.col("parent").alias("node"), "n", "low", "high")
 
 
+def task_levels(tree: BoxTree) -> tuple[list[tuple], int]:
+    """(low, high, n) as arrays by node, of the levels that go to all tasks, the highest first; and which is the last: -1 the items themselves, else its number in ``levels``."""
+    d = len(tree.low)
+    items = tree.items.select(F.col("__pos").alias("node"), F.lit(1).cast("long").alias("n"), *[F.col(c).cast("double").alias(f"e{k}") for k, c in enumerate([*tree.low, *tree.high])])
+    frames = [items, *[t.select("node", "n", *[F.col(side)[k].alias(f"e{i * d + k}") for i, side in enumerate(("low", "high")) for k in range(d)]) for t in tree.levels]]
+    first = next(k for k, size in enumerate([tree.count, *tree.sizes]) if size <= TASK_BOXES)
+    arrays = []
+    for frame in frames[first:]:
+        t = frame.toArrow()
+        order = np.argsort(t.column("node").to_numpy())
+        ends = np.stack([t.column(f"e{k}").to_numpy()[order] for k in range(2 * d)], 1)
+        arrays.append((ends[:, :d].copy(), ends[:, d:].copy(), t.column("n").to_numpy()[order]))
+    return arrays[::-1], first - 1
+
+
+def _bounds(query: np.ndarray, far: np.ndarray, n: np.ndarray, k: int, rows: int) -> np.ndarray:
+    """For each of ``rows`` queries the distance within which k items are for certain, from nodes with n items; infinite where there are fewer."""
+    out = np.full(rows, np.inf)
+    if k > 1:
+        order = np.lexsort((far, query))
+        query, far, so_far = query[order], far[order], np.cumsum(n[order])
+        first = np.r_[True, query[1:] != query[:-1]]
+        before = np.maximum.accumulate(np.where(first, so_far - n[order], 0))
+        enough = so_far - before >= k
+        query, far = query[enough], far[enough]
+    np.minimum.at(out, query, far)
+    return out
+
+
+def descend(at: np.ndarray, levels: list[tuple], k: int, most: float = np.inf):
+    """Batches (row, node, near, bound) of the nodes of the last level that may hold one of the k nearest items of places ``at`` (rows x axes), no farther than the squared distance ``most``; ``near`` is a node's squared distance, and all nodes of a row come together.
+
+    Rows whose nodes are too many to be looked at together are halved; those with a
+    coordinate that is null, infinite or NaN have none.
+    """
+    placed = np.flatnonzero(np.isfinite(at).all(axis=1))
+    todo = [placed[s : s + 4096] for s in range(0, len(placed), 4096)][::-1]
+    while todo:
+        rows = todo.pop()
+        query, node = np.repeat(np.arange(len(rows)), len(levels[0][0])), np.tile(np.arange(len(levels[0][0])), len(rows))
+        bound = np.full(len(rows), most)
+        for depth, (low, high, n) in enumerate(levels):
+            if depth:
+                query, node = np.repeat(query, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                real = node < len(low)
+                query, node = query[real], node[real]
+            near, far = np.zeros(len(node)), np.zeros(len(node))
+            for a in range(low.shape[1]):
+                x, lo, hi = at[rows[query], a], low[node, a], high[node, a]
+                off, reach = np.maximum(np.maximum(lo - x, x - hi), 0.0), np.maximum(x - lo, hi - x)
+                near, far = near + off * off, far + reach * reach
+            bound = np.minimum(bound, _bounds(query, far, n[node], k, len(rows)))
+            kept = near <= bound[query]
+            query, node, near = query[kept], node[kept], near[kept]
+            if len(query) * FANOUT > TASK_PAIRS and len(rows) > 1:
+                todo += [rows[len(rows) // 2 :], rows[: len(rows) // 2]]
+                break
+        else:
+            yield rows[query], node, near, bound[query]
+
+
 def box_distance2(at: list[Column], low: Column, high: Column) -> tuple[Column, Column]:
     """Squared least and largest distance of a position from a box."""
     zero, near, far = F.lit(0.0), [], []
@@ -112,37 +182,51 @@ def _within_bound(pairs: DataFrame, k: int) -> DataFrame:
         so_far = F.sum("n").over(W.partitionBy("q_id").orderBy("far"))
         pairs = pairs.withColumn("__sum", so_far)
         bound = F.min(F.when(F.col("__sum") >= k, F.col("far"))).over(W.partitionBy("q_id"))
-    return pairs.withColumn("__bound", bound).filter(F.col("__bound").isNull() | (F.col("near") <= F.col("__bound"))).drop("__bound", "__sum")
+    return pairs.withColumn("__least", bound).filter(F.col("__least").isNull() | (F.col("near") <= F.col("__least"))).drop("__least", "__sum")
 
 
-def nearest_boxes(queries: DataFrame, tree: BoxTree, k: int, low: list[str], high: list[str], axes=AXES) -> DataFrame:
-    """Pairs of query (q_*) and item (p_*), with near, the squared distance of the item's box: all items that can be among a query's k nearest, and few others.
+def nearest_boxes(queries: DataFrame, tree: BoxTree, k: int, low: list[str], high: list[str], axes=AXES, within: float | None = None) -> DataFrame:
+    """Pairs of query (q_*) and item (p_*), with near, the squared distance of the item's box: all items that can be among a query's k nearest, and few others; with ``within`` none of a box farther off than that.
 
-    Queries are (id, axes, any others), ids each once, coordinates numbers.
+    Queries are (id, axes, any others), ids each once; those without a place have no
+    rows (a filter would be pushed below whatever makes them, and be worked out for all
+    of that). Each task
+    goes down the upper part of the tree for its own queries; where that part ends
+    above the items, the rest of the way goes by joins on nodes, without the nodes
+    that are already too far.
     """
     spot = [F.col(f"q_{a}").cast("double") for a in axes]
-    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    # The nodes at the top are FANOUT at most.
-    top = F.array(*[F.struct(F.lit(r["node"]).alias("node"), F.lit(r["n"]).alias("n"), F.array(*map(F.lit, r["low"])).alias("low"), F.array(*map(F.lit, r["high"])).alias("high")) for r in tree.top])
-    open_ = asked.select("q_id", *[f"q_{a}" for a in axes], F.explode(top).alias("__t")).select("q_id", *[f"q_{a}" for a in axes], "__t.*")
-    held = None
-    for depth in range(len(tree.levels) - 1, -1, -1):
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], *[F.col(a).cast("double").alias(f"__{a}") for a in axes])
+    arrays, last = task_levels(tree)
+    held = asked.sparkSession.sparkContext.broadcast(arrays)
+    most = float("inf") if within is None else (within * (1 + 1e-9)) ** 2
+    names, d = asked.columns[: -len(axes)], len(axes)
+
+    def work(batches):
+        for batch in batches:
+            at = np.stack([batch.column(len(names) + i).to_numpy(zero_copy_only=False) for i in range(d)], 1)
+            rows = batch.select(names)
+            for row, node, near, bound in descend(at, held.value, k, most):
+                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(row)).columns, pa.array(node), pa.array(near), pa.array(bound)], names=[*names, "node", "near", "__bound"])
+
+    kinds = asked.select(*names).schema
+    schema = kinds.add("node", "long").add("near", "double").add("__bound", "double")
+    kept = asked.mapInArrow(work, schema)
+    written = None
+    for depth in range(last - 1, -1, -1):
+        nodes = tree.levels[depth].withColumnRenamed("node", "__child")
         near, far = box_distance2(spot, F.col("low"), F.col("high"))
-        kept = _within_bound(open_.withColumns({"near": near, "far": far}), k).select("q_id", *[f"q_{a}" for a in axes], "node")
-        if depth:
-            nodes = tree.levels[depth - 1].withColumnRenamed("node", "__child")
-            nodes = F.broadcast(nodes) if tree.sizes[depth - 1] <= FEW_NODES else nodes
-            open_ = kept.join(nodes, F.col("node") == F.col("parent")).drop("node", "parent").withColumnRenamed("__child", "node")
-            new = materialize(open_, "open")
-            if held is not None:
-                release(held)
-            held = open_ = new
-    items = tree.items.select(F.col("__node").alias("node"), *[F.col(c).alias(f"p_{c}") for c in tree.items.columns if c != "__node"])
+        open_ = kept.drop("near").hint("merge").join(nodes, F.col("node") == F.col("parent")).withColumns({"near": near, "far": far}).filter(F.col("near") <= F.col("__bound"))
+        new = materialize(_within_bound(open_, k).select(*names, F.col("__child").alias("node"), "near", "__bound"), "open")
+        release(written)
+        written = kept = new
+    items = tree.items.select(F.col("__node" if last >= 0 else "__pos").alias("node"), *[F.col(c).alias(f"p_{c}") for c in tree.items.columns if c not in ("__node", "__pos")])
+    pairs = kept.hint("merge").join(items, "node")
+    if last < 0:
+        return pairs.drop("node", "__bound")
     near, far = box_distance2(spot, F.array(*[F.col(f"p_{c}").cast("double") for c in low]), F.array(*[F.col(f"p_{c}").cast("double") for c in high]))
-    pairs = kept.join(items, "node").withColumns({"near": near, "far": far, "n": F.lit(1).cast("long")})
-    found = _within_bound(pairs, k).drop("n", "far", "node")
-    others = [c for c in asked.columns if c != "q_id" and c not in {f"q_{a}" for a in axes}]
-    return found.join(asked.select("q_id", *others), "q_id") if others else found
+    pairs = pairs.withColumns({"near": near, "far": far, "n": F.lit(1).cast("long")}).filter(F.col("near") <= F.col("__bound"))
+    return _within_bound(pairs, k).drop("n", "far", "node", "__bound")
 
 
 def nearest_points(queries: DataFrame, points: DataFrame, k: int, axes=AXES) -> DataFrame:
@@ -183,4 +267,5 @@ def by_levels(points: DataFrame, items: DataFrame, low: list[Column], high: list
     for k, x in enumerate(axes):
         probes = probes.withColumn(f"__c{k}", F.floor(F.col(x) / side))
     cells = ["__level", *(f"__c{k}" for k in range(len(axes)))]
-    return probes.join(spread, [*by, *cells]).drop(*cells)
+    # By shuffle: the size of items in all their cells is guessed far too low.
+    return probes.hint("merge").join(spread, [*by, *cells]).drop(*cells)

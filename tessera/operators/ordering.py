@@ -21,7 +21,9 @@ def ranked(rows: DataFrame, keys: list[str], position: str = "pos") -> DataFrame
     size = dealt.groupBy("__p").agg(F.count("*").alias("n"))
     base = size.select("__p", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     within = dealt.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    return within.join(F.broadcast(base), "__p").select(*rows.columns, (F.col("__r") + F.col("__base")).alias(position))
+    out = within.join(F.broadcast(base), "__p").select(*rows.columns, (F.col("__r") + F.col("__base")).alias(position))
+    out._tessera_dealt = dealt  # for those that write the result, and so need the ranges no longer
+    return out
 
 
 def ranked_within(rows: DataFrame, by: list[str], keys: list[str], position: str = "pos") -> DataFrame:

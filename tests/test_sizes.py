@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import results, topology
+from tessera.operators import constraints, curved, levels, results, topology
 from tessera.plans import catalog
 
 
@@ -43,3 +43,36 @@ def test_neighbours_without_a_join(spark):
     assert sorted((r["elem"], r["side"], r["neighbour"]) for r in df.filter("elem < 2").collect()) == [(0, 1, None), (0, 2, 1), (0, 3, None), (1, 1, 0), (1, 2, None), (1, 3, None)]
     assert sorted((r["side"], r["neighbour"]) for r in df.filter("elem = 2").collect()) == [(1, None), (2, None), (3, None)]
     assert "Join" not in plan_of(df)
+
+
+def test_feet_on_bent_faces_are_exact_and_shuffle_nothing(spark):
+    rng = np.random.default_rng(5)
+    places = np.array([(0, 0), (1, 0), (0, 1), (0.5, 0), (0.5, 0.5), (0, 0.5)])
+    faces = [(f, [(f * 4.0 + a, b, (a * a + b * b) / 2) for a, b in places.tolist()]) for f in range(3)]
+    at = rng.random((90, 3)) * [0.5, 0.5, 0.2]
+    s = np.sqrt(at[:, 0] ** 2 + at[:, 1] ** 2 + 1)
+    f = np.arange(90) % 3
+    points = np.stack([f * 4.0 + at[:, 0] - at[:, 2] * at[:, 0] / s, at[:, 1] - at[:, 2] * at[:, 1] / s, (at[:, 0] ** 2 + at[:, 1] ** 2) / 2 + at[:, 2] / s], 1).tolist()
+    rows = [(i, *p) for i, p in enumerate(points)] + [(90, None, 0.0, 0.0), (91, float("nan"), 0.0, 0.0), (92, float("inf"), 0.0, 0.0)]
+    df = curved.attach_curved(spark.createDataFrame(rows, "id long, x double, y double, z double"), spark.createDataFrame(faces, "face long, nodes array<struct<x: double, y: double, z: double>>"))
+    got = df.orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(90)) and [r["face"] for r in got] == f.tolist()
+    assert np.abs(np.array([r["local"] for r in got]) - at[:, :2]).max() < 1e-11
+    assert np.abs(np.array([r["distance"] for r in got]) - at[:, 2]).max() < 1e-11
+    assert "Exchange" not in plan_of(df)
+
+
+def test_ties_look_at_faces_within_the_tolerance(spark, monkeypatch):
+    """The tree in tasks, and the same ending in joins, leave few faces to a node, and none to one too far off."""
+    corners = "array<struct<node: long, x: double, y: double, z: double>>"
+    faces = spark.createDataFrame([(f, [(f, float(f), 0.0, 0.0), (f + 1, f + 1.0, 0.0, 0.0), (f + 900, float(f), 1.0, 0.0)]) for f in range(400)], f"face long, corners {corners}")
+    slaves = spark.createDataFrame([(i, i + 0.25, 0.25, 0.1 if i % 2 else 5.0) for i in range(400)], "id long, x double, y double, z double")
+    for most in (levels.TASK_BOXES, 100, 16):
+        monkeypatch.setattr(levels, "TASK_BOXES", most)
+        df = constraints.tied(slaves, faces, 0.2)
+        got = sorted((r["id"], r["face"], r["node"], round(r["gap"], 9), round(r["coef"], 9)) for r in df.collect())
+        assert got == [(i, i, n, 0.1, c) for i in range(1, 400, 2) for n, c in ((i, 0.5), (i + 1, 0.25), (i + 900, 0.25))]
+    monkeypatch.undo()
+    tree = levels.box_tree(faces.select("face", *[F.lit(0.0).alias(c) for c in ("a", "b")]), ["a"], ["b"])
+    places = np.array([[5.0], [0.1]])
+    assert [row.tolist() for row, *_ in levels.descend(places, levels.task_levels(tree)[0], 1, 0.04)] == [[1] * 400]
