@@ -198,7 +198,8 @@ def tied(slaves: DataFrame, faces: DataFrame, tolerance: float) -> DataFrame:
     """
     from tessera.operators.locate import attach
 
-    near = attach(slaves, faces).filter(F.col("distance") <= tolerance)
+    # Dealt by id, so that few large files of slaves are many tasks' work.
+    near = attach(slaves.repartition("id"), faces, tolerance).filter(F.col("distance") <= tolerance)
     each = F.arrays_zip(F.transform("corners", lambda c: c["node"]).alias("node"), F.col("weights").alias("coef"))
     return near.select("id", "face", F.col("distance").alias("gap"), F.explode(each).alias("x")).select("id", "face", "gap", "x.node", "x.coef")
 

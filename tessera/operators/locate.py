@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import levels, lookup
-from tessera.operators.spatial import _placed
 from tessera.scratch import materialize
 
 AXES = ("x", "y", "z")
@@ -94,19 +93,20 @@ def _on_face(points: DataFrame) -> DataFrame:
     return out.withColumn("distance", F.sqrt(_dot(off, off)))
 
 
-def attach(points: DataFrame, faces: DataFrame) -> DataFrame:
+def attach(points: DataFrame, faces: DataFrame, within: float | None = None) -> DataFrame:
     """(id, x, y, z) and triangles (face, corners: three structs with x, y, z) -> id, x, y, z, face, corners, weights, distance: the closest point of the closest triangle, of equal ones the least face.
 
     The triangles' boxes are packed in a tree, which leaves each point those that may
     be closest, whatever the triangles' sizes and however far off the point is. Points
-    with a null, infinite or NaN coordinate are attached to nothing.
+    with a null, infinite or NaN coordinate are attached to nothing; with ``within``
+    points farther off than that from all faces may be left out, and so cost little.
     """
     ends = {f"__{n}{a}": f(F.transform("corners", lambda c: c[a])).cast("double") for n, f in (("lo", F.array_min), ("hi", F.array_max)) for a in AXES}  # noqa: B023
     low, high = [f"__lo{a}" for a in AXES], [f"__hi{a}" for a in AXES]
     tree = levels.box_tree(faces.select("face", "corners").withColumns(ends), low, high)
     if tree is None:
         return _on_face(points.select("id", *AXES).limit(0).join(faces.select("face", "corners"), F.lit(True)))
-    near = levels.nearest_boxes(_placed(points.select("id", *AXES)), tree, 1, low, high)
+    near = levels.nearest_boxes(points.select("id", *AXES), tree, 1, low, high, within=within)
     every = _on_face(near.select(F.col("q_id").alias("id"), *[F.col(f"q_{a}").alias(a) for a in AXES], F.col("p_face").alias("face"), F.col("p_corners").alias("corners")))
     best = every.groupBy("id").agg(F.min_by(F.struct(*AXES, "face", "corners", "weights", "distance"), F.struct("distance", "face")).alias("r"))
     return best.select("id", "r.*")
