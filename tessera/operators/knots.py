@@ -182,7 +182,7 @@ def multistage(slaves: DataFrame, faces: DataFrame, sectors: int, tolerance: flo
     back = -F.col("__k") * step
     c, s = F.cos(back), F.sin(back)
     places = tried.select(F.struct("id", F.col("__k").cast("int").alias("k")).alias("id"), (F.col("x") * c - F.col("y") * s).alias("x"), (F.col("x") * s + F.col("y") * c).alias("y"), "z")
-    near = attach(places, faces).filter(F.col("distance") <= tolerance)
+    near = attach(places, faces, tolerance).filter(F.col("distance") <= tolerance)
     best = near.groupBy(F.col("id.id").alias("id")).agg(F.min_by(F.struct("face", "corners", "weights", F.col("distance").alias("gap"), F.col("id.k").alias("sector")), F.struct(F.round("distance", 9), F.col("id.k"), F.col("face"))).alias("r")).select("id", "r.*")
     turn = F.col("sector") * step
     r = [[F.cos(turn), -F.sin(turn), F.lit(0.0)], [F.sin(turn), F.cos(turn), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)]]
