@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import constraints, curved, levels, results, topology
+from tessera.operators import constraints, curved, levels, results, spatial, topology
 from tessera.plans import catalog
 
 
@@ -76,3 +76,17 @@ def test_ties_look_at_faces_within_the_tolerance(spark, monkeypatch):
     tree = levels.box_tree(faces.select("face", *[F.lit(0.0).alias(c) for c in ("a", "b")]), ["a"], ["b"])
     places = np.array([[5.0], [0.1]])
     assert [row.tolist() for row, *_ in levels.descend(places, levels.task_levels(tree)[0], 1, 0.04)] == [[1] * 400]
+
+
+def test_pairs_are_summed_without_rows_for_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(spatial, "PART", 40)
+    at, value = rng.random((100, 3)), [None if i % 9 == 0 else float(i) for i in range(100)]
+    points = spark.createDataFrame([(i, *map(float, p), v) for i, (p, v) in enumerate(zip(at, value, strict=True))] + [(100, None, 0.0, 0.0, 1.0)], "id long, x double, y double, z double, value double")
+    df = spatial.hat_filter_all(points, 0.4, "value")
+    got = {r["id"]: r["filtered"] for r in df.collect()}
+    assert got.pop(100) is None
+    for i in range(100):
+        w = np.maximum(0, 0.4 - np.linalg.norm(at - at[i], axis=1)) / 0.4
+        assert abs(got[i] - sum(a * v for a, v in zip(w, value, strict=True) if v is not None) / w.sum()) < 1e-9
+    assert "__cell" not in plan_of(df)
